@@ -1,0 +1,289 @@
+"""Surrogates for personal data.
+
+Detected entities are replaced by others of their kind.  A surrogate is a keyed permutation of the entity within
+its own format: letters stay letters of their script and case, digits digits, separators stay where they are,
+card numbers keep their check digit, and names take names of the same gender and script.  As a permutation it keeps
+different entities of one format apart, and as a function of the entity alone it gives an entity the same surrogate
+wherever it occurs.  What a permutation cannot promise is checked over the whole corpus: a surrogate that is a real
+entity of the corpus, or that two entities share, is drawn again under the next round of the key.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import hmac
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import free_name, materialize, table, text_or_empty
+
+KEY = b"lorekeep surrogate key"
+#: Entities that needed more than one round, up to which they travel with the code; beyond, they are joined by document.
+CLOSURE_ROWS = 50_000
+ROUNDS = 16
+
+#: What may stand between the parts of one entity: blanks, and the decoration of noisy texts.
+_GAP = r"[\s|!#$%&*]{0,8}"
+_EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Monsieur|Madame|Mme|Herr|Frau|Señor|Señora|Sr|Sra|Г-н|Г-жа|Господин|Госпожа)"
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+PATTERNS = {
+    "secret": rf"(?i:\b(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?key)\b){_GAP}[:=]{_GAP}[\"'](?P<secret>[^\"'\s]{{6,}})[\"']",
+    "email": rf"(?P<email>{_EMAIL})",
+    "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
+    "ip": rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)",
+    "card": r"(?<!\d)(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19})(?!\d)",
+    "phone": rf"(?P<phone>\+\d{{1,3}}{_GAP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_GAP}[-.]?{_GAP}\d{{2,4}}){{2,4}}|(?<![\d.])\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}|(?<![\d.\-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\d)",
+    "ssn": r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-])",
+    "person": rf"\b(?P<title>{_TITLE})\.?\s+(?P<person>{_NAME}(?:\s+{_NAME})?)",
+}
+DETECTOR = re.compile("|".join(PATTERNS.values()))
+#: A text without any of these holds no entity.
+HINT = re.compile(rf"@|\d{{2}}|[:=]|\b{_TITLE}\b")
+KINDS = ("secret", "email", "iban", "ip", "card", "phone", "ssn", "person")
+_FEMALE = frozenset("Mrs Ms Miss Madame Mme Frau Señora Sra Г-жа Госпожа".split())
+
+#: Given names by script and gender, and the syllables that surnames are made of.
+GIVEN = {
+    ("latin", "f"): "Alma Bea Clara Dora Edda Flora Greta Hanna Ida Jana Klara Lena Mira Nora Olga Petra Rosa Sara Tilda Vera".split(),
+    ("latin", "m"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oskar Paul Rolf Simon Theo Viktor".split(),
+    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Лидия Мария Нина Ольга Полина Раиса Софья Тамара".split(),
+    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Марк Никита Олег Павел Роман Семён".split(),
+}
+SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo za ze".split(), "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split()}
+_RANGES = [(ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (ord("а"), 32), (ord("А"), 32), (ord("α"), 17), (ord("Α"), 17)]
+
+
+def _draw(key: bytes, tweak: str, round_: int, i: int, x: int) -> int:
+    out, n = b"", 1 + x.bit_length() // 8
+    for block in range(n // 32 + 1):
+        out += hmac.new(key, f"{tweak}\x00{round_}\x00{i}\x00{block}\x00{x:x}".encode(), hashlib.sha256).digest()
+    return int.from_bytes(out, "big")
+
+
+def permute(x: int, a: int, b: int, key: bytes, tweak: str, round_: int) -> int:
+    """A keyed permutation of 0 .. a*b - 1: a Feistel network of eight steps on the two mixed-radix halves."""
+    left, right = divmod(x, b)
+    for i in range(0, 8, 2):
+        left = (left + _draw(key, tweak, round_, i, right)) % a
+        right = (right + _draw(key, tweak, round_, i + 1, left)) % b
+    return left * b + right
+
+
+def permute_format(text: str, key: bytes, tweak: str, round_: int) -> str:
+    """``text`` permuted among the texts of the same format: class and place of every letter and digit."""
+    slots = []
+    for i, c in enumerate(text):
+        for first, n in _RANGES:
+            if first <= ord(c) < first + n:
+                slots.append((i, first, n))
+                break
+    if not slots:
+        return text
+    shape = "".join(f"{first:x}." if i in {s[0] for s in slots} else c for i, c, first in ((i, c, next((s[1] for s in slots if s[0] == i), 0)) for i, c in enumerate(text)))
+    half = (len(slots) + 1) // 2
+    a = b = 1
+    x = 0
+    for j, (i, first, n) in enumerate(slots):
+        a, b = (a * n, b) if j < half else (a, b * n)
+        x = x * n + ord(text[i]) - first
+    x = permute(x, a, b, key, f"{tweak}\x01{shape}", round_)
+    out = list(text)
+    for i, first, n in reversed(slots):
+        x, d = divmod(x, n)
+        out[i] = chr(first + d)
+    return "".join(out)
+
+
+def luhn_digit(digits: str) -> str:
+    """The check digit that follows ``digits``."""
+    total = sum(d if i % 2 else (2 * d) // 10 + (2 * d) % 10 for i, d in enumerate(map(int, reversed(digits))))
+    return str(-total % 10)
+
+
+def canonical(kind: str, text: str, title: str = "") -> str:
+    """What makes two mentions the same entity."""
+    if kind == "email":
+        return text.lower()
+    if kind in ("card", "ssn", "phone"):
+        return "+" * text.startswith("+") + re.sub(r"\D", "", text)
+    if kind == "iban":
+        return text.replace(" ", "")
+    if kind == "person":
+        gender = "f" if title in _FEMALE else "m"
+        return f"{gender}:{' '.join(text.split())}"
+    return text
+
+
+def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
+    """The surrogate of a canonical entity, itself canonical and of the same kind and format."""
+    if kind == "email":
+        local, _, domain = entity.partition("@")
+        head, _, top = domain.rpartition(".")
+        return f"{permute_format(local, key, 'local', round_)}@{permute_format(head, key, 'domain', round_)}.{top}"
+    if kind == "ip":
+        a, b, c, d = map(int, entity.split("."))
+        x = permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 16, 1 << 16, key, "ip", round_)
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "card" and luhn_digit(entity[:-1]) == entity[-1]:
+        body = permute_format(entity[:-1], key, "luhn", round_)
+        return body + luhn_digit(body)
+    if kind == "phone" and entity.startswith("+"):
+        n = max(0, len(entity) - 10)
+        return entity[:n] + permute_format(entity[n:], key, "phone", round_)
+    if kind == "iban":
+        return entity[:2] + permute_format(entity[2:], key, "iban", round_)
+    if kind == "person":
+        gender, _, name = entity.partition(":")
+        parts = name.split()
+        script = "cyrillic" if "А" <= parts[-1][0] <= "я" or parts[-1][0] in "Ёё" else "latin"
+        given, syllables = GIVEN[script, gender], SYLLABLES[script]
+        x = _draw(key, f"name\x01{parts[-1]}", round_, 0, 0)
+        last = ""
+        for _ in range(3):
+            x, d = divmod(x, len(syllables))
+            last += syllables[d]
+        first = [given[_draw(key, f"given\x01{gender}\x01{p}", round_, 1, 0) % len(given)] for p in parts[:-1]]
+        return f"{gender}:{' '.join([*first, last.capitalize()])}"
+    return permute_format(entity, key, kind, round_)
+
+
+def shaped(kind: str, original: str, entity: str, new: str) -> str:
+    """The canonical surrogate written as the original was: its case, separators and blanks."""
+    if kind == "email":
+        return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) if len(new) == len(original) else new
+    if kind in ("card", "ssn", "phone"):
+        digits = iter(re.sub(r"\D", "", new))
+        return re.sub(r"\d", lambda _: next(digits), original)
+    if kind == "iban":
+        letters = iter(new)
+        return "".join(c if c == " " else next(letters) for c in original)
+    if kind == "person":
+        return new.partition(":")[2]
+    return new
+
+
+def detect(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical entity) of every entity, in order and disjoint; later bare mentions of a titled name count too."""
+    if not HINT.search(text):
+        return []
+    found = []
+    for m in DETECTOR.finditer(text):
+        kind = m.lastgroup
+        found.append((m.start(kind), m.end(kind), kind, canonical(kind, m[kind], m["title"] or "")))
+    names = {text[a:b]: e for a, b, kind, e in found if kind == "person"}
+    if names:
+        bare = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
+        taken = [(a, b) for a, b, _, _ in found]
+        extra = [(m.start(), m.end(), "person", names[m[0]]) for m in bare.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        found = sorted(found + extra)
+    return found
+
+
+def replace(text: str, rounds: dict[tuple[str, str], int], key: bytes = KEY, cache: dict | None = None) -> tuple[str, int]:
+    """``text`` with its entities replaced, and their number.  ``rounds`` has the entities whose round is not 0."""
+    out, at, found = [], 0, detect(text)
+    cache = {} if cache is None else cache
+    for a, b, kind, entity in found:
+        new = cache.get((kind, entity))
+        if new is None:
+            if len(cache) > 100_000:
+                cache.clear()
+            new = cache[kind, entity] = surrogate(kind, entity, rounds.get((kind, entity), 0), key)
+        out += [text[at:a], shaped(kind, text[a:b], entity, new)]
+        at = b
+    return "".join([*out, text[at:]]), len(found)
+
+
+def _with_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
+    """kind, entity, round -> with the surrogate under that round."""
+
+    def run(batches):
+        for batch in batches:
+            kinds, values, rounds = (batch.column(c).to_pylist() for c in ("kind", "entity", "round"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(*x, key) for x in zip(kinds, values, rounds)], pa.string())], names=["kind", "entity", "round", "new"])
+
+    return entities.select("kind", "entity", "round").mapInArrow(run, "kind string, entity string, round int, new string")
+
+
+def entities_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """kind, entity: the distinct entities of all texts."""
+
+    def run(batches):
+        for batch in batches:
+            seen = {(kind, e) for t in batch.column("t").to_pylist() for _, _, kind, e in detect(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.string())], names=["kind", "entity"])
+
+    return docs.select(text_or_empty(text).alias("t")).mapInArrow(run, "kind string, entity string").distinct()
+
+
+def collision_rounds(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+    """kind, entity, round of the entities whose surrogate of round 0 is a real entity or another's surrogate."""
+    now = materialize(_with_surrogates(entities.withColumn("round", F.lit(0)), key), "pii-round")
+    real = entities.select("kind", F.col("entity").alias("new"))
+    for round_ in range(1, ROUNDS):
+        # of those that share a surrogate the least stays, one settled in an earlier round first
+        shared = now.groupBy("kind", "new").agg(F.min(F.struct("round", "entity")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("kind", "new", "m")
+        taken = now.join(shared, ["kind", "new"]).filter((F.col("round") != F.col("m.round")) | (F.col("entity") != F.col("m.entity"))).select("kind", "entity")
+        bad = materialize(now.join(real, ["kind", "new"], "left_semi").select("kind", "entity").unionByName(taken).distinct(), "pii-bad")
+        if bad.isEmpty():
+            break
+        again = _with_surrogates(bad.withColumn("round", F.lit(round_)), key)
+        now = materialize(now.join(bad, ["kind", "entity"], "left_anti").unionByName(again), "pii-round")
+    return now.filter("round > 0").select("kind", "entity", "round")
+
+
+def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str = "n_entities") -> DataFrame:
+    """``docs`` with the entities of ``text`` replaced by surrogates, and their number in ``count``.
+
+    Null texts stay null with 0 entities, and texts without entities stay as they are.  Equal entities get equal
+    surrogates in all rows and different ones different surrogates, repeated rows equal texts.  An empty table gives an
+    empty result.  An existing column ``count`` is replaced.
+    """
+    docs = docs.drop(count)
+    again = materialize(collision_rounds(materialize(entities_of(docs, text), "pii-entities"), key), "pii-again")
+    names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
+
+    def rewrite(batches, rounds_of):
+        cache: dict = {}
+        for batch in batches:
+            texts, counts = [], []
+            for row, t in enumerate(batch.column(text).to_pylist()):
+                new, n = (None, 0) if t is None else replace(t, rounds_of(batch, row), key, cache if rounds_of is fixed else None)
+                texts.append(new)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(i) for i, c in enumerate(names)] + [pa.array(counts, pa.int64())], names=[*names, count])
+
+    rounds = {}
+    if again.count() <= CLOSURE_ROWS:
+        rounds = {(r.kind, r.entity): r.round for r in again.collect()}  # at most CLOSURE_ROWS
+
+        def fixed(batch, row):
+            return rounds
+
+        return docs.mapInArrow(lambda batches: rewrite(batches, fixed), schema)
+    fixed = None
+    hash_, found = free_name(docs, "text_hash"), free_name(docs, "rounds")
+
+    def mentions(batches):
+        for batch in batches:
+            rows = [(h, kind, e) for h, t in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist()) for kind, e in {(x[2], x[3]) for x in detect(t)}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*rows)) or [(), (), ()])], names=["h", "kind", "entity"])
+
+    held = docs.select(F.sha2(text_or_empty(text), 256).alias("h"), text_or_empty(text).alias("t")).mapInArrow(mentions, "h string, kind string, entity string").distinct()
+    held = held.join(again, ["kind", "entity"]).groupBy("h").agg(F.collect_list(F.struct("kind", "entity", "round")).alias(found))  # entities of one text
+    joined = docs.withColumn(hash_, F.sha2(text_or_empty(text), 256)).join(held.withColumnRenamed("h", hash_), hash_, "left").select(*names, found)
+
+    def by_row(batch, row):
+        return {(r["kind"], r["entity"]): r["round"] for r in batch.column(len(names))[row].as_py() or ()}
+
+    return joined.mapInArrow(lambda batches: rewrite(batches, by_row), schema)
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
