@@ -8,6 +8,8 @@ longs.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,19 +82,17 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def next_rows(ids: DataFrame) -> DataFrame:
-    """``ids`` (id, th and others) with next_id, next_th: the row after each in descending order of (id, th); after the last the first.
+def range_heads(ids: DataFrame, parts: int) -> DataFrame:
+    """One row with ``heads``: the first rows (id, th), in descending order, of about ``parts`` ranges of equal size."""
+    dealt = ids.repartitionByRange(parts, F.desc("id"), F.desc("th"))
+    heads = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct("id", "th")).alias("head"))
+    return heads.agg(F.sort_array(F.collect_list("head"), asc=False).alias("heads"))  # as many as ranges
 
-    A range partitioning gives the order; only the last row of each partition looks beyond it, at a table of one row
-    for each partition.
-    """
-    dealt = materialize(ids.repartitionByRange(F.desc("id"), F.desc("th")).withColumn("part", F.spark_partition_id()), "next-rows")
-    row, by_part = F.struct("id", "th"), Window.orderBy("part")
-    inside = dealt.withColumn("inner", F.lead(row).over(Window.partitionBy("part").orderBy(F.desc("id"), F.desc("th"))))
-    heads = dealt.groupBy("part").agg(F.max(row).alias("head"))
-    tails = heads.select("part", F.lead("head").over(by_part).alias("outer"), F.first("head").over(by_part).alias("top"))  # as many rows as partitions
-    found = inside.join(F.broadcast(tails), "part").withColumn("next", F.coalesce("inner", "outer", "top"))
-    return found.select(*ids.columns, F.col("next.id").alias("next_id"), F.col("next.th").alias("next_th"))
+
+def range_of(row: Column, heads: Column, step: int) -> Column:
+    """The number (from 0) of the range a row belongs to: every ``step``-th head is looked at, then the ones between."""
+    coarse = F.size(F.filter(F.filter(heads, lambda h, i: i % step == 0), lambda h: h >= row)) - 1
+    return F.get(F.transform(F.array(coarse), lambda c: c * step + F.size(F.filter(F.slice(heads, c * step + 1, step), lambda h: h >= row)) - 1), F.lit(0))
 
 
 def edited_pairs(docs: DataFrame, k: int = K, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -103,22 +103,37 @@ def edited_pairs(docs: DataFrame, k: int = K, width: int = WIDTH, key: str = "do
     and null keys come last.  Rows that repeat key and text count once in the order and each get its result; of equal
     keys with other texts the larger hash comes first.  A single document is its own next.  An empty table gives an
     empty result; other columns are ignored.
+
+    Texts are shuffled once, by ranges of the order; the first row of each range goes to the range before it as well,
+    so that every row finds the next one beside it.
     """
-    least = F.lit(-(2**63)).cast("long")
+    spark, least = docs.sparkSession, F.lit(-(2**63)).cast("long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * parts
+    step = max(1, math.isqrt(ranges))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), least).alias("id"), text_or_empty(text).alias("t")).withColumn("th", F.xxhash64("t"))
-    chain = next_rows(rows.select("id", "th", F.floor(F.length("t") / 2).cast("int").alias("half")).distinct())
-    made = rows.withColumn("s", sketch(F.col("t"), k, width))
-    copies = Window.partitionBy("id", "th")
-    once = made.withColumns({"copies": F.count("*").over(copies), "copy": F.row_number().over(copies.orderBy("key"))}).filter("copy = 1")
-    after = once.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("t").alias("next_t"), F.col("s").alias("next_s"))
-    tail = chain.join(after, ["next_id", "next_th"]).select("id", "th", "half", F.substring("next_t", F.lit(1), F.col("half")).alias("tail"), "next_s")
-    both = once.join(tail, ["id", "th"]).select("key", "copies", "t", "s", "next_s", F.length("t").cast("long").alias("n_chars"), F.concat(F.substring("t", F.lit(1), F.length("t") - F.col("half")), "tail").alias("edited"))
+    heads = materialize(range_heads(rows.select("id", "th"), ranges), "range-heads")
+    row = F.struct("id", "th")
+    dealt = rows.crossJoin(F.broadcast(heads)).withColumn("r", range_of(row, F.col("heads"), step))  # one row of heads
+    is_head = row == F.get("heads", F.col("r"))
+    before = F.when(F.col("r") > 0, F.col("r") - 1).otherwise(F.size("heads") - 1)
+    own = F.struct(F.col("r").alias("b"), F.lit(0).alias("guest"))
+    places = F.when(is_head, F.array(own, F.struct(before.alias("b"), F.lit(1).alias("guest")))).otherwise(F.array(own))
+    placed = dealt.select("key", "id", "th", "t", F.explode(places).alias("p")).select("key", "id", "th", "t", "p.b", "p.guest").repartition(parts, "b")
+    w = Window.partitionBy("b").orderBy("guest", F.desc("id"), F.desc("th"))
+    made = placed.withColumn("s", sketch(F.col("t"), k, width))
+    numbered = made.withColumns({"n": F.row_number().over(w), "last": F.lag(F.struct("guest", "id", "th")).over(w)})
+    once = numbered.filter(F.col("last").isNull() | (F.col("last") != F.struct("guest", "id", "th")))
+    beside = once.withColumns({"next": F.lead(F.struct("t", "s")).over(w), "copies": F.lead("n").over(w) - F.col("n")}).filter("guest = 0")
+    n = F.length("t")
+    half = F.floor(n / 2).cast("int")
+    both = beside.select("key", "copies", "t", "s", F.col("next.s").alias("next_s"), n.cast("long").alias("n_chars"), F.concat(F.substring("t", F.lit(1), n - half), F.substring("next.t", F.lit(1), half)).alias("edited"))
     both = both.withColumn("e", sketch(F.col("edited"), k, width))
     out = both.select(
         F.col("key").alias(key), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), as_text(F.col("s")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
         resemblance(F.col("s"), F.col("e"), k).alias("near_edited"), resemblance(F.col("s"), F.col("next_s"), k).alias("near_next"), distinct_count(F.col("s"), k).alias("n_shingles"), containment(F.col("s"), F.col("e"), k).alias("kept"), "copies",
     )
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies")
 
 
 def fingerprints(docs: DataFrame, k: int = K, width: int = WIDTH, text: str = "text") -> DataFrame:
