@@ -17,11 +17,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, free_name, materialize, mix64, table, text_or_empty
+from .common import free_name, materialize, mix64, table, text_or_empty
 
 #: Tokens whose frequency is known exactly: the most frequent ones, at most so many (16 bytes each).
 HEAVY_TOKENS = 1 << 18
@@ -33,20 +32,47 @@ MAX_MATCHES = 4
 #: Bits of the filter of documents whose sets are needed for verification.
 FILTER_BITS = 1 << 23
 
-_words = WordCache(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random odd or even number for each byte, capitals like small letters; powers of a random odd base, and their inverses.
+_BYTES = np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BASE = 0x5851F42D4C957F2D
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
+
+
+_POWERS = [_powers(_BASE, 1 << 17), _powers(pow(_BASE, -1, 2**64), 1 << 17)]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, all at once: differences of a running polynomial sum, shifted back to the word's start."""
+    data = np.frombuffer(text, np.uint8)
+    n = len(data)
+    if n > len(_POWERS[0]):
+        _POWERS[:] = _powers(_BASE, 2 * n), _powers(pow(_BASE, -1, 2**64), 2 * n)
+    edge = np.diff(_SPACE[data].view(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * _POWERS[0][:n], out=sums[1:])
+        return (sums[ends] - sums[starts]) * _POWERS[1][starts]
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams (ASCII letters lower-cased); fewer words count as one n-gram."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    width = min(n, len(h))
+    count = len(h) - width + 1
     with np.errstate(over="ignore"):
-        width = min(n, len(h))
-        out = np.full(len(h) - width + 1, width, np.uint64)
+        out = np.full(count, width, np.uint64)
         for i in range(width):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - width + 1 + i])
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : count + i])
     return np.unique(out)
 
 
@@ -203,7 +229,7 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     signed = materialize(signatures(rows, n, percent), "join-signed")
     full = signed.filter("cls is not null")
     classes = materialize(full.groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "prefix")).alias("p")).select("cls", "id", "p.*"), "join-classes")
-    posted = classes.select("cls", F.col("n_shingles").alias("n"), F.col("matches").alias("l"), F.explode("prefix").alias("p")).select("cls", "n", "l", "p.tok", F.pmod(F.xxhash64("cls"), "p.parts").alias("part"))
+    posted = classes.select("cls", F.col("n_shingles").cast("int").alias("n"), F.col("matches").cast("byte").alias("l"), F.posexplode("prefix").alias("i", "p")).select("cls", "n", "l", "i", "p.tok", F.pmod(F.xxhash64("cls"), "p.parts").cast("int").alias("part"))
 
     # round one: a neighbour in each posting list, in parts, the parts' first sets in a chain of their own
     w = Window.partitionBy("tok", "part").orderBy("n", "cls")
@@ -221,9 +247,12 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     groups = lists.groupBy("tok", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = groups.alias("a"), groups.alias("b")
     met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent)).select("a.tok", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
-    side = lambda s: lists.select("tok", F.col("root").alias(f"r{s}"), F.col("cls").alias(s), F.col("n").alias(f"n{s}"), F.col("l").alias(f"l{s}"))
+    side = lambda s: lists.select("tok", F.col("root").alias(f"r{s}"), *(F.col(c).alias(f"{c}{s}".removeprefix("cls")) for c in ("cls", "n", "l", "i")))
     wide = met.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    pairs = wide.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(F.least("la", "lb")).alias("l")).filter("c >= l").select("a", "b")
+    # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
+    shared = wide.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
+    pairs = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
     links = verified(materialize(pairs, "join-pairs"), rows, classes, n, percent)
     root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     across = links.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
