@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, mix64, table, text_or_empty
+from .common import bound_batches, discard, free_name, materialize, mix64, release, table, text_or_empty
 
 #: Tokens whose frequency is known exactly: the most frequent ones, at most so many (16 bytes each).
 HEAVY_TOKENS = 1 << 18
@@ -137,21 +137,21 @@ def signatures(rows: DataFrame, n: int, percent: int) -> DataFrame:
     def sign(batches):
         tokens, counts = heavy.value
         for batch, sets in _sets(batches, n):
-            cls, matches, prefix = [], [], []
+            cls, matches, toks, parts, ends = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
             for s in sets:
-                if not len(s):
-                    cls.append(None), matches.append(None), prefix.append(None)
-                    continue
-                chosen, freq, l = choose_prefix(s, percent, tokens, counts)
-                cls.append(hashlib.md5(s.tobytes()).digest())
+                chosen, freq, l = choose_prefix(s, percent, tokens, counts) if len(s) else (s, s, None)
+                cls.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 matches.append(l)
-                prefix.append([{"tok": t, "parts": p} for t, p in zip(chosen.view(np.int64).tolist(), (-(-freq // POSTING_ROWS)).tolist())])
+                toks.append(chosen.view(np.int64))
+                parts.append((-(-freq.astype(np.int64) // POSTING_ROWS)).astype(np.int32))
+                ends.append(ends[-1] + len(chosen))
+            items = pa.StructArray.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(parts))], ["tok", "parts"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.struct([("tok", pa.int64()), ("parts", pa.int32())])))],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
                 names=["id", "n_shingles", "cls", "matches", "prefix"],
             )
 
-    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, prefix array<struct<tok:long,parts:int>>")
+    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, prefix array<struct<tok:bigint,parts:int>>")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -165,7 +165,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of classes whose sets are similar, by whole sets made anew from one document of each class."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "id"), "cls")
+    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "cls", "id"), "node"), "join-need")
     bits = pairs.sparkSession.sparkContext.broadcast(_filter_of(need))
     positions = F.array(*(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)))
 
@@ -177,22 +177,23 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, perc
             sets = [shingle_set(t, n) for t in part.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), part.column("id")], names=["cls", "s", "id"])
 
-    made = rows.filter(F.col("id").isNotNull()).withColumn("at", positions).mapInArrow(make, "cls binary, s binary, id long")
-    sets = made.join(need, ["cls", "id"], "left_semi").dropDuplicates(["cls"]).select("cls", "s")
+    made = rows.withColumn("at", positions).mapInArrow(make, "cls binary, s binary, id long")
+    held = made.join(need, (made.cls == need.cls) & made.id.eqNullSafe(need.id)).select("node", "s")
+    # rows that repeat id and text give a set more than once
+    sets = held.groupBy("node").agg(F.first("s").alias("s"))
 
     def compare(batches):
         for batch in batches:
-            a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
             keep = []
-            for s, t in zip(x, y):
+            for s, t in zip(batch.column("x"), batch.column("y")):
                 s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                common = len(np.intersect1d(s, t, assume_unique=True))
+                both = np.sort(np.concatenate([s, t]), kind="stable")  # two sorted runs: a merge
+                common = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,38 +227,55 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id of each row of (id long, t binary).  See ``join_components``."""
+    spark = rows.sparkSession
+    bound_batches(spark)
     signed = materialize(signatures(rows, n, percent), "join-signed")
+    release(spark)
     full = signed.filter("cls is not null")
-    classes = materialize(full.groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "prefix")).alias("p")).select("cls", "id", "p.*"), "join-classes")
-    posted = classes.select("cls", F.col("n_shingles").cast("int").alias("n"), F.col("matches").cast("byte").alias("l"), F.posexplode("prefix").alias("i", "p")).select("cls", "n", "l", "i", "p.tok", F.pmod(F.xxhash64("cls"), "p.parts").cast("int").alias("part"))
-
-    # round one: a neighbour in each posting list, in parts, the parts' first sets in a chain of their own
-    w = Window.partitionBy("tok", "part").orderBy("n", "cls")
-    chain = posted.select("*", F.lag(F.struct("cls", "n")).over(w).alias("p"))
+    grouped = full.groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "prefix")).alias("p"))
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "cls", "id", F.col("p.n_shingles").cast("int").alias("n"), F.col("p.matches").cast("byte").alias("l"), "p.prefix"), "join-classes")
+    release(spark)
+
+    # postings that more than one class has
+    posted = classes.select("node", "n", "l", F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "p")).select("node", "n", "l", "k", "i", "p.tok", "p.parts")
+    common = classes.select(F.explode("prefix.tok").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
+    posted = materialize(posted.join(common, "tok", "left_semi"), "join-posted")
+    release(spark)
+
+    # round one: a neighbour in each posting list, in parts, the parts' first sets in a chain of their own; of the
+    # neighbours the one met most often is verified, if that is often enough to be promising
+    dealt = posted.select("node", "n", "k", "tok", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    w = Window.partitionBy("tok", "part").orderBy("n", "node")
+    chain = dealt.select("*", F.lag(F.struct("node", "n")).over(w).alias("p"))
     heads = chain.filter("p is null").drop("p")
-    heads = heads.select("*", F.lag(F.struct("cls", "n")).over(Window.partitionBy("tok").orderBy("n", "cls")).alias("p"))
+    heads = heads.select("*", F.lag(F.struct("node", "n")).over(Window.partitionBy("tok").orderBy("n", "node")).alias("p"))
     near = chain.unionByName(heads).filter("p is not null").filter(F.col("p.n") * 100 >= F.col("n") * percent)
-    best = near.groupBy("cls", F.col("p.cls").alias("b")).agg(F.count("*").alias("c")).groupBy("cls").agg(F.max(F.struct("c", "b")).alias("m"))
-    first = components(verified(materialize(best.select(F.col("cls").alias("a"), F.col("m.b").alias("b")), "join-near"), rows, classes, n, percent))
+    best = near.groupBy("node", F.col("p.node").alias("b")).agg(F.count("*").alias("c"), F.first("k").alias("k")).filter("3 * c >= k").groupBy("node").agg(F.max(F.struct("c", "b")).alias("m"))
+    pairs = materialize(best.select(F.col("node").alias("a"), F.col("m.b").alias("b")), "join-near")
+    first = components(verified(pairs, rows, classes, n, percent))
     first = materialize(first, "join-first")
+    discard(pairs)
 
     # round two: posting lists that several components share, paired across components
-    rooted = posted.drop("part").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lists = materialize(rooted.join(rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok"), "tok", "left_semi"), "join-lists")
+    rooted = posted.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tok", "node", "root", "n", "l", "i")
+    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok")
+    lists = materialize(rooted.join(mixed, "tok", "left_semi"), "join-lists")
     groups = lists.groupBy("tok", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = groups.alias("a"), groups.alias("b")
     met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent)).select("a.tok", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
-    side = lambda s: lists.select("tok", F.col("root").alias(f"r{s}"), *(F.col(c).alias(f"{c}{s}".removeprefix("cls")) for c in ("cls", "n", "l", "i")))
+    side = lambda s: lists.select("tok", F.col("root").alias(f"r{s}"), *(F.col(c).alias(f"{c}{s}".removeprefix("node")) for c in ("node", "n", "l", "i")))
     wide = met.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
     shared = wide.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    pairs = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    links = verified(materialize(pairs, "join-pairs"), rows, classes, n, percent)
+    pairs = materialize(shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "join-pairs")
+    discard(posted, lists)
+    links = verified(pairs, rows, classes, n, percent)
     root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     across = links.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     second = components(across).select(F.col("node").alias("r"), F.col("root").alias("r2"))
-    final = classes.select("cls", "id").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("r", F.coalesce("root", "cls")).join(second, "r", "left").withColumn("r", F.coalesce("r2", "r")).select("cls", "id", "r")
+    discard(pairs)
+    final = classes.select("node", "cls", "id").join(first, "node", "left").withColumn("r", F.coalesce("root", "node")).join(second, "r", "left").withColumn("r", F.coalesce("r2", "r")).select("cls", "id", "r")
     named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id")
     out = full.select("id", "n_shingles", "cls").join(named, "cls").select("id", "n_shingles", "component_id")
     return out.unionByName(signed.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id")))
