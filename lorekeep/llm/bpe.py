@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, free_name, table, text_or_empty
+from .common import WordCache, bound_batches, free_name, table, text_or_empty
 
 
 def byte_letters() -> list[str]:
@@ -140,6 +140,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
+    bound_batches(docs.sparkSession)
     kept = docs.drop("n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else []))
     body = free_name(kept, "body")
     rows = kept.withColumn(body, text_or_empty(text)).drop(text)

@@ -29,7 +29,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by writing a Parquet table to the shared folder; survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.materialized_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, and let finished jobs' shuffle files go."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files are removed when the driver's garbage is collected; this asks for it after large jobs."""
+    spark._jvm.System.gc()
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold so many rows at most: rows here are whole texts, far larger than those of other tables."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 25)):
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, table, text_or_empty
+from .common import bound_batches, free_name, materialize, table, text_or_empty
 
 #: A template's share of the host's pages, and the least number of pages.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.25, 5
@@ -266,6 +266,7 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
     Null or empty html gives an empty text; pages without a url share one host.  Repeated rows count as pages and are
     extracted each.  An empty table gives an empty result.  Existing columns text and n_chars are replaced.
     """
+    bound_batches(pages.sparkSession)
     templates = materialize(site_templates(pages, share, least, url, html), "html-templates")
     n = templates.agg(F.sum(F.size("templates"))).first()[0] or 0
     host, found, page = (free_name(pages, c) for c in ("host", "templates", "page"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, table, text_or_empty
+from .common import bound_batches, free_name, materialize, table, text_or_empty
 
 KEY = b"lorekeep surrogate key"
 #: Entities that needed more than one round, up to which they travel with the code; beyond, they are joined by document.
@@ -245,6 +245,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", count: s
     surrogates in all rows and different ones different surrogates, repeated rows equal texts.  An empty table gives an
     empty result.  An existing column ``count`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.drop(count)
     again = materialize(collision_rounds(materialize(entities_of(docs, text), "pii-entities"), key), "pii-again")
     names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])

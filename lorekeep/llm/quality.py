@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table, text_or_empty
+from .common import bound_batches, free_name, table, text_or_empty
 
 #: Labelled rows that a model is fitted on at most, chosen by the hash of their id.
 SAMPLE_ROWS = 20_000
@@ -137,6 +137,7 @@ def _with_statistics(rows: DataFrame, body: str):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
     """Fit on at most ``sample`` labelled rows outside the held-out fold, chosen by the hash of their id."""
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k", "y").limit(sample)  # its size bound makes it fit to broadcast
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).cast("binary").alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
@@ -153,6 +154,7 @@ def classify(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "te
     Null texts count as empty and are scored as such; null ids are not held out; repeated rows are scored each.
     Existing columns of the three names are replaced.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.drop("held_out", "score", "predicted")
     body = free_name(kept, "body")
     rows = kept.withColumn(body, text_or_empty(text).cast("binary")).drop(text)
@@ -169,6 +171,7 @@ def classify(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "te
 
 def keep_good(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``model`` does not reject, with their columns."""
+    bound_batches(docs.sparkSession)
     body, schema = free_name(docs, "body"), docs.schema
 
     def run(batches):

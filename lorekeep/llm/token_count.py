@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, text_or_empty
+from .common import bound_batches, free_name, table, text_or_empty
 
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
 #: A word that ends and an ASCII blank that follows: the blank opens the next piece.
@@ -60,6 +60,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     default; none are added.  sentencepiece marks a text's start, so there long texts stay whole.  Existing columns
     of the three names are replaced; repeated rows are counted each.
     """
+    bound_batches(docs.sparkSession)
     kept = docs.drop("n_bytes", "n_tokens", "over_limit")
     body = free_name(kept, "body")
     rows = kept.withColumn(body, text_or_empty(text).cast("binary")).drop(text)
