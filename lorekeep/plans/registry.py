@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import queries_text
+
+
+def _modules():
+    return (queries_text,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
