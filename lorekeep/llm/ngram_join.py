@@ -25,7 +25,7 @@ from .common import bound_batches, discard, free_name, materialize, mix64, relea
 #: Tokens whose frequency is known exactly: the most frequent ones, at most so many (16 bytes each).
 HEAVY_TOKENS = 1 << 18
 #: Counts below this are taken as rare.
-HEAVY_FROM = 16
+HEAVY_FROM = 4
 #: A posting list is dealt out in parts of about this many sets.
 POSTING_ROWS = 2048
 MAX_MATCHES = 4
@@ -108,6 +108,26 @@ def choose_prefix(hashes: np.ndarray, percent: int, heavy: np.ndarray, counts: n
     return hashes[chosen], freq[chosen], matches
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """A bit for each of 2^k residues, k by the set's size: whether an odd number of hashes falls on it.
+
+    Two such maps differ in at most as many bits as the sets have elements of their own, whatever their sizes.
+    """
+    width = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in one set only, from the two sets' parity bits."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _sets(batches, n: int):
     for batch in batches:
         yield batch, [shingle_set(t, n) for t in batch.column("t").to_pylist()]
@@ -131,27 +151,28 @@ def heavy_tokens(rows: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
 
 
 def signatures(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, cls (digest of the set; null if empty), matches, prefix [(token, parts)] of each row of (id, t)."""
+    """id, n_shingles, cls (digest of the set; null if empty), matches, bits, prefix [(token, parts)] of each row of (id, t)."""
     heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, n, percent))  # at most 2 x 8 x HEAVY_TOKENS bytes
 
     def sign(batches):
         tokens, counts = heavy.value
         for batch, sets in _sets(batches, n):
-            cls, matches, toks, parts, ends = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
+            cls, matches, bits, toks, parts, ends = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
             for s in sets:
                 chosen, freq, l = choose_prefix(s, percent, tokens, counts) if len(s) else (s, s, None)
                 cls.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 matches.append(l)
+                bits.append(parity_bits(s) if len(s) else None)
                 toks.append(chosen.view(np.int64))
                 parts.append((-(-freq.astype(np.int64) // POSTING_ROWS)).astype(np.int32))
                 ends.append(ends[-1] + len(chosen))
             items = pa.StructArray.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(parts))], ["tok", "parts"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
-                names=["id", "n_shingles", "cls", "matches", "prefix"],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
+                names=["id", "n_shingles", "cls", "matches", "bits", "prefix"],
             )
 
-    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, prefix array<struct<tok:bigint,parts:int>>")
+    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, bits binary, prefix array<struct<tok:bigint,parts:int>>")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -163,6 +184,22 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that their parity bits do not rule out: whole sets are far larger and travel only for these."""
+
+    def keep(batches):
+        for batch in batches:
+            ok = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "na", "nb"))):
+                overlap = -(-percent * (n + m) // (100 + percent))
+                ok.append(least_difference(x, y) <= n + m - 2 * overlap)
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    side = lambda s, x: classes.select(F.col("node").alias(s), F.col("bits").alias(x), F.col("n").alias(f"n{s}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "na", "nb")
+    return both.mapInArrow(keep, "a long, b long")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of classes whose sets are similar, by whole sets made anew from one document of each class."""
     need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "cls", "id"), "node"), "join-need")
@@ -229,18 +266,20 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """id, n_shingles, component_id of each row of (id long, t binary).  See ``join_components``."""
     spark = rows.sparkSession
     bound_batches(spark)
-    signed = materialize(signatures(rows, n, percent), "join-signed")
+    wide = materialize(signatures(rows, n, percent), "join-wide")
     release(spark)
+    signed = materialize(wide.select("id", "n_shingles", "cls"), "join-signed")
     full = signed.filter("cls is not null")
-    grouped = full.groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "prefix")).alias("p"))
-    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "cls", "id", F.col("p.n_shingles").cast("int").alias("n"), F.col("p.matches").cast("byte").alias("l"), "p.prefix"), "join-classes")
-    release(spark)
+    grouped = wide.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "bits", "prefix")).alias("p"))
+    numbered = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "cls", "id", F.col("p.n_shingles").cast("int").alias("n"), F.col("p.matches").cast("byte").alias("l"), "p.bits", "p.prefix"), "join-numbered")
+    discard(wide)
+    classes = materialize(numbered.drop("l", "prefix"), "join-classes")
 
     # postings that more than one class has
-    posted = classes.select("node", "n", "l", F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "p")).select("node", "n", "l", "k", "i", "p.tok", "p.parts")
-    common = classes.select(F.explode("prefix.tok").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
+    posted = numbered.select("node", "n", "l", F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "p")).select("node", "n", "l", "k", "i", "p.tok", "p.parts")
+    common = numbered.select(F.explode("prefix.tok").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     posted = materialize(posted.join(common, "tok", "left_semi"), "join-posted")
-    release(spark)
+    discard(numbered)
 
     # round one: a neighbour in each posting list, in parts, the parts' first sets in a chain of their own; of the
     # neighbours the one met most often is verified, if that is often enough to be promising
@@ -251,7 +290,7 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     heads = heads.select("*", F.lag(F.struct("node", "n")).over(Window.partitionBy("tok").orderBy("n", "node")).alias("p"))
     near = chain.unionByName(heads).filter("p is not null").filter(F.col("p.n") * 100 >= F.col("n") * percent)
     best = near.groupBy("node", F.col("p.node").alias("b")).agg(F.count("*").alias("c"), F.first("k").alias("k")).filter("3 * c >= k").groupBy("node").agg(F.max(F.struct("c", "b")).alias("m"))
-    pairs = materialize(best.select(F.col("node").alias("a"), F.col("m.b").alias("b")), "join-near")
+    pairs = materialize(promising(best.select(F.col("node").alias("a"), F.col("m.b").alias("b")), classes, percent), "join-near")
     first = components(verified(pairs, rows, classes, n, percent))
     first = materialize(first, "join-first")
     discard(pairs)
@@ -264,11 +303,12 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     a, b = groups.alias("a"), groups.alias("b")
     met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent)).select("a.tok", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
     side = lambda s: lists.select("tok", F.col("root").alias(f"r{s}"), *(F.col(c).alias(f"{c}{s}".removeprefix("node")) for c in ("node", "n", "l", "i")))
-    wide = met.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    postings = met.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
     # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
-    shared = wide.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    shared = postings.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    pairs = materialize(shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "join-pairs")
+    likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    pairs = materialize(promising(likely, classes, percent), "join-pairs")
     discard(posted, lists)
     links = verified(pairs, rows, classes, n, percent)
     root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
