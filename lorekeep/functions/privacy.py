@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, let
 
 #: Label and pattern of every kind of secret, in order, specific ones before general ones.
 PATTERNS = [
@@ -50,12 +50,14 @@ def sanitize(text: str | Column) -> Column:
     """
     state = F.struct(F.coalesce(col(text), F.lit("")).alias("text"), F.lit(0).alias("n"))
     for label, pattern in PATTERNS:
-        # a lambda binds the state once, so that the expression does not double with every pattern
-        step = lambda s, label=label, pattern=pattern: F.struct(F.regexp_replace(s["text"], pattern, f"[REDACTED:{label}]").alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(pattern))).alias("n"))
-        state = F.get(F.transform(F.array(state), step), F.lit(0))
+        state = let(state, _redaction(label, pattern))
     return state
 
 
+def _redaction(label: str, pattern: str):
+    return lambda s: F.struct(F.regexp_replace(s["text"], pattern, f"[REDACTED:{label}]").alias("text"), (s["n"] + F.regexp_count(s["text"], F.lit(pattern))).alias("n"))
+
+
 def has_secret(text: str | Column) -> Column:
     found = F.lit(False)
     for _, pattern in PATTERNS:

@@ -21,6 +21,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value computed once: without it, a lambda computes what it refers to for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def squeeze(text: str | Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(col(text), f"{SPACE}+", " "))
@@ -41,16 +46,19 @@ def char_ngrams(text: str | Column, n: int = 3) -> Column:
     """Distinct character n-grams of the normalized text; none if it is shorter than n."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    t = normalize(text)
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
-    return F.when(F.length(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def of(c: Column) -> Column:
+        grams = F.transform(F.slice(c, 1, F.greatest(F.size(c) - (n - 1), F.lit(0))), lambda x, i: F.concat(x, *(F.get(c, i + j) for j in range(1, n))))
+        return F.array_distinct(grams)
+
+    # characters as an array: a position in a UTF-8 string is found by counting from its start
+    return let(F.regexp_extract_all(normalize(text), F.lit("(?s)."), 0), of)
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two arrays of distinct items; 0 when both are empty."""
-    a, b = col(a), col(b)
-    common = F.size(F.array_intersect(a, b))
-    return F.coalesce(common / F.nullif(F.size(a) + F.size(b) - common, F.lit(0)), F.lit(0.0))
+    sizes = F.struct(F.size(col(a)).alias("a"), F.size(col(b)).alias("b"), F.size(F.array_intersect(col(a), col(b))).alias("c"))
+    return let(sizes, lambda s: F.coalesce(s["c"] / F.nullif(s["a"] + s["b"] - s["c"], F.lit(0)), F.lit(0.0)))
 
 
 def word_set(text: str | Column, least: int = 4, drop: list[str] | tuple[str, ...] = ()) -> Column:
@@ -127,8 +135,7 @@ def drops_tag(tag: str | Column, least: int = 3) -> Column:
 
 def collapse_prefixes(tags: str | Column) -> Column:
     """Tags that are no part of a longer one."""
-    tags = col(tags)
-    return F.filter(tags, lambda t: ~F.exists(tags, lambda o: (o != t) & (F.length(o) > F.length(t)) & o.contains(t)))
+    return let(col(tags), lambda all_: F.filter(all_, lambda t: ~F.exists(all_, lambda o: (o != t) & (F.length(o) > F.length(t)) & o.contains(t))))
 
 
 def merge_tags(old: str | Column, new: str | Column, most: int = 15) -> Column:

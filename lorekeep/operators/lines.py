@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gate, text
+from ..functions.text import let
 
 CHUNK = 1500
 _TAGS = "|".join(gate.TAGS)
@@ -28,11 +29,6 @@ def _bounds(at: Column, n: Column) -> Column:
     return F.transform(at, lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(at, i + 1) - 1, n).alias("b")))
 
 
-def _let(value: Column, then) -> Column:
-    """``then`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def sections(text_: str | Column) -> Column:
     """array<struct<heading, content>>: heading sections (levels 1 to 3) of a text with non-blank content."""
 
@@ -48,7 +44,7 @@ def sections(text_: str | Column) -> Column:
         return F.filter(cut, lambda s: s["content"] != "")
 
     empty = F.array().cast("array<struct<heading:string,content:string>>")
-    return _let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
+    return let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
 
 
 def text_strip(t: Column) -> Column:
@@ -78,7 +74,7 @@ def entry_blocks(text_: str | Column, start: str = ENTRY) -> Column:
         return F.transform(at, lambda a: F.struct(a.alias("line"), F.array_join(F.slice(lines, a, ends(a) - a), "\n").alias("text")))
 
     empty = F.array().cast("array<struct<line:int,text:string>>")
-    return _let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
+    return let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
 
 
 def headed_blocks(text_: str | Column, start: str, stop: str = r"^#{1,6}\s") -> Column:
@@ -91,7 +87,7 @@ def headed_blocks(text_: str | Column, start: str, stop: str = r"^#{1,6}\s") ->
         return F.transform(at, lambda a: F.struct(a.alias("line"), F.array_join(F.slice(lines, a, ends(a) - a), "\n").alias("text")))
 
     empty = F.array().cast("array<struct<line:int,text:string>>")
-    return _let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
+    return let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
 
 
 def gate_entries(text_: str | Column) -> Column:
@@ -131,7 +127,7 @@ def _runs(lines: Column, key) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.size(k)), lambda i: (i == 1) | ~F.element_at(k, i).eqNullSafe(F.element_at(k, F.greatest(i - 1, F.lit(1)))))
         return F.transform(_bounds(at, F.size(k)), lambda s: F.struct(s["a"].alias("a"), (s["b"] - s["a"] + 1).alias("n")))
 
-    return _let(keys, of)
+    return let(keys, of)
 
 
 def _rebuilt(text_: Column, parts: Column) -> Column:
@@ -153,7 +149,7 @@ def collapse_repeats(text_: str | Column, least: int = 3) -> Column:
             ),
         )
 
-    return _let(text.lines(t), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(t))
+    return let(text.lines(t), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(t))
 
 
 _PREFIX = r"^(\s*[-*]?\s*[A-Za-z][\w.-]*)\s*[:=]\s*(.+)$"
@@ -178,16 +174,16 @@ def group_by_prefix(text_: str | Column, most: int = 5) -> Column:
         # lines without a key are runs of nulls and stay as they are
         return _rebuilt(t, F.transform(_runs(lines, key), shown))
 
-    return _let(text.lines(t), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(t))
+    return let(text.lines(t), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(t))
 
 
 def compress_block(text_: str | Column, least: int = 3, most: int = 5) -> Column:
-    return _let(collapse_repeats(text_, least), lambda t: group_by_prefix(t, most))
+    return let(collapse_repeats(text_, least), lambda t: group_by_prefix(t, most))
 
 
 def repeat_runs(docs: DataFrame, keys: list[str], text_col: str = "text", least: int = 3) -> DataFrame:
     """keys, line, n, content of every collapsible run."""
-    found = _let(text.lines(text_col), lambda lines: F.filter(F.transform(_runs(lines, lambda l: l), lambda r: F.struct(r["a"].alias("line"), r["n"].alias("n"), F.element_at(lines, r["a"]).alias("content"))), lambda r: (r["n"] >= least) & r["content"].rlike(r"\S")))
+    found = let(text.lines(text_col), lambda lines: F.filter(F.transform(_runs(lines, lambda l: l), lambda r: F.struct(r["a"].alias("line"), r["n"].alias("n"), F.element_at(lines, r["a"]).alias("content"))), lambda r: (r["n"] >= least) & r["content"].rlike(r"\S")))
     return docs.select(*keys, F.explode(F.when(F.size(text.lines(text_col)) > 0, found)).alias("r")).select(*keys, "r.*")
 
 
@@ -202,7 +198,7 @@ def h2_sections(text_: str | Column) -> Column:
         return F.transform(_bounds(at, F.size(lines)), lambda s, i: F.struct(i.alias("i"), F.array_join(F.slice(lines, F.greatest(s["a"], F.lit(1)), F.when(s["a"] == 0, s["b"]).otherwise(s["b"] - s["a"] + 1)), "\n").alias("text")))
 
     empty = F.array().cast("array<struct<i:int,text:string>>")
-    return _let(F.split(text.col(text_), "\n"), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
+    return let(F.split(text.col(text_), "\n"), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
 
 
 def host_bullets(section: str | Column) -> Column:
@@ -214,7 +210,7 @@ def host_bullets(section: str | Column) -> Column:
         ends = lambda a: F.coalesce(F.get(F.filter(stop, lambda s: s > a), F.lit(0)), F.size(lines) + 1)
         return F.transform(at, lambda a: F.struct(a.alias("line"), F.array_join(F.slice(lines, a, ends(a) - a), "\n").alias("text")))
 
-    return _let(F.split(text.col(section), "\n"), of)
+    return let(F.split(text.col(section), "\n"), of)
 
 
 LIVE = r"(?i)\[[^\]]*(?:doing|blocker|thread|next)[^\]]*\]"

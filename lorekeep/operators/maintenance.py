@@ -89,8 +89,7 @@ def simple_front(t: str | Column) -> Column:
     block = F.regexp_extract(text.col(t), r"(?s)\A---(.*?)\n---", 1)
     rows = F.filter(F.split(block, "\n"), lambda l: l.rlike(r"^[a-zA-Z_][\w-]*:"))
     entries = F.transform(rows, lambda l: F.struct(F.regexp_extract(l, r"^([a-zA-Z_][\w-]*):", 1), F.trim(F.regexp_extract(l, r"^[^:]+:\s*(.*)$", 1))))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["col1"] == e["col1"]))
-    return F.when(text.col(t).rlike(r"(?s)\A---.*?\n---"), F.map_from_entries(last))
+    return F.when(text.col(t).rlike(r"(?s)\A---.*?\n---"), F.map_from_entries(vault.last_by_key(entries, "col1")))
 
 
 def issues(path: str | Column, t: str | Column) -> Column:

@@ -94,11 +94,13 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     one row.
     """
     cols = list(index.WEIGHTS)
-    toks = chunks.withColumns({f"t_{c}": text.search_tokens(F.coalesce(F.col(c), F.lit(""))) for c in cols})
-    counted = toks.withColumns({
-        "n_tokens": sum((F.size(f"t_{c}") for c in cols[1:]), F.size(f"t_{cols[0]}")),
-        **{f"f_{i}": sum((F.lit(index.WEIGHTS[c]) * phrase_count(F.col(f"t_{c}"), p) for c in cols[1:]), F.lit(index.WEIGHTS[cols[0]]) * phrase_count(F.col(f"t_{cols[0]}"), p)) for i, p in enumerate(phrases)},
-    }).drop(*(f"t_{c}" for c in cols))
+
+    def count(t: Column) -> Column:
+        by_phrase = [sum((F.lit(index.WEIGHTS[c]) * phrase_count(t[c], p) for c in cols[1:]), F.lit(index.WEIGHTS[cols[0]]) * phrase_count(t[cols[0]], p)) for p in phrases]
+        return F.struct(sum((F.size(t[c]) for c in cols[1:]), F.size(t[cols[0]])).alias("n_tokens"), *(f.alias(f"f_{i}") for i, f in enumerate(by_phrase)))
+
+    tokens = F.struct(*(text.search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols))
+    counted = chunks.withColumn("__k", text.let(tokens, count)).select(*chunks.columns, "__k.*")
     stats = counted.agg(F.count("*").alias("N"), (F.sum("n_tokens") / F.count("*")).alias("avgdl"), *(F.count_if(F.col(f"f_{i}") > 0).alias(f"n_{i}") for i in range(len(phrases))))
     hit = F.lit(False)
     for i in range(len(phrases)):

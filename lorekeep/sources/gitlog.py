@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from . import vault
+
 #: How the log is to be printed: git log --pretty=format:%H%x1f%s%x1f%b%x1e
 FIELD, RECORD = "\x1f", "\x1e"
 #: The kinds of changes in subjects, and the form of trailers.
@@ -57,8 +59,7 @@ def commits(records: DataFrame) -> DataFrame:
     found = F.regexp_extract("subject", SUBJECT, 1)
     lines = F.filter(F.transform(F.split("body", r"\r?\n"), F.trim), lambda l: l.rlike(TRAILER))
     pairs = F.transform(lines, lambda l: F.struct(F.regexp_extract(l, TRAILER, 1).alias("key"), F.regexp_extract(l, TRAILER, 2).alias("value")))
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["key"] == e["key"]))
-    return records.select(F.substring("hash", 1, 8).alias("hash"), F.when(found != "", found).otherwise("other").alias("type"), F.regexp_extract("subject", SUBJECT, 2).alias("scope"), "subject", F.map_from_entries(last).alias("trailers"))
+    return records.select(F.substring("hash", 1, 8).alias("hash"), F.when(found != "", found).otherwise("other").alias("type"), F.regexp_extract("subject", SUBJECT, 2).alias("scope"), "subject", F.map_from_entries(vault.last_by_key(pairs, "key")).alias("trailers"))
 
 
 def name_status(lines: DataFrame) -> DataFrame:

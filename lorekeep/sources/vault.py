@@ -55,8 +55,12 @@ def front(text_: str | Column) -> Column:
     """The frontmatter as a map of ``key: value``; of repeated keys the last counts, comment lines do not."""
     pairs = F.filter(F.split(header(text_), r"\r?\n"), lambda l: l.rlike(r"^[a-zA-Z_][\w-]*:") & ~l.startswith("#"))
     entries = F.transform(pairs, lambda l: F.struct(F.regexp_extract(l, r"^([a-zA-Z_][\w-]*):", 1), F.regexp_replace(F.regexp_extract(l, r"^[^:]+:\s*(.*?)\s*$", 1), r"""^(["'])(.*)\1$""", "$2")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["col1"] == e["col1"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(last_by_key(entries, "col1"))
+
+
+def last_by_key(entries: Column, key: str) -> Column:
+    """Of an array of structs the last one of each key."""
+    return text.let(entries, lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda o: o[key] == e[key])))
 
 
 def front_tags(text_: str | Column) -> Column:
