@@ -52,42 +52,46 @@ def claims(docs: DataFrame, path: str = "path", text_col: str = "text") -> DataF
     return docs.select(F.col(path).alias("path"), F.posexplode(text.lines(text_col)).alias("line", "text")).filter(F.col("text").rlike(CLAIM)).withColumn("line", F.col("line") + 1)
 
 
-def contradictions(claims_: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of claims with opposite polarity that share ``least`` or more keywords.
+def contradictions(claims_: DataFrame, least: int = 3, within: str | None = None) -> DataFrame:
+    """Pairs of claims (of one ``within``, if given) with opposite polarity that share ``least`` or more keywords.
 
     Claims without polar words are out at once.  The others meet by keyword: the words of a pair are counted, so only
     pairs with a common keyword are ever made, each once.
     """
-    rows = claims_.select("path", "line", "text", F.array_sort(keywords("text")).alias("kw"), polarity("text").alias("p")).filter(F.size("p.terms") > 0)
+    rows = claims_.select((F.lit(0) if within is None else F.col(within)).alias("g"), "path", "line", "text", F.array_sort(keywords("text")).alias("kw"), polarity("text").alias("p")).filter(F.size("p.terms") > 0)
     rows = rows.withColumn("id", F.struct("path", "line"))
-    by_word = rows.select("id", "p", F.explode("kw").alias("w"))
+    by_word = rows.select("g", "id", "p", F.explode("kw").alias("w"))
     a, b = by_word.alias("a"), by_word.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & opposite(F.col("a.p"), F.col("b.p")))
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & opposite(F.col("a.p"), F.col("b.p")))
     pairs = met.groupBy(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).agg(F.array_sort(F.collect_list("a.w")).alias("shared")).filter(F.size("shared") >= least)
     side = lambda s: rows.select(F.col("id").alias(f"i{s}"), F.col("path").alias(f"path_{s}"), F.col("line").alias(f"line_{s}"), F.col("text").alias(f"text_{s}"), signature(F.col("p")).alias(f"polarity_{s}"))
     return pairs.join(side("a"), "ia").join(side("b"), "ib").select("path_a", "line_a", "text_a", "path_b", "line_b", "text_b", F.slice("shared", 1, 8).alias("shared_entities"), F.size("shared").alias("n_shared"), "polarity_a", "polarity_b")
 
 
-def similar_pairs(rows: DataFrame, low: float, high: float = 1.0, key: str = "id", text_col: str = "text", least: int = 4) -> DataFrame:
-    """id_a < id_b, similarity of the pairs with low <= Jaccard of word sets <= high.
+def similar_pairs(rows: DataFrame, low: float, high: float = 1.0, key: str = "id", text_col: str = "text", least: int = 4, within: str | None = None) -> DataFrame:
+    """id_a < id_b, similarity of the pairs (of one ``within``, if given) with low <= Jaccard of word sets <= high.
 
     Candidates come from prefixes: of n words, rarest first, one of the first n - ceil(low n) + 1 is shared by any
     similar set.  They are verified on the whole sets, whose sizes must agree as well.
     """
-    sets = rows.select(F.col(key).alias("id"), text.word_set(text_col, least).alias("ws")).filter(F.size("ws") > 0)
-    words = sets.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
+    sets = rows.select(F.col(key).alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), text.word_set(text_col, least).alias("ws")).filter(F.size("ws") > 0)
+    words = sets.select("id", "g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    df = words.groupBy("g", "w").agg(F.count("*").alias("df"))
     rank = Window.partitionBy("id").orderBy("df", "w")
-    first = words.join(df, "w").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1).filter("df > 1").select("id", "n", "w")
+    first = words.join(df, ["g", "w"]).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1).filter("df > 1").select("id", "g", "n", "w", "r")
     a, b = first.alias("a"), first.alias("b")
-    pairs = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * low - 1e-9) & (F.col("b.n") >= F.col("a.n") * low - 1e-9)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * low - 1e-9) & (F.col("b.n") >= F.col("a.n") * low - 1e-9))
+    # words before the last shared one that are not shared are in one set only
+    shared = met.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"), F.max("a.r").alias("ra"), F.max("b.r").alias("rb"))
+    most = F.least(F.col("na") - F.col("ra") + F.col("c"), F.col("nb") - F.col("rb") + F.col("c"))
+    pairs = shared.filter(most * (1 + low) >= (F.col("na") + F.col("nb")) * low - 1e-6).select("id_a", "id_b")
     full = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("ws").alias("wa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("ws").alias("wb")), "id_b")
     return full.select("id_a", "id_b", text.jaccard("wa", "wb").alias("similarity")).filter((F.col("similarity") >= low) & (F.col("similarity") <= high))
 
 
-def lint_pairs(rows: DataFrame, key: str = "id", text_col: str = "text") -> DataFrame:
+def lint_pairs(rows: DataFrame, key: str = "id", text_col: str = "text", within: str | None = None) -> DataFrame:
     """Pairs alike enough to be about one thing and too different to be copies: 0.4 to 0.85, and 0.15 apart."""
-    return similar_pairs(rows, 0.4, 0.85, key, text_col).filter(1.0 - F.col("similarity") >= 0.15)
+    return similar_pairs(rows, 0.4, 0.85, key, text_col, within=within).filter(1.0 - F.col("similarity") >= 0.15)
 
 
 def greedy_keep(rows: DataFrame, threshold: float = 0.85, group: str = "path", order: str = "line", text_col: str = "text") -> DataFrame:
@@ -96,7 +100,7 @@ def greedy_keep(rows: DataFrame, threshold: float = 0.85, group: str = "path", o
     Only entries that have a similar one in their group are folded, over their similar pairs alone.
     """
     rows = rows.withColumn("__id", F.struct(group, order))
-    pairs = similar_pairs(rows, threshold, 1.0, "__id", text_col).filter(F.col(f"id_a.{group}") == F.col(f"id_b.{group}"))
+    pairs = similar_pairs(rows, threshold, 1.0, "__id", text_col, within=group)
     edges = pairs.select(F.col(f"id_a.{group}").alias("g"), F.col(f"id_a.{order}").alias("a"), F.col(f"id_b.{order}").alias("b"))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
@@ -111,16 +115,17 @@ def greedy_keep(rows: DataFrame, threshold: float = 0.85, group: str = "path", o
     return rows.join(gone, (F.col(group) == F.col("g")) & (F.col(order) == F.col("b")), "left").withColumn("kept", F.col("gone").isNull()).drop("g", "b", "gone", "__id")
 
 
-def themes(candidates: DataFrame, threshold: float = 0.3, id: str = "path", text_col: str = "text", order: str = "ord") -> DataFrame:
-    """seed, label, members: files grouped around the first free one whose keywords are similar; of equal labels the last stays.
+def themes(candidates: DataFrame, threshold: float = 0.3, id: str = "path", text_col: str = "text", order: str = "ord", within: str = "workspace") -> DataFrame:
+    """within, seed, label, members: files of a workspace grouped around the first free one whose keywords are similar.
 
-    Similar pairs are found by join; the fold walks pairs, not texts.
+    Of equal labels the last stays.  Similar pairs are found by join; the fold walks the pairs of a workspace's
+    candidates, which are the files recalled at least twice, and not their texts.
     """
-    base = candidates.select(F.struct(F.col(order), F.col(id)).alias("__id"), F.col(text_col).alias("t"))
-    pairs = similar_pairs(base.withColumn("id", F.col("__id")), threshold, 1.0, "id", "t", 5).filter(F.col("similarity") > threshold)
-    nodes = candidates.select(F.col(order).alias("o"), F.col(id).alias("p"), F.array_sort(text.word_set(text_col, 5)).alias("kw"))
-    edges = pairs.select(F.col(f"id_a.{order}").alias("a"), F.col(f"id_b.{order}").alias("b"))
-    linked = nodes.join(edges.groupBy(F.col("a").alias("o")).agg(F.sort_array(F.collect_list("b")).alias("later")), "o", "left")
+    base = candidates.select(F.struct(F.col(order), F.col(id)).alias("id"), F.col(within).alias("g"), F.col(text_col).alias("t"))
+    pairs = similar_pairs(base, threshold, 1.0, "id", "t", 5, "g").filter(F.col("similarity") > threshold)
+    nodes = candidates.select(F.col(within).alias("g"), F.col(order).alias("o"), F.col(id).alias("p"), F.array_sort(text.word_set(text_col, 5)).alias("kw"))
+    edges = pairs.select(F.col(f"id_a.{order}").alias("o"), F.col(f"id_b.{order}").alias("b"))
+    linked = nodes.join(edges.groupBy("o").agg(F.sort_array(F.collect_list("b")).alias("later")), "o", "left")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("o")
@@ -132,10 +137,10 @@ def themes(candidates: DataFrame, threshold: float = 0.3, id: str = "path", text
             done.update(members)
             label = "-".join(sorted(set().union(*(kw[m] for m in members)))[:3]) or "misc"
             out[label] = (name[o], [name[m] for m in members])
-        return pd.DataFrame([(s, label, m) for label, (s, m) in out.items()], columns=["seed", "label", "members"])
+        return pd.DataFrame([(rows["g"].iloc[0], s, label, m) for label, (s, m) in out.items()], columns=["g", "seed", "label", "members"])
 
-    # candidates are files that were recalled at least twice: the fold is over those alone
-    return linked.groupBy(F.lit(1)).applyInPandas(fold, "seed string, label string, members array<string>")
+    kind = dict(candidates.dtypes)[within]
+    return linked.groupBy("g").applyInPandas(fold, f"g {kind}, seed string, label string, members array<string>").withColumnRenamed("g", within)
 
 
 def duplicates(new: DataFrame, chunks: DataFrame, mode: str = "entry") -> DataFrame:
