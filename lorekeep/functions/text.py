@@ -216,7 +216,7 @@ def strip_fence(text: str | Column) -> Column:
 
 def lesson_parts(line: str | Column) -> Column:
     """``symptom -- tried -- cause -- fix [-- source]`` as an array of five; null for any other number of parts."""
-    parts = F.transform(F.split(F.trim(col(line)), r"\s+--\s+"), F.trim)
+    parts = F.transform(F.split(F.trim(col(line)), r"\s+--\s+"), lambda x: F.trim(x))
     return F.when(F.size(parts) == 5, parts).when(F.size(parts) == 4, F.concat(parts, F.array(F.lit(""))))
 
 

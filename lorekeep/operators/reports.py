@@ -21,8 +21,8 @@ def workspace_rollup(files: DataFrame) -> DataFrame:
 def changelog(commits: DataFrame) -> DataFrame:
     """workspace, commits, types, topics, entries: a commit counts for each workspace it names; entry sums of 0 are left out."""
     t = F.col("trailers")
-    names = F.transform(F.split(F.coalesce(t["Workspace"], F.nullif("scope", F.lit("")), F.lit("vault")), ","), F.trim)
-    topics = F.filter(F.transform(F.split(F.coalesce(t["Topics"], F.lit("")), ","), F.trim), lambda x: x != "")
+    names = F.transform(F.split(F.coalesce(t["Workspace"], F.nullif("scope", F.lit("")), F.lit("vault")), ","), lambda x: F.trim(x))
+    topics = F.filter(F.transform(F.split(F.coalesce(t["Topics"], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     deltas = F.transform(F.regexp_extract_all(F.coalesce(t["Entries"], F.lit("")), F.lit(r"([+-]\d+)\s*([a-z-]+)"), 0), lambda m: F.struct(F.regexp_extract(m, r"([a-z-]+)$", 1).alias("kind"), F.regexp_extract(m, r"([+-]\d+)", 1).cast("int").alias("d")))
     rows = commits.select("type", F.explode(names).alias("workspace"), topics.alias("topics"), deltas.alias("deltas"))
     by_type = rows.groupBy("workspace", "type").agg(F.count("*").alias("n"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import queries_joins, queries_text
+from . import queries_joins, queries_state, queries_text
 
 
 def _modules():
-    return (queries_text, queries_joins)
+    return (queries_text, queries_joins, queries_state)
 
 
 def queries() -> dict:

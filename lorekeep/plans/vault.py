@@ -85,4 +85,4 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS = r"""
-ev AS (SELECT event_id, 'user-' || user_id AS path, event_type AS query, epoch_us(ts) / 1e6 AS at, ts, user_id, value FROM events)"""
+ev AS (SELECT event_id, 'user-' || user_id AS path, event_type AS query, epoch_us(ts) / 1e6 AS at_s, ts, user_id, value FROM events)"""

@@ -57,7 +57,7 @@ def log_records(spark: SparkSession, path: str) -> DataFrame:
 def commits(records: DataFrame) -> DataFrame:
     """hash (8 digits), type, scope, subject, trailers; of repeated trailers the last counts."""
     found = F.regexp_extract("subject", SUBJECT, 1)
-    lines = F.filter(F.transform(F.split("body", r"\r?\n"), F.trim), lambda l: l.rlike(TRAILER))
+    lines = F.filter(F.transform(F.split("body", r"\r?\n"), lambda x: F.trim(x)), lambda l: l.rlike(TRAILER))
     pairs = F.transform(lines, lambda l: F.struct(F.regexp_extract(l, TRAILER, 1).alias("key"), F.regexp_extract(l, TRAILER, 2).alias("value")))
     return records.select(F.substring("hash", 1, 8).alias("hash"), F.when(found != "", found).otherwise("other").alias("type"), F.regexp_extract("subject", SUBJECT, 2).alias("scope"), "subject", F.map_from_entries(vault.last_by_key(pairs, "key")).alias("trailers"))
 
