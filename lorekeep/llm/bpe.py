@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from heapq import heapify, heappop, heappush
 
@@ -17,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordCache, bound_batches, free_name, table, text_or_empty
 
@@ -31,6 +33,31 @@ def byte_letters() -> list[str]:
     return letters
 
 
+#: Letters and digits of Unicode 16, which the library's patterns know, beyond those of Python's 15.1.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Capitals among them and their small letters.
+NEW_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
+#: White space in patterns.
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def class_ranges(category: str, more) -> str:
+    """The inside of a character class of all code points of a general category."""
+    out, start = [], None
+    for c in range(0x110001):
+        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == category
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append((start, c - 1))
+            start = None
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*out, *more])
+
+
 class BPE:
     """The encoder and decoder of a vocabulary file of the kind of word_bpe_49k.json."""
 
@@ -50,7 +77,11 @@ class BPE:
         self.last = [self.vocab.get(c + self.suffix) for c in self.letters]
         self.steps = [self._step(n) for n in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
+        pattern = splits[0]["pattern"]["Regex"]
+        self.latin_pattern = regex.compile(pattern)  # the same for characters up to U+00FF, and faster
+        for name, inside in ((r"\p{L}", class_ranges("L", NEW_LETTERS)), (r"\p{N}", class_ranges("N", NEW_DIGITS)), (r"\s", SPACES)):
+            pattern = pattern.replace(name, inside)
+        self.pattern = re.compile(pattern)
         self.strings: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.words = WordCache(self._encoded_word, cache)
 
@@ -59,8 +90,8 @@ class BPE:
         if spec["type"] == "NFC":
             return lambda t: unicodedata.normalize("NFC", t)
         if spec["type"] == "Lowercase":
-            # letter by letter: no rule of final letters
-            return lambda t: t.lower() if "Σ" not in t else "".join(c.lower() for c in t)
+            # a capital sigma is letter by letter: no rule of final letters
+            return lambda t: (t if t.isascii() else t.translate(NEW_SMALL)).lower() if "Σ" not in t else "".join(c.lower() for c in t.translate(NEW_SMALL))
         if spec["type"] == "Replace":
             pattern, content = regex.compile(spec["pattern"]["Regex"]), spec["content"]
             return lambda t: pattern.sub(content, t)
@@ -108,10 +139,18 @@ class BPE:
             elif part:
                 for step in self.steps:
                     part = step(part)
-                if ids := " ".join(map(self.words.__getitem__, self.pattern.findall(part))):
+                if ids := " ".join(map(self.words.__getitem__, self.split(part))):
                     out.append(ids)
         return " ".join(out)
 
+    def split(self, text: str) -> list[str]:
+        """The words of a normalized text."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(text)
+        return self.latin_pattern.findall(text)
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_text(text).split()]
 
@@ -146,7 +185,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     rows = kept.withColumn(body, text_or_empty(text)).drop(text)
     schema = rows.drop(body).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches):
         bpe = load(path)
