@@ -209,7 +209,8 @@ def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str =
     ``topics`` has ord (order of scanning), slug, text.  Side channels come first, then the topic file with most common
     keywords (the first of equals) if there are ``least``, else a new slug of the two longest keywords, junk excluded.
     """
-    tag = gate.tag_of(F.split("text", "\n", 2)[0])
+    first = F.split("text", "\n", 2)[0]
+    tag = F.when(first.rlike(r"^\s*(?:[-*]|#{2,6})?\s*\[skill-ref:"), "skill-ref").otherwise(gate.tag_of(first))
     rows = entries.withColumns({"__tag": tag, "__kw": text.word_set("text", 4, ROUTING_STOPWORDS)})
     words = rows.select(key, F.explode("__kw").alias("w"))
     known = topics.filter(F.col("slug").rlike(text.SLUG)).select("ord", "slug", F.explode(text.word_set("text", 4, ROUTING_STOPWORDS)).alias("w"))

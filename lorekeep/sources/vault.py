@@ -10,18 +10,24 @@ from ..functions import paths, text
 _HEADER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+def files(spark: SparkSession, root: str, pattern: str = "*.md", below: str = "") -> DataFrame:
     """path, workspace, kind, is_archive, mtime, size, text of the files below ``root``; gzip is read as what it holds.
 
-    Unreadable archives give an empty text, so that one file never fails a scan.
+    Listings leave out folders whose names start with a dot, so those are named by ``below``.  Unreadable archives
+    give no row, so that one file never fails a scan.
     """
     root = root.rstrip("/")
-    raw = spark.read.option("ignoreCorruptFiles", "true").text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    raw = spark.read.option("ignoreCorruptFiles", "true").text(f"{root}/{below}", wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     path = F.regexp_replace("_metadata.file_path", r"^file:/*", "/")
     rows = raw.select(F.substring(path, F.lit(len(root) + 2), F.length(path)).alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"), F.col("_metadata.file_size").alias("size"), F.coalesce("value", F.lit("")).alias("text"))
     return rows.select("path", paths.workspace("path").alias("workspace"), paths.kind("path").alias("kind"), paths.is_archive("path").alias("is_archive"), "mtime", "size", "text")
 
 
+def archives(spark: SparkSession, root: str) -> DataFrame:
+    """The archived files of a vault."""
+    return files(spark, root, "*.gz", ".archive")
+
+
 def sources(files_: DataFrame) -> DataFrame:
     """Files to index: shared and workspace markdown, archives included, reserved names left out; with their order of scanning."""
     top = F.split(paths.inner("path"), "/")[0]
