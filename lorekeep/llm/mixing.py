@@ -90,19 +90,25 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget:
     return take
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3, seed: int = 17, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+def word_total(text: str = "text"):
+    return F.regexp_count(text_or_empty(text), F.lit(WORD_PATTERN)).cast("long")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3, seed: int = 17, text: str | None = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """``docs`` with size, source_size, target and taken (words the mix takes of the row, repeats counted).
 
+    With ``text=None`` the column size is given: large texts are then read once, by whoever measured them.
+
     Null texts count as empty and null sources as a source of their own, last in order.  Repeated rows are separate
     documents; ties of the seeded order fall by key and then by the hash of the text.  Documents without words take
     nothing.  An empty table gives an empty result.  Existing columns of the four names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
+    docs = docs.drop("source_size", "target", "taken", *(["size"] if text else []))
     h, tie = free_name(docs, "mix_h"), free_name(docs, "mix_tie")
     docs = docs.withColumns({
-        "size": F.regexp_count(text_or_empty(text), F.lit(WORD_PATTERN)).cast("long"),
+        "size": word_total(text) if text else F.col("size"),
         h: F.xxhash64(F.lit(seed), F.col(key)),
-        tie: F.xxhash64(text_or_empty(text)),
+        tie: F.xxhash64(text_or_empty(text)) if text else F.lit(0),
     })
     hist = materialize(docs.groupBy(F.col(source).alias("s"), F.col("size").alias("l")).agg(F.count("*").alias("n")), "mix-hist")
     sizes = {r.s: int(r.t) for r in hist.groupBy("s").agg(F.sum(F.col("l") * F.col("n")).alias("t")).collect()}  # a row per source
@@ -147,5 +153,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+    sized = materialize(table(spark, sf_dir, "documents").select("doc_id", "source", word_total().alias("size")), "mix-sizes")
+    return mix(sized, text=None).select("doc_id", "source", "size", "source_size", "target", "taken")
