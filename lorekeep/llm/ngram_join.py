@@ -184,6 +184,103 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], cell: bool, percent: int):
+    """Index pairs of one posting list's rows that may be similar: of two components, of fitting sizes, with parity bits that agree enough."""
+    order = np.argsort(rows["n"], kind="stable")
+    n = rows["n"][order]
+    ends = np.searchsorted(n, n * 100 // percent, side="right")  # sizes up to n / t follow in order
+    for start in range(0, len(order), 64):
+        at = np.arange(start, min(start + 64, len(order)))
+        follow = np.maximum(0, ends[at] - at - 1)
+        x = np.repeat(at, follow)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(follow) - follow, follow)
+        x, y = order[x], order[y]
+        keep = rows["root"][x] != rows["root"][y]
+        if cell:
+            keep &= rows["part"][x] != rows["part"][y]
+        x, y = x[keep], y[keep]
+        total = rows["n"][x] + rows["n"][y]
+        allowed = total - 2 * -(-percent * total // (100 + percent))
+        fits = np.fromiter((least_difference(bits[i], bits[j]) <= d for i, j, d in zip(x.tolist(), y.tolist(), allowed.tolist())), bool, len(x)) if len(x) < 64 else _agree(bits, x, y, allowed)
+        yield x[fits], y[fits]
+
+
+def _agree(bits: list[bytes], x: np.ndarray, y: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """``least_difference`` of many pairs at once, by widths; widths of sets of fitting sizes differ by a factor of two at most."""
+    out = np.zeros(len(x), bool)
+    width = np.array([len(b) for b in bits])
+    low = np.minimum(width[x], width[y])
+    for w in np.unique(low):
+        used = np.flatnonzero((width == w) | (width > w))
+        place = np.zeros(len(bits), np.int64)
+        place[used] = np.arange(len(used))
+        table_ = np.zeros((len(used), w), np.uint8)
+        for at, i in enumerate(used):
+            b = np.frombuffer(bits[i], np.uint8)
+            while len(b) > w:
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            table_[at] = b
+        words = table_.view(np.uint64)
+        at = np.flatnonzero(low == w)
+        for start in range(0, len(at), 1 << 14):
+            k = at[start : start + (1 << 14)]
+            out[k] = np.bitwise_count(words[place[x[k]]] ^ words[place[y[k]]]).sum(axis=1) <= allowed[k]
+    return out
+
+
+def candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """a < b, na, nb, l (matches asked for), ia, ib: a row for each posting list in which two sets of different components meet.
+
+    Lists are dealt out in parts; a cell is a part by itself or a pair of parts, so that no task holds a whole long
+    list.  Pairs that sizes or parity bits rule out are never emitted.
+    """
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
+    dealt = lists.withColumn("part", part).select("tok", "node", "root", "n", "l", "i", "bits", "part", "parts", F.explode(cells).alias("cell"))
+    dealt = dealt.repartition("tok", "cell").sortWithinPartitions("tok", "cell")
+    names = ("tok", "cell", "node", "root", "n", "l", "i", "part", "parts")
+
+    def search(batches):
+        held: list[pa.RecordBatch] = []
+
+        def found(table_: pa.Table):
+            rows = {c: table_.column(c).to_numpy().astype(np.int64) for c in names}
+            bits = table_.column("bits").to_pylist()
+            edges = np.flatnonzero(np.diff(rows["tok"], prepend=0) | np.diff(rows["cell"], prepend=0))
+            edges = np.unique(np.concatenate([[0], edges, [len(bits)]]))
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if stop - start < 2:
+                    continue
+                part_ = {c: v[start:stop] for c, v in rows.items()}
+                parts, cell_ = int(part_["parts"][0]), int(part_["cell"][0])
+                for x, y in _similar_rows(part_, bits[start:stop], cell_ // parts != cell_ % parts, percent):
+                    a, b = np.where(part_["node"][x] < part_["node"][y], x, y), np.where(part_["node"][x] < part_["node"][y], y, x)
+                    for column, v in zip(out, (part_["node"][a], part_["node"][b], part_["n"][a], part_["n"][b], np.minimum(part_["l"][a], part_["l"][b]), part_["i"][a], part_["i"][b])):
+                        column.append(v)
+            columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
+            for start in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in columns], names=["a", "b", "na", "nb", "l", "ia", "ib"])
+
+        for batch in batches:
+            # the last list of a batch may go on in the next one; a cell is bounded, and so is what is held
+            tok, cell = batch.column("tok").to_numpy(), batch.column("cell").to_numpy()
+            same = np.flatnonzero((tok != tok[-1]) | (cell != cell[-1])) if len(tok) else np.zeros(0, int)
+            cut = int(same[-1]) + 1 if len(same) else 0
+            if len(tok) and held and (held[-1].column("tok")[-1].as_py(), held[-1].column("cell")[-1].as_py()) != (int(tok[0]), int(cell[0])):
+                yield from found(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            if len(tok):
+                held.append(batch.slice(cut))
+        if held:
+            yield from found(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(search, "a long, b long, na long, nb long, l long, ia long, ib long")
+
+
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their parity bits do not rule out: whole sets are far larger and travel only for these."""
 
@@ -295,20 +392,14 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     first = materialize(first, "join-first")
     discard(pairs)
 
-    # round two: posting lists that several components share, paired across components
+    # round two: posting lists that several components share, searched across components
     rooted = posted.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tok", "node", "root", "n", "l", "i")
-    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok")
-    lists = materialize(rooted.join(mixed, "tok", "left_semi"), "join-lists")
-    groups = lists.groupBy("tok", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    a, b = groups.alias("a"), groups.alias("b")
-    met = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.hi") * 100 >= F.col("b.lo") * percent) & (F.col("b.hi") * 100 >= F.col("a.lo") * percent)).select("a.tok", F.col("a.root").alias("ra"), F.col("b.root").alias("rb"))
-    side = lambda s: lists.select("tok", F.col("root").alias(f"r{s}"), *(F.col(c).alias(f"{c}{s}".removeprefix("node")) for c in ("node", "n", "l", "i")))
-    postings = met.join(side("a"), ["tok", "ra"]).join(side("b"), ["tok", "rb"]).filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y").select("tok", F.ceil(F.col("c") / POSTING_ROWS).cast("int").alias("parts"))
+    lists = materialize(rooted.join(mixed, "tok").join(classes.select("node", "bits"), "node"), "join-lists")
+    shared = candidates(lists, percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
-    shared = postings.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.least("la", "lb")).alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    pairs = materialize(promising(likely, classes, percent), "join-pairs")
+    pairs = materialize(shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "join-pairs")
     discard(posted, lists)
     links = verified(pairs, rows, classes, n, percent)
     root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
