@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of a session, unless their path has it anyway."""
+    sc = spark.sparkContext
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if sc.applicationId in _shipped or any(p and Path(p).resolve() == ROOT for p in places):
+        return
+    archive = Path(tempfile.mkdtemp()) / "lorekeep.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((ROOT / "lorekeep").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
 
 def local_session(cpus: int | str = "*", app: str = "lorekeep", partitions: int = 8) -> SparkSession:
     return (

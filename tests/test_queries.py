@@ -1,0 +1,35 @@
+"""Every query against its SQL in DuckDB on the smallest tables."""
+
+import os
+
+import duckdb
+import pytest
+
+from lorekeep.plans import registry
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        if os.path.exists(f"{SF}/{t}.parquet"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, duck, name):
+    df = registry.queries()[name](spark, SF)
+    found = duck.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(repr, found.fetchall()))
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_runs(spark, name):
+    assert registry.queries()[name](spark, SF).count() > 0
