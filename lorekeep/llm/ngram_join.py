@@ -29,6 +29,8 @@ HEAVY_FROM = 4
 #: A posting list is dealt out in parts of about this many sets.
 POSTING_ROWS = 2048
 MAX_MATCHES = 4
+#: Bytes of parity bits that travel with postings at most; the full ones travel once for each pair that is left.
+POSTING_BITS = 128
 #: Bits of the filter of documents whose sets are needed for verification.
 FILTER_BITS = 1 << 23
 
@@ -113,19 +115,23 @@ def parity_bits(hashes: np.ndarray) -> bytes:
 
     Two such maps differ in at most as many bits as the sets have elements of their own, whatever their sizes.
     """
-    width = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    width = 1 << max(6, (len(hashes) - 1).bit_length())
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes, most: int) -> np.ndarray:
+    """Parity bits of at most so many bytes: halves laid over each other are the bits of half the width."""
+    b = np.frombuffer(bits, np.uint8)
+    while len(b) > most:
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return b
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the number of elements in one set only, from the two sets' parity bits."""
-    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    width = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, width) ^ folded(b, width)).sum())
 
 
 def _sets(batches, n: int):
@@ -151,28 +157,29 @@ def heavy_tokens(rows: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
 
 
 def signatures(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, cls (digest of the set; null if empty), matches, bits, prefix [(token, parts)] of each row of (id, t)."""
+    """id, n_shingles, cls (digest of the set; null if empty), matches, bits, small (bits folded), prefix [(token, parts)] of each row of (id, t)."""
     heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, n, percent))  # at most 2 x 8 x HEAVY_TOKENS bytes
 
     def sign(batches):
         tokens, counts = heavy.value
         for batch, sets in _sets(batches, n):
-            cls, matches, bits, toks, parts, ends = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
+            cls, matches, bits, small, toks, parts, ends = [], [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
             for s in sets:
                 chosen, freq, l = choose_prefix(s, percent, tokens, counts) if len(s) else (s, s, None)
                 cls.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 matches.append(l)
                 bits.append(parity_bits(s) if len(s) else None)
+                small.append(folded(bits[-1], POSTING_BITS).tobytes() if len(s) else None)
                 toks.append(chosen.view(np.int64))
                 parts.append((-(-freq.astype(np.int64) // POSTING_ROWS)).astype(np.int32))
                 ends.append(ends[-1] + len(chosen))
             items = pa.StructArray.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(parts))], ["tok", "parts"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
-                names=["id", "n_shingles", "cls", "matches", "bits", "prefix"],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
+                names=["id", "n_shingles", "cls", "matches", "bits", "small", "prefix"],
             )
 
-    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, bits binary, prefix array<struct<tok:bigint,parts:int>>")
+    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, bits binary, small binary, prefix array<struct<tok:bigint,parts:int>>")
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -206,21 +213,15 @@ def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], cell: bool, pe
 
 
 def _agree(bits: list[bytes], x: np.ndarray, y: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """``least_difference`` of many pairs at once, by widths; widths of sets of fitting sizes differ by a factor of two at most."""
+    """``least_difference`` of many pairs at once, by widths."""
     out = np.zeros(len(x), bool)
     width = np.array([len(b) for b in bits])
     low = np.minimum(width[x], width[y])
-    for w in np.unique(low):
-        used = np.flatnonzero((width == w) | (width > w))
+    for w in np.unique(low).tolist():
+        used = np.flatnonzero(width >= w)
         place = np.zeros(len(bits), np.int64)
         place[used] = np.arange(len(used))
-        table_ = np.zeros((len(used), w), np.uint8)
-        for at, i in enumerate(used):
-            b = np.frombuffer(bits[i], np.uint8)
-            while len(b) > w:
-                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-            table_[at] = b
-        words = table_.view(np.uint64)
+        words = np.stack([folded(bits[i], w) for i in used.tolist()]).view(np.uint64)
         at = np.flatnonzero(low == w)
         for start in range(0, len(at), 1 << 14):
             k = at[start : start + (1 << 14)]
@@ -228,57 +229,81 @@ def _agree(bits: list[bytes], x: np.ndarray, y: np.ndarray, allowed: np.ndarray)
     return out
 
 
+def _summed(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, na, nb, l, ia, ib, c) with one row for each pair: counts added, positions at their largest."""
+    rows = np.concatenate(found)
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    starts = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
+    out = rows[starts]
+    out[:, 5] = np.maximum.reduceat(rows[:, 5], starts)
+    out[:, 6] = np.maximum.reduceat(rows[:, 6], starts)
+    out[:, 7] = np.add.reduceat(rows[:, 7], starts)
+    return out
+
+
+_FOUND = ["a", "b", "na", "nb", "l", "ia", "ib", "c"]
+
+
 def candidates(lists: DataFrame, percent: int) -> DataFrame:
-    """a < b, na, nb, l (matches asked for), ia, ib: a row for each posting list in which two sets of different components meet.
+    """a < b, na, nb, l (matches asked for), ia, ib (last shared positions), c (shared tokens): sets of different components that meet in posting lists.
 
-    Lists are dealt out in parts; a cell is a part by itself or a pair of parts, so that no task holds a whole long
-    list.  Pairs that sizes or parity bits rule out are never emitted.
+    Lists with the same first set are searched together, as lists of one group of near copies mostly are, and a pair
+    is emitted once for all of them.  They are dealt out in parts; a cell is a part by itself or a pair of parts, so
+    that no task holds a whole long list.  Pairs that sizes or parity bits rule out are never emitted.
     """
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
-    dealt = lists.withColumn("part", part).select("tok", "node", "root", "n", "l", "i", "bits", "part", "parts", F.explode(cells).alias("cell"))
-    dealt = dealt.repartition("tok", "cell").sortWithinPartitions("tok", "cell")
-    names = ("tok", "cell", "node", "root", "n", "l", "i", "part", "parts")
+    dealt = lists.withColumn("part", part).select("head", "tok", "node", "root", "n", "l", "i", "small", "part", "parts", F.explode(cells).alias("cell"))
+    dealt = dealt.repartition("head", "cell").sortWithinPartitions("head", "cell", "tok")
+    names = ("node", "root", "n", "l", "i", "part")
+
+    def pairs_of(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+        """The pairs of one list within a cell."""
+        t = pa.Table.from_batches(batches)
+        if len(t) < 2:
+            return []
+        rows = {c: t.column(c).to_numpy().astype(np.int64) for c in names}
+        parts, cell = t.column("parts")[0].as_py(), t.column("cell")[0].as_py()
+        out = []
+        for x, y in _similar_rows(rows, t.column("small").to_pylist(), cell // parts != cell % parts, percent):
+            if len(x):
+                swap = rows["node"][x] > rows["node"][y]
+                a, b = np.where(swap, y, x), np.where(swap, x, y)
+                out.append(np.stack([rows["node"][a], rows["node"][b], rows["n"][a], rows["n"][b], np.minimum(rows["l"][a], rows["l"][b]), rows["i"][a], rows["i"][b], np.ones(len(a), np.int64)], axis=1))
+        return out
 
     def search(batches):
-        held: list[pa.RecordBatch] = []
-
-        def found(table_: pa.Table):
-            rows = {c: table_.column(c).to_numpy().astype(np.int64) for c in names}
-            bits = table_.column("bits").to_pylist()
-            edges = np.flatnonzero(np.diff(rows["tok"], prepend=0) | np.diff(rows["cell"], prepend=0))
-            edges = np.unique(np.concatenate([[0], edges, [len(bits)]]))
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if stop - start < 2:
-                    continue
-                part_ = {c: v[start:stop] for c, v in rows.items()}
-                parts, cell_ = int(part_["parts"][0]), int(part_["cell"][0])
-                for x, y in _similar_rows(part_, bits[start:stop], cell_ // parts != cell_ % parts, percent):
-                    a, b = np.where(part_["node"][x] < part_["node"][y], x, y), np.where(part_["node"][x] < part_["node"][y], y, x)
-                    for column, v in zip(out, (part_["node"][a], part_["node"][b], part_["n"][a], part_["n"][b], np.minimum(part_["l"][a], part_["l"][b]), part_["i"][a], part_["i"][b])):
-                        column.append(v)
-            columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
-            for start in range(0, len(columns[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in columns], names=["a", "b", "na", "nb", "l", "ia", "ib"])
+        held: list[pa.RecordBatch] = []  # the list that is being read
+        found: list[np.ndarray] = []  # of the cell so far
+        list_key = cell_key = None
+
+        def emit():
+            rows = _summed(found) if found else np.zeros((0, 8), np.int64)
+            found.clear()
+            for start in range(0, len(rows), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[start : start + (1 << 16)].T], names=_FOUND)
 
         for batch in batches:
-            # the last list of a batch may go on in the next one; a cell is bounded, and so is what is held
-            tok, cell = batch.column("tok").to_numpy(), batch.column("cell").to_numpy()
-            same = np.flatnonzero((tok != tok[-1]) | (cell != cell[-1])) if len(tok) else np.zeros(0, int)
-            cut = int(same[-1]) + 1 if len(same) else 0
-            if len(tok) and held and (held[-1].column("tok")[-1].as_py(), held[-1].column("cell")[-1].as_py()) != (int(tok[0]), int(cell[0])):
-                yield from found(pa.Table.from_batches(held))
-                held = []
-            if cut:
-                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            if len(tok):
-                held.append(batch.slice(cut))
+            head, cell, tok = (batch.column(c).to_numpy() for c in ("head", "cell", "tok"))
+            cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (cell[1:] != cell[:-1]) | (tok[1:] != tok[:-1])]) if len(head) else []
+            for start, stop in zip(cuts, [*cuts[1:], len(head)]):
+                key = (head[start], cell[start], tok[start])
+                if key != list_key:
+                    if held:
+                        found += pairs_of(held)
+                        held = []
+                    if key[:2] != cell_key:
+                        yield from emit()
+                    elif sum(map(len, found)) > 1 << 21:
+                        found[:] = [_summed(found)]
+                    list_key, cell_key = key, key[:2]
+                held.append(batch.slice(int(start), int(stop - start)))
         if held:
-            yield from found(pa.Table.from_batches(held))
+            found += pairs_of(held)
+        yield from emit()
 
-    return dealt.mapInArrow(search, "a long, b long, na long, nb long, l long, ia long, ib long")
+    return dealt.mapInArrow(search, ", ".join(f"{c} long" for c in _FOUND))
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -367,16 +392,16 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     release(spark)
     signed = materialize(wide.select("id", "n_shingles", "cls"), "join-signed")
     full = signed.filter("cls is not null")
-    grouped = wide.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "bits", "prefix")).alias("p"))
-    numbered = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "cls", "id", F.col("p.n_shingles").cast("int").alias("n"), F.col("p.matches").cast("byte").alias("l"), "p.bits", "p.prefix"), "join-numbered")
+    grouped = wide.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "bits", "small", "prefix")).alias("p"))
+    numbered = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "cls", "id", F.col("p.n_shingles").cast("int").alias("n"), F.col("p.matches").cast("byte").alias("l"), "p.bits", "p.small", "p.prefix"), "join-numbered")
     discard(wide)
-    classes = materialize(numbered.drop("l", "prefix"), "join-classes")
+    classes = materialize(numbered.drop("l", "small", "prefix"), "join-classes")
 
     # postings that more than one class has
     posted = numbered.select("node", "n", "l", F.size("prefix").alias("k"), F.posexplode("prefix").alias("i", "p")).select("node", "n", "l", "k", "i", "p.tok", "p.parts")
     common = numbered.select(F.explode("prefix.tok").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     posted = materialize(posted.join(common, "tok", "left_semi"), "join-posted")
-    discard(numbered)
+    release(spark)
 
     # round one: a neighbour in each posting list, in parts, the parts' first sets in a chain of their own; of the
     # neighbours the one met most often is verified, if that is often enough to be promising
@@ -394,12 +419,15 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # round two: posting lists that several components share, searched across components
     rooted = posted.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tok", "node", "root", "n", "l", "i")
-    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).filter("x <> y").select("tok", F.ceil(F.col("c") / POSTING_ROWS).cast("int").alias("parts"))
-    lists = materialize(rooted.join(mixed, "tok").join(classes.select("node", "bits"), "node"), "join-lists")
-    shared = candidates(lists, percent).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head"), F.count("*").alias("c")).filter("x <> y").select("tok", "head", "c")
+    parts = mixed.groupBy("head").agg(F.ceil(F.max("c") / POSTING_ROWS).cast("int").alias("parts"))
+    lists = materialize(rooted.join(mixed.select("tok", "head").join(parts, "head"), "tok").join(numbered.select("node", "small"), "node"), "join-lists")
+    discard(numbered)
+    shared = candidates(lists, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
     most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    pairs = materialize(shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b"), "join-pairs")
+    likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    pairs = materialize(promising(likely, classes, percent), "join-pairs")
     discard(posted, lists)
     links = verified(pairs, rows, classes, n, percent)
     root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
