@@ -117,8 +117,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id"
     query; a repeated query id is searched once for each row and ranked together without repeats.  An empty table
     gives an empty result; other columns are ignored.
     """
-    index = materialize(build_index(vectors.withColumn("__query", F.coalesce(is_query, F.lit(False))).filter(usable(vector)), id, vector, seed), "ann-index")
-    queries = vectors.filter(is_query).filter(usable(vector)).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
+    index = materialize(build_index(vectors, id, vector, seed), "ann-index")
+    queries = vectors.filter(is_query & usable(vector)).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
     n, m = index.count(), queries.count()
     blocks, query_blocks = -(-n // BLOCK_ROWS) or 1, -(-m // QUERY_ROWS) or 1
     deal = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")

@@ -384,6 +384,16 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node, root after further links; nodes that ``roots`` does not have are their own roots before."""
+    root = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    across = links.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    more = materialize(components(across).select(F.col("node").alias("root"), F.col("root").alias("top")), "join-roots")
+    moved = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = more.join(roots, more.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return moved.unionByName(new)
+
+
 def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id of each row of (id long, t binary).  See ``join_components``."""
     spark = rows.sparkSession
@@ -426,15 +436,19 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = candidates(lists, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
     most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    pairs = materialize(promising(likely, classes, percent), "join-pairs")
+    likely = materialize(shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "c"), "join-likely")
     discard(posted, lists)
-    links = verified(pairs, rows, classes, n, percent)
-    root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    across = links.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    second = components(across).select(F.col("node").alias("r"), F.col("root").alias("r2"))
-    discard(pairs)
-    final = classes.select("node", "cls", "id").join(first, "node", "left").withColumn("r", F.coalesce("root", "node")).join(second, "r", "left").withColumn("r", F.coalesce("r2", "r")).select("cls", "id", "r")
+
+    # each set's nearest candidate first: what that connects needs no more links, and the rest are verified all
+    nearest = likely.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).unionByName(likely.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
+    tried = materialize(promising(nearest, classes, percent), "join-nearest")
+    second = materialize(joined_roots(first, verified(tried, rows, classes, n, percent)), "join-second")
+    root = second.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    apart = likely.select("a", "b").join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    pairs = materialize(promising(apart.join(tried, ["a", "b"], "left_anti"), classes, percent), "join-pairs")
+    last = materialize(joined_roots(second, verified(pairs, rows, classes, n, percent)), "join-last")
+    discard(likely, tried, pairs)
+    final = classes.select("node", "cls", "id").join(last, "node", "left").withColumn("r", F.coalesce("root", "node")).select("cls", "id", "r")
     named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id")
     out = full.select("id", "n_shingles", "cls").join(named, "cls").select("id", "n_shingles", "component_id")
     return out.unionByName(signed.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id")))
