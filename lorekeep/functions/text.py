@@ -26,6 +26,11 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def computed_once(df, name: str, value: Column):
+    """``df`` with a column that filters further up refer to but do not compute again: they are not pushed through an explode."""
+    return df.drop(name).select("*", F.explode(F.array(value)).alias(name))
+
+
 def squeeze(text: str | Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(col(text), f"{SPACE}+", " "))

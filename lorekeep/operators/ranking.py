@@ -43,7 +43,7 @@ def budget_scores(files: DataFrame, query: str, now: float, today: str, half_lif
     rows = files.withColumns({"head": F.substring("text", 1, head), "tier": paths.tier("path", today)}).filter(text.squeeze("head") != "")
     lexical = text.jaccard(text.char_ngrams(F.lit(query)), text.char_ngrams("head")) if query.strip() else F.lit(0.5)
     weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in scores.TIER_WEIGHTS.items() for x in kv)), F.col("tier")), F.lit(0.5))
-    return rows.withColumn("score", lexical * weight * (0.5 + 0.5 * scores.half_life_decay("mtime", now, half_life))).filter("score > 0")
+    return text.computed_once(rows, "score", lexical * weight * (0.5 + 0.5 * scores.half_life_decay("mtime", now, half_life))).filter("score > 0")
 
 
 def fill(rows: DataFrame, budget: int, order: list, length: str | Column, room: int = ROOM, by: list[str] | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
         return F.struct(sum((F.size(t[c]) for c in cols[1:]), F.size(t[cols[0]])).alias("n_tokens"), *(f.alias(f"f_{i}") for i, f in enumerate(by_phrase)))
 
     tokens = F.struct(*(text.search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols))
-    counted = chunks.withColumn("__k", text.let(tokens, count)).select(*chunks.columns, "__k.*")
+    counted = text.computed_once(chunks, "__k", text.let(tokens, count)).select(*chunks.columns, "__k.*")
     stats = counted.agg(F.count("*").alias("N"), (F.sum("n_tokens") / F.count("*")).alias("avgdl"), *(F.count_if(F.col(f"f_{i}") > 0).alias(f"n_{i}") for i in range(len(phrases))))
     hit = F.lit(False)
     for i in range(len(phrases)):
@@ -190,7 +190,7 @@ def recall(chunks: DataFrame, query: str, limit: int = 10, collapse_paths: bool
 def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.15, n: int = 3, text_col: str = "text", order: str = "doc_id") -> DataFrame:
     """The k texts nearest to a query by n-gram Jaccard."""
     q = F.lit(query)
-    rows = docs.withColumn("score", text.jaccard(text.char_ngrams(text_col, n), text.char_ngrams(q, n))).filter(F.col("score") >= least)
+    rows = text.computed_once(docs, "score", text.jaccard(text.char_ngrams(text_col, n), text.char_ngrams(q, n))).filter(F.col("score") >= least)
     return rows.orderBy(F.desc("score"), order).limit(k)
 
 
