@@ -242,15 +242,25 @@ def _summed(found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _nearest(rows: np.ndarray) -> np.ndarray:
+    """Of summed rows those that are the best, by shared tokens, of one of their two sets."""
+    kept = []
+    for side in (0, 1):
+        order = np.lexsort((-rows[:, 7], rows[:, side]))
+        kept.append(order[np.r_[True, np.diff(rows[order, side]) != 0]])
+    return rows[np.unique(np.concatenate(kept))]
+
+
 _FOUND = ["a", "b", "na", "nb", "l", "ia", "ib", "c"]
 
 
-def candidates(lists: DataFrame, percent: int) -> DataFrame:
+def candidates(lists: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """a < b, na, nb, l (matches asked for), ia, ib (last shared positions), c (shared tokens): sets of different components that meet in posting lists.
 
     Lists with the same first set are searched together, as lists of one group of near copies mostly are, and a pair
     is emitted once for all of them.  They are dealt out in parts; a cell is a part by itself or a pair of parts, so
-    that no task holds a whole long list.  Pairs that sizes or parity bits rule out are never emitted.
+    that no task holds a whole long list.  Pairs that sizes or parity bits rule out are never emitted; with
+    ``nearest`` only the best pair of each set in each cell is.
     """
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
@@ -280,6 +290,7 @@ def candidates(lists: DataFrame, percent: int) -> DataFrame:
 
         def emit():
             rows = _summed(found) if found else np.zeros((0, 8), np.int64)
+            rows = _nearest(rows) if nearest and len(rows) else rows
             found.clear()
             for start in range(0, len(rows), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[start : start + (1 << 16)].T], names=_FOUND)
@@ -432,22 +443,27 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head"), F.count("*").alias("c")).filter("x <> y").select("tok", "head", "c")
     parts = mixed.groupBy("head").agg(F.ceil(F.max("c") / POSTING_ROWS).cast("int").alias("parts"))
     lists = materialize(rooted.join(mixed.select("tok", "head").join(parts, "head"), "tok").join(numbered.select("node", "small"), "node"), "join-lists")
-    discard(numbered)
-    shared = candidates(lists, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
-    most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    likely = materialize(shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b", "c"), "join-likely")
-    discard(posted, lists)
+    discard(posted, numbered)
 
-    # each set's nearest candidate first: what that connects needs no more links, and the rest are verified all
-    nearest = likely.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).unionByName(likely.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
-    tried = materialize(promising(nearest, classes, percent), "join-nearest")
+    # each set's nearest candidate first: most links of a group of near copies are not needed after that
+    near = candidates(lists, percent, nearest=True).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    near = materialize(near, "join-met")
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).unionByName(near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
+    tried = materialize(promising(best, classes, percent), "join-nearest")
     second = materialize(joined_roots(first, verified(tried, rows, classes, n, percent)), "join-second")
-    root = second.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    apart = likely.select("a", "b").join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    pairs = materialize(promising(apart.join(tried, ["a", "b"], "left_anti"), classes, percent), "join-pairs")
+
+    # then all that may be similar across the components there are now
+    again = lists.drop("root").join(second, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = again.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok")
+    left = materialize(again.join(apart, "tok", "left_semi"), "join-left")
+    discard(near, lists)
+    shared = candidates(left, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
+    most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
+    likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+    pairs = materialize(promising(likely.join(tried, ["a", "b"], "left_anti"), classes, percent), "join-pairs")
     last = materialize(joined_roots(second, verified(pairs, rows, classes, n, percent)), "join-last")
-    discard(likely, tried, pairs)
+    discard(left, tried, pairs)
     final = classes.select("node", "cls", "id").join(last, "node", "left").withColumn("r", F.coalesce("root", "node")).select("cls", "id", "r")
     named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id")
     out = full.select("id", "n_shingles", "cls").join(named, "cls").select("id", "n_shingles", "component_id")
