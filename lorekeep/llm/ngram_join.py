@@ -157,9 +157,12 @@ def heavy_tokens(rows: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
 
 
 def signatures(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, cls (digest of the set; null if empty), matches, bits, small (bits folded), prefix [(token, parts)] of each row of (id, t)."""
+    """id, n_shingles, cls (digest of the set; null if empty), matches, bits, small (bits folded), prefix [(token, parts)] of each row of (id, t), and its further columns."""
     heavy = rows.sparkSession.sparkContext.broadcast(heavy_tokens(rows, n, percent))  # at most 2 x 8 x HEAVY_TOKENS bytes
 
+    more = [c for c in rows.columns if c not in ("id", "t")]
+    carried = "".join(f", {c} {t}" for c, t in rows.dtypes if c in more)
+
     def sign(batches):
         tokens, counts = heavy.value
         for batch, sets in _sets(batches, n):
@@ -175,11 +178,11 @@ def signatures(rows: DataFrame, n: int, percent: int) -> DataFrame:
                 ends.append(ends[-1] + len(chosen))
             items = pa.StructArray.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(parts))], ["tok", "parts"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
-                names=["id", "n_shingles", "cls", "matches", "bits", "small", "prefix"],
+                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), pa.array(matches, pa.int32()), pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items), *(batch.column(c) for c in more)],
+                names=["id", "n_shingles", "cls", "matches", "bits", "small", "prefix", *more],
             )
 
-    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, bits binary, small binary, prefix array<struct<tok:bigint,parts:int>>")
+    return rows.mapInArrow(sign, "id long, n_shingles long, cls binary, matches int, bits binary, small binary, prefix array<struct<tok:bigint,parts:int>>" + carried)
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
@@ -347,7 +350,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, perc
             sets = [shingle_set(t, n) for t in part.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), part.column("id")], names=["cls", "s", "id"])
 
-    made = rows.withColumn("at", positions).mapInArrow(make, "cls binary, s binary, id long")
+    made = rows.select("id", "t", positions.alias("at")).mapInArrow(make, "cls binary, s binary, id long")
     held = made.join(need, (made.cls == need.cls) & made.id.eqNullSafe(need.id)).select("node", "s")
     # rows that repeat id and text give a set more than once
     sets = held.groupBy("node").agg(F.first("s").alias("s"))
@@ -406,12 +409,17 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id of each row of (id long, t binary).  See ``join_components``."""
+    """id, n_shingles, component_id of each row of (id long, t binary), its further columns, and ``root``.
+
+    ``root`` tells components apart whatever their ids: component_id is null where all ids of one are, and null itself
+    is the root of rows without words.  See ``join_components``.
+    """
     spark = rows.sparkSession
+    more = [c for c in rows.columns if c not in ("id", "t")]
     bound_batches(spark)
     wide = materialize(signatures(rows, n, percent), "join-wide")
     release(spark)
-    signed = materialize(wide.select("id", "n_shingles", "cls"), "join-signed")
+    signed = materialize(wide.select("id", "n_shingles", "cls", *more), "join-signed")
     full = signed.filter("cls is not null")
     grouped = wide.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first(F.struct("n_shingles", "matches", "bits", "small", "prefix")).alias("p"))
     numbered = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "cls", "id", F.col("p.n_shingles").cast("int").alias("n"), F.col("p.matches").cast("byte").alias("l"), "p.bits", "p.small", "p.prefix"), "join-numbered")
@@ -465,9 +473,9 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     last = materialize(joined_roots(second, verified(pairs, rows, classes, n, percent)), "join-last")
     discard(left, tried, pairs)
     final = classes.select("node", "cls", "id").join(last, "node", "left").withColumn("r", F.coalesce("root", "node")).select("cls", "id", "r")
-    named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id")
-    out = full.select("id", "n_shingles", "cls").join(named, "cls").select("id", "n_shingles", "component_id")
-    return out.unionByName(signed.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id", F.col("r").alias("root"))
+    out = full.join(named, "cls").select("id", "n_shingles", "component_id", *more, "root")
+    return out.unionByName(signed.filter("cls is null").select("id", "n_shingles", F.col("id").alias("component_id"), *more, F.lit(None).cast("long").alias("root")))
 
 
 def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -483,11 +491,22 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, and of equal ids the first by text."""
-    label, order = free_name(docs, "component"), free_name(docs, "order")
-    kept = join_components(docs, n, percent, key, text).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias(label)).distinct()
-    rows = docs.join(kept, F.col(key) == F.col(label), "left_semi")
-    return rows.withColumn(order, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text_or_empty(text))))).filter(F.col(order) == 1).drop(order)
+    """``docs`` with one row of each component: that of the smallest id (null last), and of equal ids the first by text's digest.
+
+    A document without words is a component of its own, and so is each such row without an id; rows that repeat id and
+    text are one document.
+    """
+    label, order = free_name(docs, "document"), free_name(docs, "order")
+    body = text_or_empty(text)
+    # id and text in one digest: rows of one id may differ in their texts, and rows of one text in their ids
+    digest = F.unhex(F.md5(F.concat(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")), F.lit(":"), body)))
+    nameless = F.col(key).isNull() & ~body.rlike(r"[^\x20\x09-\x0D]")
+    linked = link_components(docs.filter(~nameless).select(F.col(key).cast("long").alias("id"), body.cast("binary").alias("t"), digest.alias("row")), n, percent)
+    first = linked.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("m")).select("m.row")
+    kept = first.unionByName(linked.filter("root is null").select("row").distinct()).withColumnRenamed("row", label)
+    rows = docs.filter(~nameless).withColumn(label, digest).join(kept, label, "left_semi")
+    single = rows.withColumn(order, F.row_number().over(Window.partitionBy(label).orderBy(label))).filter(F.col(order) == 1)
+    return single.select(*docs.columns).unionByName(docs.filter(nameless))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

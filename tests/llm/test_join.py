@@ -75,6 +75,17 @@ def test_keep_one(spark, docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6]
 
 
+def test_keep_one_keeps_a_row_of_each_group(spark, docs_of):
+    text = {c: " ".join(f"{c}{i}" for i in range(100)) for c in "abcd"}
+    rows = [(5, text["a"], "s"), (5, text["b"] + " more", "s"), (3, text["b"], "s")]  # one id with texts of two groups
+    rows += [(None, text["c"], "s"), (None, text["c"] + " more", "s"), (None, text["d"], "s"), (9, text["d"] + " more", "s")]
+    rows += [(None, "", "s"), (None, None, "s"), (7, " ", "s"), (7, " ", "s"), (7, "x y z", "s")]
+    kept = nj.keep_one(docs_of(rows))
+    assert kept.columns == docs_of(rows).columns
+    got = sorted(((r.doc_id, (r.text or "").split(" ")[0]) for r in kept.collect()), key=str)
+    assert got == sorted([(5, "a0"), (3, "b0"), (None, "c0"), (9, "d0"), (None, ""), (None, ""), (7, ""), (7, "x")], key=str)
+
+
 def test_prefixes_share_what_they_must():
     rng = np.random.default_rng(5)
     heavy = np.sort(rng.integers(0, 2**64, 50, np.uint64))
