@@ -5,7 +5,9 @@ its own format: letters stay letters of their script and case, digits digits, se
 card numbers keep their check digit, and names take names of the same gender and script.  As a permutation it keeps
 different entities of one format apart, and as a function of the entity alone it gives an entity the same surrogate
 wherever it occurs.  What a permutation cannot promise is checked over the whole corpus: a surrogate that is a real
-entity of the corpus, or that two entities share, is drawn again under the next round of the key.
+entity of the corpus, or that two entities share, is drawn again under the next round of the key, until none is left.
+Names, whose surrogates are few, are drawn from a larger range in every round; secrets and addresses leave their format
+after ``FORMAT_ROUNDS``, as some formats hold too few values.
 """
 
 from __future__ import annotations
@@ -13,18 +15,22 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, free_name, materialize, table, text_or_empty
+from .common import bound_batches, discard, free_name, materialize, table, text_or_empty
 
 KEY = b"lorekeep surrogate key"
 #: Entities that needed more than one round, up to which they travel with the code; beyond, they are joined by document.
 CLOSURE_ROWS = 50_000
-ROUNDS = 16
+#: Rounds in which secrets and local parts of addresses keep their format.
+FORMAT_ROUNDS = 4
+#: Rounds without a collision less after which a corpus counts as one whose entities fill their formats.
+STALLED_ROUNDS = 32
 
 #: What may stand between the parts of one entity: blanks, and the decoration of noisy texts.
 _GAP = r"[\s|!#$%&*]{0,8}"
@@ -56,6 +62,8 @@ GIVEN = {
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Марк Никита Олег Павел Роман Семён".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo za ze".split(), "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split()}
+#: A draw has 256 bits, and this many syllables fewer.
+MOST_SYLLABLES = 40
 _RANGES = [(ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (ord("а"), 32), (ord("А"), 32), (ord("α"), 17), (ord("Α"), 17)]
 
 
@@ -66,6 +74,17 @@ def _draw(key: bytes, tweak: str, round_: int, i: int, x: int) -> int:
     return int.from_bytes(out, "big")
 
 
+def _letters(key: bytes, tweak: str, round_: int, n: int) -> str:
+    """So many small letters and digits, drawn by ``tweak``."""
+    out = ""
+    for i in range(0, n, 16):
+        x = _draw(key, tweak, round_, i, 0)
+        for _ in range(min(16, n - i)):
+            x, d = divmod(x, 36)
+            out += "abcdefghijklmnopqrstuvwxyz0123456789"[d]
+    return out
+
+
 def permute(x: int, a: int, b: int, key: bytes, tweak: str, round_: int) -> int:
     """A keyed permutation of 0 .. a*b - 1: a Feistel network of eight steps on the two mixed-radix halves."""
     left, right = divmod(x, b)
@@ -121,11 +140,15 @@ def canonical(kind: str, text: str, title: str = "") -> str:
 
 
 def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of a canonical entity, itself canonical and of the same kind and format."""
+    """The surrogate of a canonical entity, itself canonical and of the same kind, and up to ``FORMAT_ROUNDS`` of the same format."""
+    wider = 4 * (round_ - FORMAT_ROUNDS + 1)
+    if kind == "secret" and wider > 0:
+        return _letters(key, f"secret\x01{entity}", round_, len(entity) + wider)
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, _, top = domain.rpartition(".")
-        return f"{permute_format(local, key, 'local', round_)}@{permute_format(head, key, 'domain', round_)}.{top}"
+        more = _letters(key, f"local\x01{entity}", round_, wider) if wider > 0 else ""
+        return f"{permute_format(local, key, 'local', round_)}{more}@{permute_format(head, key, 'domain', round_)}.{top}"
     if kind == "ip":
         a, b, c, d = map(int, entity.split("."))
         x = permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 16, 1 << 16, key, "ip", round_)
@@ -143,9 +166,10 @@ def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
         parts = name.split()
         script = "cyrillic" if "А" <= parts[-1][0] <= "я" or parts[-1][0] in "Ёё" else "latin"
         given, syllables = GIVEN[script, gender], SYLLABLES[script]
-        x = _draw(key, f"name\x01{parts[-1]}", round_, 0, 0)
+        # a surname has one surrogate at first; drawn again, each whole name has its own, a syllable longer every round
+        x = _draw(key, f"name\x01{' '.join(parts) if round_ else parts[-1]}", round_, 0, 0)
         last = ""
-        for _ in range(3):
+        for _ in range(3 + min(round_, MOST_SYLLABLES - 3)):
             x, d = divmod(x, len(syllables))
             last += syllables[d]
         first = [given[_draw(key, f"given\x01{gender}\x01{p}", round_, 1, 0) % len(given)] for p in parts[:-1]]
@@ -223,18 +247,28 @@ def entities_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def collision_rounds(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, entity, round of the entities whose surrogate of round 0 is a real entity or another's surrogate."""
+    """kind, entity, round of the entities whose surrogate of round 0 is a real entity or another's surrogate.
+
+    Raises ValueError if entities keep colliding: those of the corpus then fill a format that cannot be widened.
+    """
     now = materialize(_with_surrogates(entities.withColumn("round", F.lit(0)), key), "pii-round")
     real = entities.select("kind", F.col("entity").alias("new"))
-    for round_ in range(1, ROUNDS):
+    fewest, since = None, 0
+    for round_ in count(1):
         # of those that share a surrogate the least stays, one settled in an earlier round first
         shared = now.groupBy("kind", "new").agg(F.min(F.struct("round", "entity")).alias("m"), F.count("*").alias("c")).filter("c > 1").select("kind", "new", "m")
         taken = now.join(shared, ["kind", "new"]).filter((F.col("round") != F.col("m.round")) | (F.col("entity") != F.col("m.entity"))).select("kind", "entity")
         bad = materialize(now.join(real, ["kind", "new"], "left_semi").select("kind", "entity").unionByName(taken).distinct(), "pii-bad")
-        if bad.isEmpty():
+        left = bad.count()
+        if not left:
             break
+        fewest, since = (left, 0) if fewest is None or left < fewest else (fewest, since + 1)
+        if since >= STALLED_ROUNDS:
+            kinds = ", ".join(sorted(r.kind for r in bad.select("kind").distinct().collect()))
+            raise ValueError(f"{left} entities have no surrogate of their own after {round_} rounds, as those of their format are used up: {kinds}")
         again = _with_surrogates(bad.withColumn("round", F.lit(round_)), key)
-        now = materialize(now.join(bad, ["kind", "entity"], "left_anti").unionByName(again), "pii-round")
+        before, now = now, materialize(now.join(bad, ["kind", "entity"], "left_anti").unionByName(again), "pii-round")
+        discard(before, bad)
     return now.filter("round > 0").select("kind", "entity", "round")
 
 

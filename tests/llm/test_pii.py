@@ -81,6 +81,24 @@ def test_collisions_are_drawn_again(spark):
     assert len({pii.surrogate(k, e, rounds.get((k, e), 0)) for k, e in names}) == len(names)
 
 
+def test_collisions_end_only_when_none_is_left(spark, monkeypatch):
+    names = [("person", f"m:Name{i} Smith") for i in range(400)]  # more than rounds of one surname with 20 given names hold
+    masked = [("secret", "******"), ("secret", "*****1"), *(("secret", f"*****{i}") for i in range(2, 10)), ("secret", "*****0")]
+    mails = [("email", f"{a}@{b}.ab") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    every = names + masked + mails
+    rounds = {(r.kind, r.entity): r.round for r in pii.collision_rounds(spark.createDataFrame(every, "kind string, entity string")).collect()}
+    new = {(k, pii.surrogate(k, e, rounds.get((k, e), 0))) for k, e in every}
+    assert len(new) == len(every) and not new & set(every)
+    monkeypatch.setattr(pii, "STALLED_ROUNDS", 1)
+    with pytest.raises(ValueError, match="ssn"):
+        pii.collision_rounds(spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, entity string"))
+
+
+def test_names_of_one_word_do_not_run_out():
+    many = {pii.surrogate("person", f"m:Name{i}", 3) for i in range(60_000)}
+    assert len(many) > 59_900 > 38**3
+
+
 def test_decorated_entities_go():
     new, n = pii.replace("A&&& 4785380592391139$$$ b### 152.143.123.131### x@mail1.example.com!! +1### (017)%%% 555-7713%%% token%%% =### \"24be64439e3e49cf46b2\"###", {})
     assert n == 5 and not re.search(r"4785380592391139|152\.143|x@mail1|017|7713|24be64", new)
