@@ -50,7 +50,7 @@ PATTERNS = {
 }
 DETECTOR = re.compile("|".join(PATTERNS.values()))
 #: A text without any of these holds no entity.
-HINT = re.compile(rf"@|\d{{2}}|[:=]|\b{_TITLE}\b")
+HINT = re.compile(rf"@|\d\.?\d|[:=]|\b{_TITLE}\b")
 KINDS = ("secret", "email", "iban", "ip", "card", "phone", "ssn", "person")
 _FEMALE = frozenset("Mrs Ms Miss Madame Mme Frau Señora Sra Г-жа Госпожа".split())
 

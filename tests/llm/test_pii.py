@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from lorekeep.llm import pii
@@ -99,6 +99,24 @@ def test_names_of_one_word_do_not_run_out():
     assert len(many) > 59_900 > 38**3
 
 
+def test_addresses_of_single_digits_go():
+    text = "Our resolver is 8.8.8.8 and the backup 1.1.1.1"
+    assert kinds(text) == ["ip", "ip"]
+    new, n = pii.replace(text, {})
+    assert n == 2 and "8.8.8.8" not in new and "1.1.1.1" not in new
+
+
+@pytest.mark.parametrize("pattern", pii.PATTERNS.values(), ids=pii.PATTERNS)
+def test_what_a_pattern_finds_has_a_hint(pattern):
+    @given(st.from_regex(re.compile(pattern)))
+    @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+    def check(text):
+        m = re.search(pattern, text)
+        assert m and pii.HINT.search(m[0])
+
+    check()
+
+
 def test_decorated_entities_go():
     new, n = pii.replace("A&&& 4785380592391139$$$ b### 152.143.123.131### x@mail1.example.com!! +1### (017)%%% 555-7713%%% token%%% =### \"24be64439e3e49cf46b2\"###", {})
     assert n == 5 and not re.search(r"4785380592391139|152\.143|x@mail1|017|7713|24be64", new)
