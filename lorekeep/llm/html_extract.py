@@ -1,8 +1,8 @@
 """HTML extraction by site template removal.
 
 A tolerant tokenizer makes the element tree of a page.  Element subtrees are hashed (name, class and id, text,
-children), Spark counts on how many pages of its host each hash occurs, and subtrees on
-many of them are templates of that host.  A page's text is then its article (or main part, or body) without
+children), Spark counts on how many pages of its host each hash occurs (copies of a page, by its main text, are one
+page), and subtrees on many of them are templates of that host.  A page's text is then its article (or main part, or body) without
 template subtrees and without the elements that are boilerplate by kind: menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments.
 """
@@ -48,10 +48,10 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "role", "hidden", "parent", "children", "hash", "size")
+    __slots__ = ("tag", "label", "words", "role", "hidden", "parent", "children", "hash", "size", "kept")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.children, self.hash, self.size = tag, parent, [], 0, 0
+        self.tag, self.parent, self.children, self.hash, self.size, self.kept = tag, parent, [], 0, 0, 0
         self.label, self.role, self.words, self.hidden = "", "", frozenset(), False
         if attributes and "=" in attributes or "hidden" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -121,37 +121,51 @@ def dropped(node: Node, in_article: bool) -> bool:
     return bool(node.words & DROPPED_WORDS) and node.tag not in ("html", "body", "article", "main") or node.tag == "article" and bool(node.words & {"comment", "comments", "ad", "ads", "advert", "related", "promo", "sponsored"})
 
 
-def removable(node: Node, article: Node | None) -> bool:
-    """Whether a template subtree may go: in an article only containers that hold less than half of its text, never its text blocks."""
-    return article is None or node.tag in BLOCKS and node.tag not in TEXT_BLOCKS and 2 * node.size < article.size
+def main_size(tops: list[Node]) -> int:
+    """Length of the main text of a page without articles."""
+    return sum(n.kept for n in tops if n.tag not in ("article", "main"))
+
+
+def removable(node: Node, top: Node | None, whole: int) -> bool:
+    """Whether a template subtree may go: of a main text only what holds less than half of it, and of articles only containers, never text blocks."""
+    if top is None:
+        return True
+    if top.tag in ("article", "main"):
+        return node.tag in BLOCKS and node.tag not in TEXT_BLOCKS and 2 * node.size < top.size
+    return 2 * node.kept < whole
 
 
 def hash_subtrees(root: Node, tops: list[Node]) -> set[int]:
-    """Hash every element subtree; returns the hashes of those that may be templates: not articles nor what holds them."""
+    """Hash every element subtree; returns the hashes of those that may be templates: not the main parts ``tops`` nor what holds them."""
     found: set[int] = set()
-    articles_, holds = {id(n): n for n in tops}, set()
+    tops_, holds = {id(n): n for n in tops}, set()
+    plain = any(n.tag not in ("article", "main") for n in tops)
     order: list[tuple[Node, Node | None]] = []
     stack: list[tuple[Node, Node | None]] = [(root, None)]
     while stack:
-        node, article = stack.pop()
-        order.append((node, article))
-        article = articles_.get(id(node), article)
-        stack += [(c, article) for c in node.children if type(c) is Node]
+        node, top = stack.pop()
+        order.append((node, top))
+        top = tops_.get(id(node), top)
+        stack += [(c, top) for c in node.children if type(c) is Node]
     for node, _ in reversed(order):
-        parts, size = [node.tag, node.label], 0
+        parts, size, kept = [node.tag, node.label], 0, 0
         for c in node.children:
             if type(c) is Node:
-                if id(c) in holds or id(c) in articles_:
+                if id(c) in holds or id(c) in tops_:
                     holds.add(id(node))
                 size += c.size
+                kept += c.kept
                 parts.append(f"#{c.hash}")
             elif text := " ".join(c.split()):
                 size += len(text)
+                kept += len(text)
                 parts.append(text)
         node.size = size
+        node.kept = kept if plain and kept and (id(node) in tops_ or not dropped(node, False)) else 0
         node.hash = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace")) >> 1
-    for node, article in order:
-        if node.size and id(node) not in holds and id(node) not in articles_ and node.tag not in DROPPED and node is not root and removable(node, article):
+    whole = main_size(tops)
+    for node, top in order:
+        if node.size and id(node) not in holds and id(node) not in tops_ and node.tag not in DROPPED and node is not root and removable(node, top, whole):
             found.add(node.hash)
     return found
 
@@ -185,7 +199,7 @@ def articles(root: Node) -> list[Node]:
     return []
 
 
-def text_blocks(top: Node, templates: frozenset[int], is_article: bool) -> list[str]:
+def text_blocks(top: Node, templates: frozenset[int], is_article: bool, whole: int = 0) -> list[str]:
     blocks: list[str] = []
     current: list[str] = []
 
@@ -201,7 +215,7 @@ def text_blocks(top: Node, templates: frozenset[int], is_article: bool) -> list[
             close()
         elif type(node) is str:
             current.append(node)
-        elif node is not top and (dropped(node, is_article) or node.hash in templates and removable(node, top if is_article else None)):
+        elif node is not top and (dropped(node, is_article) or node.hash in templates and removable(node, top, whole)):
             current.append(" ")
         elif node.tag in ("br", "td", "th", "wbr"):
             current.append("" if node.tag == "wbr" else " ")
@@ -216,23 +230,24 @@ def text_blocks(top: Node, templates: frozenset[int], is_article: bool) -> list[
     return blocks
 
 
-def _proper(nodes: list[Node]) -> list[Node]:
-    return [n for n in nodes if n.tag in ("article", "main")]
+def _text(tops: list[Node], templates: frozenset[int] = frozenset(), whole: int = 0) -> str:
+    return "\n\n".join(b for n in tops for b in text_blocks(n, templates, n.tag in ("article", "main"), whole))
 
 
-def subtrees(page: str) -> list[int]:
-    """Distinct hashes of the subtrees of a page that may be templates of its host."""
+def subtrees(page: str) -> tuple[int, list[int]]:
+    """A hash of the main text of a page, and the distinct hashes of its subtrees that may be templates of its host."""
     root = parse(page)
-    return list(hash_subtrees(root, _proper(articles(root))))
+    tops = articles(root) or [root]
+    return xxhash.xxh3_64_intdigest(_text(tops).encode("utf-8", "replace")) >> 1, list(hash_subtrees(root, tops))
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """The main text of a page: blocks joined by two line feeds."""
     root = parse(page)
-    nodes = articles(root)
+    tops = articles(root) or [root]
     if templates:
-        hash_subtrees(root, _proper(nodes))
-    return "\n\n".join(b for n in nodes or [root] for b in text_blocks(n, templates, n.tag in ("article", "main")))
+        hash_subtrees(root, tops)
+    return _text(tops, templates, main_size(tops))
 
 
 def host_of(url: str):
@@ -242,19 +257,21 @@ def host_of(url: str):
 def site_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, url: str = "url", html: str = "html") -> DataFrame:
     """host, templates (hashes of subtrees on at least ``share`` and ``least`` of the host's pages).
 
-    A host has at most (subtrees of a page) / ``share`` of them, however many pages it has.
+    Pages of a host with the same main text count as one: what copies of a page repeat is its content.  A host has at most (subtrees of a page) / ``share`` of them, however many pages it has.
     """
 
     def run(batches):
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, bodies, hashes = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
-                found = [-1, *subtrees(page)]  # -1 counts the page itself
+                body, found = subtrees(page)
+                found.append(-1)  # counts the page itself
                 hosts += [host] * len(found)
+                bodies += [body] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "body", "h"])
 
-    counts = pages.select(host_of(url).alias("host"), text_or_empty(html).alias("page")).mapInArrow(run, "host string, h long").groupBy("host", "h").agg(F.count("*").alias("n"))
+    counts = pages.select(host_of(url).alias("host"), text_or_empty(html).alias("page")).mapInArrow(run, "host string, body long, h long").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     counts = materialize(counts.filter((F.col("n") >= least) | (F.col("h") == -1)), "html-counts")
     total = counts.filter("h = -1").select("host", F.col("n").alias("pages"))
     return counts.filter("h <> -1").join(total, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("templates"))
@@ -263,7 +280,7 @@ def site_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int =
 def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, url: str = "url", html: str = "html") -> DataFrame:
     """``pages`` without ``html``, with text (main text) and n_chars (code points).
 
-    Null or empty html gives an empty text; pages without a url share one host.  Repeated rows count as pages and are
+    Null or empty html gives an empty text; pages without a url share one host.  Copies of a page count as one page and are
     extracted each.  An empty table gives an empty result.  Existing columns text and n_chars are replaced.
     """
     bound_batches(pages.sparkSession)

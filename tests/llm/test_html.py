@@ -42,6 +42,23 @@ def test_repeated_text_in_articles_stays(spark):
     assert all(r.text.startswith("same\n\ncommon passage\n\n") for r in hx.extract(df).collect())
 
 
+@pytest.mark.parametrize("body", ["<article>{}</article>", "<div class='content'>{}</div>", "{}", "<div><div>{}</div></div>"])
+def test_copies_of_a_page_are_one_page(spark, body):
+    text = "<h1>Title</h1><p>a long first part of the text</p><div><p>a table of figures</p></div><p>a long last part of the text</p>"
+    pages = [body.format(text)] * 12 + [body.format(f"<p>page {i} has a text of its own</p>") for i in range(12)]
+    rows = [(i, f"http://h.example/?session={i}", f"<body><div>menu <b>entry</b></div>{page}<script>{i}</script></body>") for i, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in hx.extract(df).collect()}
+    assert {got[i] for i in range(12)} == {"Title\n\na long first part of the text\n\na table of figures\n\na long last part of the text"}
+    assert got[15] == "page 3 has a text of its own"  # without the menu
+
+
+def test_templates_hold_less_than_half_of_the_main_text(spark):
+    rows = [(i, "http://h.example/", f"<body><div>menu</div><div><p>the text of all pages, which differ in their numbers</p></div><i>{i}</i></body>") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in hx.extract(df).collect()} == {f"the text of all pages, which differ in their numbers\n\n{i}" for i in range(20)}
+
+
 def test_join_by_host_gives_the_same(spark, monkeypatch):
     rows = [(i, f"http://h{i % 3}.example/", f"<div>menu menu</div><p>text {i}</p>") for i in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
