@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import privacy
 from .common import bound_batches, discard, free_name, materialize, table, text_or_empty
 
 KEY = b"lorekeep surrogate key"
@@ -38,8 +39,19 @@ _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Monsieur|Madame|Mme|Herr|Frau|Señor|Señora|Sr|Sra|Г-н|Г-жа|Господин|Госпожа)"
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+#: Without quotes, a word is a secret if it has a digit or is as long as ``functions.privacy`` asks; stops after it are not of it.
+_UNQUOTED = r"(?=[^\"'\s,;]*\d)[^\"'\s,;]{5,}[^\"'\s,;.:!?)\]}|#$%&*]|[A-Za-z0-9_\-.+/=]{11,}[A-Za-z0-9_\-+/=]"
+#: Keys that show by their own format, in ``functions.privacy``; all but a bot's token begin with one of a few letters.
+_KEY_LABELS = frozenset(
+    "aws-access-key github-pat github-oauth github-app github-refresh github-fine-grained gitlab-pat npm-token pypi-token openai-proj-key anthropic-key openai-key "
+    "slack-token slack-webhook google-api-key stripe-key sendgrid twilio-sid jwt".split()
+)
+_KEYS = "|".join(p for label, p in privacy.PATTERNS if label in _KEY_LABELS)
+_BOT = dict(privacy.PATTERNS)["discord-bot"]
+_KEY_HINT = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|npm_|pypi-|sk-|xox[abprs]-|hooks\.slack|AIza|_(?:live|test)_|SG\.|(?:SK|AC|AU)[a-f0-9]{32}|eyJ|[A-Za-z0-9_\-]\.[A-Za-z0-9_\-]{6}\."
 PATTERNS = {
-    "secret": rf"(?i:\b(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?key)\b){_GAP}[:=]{_GAP}[\"'](?P<secret>[^\"'\s]{{6,}})[\"']",
+    "secret": rf"(?i:(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?key)\b){_GAP}[:=]{_GAP}(?:[\"'](?P<secret>[^\"'\s]{{6,}})[\"']|(?P<unquoted>{_UNQUOTED}))",
+    "key": rf"\b(?P<key>(?=[ASeghnprsx])(?:{_KEYS})|{_BOT})",
     "email": rf"(?P<email>{_EMAIL})",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)",
@@ -50,7 +62,7 @@ PATTERNS = {
 }
 DETECTOR = re.compile("|".join(PATTERNS.values()))
 #: A text without any of these holds no entity.
-HINT = re.compile(rf"@|\d\.?\d|[:=]|\b{_TITLE}\b")
+HINT = re.compile(rf"@|\d\.?\d|[:=]|\b{_TITLE}\b|{_KEY_HINT}")
 KINDS = ("secret", "email", "iban", "ip", "card", "phone", "ssn", "person")
 _FEMALE = frozenset("Mrs Ms Miss Madame Mme Frau Señora Sra Г-жа Госпожа".split())
 
@@ -198,8 +210,9 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         return []
     found = []
     for m in DETECTOR.finditer(text):
-        kind = m.lastgroup
-        found.append((m.start(kind), m.end(kind), kind, canonical(kind, m[kind], m["title"] or "")))
+        group = m.lastgroup
+        kind = "secret" if group in ("unquoted", "key") else group
+        found.append((m.start(group), m.end(group), kind, canonical(kind, m[group], m["title"] or "")))
     names = {text[a:b]: e for a, b, kind, e in found if kind == "person"}
     if names:
         bare = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")

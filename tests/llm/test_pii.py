@@ -117,6 +117,30 @@ def test_what_a_pattern_finds_has_a_hint(pattern):
     check()
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("password: hunter2xyz, then", "hunter2xyz"),
+        ("api_key=abcdef123456.", "abcdef123456"),
+        ("token = correcthorsebattery", "correcthorsebattery"),
+        ("AWS_SECRET_ACCESS_KEY=\"wJalrXUtnFEMI\"", "wJalrXUtnFEMI"),
+        ("MY_API_KEY='abc-def-ghi'", "abc-def-ghi"),
+        ("use AKIA" + "IOSFODNN7EXAMPLE now", "AKIA" + "IOSFODNN7EXAMPLE"),
+        ("use ghp_" + "a1B2" * 9 + " now", "ghp_" + "a1B2" * 9),
+        ("use eyJ" + "abcdefghij.abcdefghij.abcdefghij now", "eyJ" + "abcdefghij.abcdefghij.abcdefghij"),
+        ("use " + "a" * 24 + ".bcdefg." + "h" * 27 + " now", "a" * 24 + ".bcdefg." + "h" * 27),
+    ],
+)
+def test_secrets_without_quotes_and_bare_keys_go(text, secret):
+    assert [(text[a:b], kind) for a, b, kind, _ in pii.detect(text)] == [(secret, "secret")]
+    new, n = pii.replace(text, {})
+    assert n == 1 and secret not in new and len(new) == len(text)
+
+
+def test_words_after_a_colon_stay():
+    assert kinds("the secret: be kind; a token: small, password: please") == []
+
+
 def test_decorated_entities_go():
     new, n = pii.replace("A&&& 4785380592391139$$$ b### 152.143.123.131### x@mail1.example.com!! +1### (017)%%% 555-7713%%% token%%% =### \"24be64439e3e49cf46b2\"###", {})
     assert n == 5 and not re.search(r"4785380592391139|152\.143|x@mail1|017|7713|24be64", new)
