@@ -82,9 +82,11 @@ def recall_recent_empty_query(spark, sf_dir):
 
 @query("recall_indexed_topk", RANKED + " SELECT chunk_id, score_micro FROM micro ORDER BY score_micro, chunk_id LIMIT 50")
 def recall_indexed_topk(spark, sf_dir):
-    chunks = vault.chunks(spark, sf_dir)
+    # a text of over 1,000 chunks runs into the chunk_id of the next document, so the index has an id of its own
+    chunks = vault.chunks(spark, sf_dir).withColumn("chunk_id", F.shiftleft("doc_id", 24) + F.col("ci"))
     found = recall.bm25_indexed(index.build_postings(chunks), index.chunk_lengths(chunks), PHRASES)
-    return found.select("chunk_id", scores.micro("score").alias("score_micro")).orderBy("score_micro", "chunk_id").limit(50)
+    shown = F.shiftright("chunk_id", 24) * 1000 + F.col("chunk_id").bitwiseAND(F.lit((1 << 24) - 1))
+    return found.select(shown.alias("chunk_id"), scores.micro("score").alias("score_micro")).orderBy("score_micro", "chunk_id").limit(50)
 
 
 @query("query_answer_type", "SELECT item_id, CASE " + " ".join("WHEN regexp_matches(text, '(?i)\\b(" + cue.replace("'", "''") + f")\\b') THEN '{kind}'" for kind, cue in recall.TYPE_CUES) + " ELSE '' END AS answer_type FROM benchmark")

@@ -33,3 +33,14 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_chunks_of_a_long_text_are_not_merged_with_those_of_the_next(spark, tmp_path):
+    texts = {1: "word " * 300_200 + "token token", 2: "worthless token of another text", 3: "neither of them", 4: "nor here", 5: "nor there"}
+    spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(registry.oracle_sql()["recall_indexed_topk"]).fetchall()
+    assert [i for i, _ in found] == [2000, 2000]  # both texts have a chunk that the SQL numbers so
+    assert sorted((r.chunk_id, r.score_micro) for r in registry.queries()["recall_indexed_topk"](spark, str(tmp_path)).collect()) == sorted(found)
