@@ -1,16 +1,19 @@
 """HTML extraction by site template removal.
 
-A tolerant tokenizer makes the element tree of a page.  Element subtrees are hashed (name, class and id, text,
-children), Spark counts on how many pages of its host each hash occurs (copies of a page, by its main text, are one
-page), and subtrees on many of them are templates of that host.  A page's text is then its article (or main part, or body) without
-template subtrees and without the elements that are boilerplate by kind: menus, page headers and footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments.
+A tolerant tokenizer makes the element tree of a page.  Every element subtree has two hashes: of its content (names,
+classes, text) and of its shape alone (names, classes, share of links; runs of like children count once).  Spark counts
+on how many pages of its host each hash occurs (copies of a page, by its main text, are one page), and what occurs on
+many of them is a template of that host: by content anywhere but in the text blocks of an article, by shape only outside
+the main part (or among links, if nothing marks that part) and only where the shape says something.  A page's text is
+its main part without template subtrees.  Elements that are boilerplate by their kind (menus, page headers and footers,
+sidebars, notices, adverts, forms, scripts, styles, reader comments) go too, which serves hosts of few pages.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -21,54 +24,109 @@ from .common import bound_batches, free_name, materialize, table, text_or_empty
 
 #: A template's share of the host's pages, and the least number of pages.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.25, 5
-#: Rows of the template table up to which it is broadcast; beyond, pages and templates are joined by host.
-BROADCAST_ROWS = 100_000
+#: Rows of the template table up to which it is broadcast; beyond, pages and templates are joined by host, a host's pages in ``SALTS`` parts.
+BROADCAST_ROWS, SALTS = 100_000, 32
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split()
 )
 #: What an opening tag closes first, up to the given ancestors.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
-#: Boilerplate by kind, by role and by the words of class and id.
-DROPPED = frozenset("head script style noscript template iframe object svg canvas nav aside form button select textarea input dialog menu search title noembed noframes".split())
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer masthead menu modal nav navbar navigation "
-    "newsletter notice notification overlay pagination popup promo promoted promotion related replies respond share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar widget".split()
+#: Elements that never hold text of the page, and elements and roles that are boilerplate by kind.
+HIDDEN = frozenset("head script style noscript template iframe object svg canvas button select textarea input title noembed noframes".split())
+BOILERPLATE = frozenset("nav aside form dialog menu search footer".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words of classes and ids that tell boilerplate; those of reader comments; those of content.
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+BOILERPLATE_WORDS = COMMENT_WORDS | frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright footer masthead menu modal nav navbar navigation newsletter notice "
+    "notification overlay pagination popup promo promoted promotion related share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
-CONTENT_WORDS = frozenset("article content entry main post story".split())
+CONTENT_WORDS = frozenset("article content entry main post story text body".split())
+#: Words beside a word of boilerplate that only say where or how it stands; and those that make of it a state of something else, as in has-sidebar.
+PLACE_WORDS = frozenset("area bar block bottom box button buttons container form group header inner item left links list page primary right secondary section site thread title top wrap wrapper".split())
+STATE_WORDS = frozenset("allowed closed disabled enabled free has hide is layout no not off on open ready show supports with without".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
-WORDS = re.compile(r"[a-z0-9]+")
+SECTIONING = frozenset("nav aside footer header form dialog menu search".split())
+WORDS = re.compile(r"[a-z]+")
+#: Kinds of elements: text, never text, boilerplate by element or role, by a class that says nothing else, by a word of a class, reader comments, header.
+PLAIN, NEVER, ELEMENT, CLASS, WORD, COMMENTS, HEADER = range(7)
+
+
+@lru_cache(1 << 16)
+def kind_of_label(label: str) -> int:
+    """What the class and id of an element say: one of PLAIN, CLASS, WORD, COMMENTS."""
+    found = PLAIN
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label).lower().split():
+        words = frozenset(WORDS.findall(token))
+        if not words & BOILERPLATE_WORDS:
+            if words and words <= CONTENT_WORDS:
+                return PLAIN
+        elif words & STATE_WORDS or words & CONTENT_WORDS and words & {"wrap", "wrapper", "container"}:
+            continue
+        elif words & COMMENT_WORDS and words <= BOILERPLATE_WORDS | PLACE_WORDS | CONTENT_WORDS:
+            found = COMMENTS
+        elif found != COMMENTS:
+            found = CLASS if words <= BOILERPLATE_WORDS | PLACE_WORDS | CONTENT_WORDS or found == CLASS else WORD
+    return found
 
 
 class Node:
-    __slots__ = ("tag", "label", "words", "role", "hidden", "parent", "children", "hash", "size", "kept")
+    __slots__ = ("tag", "label", "role", "kind", "parent", "children", "hash", "shape", "size", "link", "holds")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.children, self.hash, self.size, self.kept = tag, parent, [], 0, 0, 0
-        self.label, self.role, self.words, self.hidden = "", "", frozenset(), False
-        if attributes and "=" in attributes or "hidden" in attributes:
+        self.tag, self.parent, self.children = tag, parent, []
+        self.label = self.role = ""
+        self.hash = self.shape = self.size = self.link = 0
+        self.holds = False  # an article or main part
+        hidden = False
+        if "=" in attributes or "hidden" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-            self.label = f"{found.get('class', '')}\t{found.get('id', '')}".lower()
+            self.label = f"{found.get('class', '')} {found.get('id', '')}".strip()
             self.role = found.get("role", "").lower()
-            self.words = frozenset(WORDS.findall(self.label))
-            self.hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+            hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        if tag in ("html", "body", "main", "#root") or self.role == "main":
+            self.kind = PLAIN
+        elif tag in HIDDEN or hidden:
+            self.kind = NEVER
+        elif tag in BOILERPLATE or self.role in BOILERPLATE_ROLES:
+            self.kind = ELEMENT
+        else:
+            self.kind = kind_of_label(self.label) if self.label else PLAIN
+            if tag == "article" and self.kind == WORD:
+                self.kind = PLAIN
+            if tag == "header" and self.kind == PLAIN:
+                self.kind = HEADER
+
+    def is_main(self) -> bool:
+        return self.tag in ("article", "main") or self.role == "main"
 
 
 def parse(page: str) -> Node:
-    """The element tree: children are nodes and strings."""
-    root = at = Node("#root", None)
+    """The element tree: children are nodes and strings.  Time is linear in the page, whatever is left open."""
+    root = Node("#root", None)
+    stack = [root]
+    depths: dict[str, list[int]] = {}  # of the open elements of each name
+    blocks = [0]  # depths of the open blocks
+
+    def close_to(depth: int) -> None:
+        while len(stack) > depth:
+            node = stack.pop()
+            depths[node.tag].pop()
+            if node.tag in BLOCKS:
+                blocks.pop()
+
     position = 0
     while True:
         m = TOKEN.search(page, position)
         if position < (m.start() if m else len(page)):
-            at.children.append(page[position : m.start() if m else len(page)])
+            stack[-1].children.append(page[position : m.start() if m else len(page)])
         if not m:
             return root
         position = m.end()
@@ -77,177 +135,221 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                # a closing tag does not reach out of a block when it belongs to inline text
-                node = root if tag not in BLOCKS and node.tag in BLOCKS else node.parent
-            if node is not root:
-                at = node.parent
+            # a closing tag does not reach out of a block when it belongs to inline text
+            if (open_ := depths.get(tag)) and (tag in BLOCKS or open_[-1] > blocks[-1]):
+                close_to(open_[-1])
             elif tag == "p":
-                at.children.append(Node("p", at))
+                stack[-1].children.append(Node("p", stack[-1]))
             continue
-        if tag in BLOCKS and tag not in ("html", "body", "head"):
-            node = at  # a block ends the paragraph it stands in
-            while node is not root and (node.tag == "p" or node.tag not in BLOCKS):
-                if node.tag == "p":
-                    at = node.parent
-                    break
-                node = node.parent
+        if tag in BLOCKS and tag not in ("html", "body", "head") and stack[blocks[-1]].tag == "p":
+            close_to(blocks[-1])  # a block ends the paragraph it stands in
         if closes := CLOSES.get(tag):
-            node = at
-            while node is not root and node.tag not in closes[1]:
-                if node.tag in closes[0]:
-                    at = node.parent
-                    break
-                node = node.parent
-        child = Node(tag, at, m[3])
-        at.children.append(child)
+            limit = max((d[-1] for t in closes[1] if (d := depths.get(t))), default=0)
+            ends = max((d[-1] for t in closes[0] if (d := depths.get(t))), default=0)
+            if ends > limit:
+                close_to(min(d for t in closes[0] for d in depths.get(t, ()) if d > limit) if tag == "tr" else ends)
+        child = Node(tag, stack[-1], m[3])
+        stack[-1].children.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, position)
+            end = RAW[tag].search(page, position)
             child.children.append(page[position : end.start() if end else len(page)])
             if not end:
                 return root
             position = page.find(">", end.end()) + 1 or len(page)
         elif tag not in VOID and not m[3].endswith("/"):
-            at = child
-
-
-def dropped(node: Node, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its kind."""
-    if node.tag in DROPPED or node.hidden or node.role in DROPPED_ROLES:
-        return True
-    if node.tag == "footer" or node.tag == "header" and not in_article:
-        return True
-    return bool(node.words & DROPPED_WORDS) and node.tag not in ("html", "body", "article", "main") or node.tag == "article" and bool(node.words & {"comment", "comments", "ad", "ads", "advert", "related", "promo", "sponsored"})
+            depths.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append(child)
 
 
-def main_size(tops: list[Node]) -> int:
-    """Length of the main text of a page without articles."""
-    return sum(n.kept for n in tops if n.tag not in ("article", "main"))
-
-
-def removable(node: Node, top: Node | None, whole: int) -> bool:
-    """Whether a template subtree may go: of a main text only what holds less than half of it, and of articles only containers, never text blocks."""
-    if top is None:
-        return True
-    if top.tag in ("article", "main"):
-        return node.tag in BLOCKS and node.tag not in TEXT_BLOCKS and 2 * node.size < top.size
-    return 2 * node.kept < whole
+def in_order(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [c for c in node.children if type(c) is Node]
+    return out
 
 
-def hash_subtrees(root: Node, tops: list[Node]) -> set[int]:
-    """Hash every element subtree; returns the hashes of those that may be templates: not the main parts ``tops`` nor what holds them."""
-    found: set[int] = set()
-    tops_, holds = {id(n): n for n in tops}, set()
-    plain = any(n.tag not in ("article", "main") for n in tops)
-    order: list[tuple[Node, Node | None]] = []
-    stack: list[tuple[Node, Node | None]] = [(root, None)]
-    while stack:
-        node, top = stack.pop()
-        order.append((node, top))
-        top = tops_.get(id(node), top)
-        stack += [(c, top) for c in node.children if type(c) is Node]
-    for node, _ in reversed(order):
-        parts, size, kept = [node.tag, node.label], 0, 0
+def measure(root: Node) -> list[Node]:
+    """Set the hashes, text sizes and ``holds`` of all elements; returns them, parents first.  What never is text counts for nothing."""
+    order = in_order(root)
+    for node in reversed(order):
+        if node.kind == NEVER:
+            continue
+        content, shape, size, link = [node.tag, node.label], [node.tag, re.sub(r"\d+", "#", node.label)], 0, 0
         for c in node.children:
             if type(c) is Node:
-                if id(c) in holds or id(c) in tops_:
-                    holds.add(id(node))
-                size += c.size
-                kept += c.kept
-                parts.append(f"#{c.hash}")
+                if c.kind != NEVER:
+                    size += c.size
+                    link += c.link
+                    content.append(f"#{c.hash:x}")
+                    if c.tag in BLOCKS and shape[-1] != (mark := f"#{c.shape:x}"):
+                        shape.append(mark)
+                if c.holds or c.is_main() and c.kind != COMMENTS and c.size:
+                    node.holds = True
             elif text := " ".join(c.split()):
                 size += len(text)
-                kept += len(text)
-                parts.append(text)
-        node.size = size
-        node.kept = kept if plain and kept and (id(node) in tops_ or not dropped(node, False)) else 0
-        node.hash = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "replace")) >> 1
-    whole = main_size(tops)
-    for node, top in order:
-        if node.size and id(node) not in holds and id(node) not in tops_ and node.tag not in DROPPED and node is not root and removable(node, top, whole):
-            found.add(node.hash)
-    return found
+                content.append(text)
+        node.size, node.link = size, size if node.tag == "a" else link
+        shape[0] += "@" if 2 * node.link >= size > 0 else ""
+        node.hash = xxhash.xxh3_64_intdigest("\x00".join(content).encode("utf-8", "replace")) >> 1
+        node.shape = xxhash.xxh3_64_intdigest("\x00".join(shape).encode("utf-8", "replace"), 1) >> 1
+    return order
 
 
-def articles(root: Node) -> list[Node]:
-    """The elements that hold the main text by kind: outermost articles, else main elements, else marked containers; may be none."""
-    best: list[list[Node]] = [[], [], []]
-    stack = [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        if node is not root and dropped(node, inside):
-            continue
-        level = 0 if node.tag == "article" else 1 if node.tag == "main" or node.role == "main" else 2 if node.tag in ("div", "section", "td") and node.words & CONTENT_WORDS else None
-        if level is not None:
-            best[level].append(node)
-        if level != 0:
-            stack += [(c, inside or level is not None) for c in reversed(node.children) if type(c) is Node]
-    for level, nodes in enumerate(best):
-        if nodes:
-            if level == 0:
-                return nodes
-            outer = {id(n) for n in nodes}
-
-            def inner(n: Node) -> bool:
-                while (n := n.parent) is not None:
-                    if id(n) in outer:
-                        return True
-                return False
-
-            return [n for n in nodes if not inner(n)]
-    return []
-
-
-def text_blocks(top: Node, templates: frozenset[int], is_article: bool, whole: int = 0) -> list[str]:
-    blocks: list[str] = []
-    current: list[str] = []
-
-    def close():
-        if text := " ".join(entities.unescape("".join(current)).split()):
-            blocks.append(text)
-        current.clear()
-
-    stack: list = [top]
-    while stack:
-        node = stack.pop()
-        if node is None:
-            close()
-        elif type(node) is str:
-            current.append(node)
-        elif node is not top and (dropped(node, is_article) or node.hash in templates and removable(node, top, whole)):
-            current.append(" ")
-        elif node.tag in ("br", "td", "th", "wbr"):
-            current.append("" if node.tag == "wbr" else " ")
-            stack += reversed(node.children)
-        elif node.tag in BLOCKS:
-            close()
-            stack.append(None)
-            stack += reversed(node.children)
-        else:
-            stack += reversed(node.children)
-    close()
-    return blocks
-
+def dropped(node: Node, in_article: bool, whole: int, by_class: bool = True) -> bool:
+    """Whether an element of a main text of ``whole`` characters is boilerplate by its kind.
 
-def _text(tops: list[Node], templates: frozenset[int] = frozenset(), whole: int = 0) -> str:
-    return "\n\n".join(b for n in tops for b in text_blocks(n, templates, n.tag in ("article", "main"), whole))
+    A class that says nothing but boilerplate drops an element, one that says more only an element without an article
+    and with less than half of the text.
+    """
+    kind = node.kind
+    if kind == PLAIN or kind == NEVER:
+        return kind == NEVER
+    if kind == HEADER:
+        return not in_article and not node.holds
+    if kind == ELEMENT:
+        return node.tag != "form" or not (node.holds or 2 * node.size >= whole)
+    if not by_class:
+        return False
+    return kind != WORD or 2 * node.size < whole and not node.holds
+
+
+def main_parts(root: Node) -> list[Node]:
+    """The elements that hold the main text: outermost articles, else main elements, else containers marked as content that hold half of the text; may be none."""
+
+    def collect(strict: bool) -> list[list[Node]]:
+        found: list[list[Node]] = [[], [], []]
+        stack = [(root, 3)]
+        while stack:
+            node, above = stack.pop()
+            if node.kind == NEVER or node.kind == COMMENTS or strict and node is not root and dropped(node, above < 3, 1 << 62):
+                continue
+            level = 0 if node.tag == "article" else 1 if node.is_main() else 2 if node.tag in ("div", "section", "td") and any(t in CONTENT_WORDS for t in WORDS.findall(node.label.lower())) else 3
+            if level < above and node.size:
+                found[level].append(node)
+            if level:
+                stack += [(c, min(level, above)) for c in reversed(node.children) if type(c) is Node]
+        return found
+
+    found = collect(True)
+    if not found[0] and not found[1] and root.holds:
+        found = collect(False)  # all articles stand in what looks like boilerplate
+    for nodes in found[:2]:
+        if nodes:
+            return nodes
+    return found[2] if 2 * sum(n.size for n in found[2]) >= root.size > 0 else []
 
 
-def subtrees(page: str) -> tuple[int, list[int]]:
+def bulk(root: Node) -> Node:
+    """The smallest container of more than half of the text that is no link."""
+    node, whole = root, root.size - root.link
+    while True:
+        inner = next((c for c in node.children if type(c) is Node and c.tag in BLOCKS and c.tag not in TEXT_BLOCKS and 2 * (c.size - c.link) > whole), None)
+        if inner is None:
+            return node
+        node = inner
+
+
+class Page:
+    """A parsed page with its main parts.  ``by_kind=False`` leaves all removal to templates: no kind of element goes, and text outside the main parts stays."""
+
+    def __init__(self, html: str, by_kind: bool = True):
+        self.root, self.by_kind = parse(html), by_kind
+        self.order = measure(self.root)
+        self.parts = main_parts(self.root)
+        #: what templates by shape leave alone: the main parts, whatever they hold, and whatever holds them; of unmarked main parts, links may go
+        self.kept_shapes: set[int] = set()
+        self.part_of: dict[int, Node] = {}
+        tops = self.parts or [bulk(self.root)]
+        for top in tops:
+            node = top
+            while node is not None and id(node) not in self.kept_shapes:
+                self.kept_shapes.add(id(node))
+                node = node.parent
+            for node in in_order(top)[1:]:
+                if self.parts:
+                    self.part_of[id(node)] = top
+                if self.parts or 2 * node.link < node.size:
+                    self.kept_shapes.add(id(node))
+
+    def content_may_go(self, node: Node) -> bool:
+        """A template by content: in an article only a container with less than half of its text, elsewhere what holds less than half of the page's text."""
+        part = self.part_of.get(id(node))
+        if part is not None and part.is_main():
+            return node.tag in BLOCKS and node.tag not in TEXT_BLOCKS and 2 * node.size < part.size
+        if self.parts:
+            return part is not None and 2 * node.size < part.size or part is None and id(node) not in self.kept_shapes
+        return 2 * node.size < self.root.size
+
+    def shape_may_go(self, node: Node) -> bool:
+        """A template by shape: outside the main part, and of a shape that says something."""
+        return id(node) not in self.kept_shapes and node.tag in BLOCKS and node.tag not in TEXT_BLOCKS and bool(node.label or node.tag in SECTIONING or 2 * node.link >= node.size)
+
+    def candidates(self) -> set[int]:
+        """The hashes of all subtrees that may be templates."""
+        found: set[int] = set()
+        for node in self.order:
+            if node.size and node is not self.root:
+                if self.content_may_go(node):
+                    found.add(node.hash)
+                if self.shape_may_go(node):
+                    found.add(node.shape)
+        return found
+
+    def is_template(self, node: Node, templates: frozenset[int]) -> bool:
+        return node.hash in templates and self.content_may_go(node) or node.shape in templates and self.shape_may_go(node)
+
+    def blocks(self, top: Node, templates: frozenset[int], by_class: bool) -> list[str]:
+        out: list[str] = []
+        current: list[str] = []
+
+        def close():
+            if text := " ".join(entities.unescape("".join(current)).split()):
+                out.append(text)
+            current.clear()
+
+        in_article, whole = top.is_main(), top.size
+        stack: list = [top]
+        while stack:
+            node = stack.pop()
+            if node is None:
+                close()
+            elif type(node) is str:
+                current.append(node)
+            elif node is not top and ((dropped(node, in_article, whole, by_class) if self.by_kind else node.kind == NEVER) or templates and self.is_template(node, templates)):
+                current.append(" ")
+            elif node.tag in ("br", "td", "th", "wbr"):
+                current.append("" if node.tag == "wbr" else " ")
+                stack += reversed(node.children)
+            elif node.tag in BLOCKS:
+                close()
+                stack.append(None)
+                stack += reversed(node.children)
+            else:
+                stack += reversed(node.children)
+        close()
+        return out
+
+    def text(self, templates: frozenset[int] = frozenset()) -> str:
+        """The main text: blocks joined by two line feeds.  Classes are not heeded where nothing would be left."""
+        tops = self.parts if self.parts and self.by_kind else [self.root]
+        for by_class in (True, False):
+            if text := "\n\n".join(b for top in tops for b in self.blocks(top, templates, by_class)):
+                return text
+        return ""
+
+
+def subtrees(html: str) -> tuple[int, set[int]]:
     """A hash of the main text of a page, and the distinct hashes of its subtrees that may be templates of its host."""
-    root = parse(page)
-    tops = articles(root) or [root]
-    return xxhash.xxh3_64_intdigest(_text(tops).encode("utf-8", "replace")) >> 1, list(hash_subtrees(root, tops))
+    page = Page(html)
+    return xxhash.xxh3_64_intdigest(page.text().encode("utf-8", "replace")) >> 1, page.candidates()
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """The main text of a page: blocks joined by two line feeds."""
-    root = parse(page)
-    tops = articles(root) or [root]
-    if templates:
-        hash_subtrees(root, tops)
-    return _text(tops, templates, main_size(tops))
+def main_text(html: str, templates: frozenset[int] = frozenset(), by_kind: bool = True) -> str:
+    return Page(html, by_kind).text(templates)
 
 
 def host_of(url: str):
@@ -255,7 +357,7 @@ def host_of(url: str):
 
 
 def site_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, url: str = "url", html: str = "html") -> DataFrame:
-    """host, templates (hashes of subtrees on at least ``share`` and ``least`` of the host's pages).
+    """host, templates (hashes of subtrees, by content or shape, on at least ``share`` and ``least`` of the host's pages).
 
     Pages of a host with the same main text count as one: what copies of a page repeat is its content.  A host has at most (subtrees of a page) / ``share`` of them, however many pages it has.
     """
@@ -265,7 +367,7 @@ def site_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int =
             hosts, bodies, hashes = [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
                 body, found = subtrees(page)
-                found.append(-1)  # counts the page itself
+                found.add(-1)  # counts the page itself
                 hosts += [host] * len(found)
                 bodies += [body] * len(found)
                 hashes += found
@@ -277,19 +379,24 @@ def site_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int =
     return counts.filter("h <> -1").join(total, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("templates"))
 
 
-def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, url: str = "url", html: str = "html", by_kind: bool = True) -> DataFrame:
     """``pages`` without ``html``, with text (main text) and n_chars (code points).
 
     Null or empty html gives an empty text; pages without a url share one host.  Copies of a page count as one page and are
-    extracted each.  An empty table gives an empty result.  Existing columns text and n_chars are replaced.
+    extracted each; very long and very deep pages take time linear in their length.  An empty table gives an empty result.
+    Existing columns text and n_chars are replaced.
     """
     bound_batches(pages.sparkSession)
     templates = materialize(site_templates(pages, share, least, url, html), "html-templates")
     n = templates.agg(F.sum(F.size("templates"))).first()[0] or 0
-    host, found, page = (free_name(pages, c) for c in ("host", "templates", "page"))
+    host, found, page, salt = (free_name(pages, c) for c in ("host", "templates", "page", "salt"))
     kept = pages.drop(*({"text", "n_chars"} - {html, url})).withColumn(host, host_of(url)).withColumn(page, text_or_empty(html)).drop(html)
     table_ = templates.select(F.col("host").alias(host), F.col("templates").alias(found))
-    joined = kept.join(F.broadcast(table_) if n <= BROADCAST_ROWS else table_, host, "left").drop(host)
+    if n <= BROADCAST_ROWS:
+        joined = kept.join(F.broadcast(table_), host, "left").drop(host)
+    else:
+        salted = table_.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = kept.withColumn(salt, F.pmod(F.xxhash64(page), F.lit(SALTS)).cast("int")).join(salted, [host, salt], "left").drop(host, salt)
     schema = joined.drop(found, page).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches):
@@ -299,7 +406,7 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
             for body, hashes in zip(batch.column(page).to_pylist(), batch.column(found).to_pylist()):
                 if hashes != last:
                     last, known = hashes, frozenset(hashes or ())
-                texts.append(main_text(body, known))
+                texts.append(main_text(body, known, by_kind))
             keep = [i for i, c in enumerate(batch.schema.names) if c not in (found, page)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 

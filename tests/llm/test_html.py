@@ -1,3 +1,6 @@
+import time
+from collections import defaultdict
+
 import pytest
 
 from lorekeep.llm import html_extract as hx
@@ -65,3 +68,83 @@ def test_join_by_host_gives_the_same(spark, monkeypatch):
     first = sorted(map(tuple, hx.extract(df).collect()))
     monkeypatch.setattr(hx, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, hx.extract(df).collect())) == first
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="page has-sidebar"><article>x</article></div>',
+        '<div class="no-sidebar share"><main>x</main></div>',
+        '<article><div class="post-content social-ready">x</div></article>',
+        '<article><div class="entry social"><p>x</div></article>',
+        '<form id="aspnet"><article>x</article></form>',
+        '<header><main>x</main></header>',
+        '<div class="related"><article>other</article></div><aside><article>other</article></aside><article>x</article>',
+        '<article>x<section class="post-comments"><p>a comment longer than the text</p></section></article>',
+        '<div class="content-sidebar-wrap"><div id="content"><p>x</div><div id="sidebar">y</div></div>',
+        '<body style="display:none"><div class="siteHeader menu">a b c</div><p>x</body>',
+        '<table><tr><td class="sidebar">y<td class="content">x</table>',
+    ],
+)
+def test_what_holds_the_article_stays(page):
+    assert hx.main_text(page) == "x"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000, "<div>" * 50_000 + "<li></li>" * 50_000, "<main>" * 50_000, "<a " * 100_000 + '"', "<tr><td>" * 50_000, "<b>" * 50_000 + "<div></div>" * 50_000, "<p " * 100_000, "<!" * 100_000])
+def test_long_and_deep_pages_take_linear_time(page):
+    start = time.monotonic()
+    assert hx.main_text(page + "x") in ("", "x")
+    assert time.monotonic() - start < 20  # about a second; the square of the length would take hours
+
+
+def counted_templates(rows):
+    """Templates of each host by plain counting."""
+    pages = [(url.split("/")[2], hx.Page(html)) for _, url, html in rows]
+    bodies, on = defaultdict(set), defaultdict(set)
+    for host, page in pages:
+        bodies[host].add(page.text())
+        for h in page.candidates():
+            on[host, h].add(page.text())
+    found = defaultdict(set)
+    for (host, h), texts in on.items():
+        if len(texts) >= hx.TEMPLATE_PAGES and len(texts) >= hx.TEMPLATE_SHARE * len(bodies[host]):
+            found[host].add(h)
+    return found
+
+
+def site(n_hosts=3, n_pages=30):
+    rows = []
+    for i in range(n_hosts * n_pages):
+        menu = "".join(f"<li><a href='/{i + j}'>entry {i * j}</a>" for j in range(2 + i % 5))
+        ad = f"<div class=x{i % n_hosts}>offer {i}: words that are new on every page {i * 7}</div>" if i % 3 else ""
+        body = "".join(f"<p>Paragraph {j} of page {i}. " + "More words of it. " * (j + i % 4) for j in range(1 + i % 6))
+        rows.append((i, f"http://h{i % n_hosts}.example/{i}", f"<body><div class=top><ul>{menu}</ul></div>{ad}<div><h1>Page {i}</h1>{body}</div><div id=end{i}>copyright {i}</div></body>"))
+    return rows
+
+
+def test_query_equals_plain_counting(spark):
+    rows = site()
+    known = counted_templates(rows)
+    expected = {i: hx.main_text(html, frozenset(known[url.split("/")[2]])) for i, url, html in rows}
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+    for i, _, _ in rows:  # menus, offers and ends go by their shape, though no two have the same text
+        assert got[i].startswith(f"Page {i}\n\nParagraph 0 of page {i}.") and "offer" not in got[i] and "entry" not in got[i] and "copyright" not in got[i]
+
+
+def test_templates_alone_give_the_text_of_the_sample_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.collect()]
+    known = counted_templates(rows)
+    large = [(i, html, frozenset(known[url.split("/")[2]])) for i, url, html in rows if known[url.split("/")[2]]]
+    assert large
+    for _, html, templates in large:
+        assert hx.main_text(html, templates, by_kind=False) == hx.main_text(html, templates)
+        assert hx.main_text(html, templates, by_kind=False) != hx.main_text(html, by_kind=False)
+
+
+def test_null_pages_and_hot_hosts(spark):
+    rows = [(i, None if i % 2 else "http://hot.example/", None if i % 7 == 0 else f"<div class=a><a href={i}>menu {i}</a></div><p>text {i}</p>") for i in range(60)]
+    df = spark.createDataFrame([*rows, *rows], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in hx.extract(df).collect())
+    assert got == sorted((i, t := "" if html is None else f"text {i}", len(t)) for i, _, html in rows * 2)
