@@ -2,19 +2,27 @@
 
 Detected entities are replaced by others of their kind.  A surrogate is a keyed permutation of the entity within
 its own format: letters stay letters of their script and case, digits digits, separators stay where they are,
-card numbers keep their check digit, and names take names of the same gender and script.  As a permutation it keeps
-different entities of one format apart, and as a function of the entity alone it gives an entity the same surrogate
-wherever it occurs.  What a permutation cannot promise is checked over the whole corpus: a surrogate that is a real
-entity of the corpus, or that two entities share, is drawn again under the next round of the key, until none is left.
-Names, whose surrogates are few, are drawn from a larger range in every round; secrets and addresses leave their format
-after ``FORMAT_ROUNDS``, as some formats hold too few values.
+card and account numbers keep valid check digits, and names take names of the same gender and script, given names and
+surnames by maps of their own.  As a permutation it keeps different entities of one format apart, and as a function of
+the entity alone it gives an entity the same surrogate wherever it occurs.  What a permutation cannot promise is checked
+over the whole corpus: a surrogate that is a real entity of the corpus, or that two entities share, is drawn again under
+the next round of the key, until none is left.  Names, whose surrogates are few, are drawn from a larger range in every
+round; secrets and addresses leave their format after ``FORMAT_ROUNDS``, as some formats hold too few values.
+
+Detected are: secrets (beside a key word, or keys that show by their format), e-mail addresses, IBANs and card numbers
+with valid check digits, IPv4 and IPv6 addresses, telephone numbers, numbers of the form 123-45-6789, and names in Latin,
+Cyrillic or Greek letters after a title (and further mentions of the same whole name in that text).  Out of scope are
+names without any title, dates of birth and postal addresses.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import unicodedata
+from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
@@ -25,7 +33,10 @@ from pyspark.sql import types as T
 from ..functions import privacy
 from .common import bound_batches, discard, free_name, materialize, table, text_or_empty
 
-KEY = b"lorekeep surrogate key"
+#: Where the key is configured.  Who has it can undo all surrogates but those of names.
+KEY_SETTING = "spark.lorekeep.surrogate.key"
+#: The key of the queries over synthetic tables, where none is configured; ``pseudonymize`` itself has no default.
+SAMPLE_KEY = b"key of the synthetic tables"
 #: Entities that needed more than one round, up to which they travel with the code; beyond, they are joined by document.
 CLOSURE_ROWS = 50_000
 #: Rounds in which secrets and local parts of addresses keep their format.
@@ -33,12 +44,23 @@ FORMAT_ROUNDS = 4
 #: Rounds without a collision less after which a corpus counts as one whose entities fill their formats.
 STALLED_ROUNDS = 32
 
+
+def _letters_of(category: str) -> str:
+    """The inside of a character class: all letters of a category in Latin, Greek or Cyrillic."""
+    return "".join(chr(c) for c in range(0x41, 0x2000) if unicodedata.category(chr(c)) == category and unicodedata.name(chr(c)).split()[0] in ("LATIN", "GREEK", "CYRILLIC"))
+
+
+_UP, _LOW = f"[{_letters_of('Lu')}]", f"[{_letters_of('Ll')}]"
 #: What may stand between the parts of one entity: blanks, and the decoration of noisy texts.
-_GAP = r"[\s|!#$%&*]{0,8}"
+_GAP = r"[\s|!#$%&*]*+"
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Monsieur|Madame|Mme|Herr|Frau|Señor|Señora|Sr|Sra|Г-н|Г-жа|Господин|Госпожа)"
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_FEMALE = frozenset("Mrs Ms Miss Lady Dame Madame Mme Mademoiselle Herrin Frau Señora Sra Señorita Г-жа Госпожа Κυρία".split())
+_ANY = frozenset("Dr Prof Doctor Professor Доктор Профессор".split())
+_MALE = frozenset("Mr Sir Lord Monsieur Herr Señor Sr Г-н Господин Κύριος".split())
+_TITLE = "(?:" + "|".join(sorted(_FEMALE | _ANY | _MALE, key=len, reverse=True)) + ")"
+_WORD = rf"(?:(?:Mc|Mac|[OD]['’])?{_UP}{_LOW}+(?:[-'’]{_UP}{_LOW}+)*)"
+_NAME = rf"(?:{_UP}\.\s*)*{_WORD}(?:\s+{_WORD})?"
 #: Without quotes, a word is a secret if it has a digit or is as long as ``functions.privacy`` asks; stops after it are not of it.
 _UNQUOTED = r"(?=[^\"'\s,;]*\d)[^\"'\s,;]{5,}[^\"'\s,;.:!?)\]}|#$%&*]|[A-Za-z0-9_\-.+/=]{11,}[A-Za-z0-9_\-+/=]"
 #: Keys that show by their own format, in ``functions.privacy``; all but a bot's token begin with one of a few letters.
@@ -48,32 +70,70 @@ _KEY_LABELS = frozenset(
 )
 _KEYS = "|".join(p for label, p in privacy.PATTERNS if label in _KEY_LABELS)
 _BOT = dict(privacy.PATTERNS)["discord-bot"]
-_KEY_HINT = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|npm_|pypi-|sk-|xox[abprs]-|hooks\.slack|AIza|_(?:live|test)_|SG\.|(?:SK|AC|AU)[a-f0-9]{32}|eyJ|[A-Za-z0-9_\-]\.[A-Za-z0-9_\-]{6}\."
+_GROUP = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "secret": rf"(?i:(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?key)\b){_GAP}[:=]{_GAP}(?:[\"'](?P<secret>[^\"'\s]{{6,}})[\"']|(?P<unquoted>{_UNQUOTED}))",
     "key": rf"\b(?P<key>(?=[ASeghnprsx])(?:{_KEYS})|{_BOT})",
-    "email": rf"(?P<email>{_EMAIL})",
+    "email": rf"(?<![A-Za-z0-9._%+\-])[._%+\-]*+(?P<email>{_EMAIL})",
+    "ip6": rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?P<ip6>(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![\w:]|\.\w)",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)",
     "card": r"(?<!\d)(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19})(?!\d)",
-    "phone": rf"(?P<phone>\+\d{{1,3}}{_GAP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_GAP}[-.]?{_GAP}\d{{2,4}}){{2,4}}|(?<![\d.])\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}|(?<![\d.\-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}})(?!\d)",
+    "phone": rf"(?P<phone>\+\d{{1,3}}{_GAP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_GAP}[-.]?{_GAP}\d{{2,4}}){{2,4}}|(?<![\d.])\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}|(?<![\d.\-])(?:\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|0\d{{2,4}}[ -]\d{{3,4}}[ -]\d{{3,4}}))(?!\d)",
     "ssn": r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-])",
-    "person": rf"\b(?P<title>{_TITLE})\.?\s+(?P<person>{_NAME}(?:\s+{_NAME})?)",
+    "person": rf"\b(?P<title>{_TITLE})\.?\s+(?P<person>{_NAME})",
 }
-DETECTOR = re.compile("|".join(PATTERNS.values()))
-#: A text without any of these holds no entity.
-HINT = re.compile(rf"@|\d\.?\d|[:=]|\b{_TITLE}\b|{_KEY_HINT}")
-KINDS = ("secret", "email", "iban", "ip", "card", "phone", "ssn", "person")
-_FEMALE = frozenset("Mrs Ms Miss Madame Mme Frau Señora Sra Г-жа Госпожа".split())
+#: What stands in every key of ``_KEYS``, and the end of a bot's.
+_KEY_MARKS = "AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- npm_ pypi- sk- xoxa- xoxb- xoxp- xoxr- xoxs- hooks.slack AIza _live_ _test_ SG. eyJ".split()
+_KEY_REST = re.compile(r"(?:SK|AC|AU)[a-f0-9]{32}|\.[A-Za-z0-9_\-]{6}\.")
+_KEY_WORDS = "key secret token password passwd pwd".split()
+
+
+def _hint(pattern: str):
+    search = re.compile(pattern).search
+    return lambda text: search(text) is not None
+
+
+def _names_a_secret(text: str) -> bool:
+    small = text.casefold()
+    return any(w in small for w in _KEY_WORDS)
+
+
+#: A text without its hint holds no entity of a pattern, and is not searched for it.
+HINTS = {
+    "secret": _names_a_secret,
+    "key": lambda text: any(w in text for w in _KEY_MARKS) or _KEY_REST.search(text) is not None,
+    "email": lambda text: "@" in text,
+    "ip6": _hint(r":(?::|[0-9A-Fa-f]{1,4}:)"),
+    "iban": _hint(r"[A-Z]{2}\d{2}"),
+    "ip": _hint(r"\d\.\d{1,3}\."),
+    "card": _hint(r"\d{4}[ -]?\d{4}"),
+    "phone": _hint(r"\+\d|\(\d|\d\d[-. ]\d{3}"),
+    "ssn": _hint(r"\d-\d\d-\d"),
+    "person": _hint(_TITLE),
+}
+KINDS = ("secret", "email", "iban", "ip", "ip6", "card", "phone", "ssn", "person")
 
-#: Given names by script and gender, and the syllables that surnames are made of.
+#: Given names by script and gender (n: the title does not tell), and the syllables that other names are made of.
 GIVEN = {
     ("latin", "f"): "Alma Bea Clara Dora Edda Flora Greta Hanna Ida Jana Klara Lena Mira Nora Olga Petra Rosa Sara Tilda Vera".split(),
     ("latin", "m"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oskar Paul Rolf Simon Theo Viktor".split(),
+    ("latin", "n"): "Alex Charlie Eden Jamie Kai Kim Luca Niki Noa Quinn Remy Robin Rory Sage Sam Sascha Toni".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Лидия Мария Нина Ольга Полина Раиса Софья Тамара".split(),
     ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Марк Никита Олег Павел Роман Семён".split(),
+    ("cyrillic", "n"): "Валя Женя Саша Слава Шура".split(),
+    ("greek", "f"): "Άννα Ελένη Ζωή Μαρία Σοφία".split(),
+    ("greek", "m"): "Ανδρέας Γιώργος Κώστας Νίκος Πέτρος".split(),
+    ("greek", "n"): "Άλεξ Λου Νίκη".split(),
+}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo za ze".split(),
+    "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split(),
+    "greek": "βα βε γα γο δα δε ζα ζε κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε σα σε τα τε το".split(),
 }
-SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha ho ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo za ze".split(), "cyrillic": "ба бе бо ва ве да де до за зе ка ко ла ле ло ма ме мо на не но па по ра ре ро са се со та те то".split()}
+#: How made-up given names end by gender, and endings of surnames that stay, as gender shows in them.
+ENDINGS = {"latin": {"f": "ra", "m": "n", "n": "i"}, "cyrillic": {"f": "ла", "m": "н", "n": "ся"}, "greek": {"f": "λα", "m": "ς", "n": "ι"}}
+SURNAME_ENDING = re.compile(r"(?<=..)(?:[оеё]ва|[оеё]в|[иы]на|[иы]н|[сц]кий|[сц]кая)$")
 #: A draw has 256 bits, and this many syllables fewer.
 MOST_SYLLABLES = 40
 _RANGES = [(ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (ord("а"), 32), (ord("А"), 32), (ord("α"), 17), (ord("Α"), 17)]
@@ -145,13 +205,83 @@ def canonical(kind: str, text: str, title: str = "") -> str:
         return "+" * text.startswith("+") + re.sub(r"\D", "", text)
     if kind == "iban":
         return text.replace(" ", "")
+    if kind == "ip6":
+        return ipaddress.IPv6Address(text).compressed
     if kind == "person":
-        gender = "f" if title in _FEMALE else "m"
-        return f"{gender}:{' '.join(text.split())}"
+        gender = "f" if title in _FEMALE else "n" if title in _ANY else "m"
+        return f"{gender}:{' '.join(re.sub(r'[.]', '. ', text).split())}"
     return text
 
 
-def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
+def iban_digits(country: str, account: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{account}{country}00')) % 97:02d}"
+
+
+def genuine(kind: str, text: str) -> bool:
+    """Whether what a pattern found has the check digits or the form that its kind asks for."""
+    if kind == "card":
+        digits = re.sub(r"\D", "", text)
+        return luhn_digit(digits[:-1]) == digits[-1]
+    if kind == "iban":
+        number = text.replace(" ", "")
+        return iban_digits(number[:2], number[4:]) == number[2:4]
+    if kind == "ip6":
+        try:
+            return ipaddress.IPv6Address(text) is not None
+        except ValueError:
+            return False
+    return True
+
+
+def _script(word: str) -> str:
+    first = ord(word[0])
+    return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 or 0x1F00 <= first < 0x2000 else "latin"
+
+
+def _made_up(key: bytes, tweak: str, round_: int, syllables: list[str], n: int) -> str:
+    x, out = _draw(key, tweak, round_, 0, 0), ""
+    for _ in range(min(n, MOST_SYLLABLES)):
+        x, d = divmod(x, len(syllables))
+        out += syllables[d]
+    return out
+
+
+def name_parts(entity: str) -> list[tuple[str, str]]:
+    """The parts of a person (gender:name) that have surrogates of their own: (kind, what is mapped) with what stands between as kind ''."""
+    gender, _, name = entity.partition(":")
+    words = name.split()
+    out: list[tuple[str, str]] = []
+    for i, word in enumerate(words):
+        out += [("", " ")] * (i > 0)
+        for part in re.split(r"([-'’])", word):
+            if part in ("-", "'", "’"):
+                out.append(("", part))
+            elif part.endswith(".") or len(part) == 1:
+                out.append(("initial", part))
+            elif i < len(words) - 1:
+                out.append(("given", f"{gender}:{part}"))
+            else:
+                end = m[0] if (m := SURNAME_ENDING.search(part)) else ""
+                out += [("surname", part[: len(part) - len(end)]), *([("", end)] if end else [])]
+    return out
+
+
+def mapped(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What of an entity is mapped, and must be told apart in the corpus: the parts of a name, else the entity."""
+    return [p for p in name_parts(entity) if p[0] in ("given", "surname")] if kind == "person" else [(kind, entity)]
+
+
+def name_surrogate(entity: str, round_of, key: bytes) -> str:
+    """The surrogate of a person, ``round_of`` being the round of each (kind, part)."""
+    gender, out = entity[:1], []
+    for kind, part in name_parts(entity):
+        new = part if not kind else permute_format(part, key, "initial", 0) if kind == "initial" else surrogate(kind, part, round_of((kind, part)), key)
+        out.append(new.partition(":")[2] if kind == "given" else new)
+    return f"{gender}:{''.join(out)}"
+
+
+def surrogate(kind: str, entity: str, round_: int, key: bytes) -> str:
     """The surrogate of a canonical entity, itself canonical and of the same kind, and up to ``FORMAT_ROUNDS`` of the same format."""
     wider = 4 * (round_ - FORMAT_ROUNDS + 1)
     if kind == "secret" and wider > 0:
@@ -165,27 +295,30 @@ def surrogate(kind: str, entity: str, round_: int = 0, key: bytes = KEY) -> str:
         a, b, c, d = map(int, entity.split("."))
         x = permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 16, 1 << 16, key, "ip", round_)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ip6":
+        return ipaddress.IPv6Address(permute(int(ipaddress.IPv6Address(entity)), 1 << 64, 1 << 64, key, "ip6", round_)).compressed
     if kind == "card" and luhn_digit(entity[:-1]) == entity[-1]:
         body = permute_format(entity[:-1], key, "luhn", round_)
         return body + luhn_digit(body)
     if kind == "phone" and entity.startswith("+"):
         n = max(0, len(entity) - 10)
         return entity[:n] + permute_format(entity[n:], key, "phone", round_)
+    if kind == "phone" and entity.startswith("0"):
+        return "0" + permute_format(entity[1:], key, "phone0", round_)
     if kind == "iban":
-        return entity[:2] + permute_format(entity[2:], key, "iban", round_)
+        account = permute_format(entity[4:], key, f"iban\x01{entity[:2]}", round_)
+        return entity[:2] + iban_digits(entity[:2], account) + account
     if kind == "person":
+        return name_surrogate(entity, lambda part: round_, key)
+    if kind == "given":
         gender, _, name = entity.partition(":")
-        parts = name.split()
-        script = "cyrillic" if "А" <= parts[-1][0] <= "я" or parts[-1][0] in "Ёё" else "latin"
-        given, syllables = GIVEN[script, gender], SYLLABLES[script]
-        # a surname has one surrogate at first; drawn again, each whole name has its own, a syllable longer every round
-        x = _draw(key, f"name\x01{' '.join(parts) if round_ else parts[-1]}", round_, 0, 0)
-        last = ""
-        for _ in range(3 + min(round_, MOST_SYLLABLES - 3)):
-            x, d = divmod(x, len(syllables))
-            last += syllables[d]
-        first = [given[_draw(key, f"given\x01{gender}\x01{p}", round_, 1, 0) % len(given)] for p in parts[:-1]]
-        return f"{gender}:{' '.join([*first, last.capitalize()])}"
+        script = _script(name)
+        if not round_:
+            given = GIVEN[script, gender]
+            return f"{gender}:{given[_draw(key, f'given\x01{entity}', 0, 1, 0) % len(given)]}"
+        return f"{gender}:{(_made_up(key, f'given\x01{entity}', round_, SYLLABLES[script], 1 + round_) + ENDINGS[script][gender]).capitalize()}"
+    if kind == "surname":
+        return _made_up(key, f"name\x01{entity}", round_, SYLLABLES[_script(entity)], 3 + round_).capitalize()
     return permute_format(entity, key, kind, round_)
 
 
@@ -204,26 +337,38 @@ def shaped(kind: str, original: str, entity: str, new: str) -> str:
     return new
 
 
+@lru_cache(1 << len(PATTERNS))
+def _detector(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(PATTERNS[n] for n in names))
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical entity) of every entity, in order and disjoint; later bare mentions of a titled name count too."""
-    if not HINT.search(text):
+    searched = tuple(n for n, hint in HINTS.items() if hint(text))
+    if not searched:
         return []
     found = []
-    for m in DETECTOR.finditer(text):
+    for m in _detector(searched).finditer(text):
         group = m.lastgroup
         kind = "secret" if group in ("unquoted", "key") else group
-        found.append((m.start(group), m.end(group), kind, canonical(kind, m[group], m["title"] or "")))
+        if genuine(kind, m[group]):
+            found.append((m.start(group), m.end(group), kind, canonical(kind, m[group], m["title"] if kind == "person" else "")))
     names = {text[a:b]: e for a, b, kind, e in found if kind == "person"}
     if names:
         bare = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
         taken = [(a, b) for a, b, _, _ in found]
-        extra = [(m.start(), m.end(), "person", names[m[0]]) for m in bare.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        extra, at = [], 0
+        for m in bare.finditer(text):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or taken[at][0] >= m.end():
+                extra.append((m.start(), m.end(), "person", names[m[0]]))
         found = sorted(found + extra)
     return found
 
 
-def replace(text: str, rounds: dict[tuple[str, str], int], key: bytes = KEY, cache: dict | None = None) -> tuple[str, int]:
-    """``text`` with its entities replaced, and their number.  ``rounds`` has the entities whose round is not 0."""
+def replace(text: str, rounds: dict[tuple[str, str], int], key: bytes, cache: dict | None = None) -> tuple[str, int]:
+    """``text`` with its entities replaced, and their number.  ``rounds`` has what is mapped and whose round is not 0."""
     out, at, found = [], 0, detect(text)
     cache = {} if cache is None else cache
     for a, b, kind, entity in found:
@@ -231,7 +376,8 @@ def replace(text: str, rounds: dict[tuple[str, str], int], key: bytes = KEY, cac
         if new is None:
             if len(cache) > 100_000:
                 cache.clear()
-            new = cache[kind, entity] = surrogate(kind, entity, rounds.get((kind, entity), 0), key)
+            round_of = lambda part: rounds.get(part, 0)
+            new = cache[kind, entity] = name_surrogate(entity, round_of, key) if kind == "person" else surrogate(kind, entity, round_of((kind, entity)), key)
         out += [text[at:a], shaped(kind, text[a:b], entity, new)]
         at = b
     return "".join([*out, text[at:]]), len(found)
@@ -249,17 +395,17 @@ def _with_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
 
 
 def entities_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """kind, entity: the distinct entities of all texts."""
+    """kind, entity: what is mapped of the distinct entities of all texts."""
 
     def run(batches):
         for batch in batches:
-            seen = {(kind, e) for t in batch.column("t").to_pylist() for _, _, kind, e in detect(t)}
+            seen = {part for t in batch.column("t").to_pylist() for _, _, kind, e in detect(t) for part in mapped(kind, e)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.string())], names=["kind", "entity"])
 
     return docs.select(text_or_empty(text).alias("t")).mapInArrow(run, "kind string, entity string").distinct()
 
 
-def collision_rounds(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def collision_rounds(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, round of the entities whose surrogate of round 0 is a real entity or another's surrogate.
 
     Raises ValueError if entities keep colliding: those of the corpus then fill a format that cannot be widened.
@@ -285,13 +431,22 @@ def collision_rounds(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     return now.filter("round > 0").select("kind", "entity", "round")
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", count: str = "n_entities") -> DataFrame:
+def configured_key(spark: SparkSession) -> bytes | None:
+    value = spark.conf.get(KEY_SETTING, None)
+    return value.encode("utf-8") if value else None
+
+
+def pseudonymize(docs: DataFrame, key: bytes | None = None, text: str = "text", count: str = "n_entities") -> DataFrame:
     """``docs`` with the entities of ``text`` replaced by surrogates, and their number in ``count``.
 
+    Without ``key`` that of the setting ``KEY_SETTING`` is taken; ValueError if there is none.
+
     Null texts stay null with 0 entities, and texts without entities stay as they are.  Equal entities get equal
     surrogates in all rows and different ones different surrogates, repeated rows equal texts.  An empty table gives an
     empty result.  An existing column ``count`` is replaced.
     """
+    if not (key := key or configured_key(docs.sparkSession)):
+        raise ValueError(f"surrogates need a key: give one or set {KEY_SETTING}")
     bound_batches(docs.sparkSession)
     docs = docs.drop(count)
     again = materialize(collision_rounds(materialize(entities_of(docs, text), "pii-entities"), key), "pii-again")
@@ -320,7 +475,7 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", count: s
 
     def mentions(batches):
         for batch in batches:
-            rows = [(h, kind, e) for h, t in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist()) for kind, e in {(x[2], x[3]) for x in detect(t)}]
+            rows = [(h, kind, e) for h, t in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist()) for kind, e in {part for x in detect(t) for part in mapped(x[2], x[3])}]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*rows)) or [(), (), ()])], names=["h", "kind", "entity"])
 
     held = docs.select(F.sha2(text_or_empty(text), 256).alias("h"), text_or_empty(text).alias("t")).mapInArrow(mentions, "h string, kind string, entity string").distinct()
@@ -334,4 +489,4 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, text: str = "text", count: s
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), configured_key(spark) or SAMPLE_KEY)
