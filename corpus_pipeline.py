@@ -21,7 +21,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(docs, count="__entities").drop("__entities")
+    return pii.pseudonymize(docs, pii.configured_key(spark) or pii.SAMPLE_KEY, count="__entities").drop("__entities")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
