@@ -3,7 +3,8 @@
 Encoding merges a word by a priority queue of merge ranks over a doubly linked list of symbols: the queue holds
 (rank, position) of adjacent pairs, an entry whose symbols have changed since is stale and skipped, and a merge
 queues the two pairs it makes.  Decoding concatenates the vocabulary strings of the ids.  Words repeat, so a
-worker keeps the ids of the words it has met, within a bound.
+worker keeps the ids of the words it has met, within a bound.  Classes, case and composition of characters follow the
+installed library, whatever its version of Unicode.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordCache, bound_batches, free_name, table, text_or_empty
+from .common import WordCache, bound_batches, chunks, free_name, table, text_or_empty
 
 
 def byte_letters() -> list[str]:
@@ -33,35 +35,41 @@ def byte_letters() -> list[str]:
     return letters
 
 
-#: Letters and digits of Unicode 16, which the library's patterns know, beyond those of Python's 15.1.
-NEW_LETTERS = (
-    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
-    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
-)
-NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
-#: Capitals among them and their small letters.
-NEW_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 0x20 for c in range(0x10D50, 0x10D66)}
 #: White space in patterns.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: From here on characters may compose, be reordered or have case rules of their own.
+_BEYOND_LATIN = re.compile("[\u0300-\U0010ffff]")
 
 
-def class_ranges(category: str, more) -> str:
-    """The inside of a character class of all code points of a general category."""
+@lru_cache(1)
+def newer_characters() -> tuple[frozenset[str], frozenset[str], dict[int, str]]:
+    """Letters, digits and small letters that the installed library knows and Python's Unicode does not have yet."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    unknown = " ".join(chr(c) for c in range(0x40000) if unicodedata.category(chr(c)) == "Cn")
+    letters, digits = (frozenset(w for w, _ in pre_tokenizers.Split(Regex(p), "removed", invert=True).pre_tokenize_str(unknown)) for p in (r"\p{L}", r"\p{N}"))
+    lower = normalizers.Lowercase()
+    small = {ord(c): s for c in unknown.split() if (s := lower.normalize_str(c)) != c}
+    return letters, digits, small
+
+
+def class_ranges(category: str, more: frozenset[str]) -> str:
+    """The inside of a character class of all code points of a general category, and ``more``."""
     out, start = [], None
     for c in range(0x110001):
-        inside = c < 0x110000 and unicodedata.category(chr(c))[0] == category
+        inside = c < 0x110000 and (unicodedata.category(chr(c))[0] == category or chr(c) in more)
         if inside and start is None:
             start = c
         elif not inside and start is not None:
             out.append((start, c - 1))
             start = None
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*out, *more])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
 class BPE:
     """The encoder and decoder of a vocabulary file of the kind of word_bpe_49k.json."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 300_000, chunk_cache: int = 100_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -79,19 +87,26 @@ class BPE:
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"]
         self.latin_pattern = regex.compile(pattern)  # the same for characters up to U+00FF, and faster
-        for name, inside in ((r"\p{L}", class_ranges("L", NEW_LETTERS)), (r"\p{N}", class_ranges("N", NEW_DIGITS)), (r"\s", SPACES)):
+        letters, digits, _ = newer_characters()
+        for name, inside in ((r"\p{L}", class_ranges("L", letters)), (r"\p{N}", class_ranges("N", digits)), (r"\s", SPACES)):
             pattern = pattern.replace(name, inside)
         self.pattern = re.compile(pattern)
         self.strings: dict[int, str] = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.words = WordCache(self._encoded_word, cache)
+        self.chunks = WordCache(self._encoded_chunk, chunk_cache)
 
     @staticmethod
     def _step(spec: dict):
         if spec["type"] == "NFC":
-            return lambda t: unicodedata.normalize("NFC", t)
+            from tokenizers import normalizers
+
+            # the library's order and composition of marks, which may be newer than Python's
+            compose = normalizers.NFC().normalize_str
+            return lambda t: t if t.isascii() or not _BEYOND_LATIN.search(t) else compose(t)
         if spec["type"] == "Lowercase":
+            small = newer_characters()[2]
             # a capital sigma is letter by letter: no rule of final letters
-            return lambda t: (t if t.isascii() else t.translate(NEW_SMALL)).lower() if "Σ" not in t else "".join(c.lower() for c in t.translate(NEW_SMALL))
+            return lambda t: (t if t.isascii() else t.translate(small)).lower() if "Σ" not in t else "".join(c.lower() for c in t.translate(small))
         if spec["type"] == "Replace":
             pattern, content = regex.compile(spec["pattern"]["Regex"]), spec["content"]
             return lambda t: pattern.sub(content, t)
@@ -124,24 +139,29 @@ class BPE:
     def _encoded_word(self, word: str) -> str:
         return " ".join(map(str, self.merge(word.encode("utf-8"))))
 
-    def encode_text(self, text: str) -> str:
-        """The decimal ids of a text joined by one space."""
+    def _encoded_chunk(self, text: str) -> tuple[int, str, str]:
+        """The number of ids of a text, the decimal ids joined by one space, and the vocabulary strings joined so."""
         spans, at = [], 0
         if self.special_pattern and "<" in text:
             for m in self.special_pattern.finditer(text):
                 spans += [(text[at : m.start()], None), ("", self.special[m[0]])]
                 at = m.end()
         spans.append((text[at:], None))
-        out = []
+        out: list[str] = []
         for part, special in spans:
             if special is not None:
                 out.append(str(special))
             elif part:
                 for step in self.steps:
                     part = step(part)
-                if ids := " ".join(map(self.words.__getitem__, self.split(part))):
-                    out.append(ids)
-        return " ".join(out)
+                for word in self.split(part):
+                    out += self.words[word].split()
+        return len(out), " ".join(out), self.decode(map(int, out))
+
+    def encode_text(self, text: str) -> tuple[int, str, str]:
+        """As ``_encoded_chunk``, by parts that no merge reaches across and that mostly are known."""
+        found = [x for x in map(self.chunks.__getitem__, chunks(text)) if x[0]]
+        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
 
     def split(self, text: str) -> list[str]:
         """The words of a normalized text."""
@@ -152,7 +172,7 @@ class BPE:
         return self.latin_pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_text(text).split()]
+        return [int(i) for i in self.encode_text(text)[1].split()]
 
     def decode(self, ids) -> str:
         """The vocabulary strings of ``ids``, concatenated as the library does without a decoder: with one space between."""
@@ -189,15 +209,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
 
     def run(batches):
         bpe = load(path)
-        strings = {str(i): s for i, s in bpe.strings.items()}
         digest = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for value in batch.column(body):
-                joined = bpe.encode_text(value.as_py())
-                ids = joined.split()
-                decoded = " ".join(map(strings.__getitem__, ids))
-                row = (len(ids), digest(joined), digest(decoded), [int(i) for i in ids], decoded)
+                n, joined, decoded = bpe.encode_text(value.as_py())
+                row = (n, digest(joined), digest(decoded), [int(i) for i in joined.split()] if with_ids else None, decoded)
                 for column, x in zip(out, row[: 5 if with_ids else 3]):
                     column.append(x)
             keep = [i for i, n in enumerate(batch.schema.names) if n != body]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; words are the runs between it.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+LONG_WORD = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +68,21 @@ def text_or_empty(col: str | object = "text"):
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+#: A blank that may not be where a text is cut: what is before it is neither letter, digit nor a printable ASCII sign.
+_UNSAFE_BLANK, _SAFE_BLANK = re.compile(r"(?<![\w!-~]) "), re.compile(r"(?<=[\w!-~]) ")
+
+
+def chunks(text: str) -> list[str]:
+    """``text`` cut at blanks, which are left out: " ".join gives the text back.
+
+    Tokenizers of words do not reach over these blanks: no merge, normalization or special string does.  Blanks that
+    follow another white space, a combining mark or the like do not cut.
+    """
+    return text.split(" ") if not _UNSAFE_BLANK.search(text, 1) else _SAFE_BLANK.split(text)
+
+
 class WordCache(dict):
-    """word -> value of ``make``; two generations bound the memory while frequent words stay."""
+    """word -> value of ``make``; two generations bound the memory while frequent words stay.  Very long words are not kept."""
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
@@ -77,6 +92,8 @@ class WordCache(dict):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
+        if len(word) > LONG_WORD:
+            return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -10,6 +10,7 @@ from lorekeep.llm import bpe, token_count
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
+COUNTERS = [token_count.counter_of(name) for name in ("word_bpe_49k.json", "byte_bpe_50k.json") if token_count.may_be_cut(name)]
 ODD = ["", "  ", "<|endoftext|>x <|startoftext|><|endoftext|", "İstanbul ΣΑΣ ΟΔΟΣ", "naïve café 日本語 😀", "it's I'LL we've 'd '''s", "a\x00b\x1c\x85 c", "é K Å ß ẞ", "x" * 3000, "١٢٣ 12 ½", "_a_b"]
 
 
@@ -57,3 +58,41 @@ def test_count_tokens(spark, docs_of):
     assert token_count.count_tokens(docs_of(rows).limit(0)).collect() == []
     pieces = token_count.count_tokens(docs_of(rows), "piece_bpe_32k.model").collect()
     assert pieces[4].n_tokens > 0 and pieces[0].n_tokens == 0
+
+
+def test_every_code_point_as_the_library():
+    ours = bpe.load(PATH)
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x3_0000), *range(0xE_0000, 0xE_0200))]
+    texts = ["".join(f"{c}a {c} ́{c}́b{c}̣́ " for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for start in range(0, len(texts), 500):
+        part = texts[start : start + 500]
+        for text, wanted in zip(part, LIBRARY.encode_batch(part, add_special_tokens=False)):
+            assert ours.encode(text) == wanted.ids, text.encode("unicode_escape")
+
+
+@given(st.lists(st.sampled_from([" ", "  ", "́", " ", "\x85", "\n", "<|endoftext|>", "a", "é", ".", "'s", "日", "。", "​", "<|", "7", "Σ", "が"]), max_size=12).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_parts_count_like_the_whole(text):
+    for count in COUNTERS:
+        assert token_count.PartCounts(count, False).of([text.encode()] * 2) == count([text]) * 2
+    assert bpe.load(PATH).encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_without_blanks_are_cut_too(name):
+    count = token_count.counter_of(name)
+    text = "".join(f"日本語の文章{i}番目、「これは」テスト。한국어도，中文也是！（そうです）" for i in range(400))
+    parts = token_count.pieces(text.encode(), 300)
+    assert len(parts) > 80 and b"".join(parts) == text.encode()
+    assert sum(count([p.decode() for p in parts])) == count([text])[0]
+
+
+def test_tokenizers_that_mark_a_start_stay_whole(tmp_path):
+    import json
+
+    assert not token_count.may_be_cut("piece_bpe_32k.model")
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": {"type": "Prepend", "prepend": "x"}}, {"pre_tokenizer": {"type": "Metaspace"}}, {"added_tokens": [dict(spec["added_tokens"][0], rstrip=True)]}):
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(spec | change))
+        assert not token_count.may_be_cut("changed.json", str(path))
