@@ -46,3 +46,39 @@ def test_error_bound_holds():
     true = v @ q / np.linalg.norm(v, axis=1) / np.linalg.norm(q)
     assert (np.abs(estimate - true) <= error).mean() > 0.97
     assert codes.shape == (3000, 8)
+
+
+def test_passes_and_repeated_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(400)]
+    rows += [(i, rows[9][1]) for i in range(400, 700)]  # a third of all vectors are equal
+    rows += [rows[0], rows[0], rows[9], (50, rows[3][1]), (7, [0.5] * 16)]  # repeated rows, and ids with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    once = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 50 == 0).collect()))
+    monkeypatch.setattr(ann, "QUERY_BYTES", 500)
+    assert sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 50 == 0).collect())) == once
+    wanted = {}
+    for q, a in {(q, tuple(v)) for q, v in rows if q % 50 == 0}:
+        a = np.array(a)
+        for i, b in rows:
+            if i != q:
+                b = np.array(b)
+                wanted.setdefault(q, set()).add((-float(np.cumsum(a * b)[-1] / (np.sqrt(np.cumsum(b * b)[-1]) * np.sqrt(np.cumsum(a * a)[-1]))), i))
+    assert [(q, rank, i) for q, rank, i, _ in once] == [(q, rank, i) for q in sorted(wanted) for rank, (_, i) in enumerate(sorted(wanted[q])[:5], 1)]
+
+
+def test_vectors_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    plan = ann.nearest(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan
+
+
+def test_recall_on_the_sample(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.1/embeddings.parquet'")
+    wanted = {(q, i) for q, _, i, _ in con.execute(ann.SQL).fetchall()}
+    got = {(r.query_id, r.vec_id) for r in ann.op2_ann(spark, "/root/testdata/sf0.1").collect()}
+    print(len(wanted), len(got & wanted) / len(wanted))
+    assert len(got & wanted) >= 0.99 * len(wanted) > 0
