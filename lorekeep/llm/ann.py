@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, table
 
 #: Vectors that are estimated together, queries estimated together, and pairs reranked together.
 BLOCK_ROWS, QUERY_ROWS, PAIRS = 4096, 256, 1 << 14
@@ -187,6 +187,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id"
         got = search_index(index, sent, k, seed)
         got = materialize(got, "ann-found") if passes > 1 else got
         found = got if found is None else found.unionByName(got)
+    discard(queries)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -20,16 +21,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a local session has one of our own where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/lorekeep")
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or f"{tempfile.gettempdir()}/checkpoints/lorekeep")
     return sc.getCheckpointDir()
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of an application."""
+    return f"{shared_dir(spark)}/lorekeep-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the application.  Results that have not been read yet may read some of them."""
+    _delete(spark, tables_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_dropped_at_exit: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    app = spark.sparkContext.applicationId
+    if app in _dropped_at_exit:
+        return
+    _dropped_at_exit.add(app)
+
+    @atexit.register
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None and spark.sparkContext.applicationId == app:
+            drop_tables(spark)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by writing a Parquet table to the shared folder; survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Cut the lineage by writing a Parquet table to the shared folder; survives the loss of executors.
+
+    What is not deleted by ``discard`` goes when the application ends.
+    """
+    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _drop_at_exit(df.sparkSession)
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.materialized_at = path
@@ -39,8 +77,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more, and let finished jobs' shuffle files go."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.materialized_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.materialized_at)
     release(tables[0].sparkSession)
 
 

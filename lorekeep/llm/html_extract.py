@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, free_name, materialize, table, text_or_empty
+from .common import bound_batches, discard, free_name, materialize, table, text_or_empty
 
 #: A template's share of the host's pages, and the least number of pages.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.25, 5
@@ -376,7 +376,10 @@ def site_templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int =
     counts = pages.select(host_of(url).alias("host"), text_or_empty(html).alias("page")).mapInArrow(run, "host string, body long, h long").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     counts = materialize(counts.filter((F.col("n") >= least) | (F.col("h") == -1)), "html-counts")
     total = counts.filter("h = -1").select("host", F.col("n").alias("pages"))
-    return counts.filter("h <> -1").join(total, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("templates"))
+    found = counts.filter("h <> -1").join(total, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("h")).alias("templates"))
+    found = materialize(found, "html-templates")
+    discard(counts)
+    return found
 
 
 def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, url: str = "url", html: str = "html", by_kind: bool = True) -> DataFrame:
@@ -387,7 +390,7 @@ def extract(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLA
     Existing columns text and n_chars are replaced.
     """
     bound_batches(pages.sparkSession)
-    templates = materialize(site_templates(pages, share, least, url, html), "html-templates")
+    templates = site_templates(pages, share, least, url, html)
     n = templates.agg(F.sum(F.size("templates"))).first()[0] or 0
     host, found, page, salt = (free_name(pages, c) for c in ("host", "templates", "page", "salt"))
     kept = pages.drop(*({"text", "n_chars"} - {html, url})).withColumn(host, host_of(url)).withColumn(page, text_or_empty(html)).drop(html)

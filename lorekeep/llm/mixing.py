@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, free_name, materialize, table, text_or_empty
+from .common import WORD_PATTERN, discard, free_name, materialize, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Documents of one source and length are ordered in hash ranges of about this many.
@@ -123,6 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
         return pd.DataFrame({"s": group["s"], "l": group["l"], "n": group["n"], "x": extra, "epochs": epochs, "source_size": size, "target": targets[name]})
 
     plan = materialize(hist.groupBy("s").applyInPandas(plan_of, "s string, l long, n long, x long, epochs long, source_size long, target double"), "mix-plan")
+    discard(hist)
     small = plan.count() <= BROADCAST_ROWS
     p = {c: free_name(docs, f"mix_{c}") for c in ("s", "l", "n", "x", "epochs")}
     plan = plan.withColumnsRenamed(p)

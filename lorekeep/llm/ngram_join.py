@@ -26,8 +26,10 @@ from .common import bound_batches, discard, free_name, materialize, mix64, relea
 HEAVY_TOKENS = 1 << 18
 #: Counts below this are taken as rare.
 HEAVY_FROM = 4
-#: A posting list is dealt out in parts of about this many sets.
-POSTING_ROWS = 2048
+#: A posting list is dealt out in parts of about this many sets, and lists that are searched together in cells of about twice as many rows.
+POSTING_ROWS = 1024
+#: Pairs that a task keeps to sum them up before it emits them.
+FOUND_ROWS = 1 << 20
 MAX_MATCHES = 4
 #: Bytes of parity bits that travel with postings at most; the full ones travel once for each pair that is left.
 POSTING_BITS = 128
@@ -261,34 +263,34 @@ def candidates(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
     """a < b, na, nb, l (matches asked for), ia, ib (last shared positions), c (shared tokens): sets of different components that meet in posting lists.
 
     Lists with the same first set are searched together, as lists of one group of near copies mostly are, and a pair
-    is emitted once for all of them.  They are dealt out in parts; a cell is a part by itself or a pair of parts, so
-    that no task holds a whole long list.  Pairs that sizes or parity bits rule out are never emitted; with
-    ``nearest`` only the best pair of each set in each cell is.
+    is emitted once for many of them: lists are dealt out in buckets by their tokens, and in parts by their sets.  A
+    cell is a part by itself or a pair of parts of one bucket, so that no task holds a whole long list or all lists of
+    a large group.  Pairs that sizes or parity bits rule out are never emitted; with ``nearest`` only the best pairs
+    of each set in each cell are.  A pair may come from several cells, with counts to be added up.
     """
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
-    dealt = lists.withColumn("part", part).select("head", "tok", "node", "root", "n", "l", "i", "small", "part", "parts", F.explode(cells).alias("cell"))
-    dealt = dealt.repartition("head", "cell").sortWithinPartitions("head", "cell", "tok")
+    bucket = F.pmod(F.xxhash64("tok"), "buckets").cast("int")
+    dealt = lists.withColumns({"part": part, "bucket": bucket}).select("head", "tok", "node", "root", "n", "l", "i", "small", "part", "parts", "bucket", F.explode(cells).alias("cell"))
+    dealt = dealt.repartition("head", "cell", "bucket").sortWithinPartitions("head", "cell", "bucket", "tok")
     names = ("node", "root", "n", "l", "i", "part")
 
-    def pairs_of(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+    def pairs_of(batches: list[pa.RecordBatch]):
         """The pairs of one list within a cell."""
+        if sum(map(len, batches)) < 2:
+            return
         t = pa.Table.from_batches(batches)
-        if len(t) < 2:
-            return []
         rows = {c: t.column(c).to_numpy().astype(np.int64) for c in names}
         parts, cell = t.column("parts")[0].as_py(), t.column("cell")[0].as_py()
-        out = []
         for x, y in _similar_rows(rows, t.column("small").to_pylist(), cell // parts != cell % parts, percent):
             if len(x):
                 swap = rows["node"][x] > rows["node"][y]
                 a, b = np.where(swap, y, x), np.where(swap, x, y)
-                out.append(np.stack([rows["node"][a], rows["node"][b], rows["n"][a], rows["n"][b], np.minimum(rows["l"][a], rows["l"][b]), rows["i"][a], rows["i"][b], np.ones(len(a), np.int64)], axis=1))
-        return out
+                yield np.stack([rows["node"][a], rows["node"][b], rows["n"][a], rows["n"][b], np.minimum(rows["l"][a], rows["l"][b]), rows["i"][a], rows["i"][b], np.ones(len(a), np.int64)], axis=1)
 
     def search(batches):
         held: list[pa.RecordBatch] = []  # the list that is being read
-        found: list[np.ndarray] = []  # of the cell so far
+        found: list[np.ndarray] = []  # of the cell so far, not more than FOUND_ROWS and a list's next pairs
         list_key = cell_key = None
 
         def emit():
@@ -298,23 +300,31 @@ def candidates(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
             for start in range(0, len(rows), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[start : start + (1 << 16)].T], names=_FOUND)
 
+        def search_held():
+            size = sum(map(len, found))
+            for pairs in pairs_of(held):
+                found.append(pairs)
+                size += len(pairs)
+                if size > FOUND_ROWS:
+                    found[:] = [_summed(found)]
+                    size = len(found[0])
+                    if 2 * size > FOUND_ROWS:  # pairs that hardly repeat: what is known of them goes out
+                        yield from emit()
+                        size = 0
+            held.clear()
+
         for batch in batches:
-            head, cell, tok = (batch.column(c).to_numpy() for c in ("head", "cell", "tok"))
-            cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (cell[1:] != cell[:-1]) | (tok[1:] != tok[:-1])]) if len(head) else []
+            head, cell, bucket, tok = (batch.column(c).to_numpy() for c in ("head", "cell", "bucket", "tok"))
+            cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (cell[1:] != cell[:-1]) | (bucket[1:] != bucket[:-1]) | (tok[1:] != tok[:-1])]) if len(head) else []
             for start, stop in zip(cuts, [*cuts[1:], len(head)]):
-                key = (head[start], cell[start], tok[start])
+                key = (head[start], cell[start], bucket[start], tok[start])
                 if key != list_key:
-                    if held:
-                        found += pairs_of(held)
-                        held = []
-                    if key[:2] != cell_key:
+                    yield from search_held()
+                    if key[:3] != cell_key:
                         yield from emit()
-                    elif sum(map(len, found)) > 1 << 21:
-                        found[:] = [_summed(found)]
-                    list_key, cell_key = key, key[:2]
+                    list_key, cell_key = key, key[:3]
                 held.append(batch.slice(int(start), int(stop - start)))
-        if held:
-            found += pairs_of(held)
+        yield from search_held()
         yield from emit()
 
     return dealt.mapInArrow(search, ", ".join(f"{c} long" for c in _FOUND))
@@ -366,14 +376,14 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, perc
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    links = materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "join-links")
+    discard(need)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of the links reaches.  Alternating large and small stars."""
+    """node, root: the smallest node that each node of the links reaches, as a table.  Alternating large and small stars."""
     edges = materialize(links.select("a", "b").filter("a <> b").distinct(), "cc-edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         hi, lo = F.greatest("a", "b"), F.least("a", "b")
@@ -389,23 +399,28 @@ def components(links: DataFrame) -> DataFrame:
         return ends.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
 
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = None
-    while True:
-        edges = materialize(star(star(edges, True), False), "cc-edges")
-        now = mark(edges)
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        before = now
+    before, now = None, mark(edges)
+    while now != before and now[0]:
+        last, edges = edges, materialize(star(star(edges, True), False), "cc-edges")
+        before, now = now, mark(edges)
+        discard(last)
+    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    roots = materialize(roots, "cc-roots")
+    discard(edges)
+    return roots
 
 
 def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """node, root after further links; nodes that ``roots`` does not have are their own roots before."""
+    """node, root after further links, as a table; nodes that ``roots`` does not have are their own roots before.  Both inputs are tables, which go."""
     root = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     across = links.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    more = materialize(components(across).select(F.col("node").alias("root"), F.col("root").alias("top")), "join-roots")
+    found = components(across)
+    more = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(more, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     new = more.join(roots, more.root == roots.node, "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
-    return moved.unionByName(new)
+    all_ = materialize(moved.unionByName(new), "join-roots")
+    discard(roots, links, found)
+    return all_
 
 
 def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -442,14 +457,15 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     near = chain.unionByName(heads).filter("p is not null").filter(F.col("p.n") * 100 >= F.col("n") * percent)
     best = near.groupBy("node", F.col("p.node").alias("b")).agg(F.count("*").alias("c"), F.first("k").alias("k")).filter("3 * c >= k").groupBy("node").agg(F.max(F.struct("c", "b")).alias("m"))
     pairs = materialize(promising(best.select(F.col("node").alias("a"), F.col("m.b").alias("b")), classes, percent), "join-near")
-    first = components(verified(pairs, rows, classes, n, percent))
-    first = materialize(first, "join-first")
-    discard(pairs)
+    links = verified(pairs, rows, classes, n, percent)
+    first = components(links)
+    discard(pairs, links)
 
     # round two: posting lists that several components share, searched across components
     rooted = posted.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tok", "node", "root", "n", "l", "i")
     mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head"), F.count("*").alias("c")).filter("x <> y").select("tok", "head", "c")
-    parts = mixed.groupBy("head").agg(F.ceil(F.max("c") / POSTING_ROWS).cast("int").alias("parts"))
+    parts = mixed.groupBy("head").agg(F.ceil(F.max("c") / POSTING_ROWS).cast("int").alias("parts"), F.sum("c").alias("rows"))
+    parts = parts.select("head", "parts", F.ceil(F.col("rows") / F.col("parts") / (2 * POSTING_ROWS)).cast("int").alias("buckets"))
     lists = materialize(rooted.join(mixed.select("tok", "head").join(parts, "head"), "tok").join(numbered.select("node", "small"), "node"), "join-lists")
     discard(posted, numbered)
 
@@ -458,7 +474,7 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     near = materialize(near, "join-met")
     best = near.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).unionByName(near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
     tried = materialize(promising(best, classes, percent), "join-nearest")
-    second = materialize(joined_roots(first, verified(tried, rows, classes, n, percent)), "join-second")
+    second = joined_roots(first, verified(tried, rows, classes, n, percent))
 
     # then all that may be similar across the components there are now
     again = lists.drop("root").join(second, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -470,7 +486,7 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
     likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
     pairs = materialize(promising(likely.join(tried, ["a", "b"], "left_anti"), classes, percent), "join-pairs")
-    last = materialize(joined_roots(second, verified(pairs, rows, classes, n, percent)), "join-last")
+    last = joined_roots(second, verified(pairs, rows, classes, n, percent))
     discard(left, tried, pairs)
     final = classes.select("node", "cls", "id").join(last, "node", "left").withColumn("r", F.coalesce("root", "node")).select("cls", "id", "r")
     named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id", F.col("r").alias("root"))

@@ -428,7 +428,9 @@ def collision_rounds(entities: DataFrame, key: bytes) -> DataFrame:
         again = _with_surrogates(bad.withColumn("round", F.lit(round_)), key)
         before, now = now, materialize(now.join(bad, ["kind", "entity"], "left_anti").unionByName(again), "pii-round")
         discard(before, bad)
-    return now.filter("round > 0").select("kind", "entity", "round")
+    again = materialize(now.filter("round > 0").select("kind", "entity", "round"), "pii-again")
+    discard(now, bad)
+    return again
 
 
 def configured_key(spark: SparkSession) -> bytes | None:
@@ -449,7 +451,9 @@ def pseudonymize(docs: DataFrame, key: bytes | None = None, text: str = "text",
         raise ValueError(f"surrogates need a key: give one or set {KEY_SETTING}")
     bound_batches(docs.sparkSession)
     docs = docs.drop(count)
-    again = materialize(collision_rounds(materialize(entities_of(docs, text), "pii-entities"), key), "pii-again")
+    entities = materialize(entities_of(docs, text), "pii-entities")
+    again = collision_rounds(entities, key)
+    discard(entities)
     names, schema = docs.columns, T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())])
 
     def rewrite(batches, rounds_of):
