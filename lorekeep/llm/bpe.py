@@ -69,7 +69,7 @@ def class_ranges(category: str, more: frozenset[str]) -> str:
 class BPE:
     """The encoder and decoder of a vocabulary file of the kind of word_bpe_49k.json."""
 
-    def __init__(self, path: str, cache: int = 300_000, chunk_cache: int = 100_000):
+    def __init__(self, path: str, cache: int = 300_000, chunk_cache: int = 300_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""

@@ -9,6 +9,7 @@ source and length) reaches the program; documents are never gathered.
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -25,25 +26,53 @@ RANGE_ROWS = 1024
 BROADCAST_ROWS = 200_000
 
 
-def source_targets(sizes: dict[str | None, int], weights=WEIGHTS, share: float = 1.0, max_epochs: int = 3) -> dict[str | None, float]:
-    """Targets by weight; a target stops at ``max_epochs`` times its source, and the excess is shared anew by weight."""
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: Fraction(weights[i % len(weights)]) for i, s in enumerate(order)}
-    left, open_, out = Fraction(share) * sum(sizes.values()), list(order), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > max_epochs * sizes[s]]
-        if not over:
-            return out | {s: float(left * weight[s] / total) for s in open_}
-        for s in over:
-            out[s] = float(max_epochs * sizes[s])
-        left -= sum(max_epochs * sizes[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
+def source_weights(hist: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """s, size, w: the sources of a histogram (s, l, n) with their words and weights, by code point and null last.
+
+    Ranks come from ranges of sources and the ranges' counts, so that no task sorts all of them.
+    """
+    sizes = hist.groupBy("s").agg(F.sum(F.col("l") * F.col("n")).cast("decimal(38,0)").alias("size"))
+    ranged = sizes.withColumn("last", F.col("s").isNull()).repartitionByRange("last", "s").sortWithinPartitions("last", "s")
+    at = F.monotonically_increasing_id()
+    ranged = materialize(ranged.select("s", "size", F.shiftright(at, 33).alias("range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")), "mix-sources")
+    counts = ranged.groupBy("range").agg(F.count("*").alias("c"))  # a row for each range
+    before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.col("i") + F.col("before")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
+    out = materialize(ranged.join(F.broadcast(before), "range").select("s", "size", weight.cast("int").alias("w")), "mix-weights")
+    discard(ranged)
     return out
 
 
+def with_targets(sources: DataFrame, share: float = 1.0, max_epochs: int = 3) -> DataFrame:
+    """``sources`` (s, size, w) with target, min(max_epochs x size, level x w) at the level at which targets sum up.
+
+    Only sums reach the driver; the level rises, as more sources are at their limit, until no further one is.
+    """
+    cap = (F.col("size") * max_epochs).cast("decimal(38,0)")
+    total = Fraction(share) * int(sources.agg(F.sum("size")).first()[0] or 0)
+    kinds = [r.w for r in sources.select("w").distinct().collect()]  # at most as many as there are weights
+    level = Fraction(0)
+
+    def by_weight(value, kind: str):
+        return F.element_at(F.create_map(*(x for w in kinds for x in (F.lit(w), F.lit(str(value(w))).cast(kind)))), F.col("w"))
+
+    while kinds:
+        # a source is at its limit if level x w exceeds it; the limit is a whole number
+        over = cap < by_weight(lambda w: math.ceil(level * w), "decimal(38,0)")
+        row = sources.agg(F.sum(F.when(over, cap)).alias("capped"), F.sum(F.when(~over, F.col("w"))).alias("w")).first()
+        new = (total - int(row.capped or 0)) / int(row.w) if row.w else level
+        if new == level:
+            return sources.withColumn("target", F.when(over, cap.cast("double")).otherwise(by_weight(lambda w: repr(float(level * w)), "double")))
+        level = new
+    return sources.withColumn("target", F.lit(0.0))
+
+
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = 1 << 15) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to ``budget`` from below or exactly."""
+    """How many documents of each length to take so that their words come nearest to ``budget`` from below or exactly.
+
+    The program's table has an entry for each word that is left: at most ``dp_budget`` and the longest document's.
+    """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
@@ -111,19 +140,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
         tie: F.xxhash64(text_or_empty(text)) if text else F.lit(0),
     })
     hist = materialize(docs.groupBy(F.col(source).alias("s"), F.col("size").alias("l")).agg(F.count("*").alias("n")), "mix-hist")
-    sizes = {r.s: int(r.t) for r in hist.groupBy("s").agg(F.sum(F.col("l") * F.col("n")).alias("t")).collect()}  # a row per source
-    targets = source_targets(sizes, weights, share, max_epochs)
+    sources = source_weights(hist, weights)
+    targets = with_targets(sources, share, max_epochs).select(F.col("s").alias("t"), F.col("size").cast("long").alias("source_size"), "target")
 
     def plan_of(group: pd.DataFrame) -> pd.DataFrame:
-        name = group["s"].iloc[0]
-        name = None if pd.isna(name) else name
-        size, goal = sizes[name], round(targets[name])
+        size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
+        goal = round(target)
         epochs = goal // size if size else 0
         extra = fit_counts(group["l"].to_numpy(), group["n"].to_numpy(), goal - epochs * size)
-        return pd.DataFrame({"s": group["s"], "l": group["l"], "n": group["n"], "x": extra, "epochs": epochs, "source_size": size, "target": targets[name]})
+        return pd.DataFrame({"s": group["s"], "l": group["l"], "n": group["n"], "x": extra, "epochs": epochs, "source_size": size, "target": target})
 
-    plan = materialize(hist.groupBy("s").applyInPandas(plan_of, "s string, l long, n long, x long, epochs long, source_size long, target double"), "mix-plan")
-    discard(hist)
+    planned = hist.join(targets, F.col("s").eqNullSafe(F.col("t"))).drop("t")
+    plan = materialize(planned.groupBy("s").applyInPandas(plan_of, "s string, l long, n long, x long, epochs long, source_size long, target double"), "mix-plan")
+    discard(hist, sources)
     small = plan.count() <= BROADCAST_ROWS
     p = {c: free_name(docs, f"mix_{c}") for c in ("s", "l", "n", "x", "epochs")}
     plan = plan.withColumnsRenamed(p)
@@ -145,7 +174,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs`` and whatever these are called.
+
+    Rows without words are never taken; null sources are a source; repeated rows are taken each; see ``mix``.
+    """
     columns = docs.columns
     mixed = mix(docs, **options)
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)

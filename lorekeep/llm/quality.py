@@ -18,7 +18,7 @@ from .common import bound_batches, free_name, table, text_or_empty
 #: Labelled rows that a model is fitted on at most, chosen by the hash of their id.
 SAMPLE_ROWS = 20_000
 FEATURES = (
-    "log_chars", "log_words", "chars_a_word", "word_variety", "top_word", "adjacent_repeats", "longest_word", "upper", "digit", "symbol", "pipe", "exclamation",
+    "log_chars", "log_words", "chars_a_word", "word_variety", "top_word", "adjacent_repeats", "log_longest_word", "upper", "digit", "symbol", "pipe", "exclamation",
     "hash_star", "punctuation", "blank", "line_feed", "other_bytes", "symbol_words", "upper_words", "number_words", "line_variety", "words_a_line", "short_words", "first_half_variety",
 )
 _CLASS = np.zeros(256, np.uint8)
@@ -41,7 +41,7 @@ def statistics(text: bytes) -> list[float]:
     half = words[: (len(words) + 1) // 2]
     return [
         np.log1p(len(text)), np.log1p(len(words)), len(text) / n, len(counts) / n, max(counts.values(), default=0) / n,
-        sum(map(bytes.__eq__, words, words[1:])) / n, min(200, max(map(len, counts), default=0)),
+        sum(map(bytes.__eq__, words, words[1:])) / n, np.log1p(max(map(len, counts), default=0)),
         kinds[1], kinds[2], kinds[5], kinds[3], kinds[4], (bytes_[35] + bytes_[42]) / size, kinds[6], kinds[7], kinds[8], kinds[10],
         sum(c for w, c in counts.items() if w[-1:] in b"#*$%&|!") / n, sum(c for w, c in counts.items() if len(w) > 1 and w.isupper()) / n, sum(c for w, c in counts.items() if w.isdigit()) / n,
         len(set(lines)) / (len(lines) or 1), n / (len(lines) or 1), sum(c for w, c in counts.items() if len(w) < 4) / n, len(set(half)) / (len(half) or 1),
@@ -136,16 +136,21 @@ def _with_statistics(rows: DataFrame, body: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, key: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold, chosen by the hash of their id."""
+    """Fit on at most ``sample`` labelled ids outside the held-out fold, chosen by the hash of their id.
+
+    Of labels that repeat an id the least counts, of documents that do the first by the hash of the text, so that no
+    more than ``sample`` rows of statistics reach the driver.  Null texts count as empty.  Without labels, or with one
+    label only, the model gives all texts the same score.
+    """
     bound_batches(docs.sparkSession)
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("k")).agg(F.min(F.col(label).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("k"), "k", "y").limit(sample)  # its size bound makes it fit to broadcast
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).cast("binary").alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).cast("binary").alias("t")).join(F.broadcast(chosen), "k")
+    rows = rows.groupBy("k").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("k", "y", F.col("m.t").alias("t"))
     got = _with_statistics(rows, "t").toArrow()
     x, y, k = np.array(got.column("x").to_pylist(), float).reshape(-1, len(FEATURES)), got.column("y").to_numpy(), got.column("k").to_numpy()
     order = np.lexsort((*x.T, y, k))
-    x, y = x[order][:sample], y[order][:sample].astype(float)  # repeated ids of documents may have made it longer
-    return fit(x, y)
+    return fit(x[order], y[order].astype(float))
 
 
 def classify(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,7 +175,10 @@ def classify(docs: DataFrame, model: Trees, key: str = "doc_id", text: str = "te
 
 
 def keep_good(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``model`` does not reject, with their columns."""
+    """The rows of ``docs`` that ``model`` does not reject (score >= 0.5), with their columns and whatever these are called.
+
+    Null texts are scored as empty ones and stay null if kept; repeated rows share one fate; an empty table stays empty.
+    """
     bound_batches(docs.sparkSession)
     body, schema = free_name(docs, "body"), docs.schema
 

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import LONG_WORD, bound_batches, chunks, free_name, table, text_or_empty
 
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
-#: Parts whose counts a worker keeps at most.
-KNOWN_PARTS = 300_000
+#: Parts whose counts a worker keeps at most, in each of two generations.
+KNOWN_PARTS = 400_000
+#: Marks that no tokenizer of words joins to the letter or digit before them, if a blank or nothing follows.
+MARKS = frozenset(",.;:!?")
 #: Where a long text is cut: before a blank or line feed after an ASCII letter or digit, and in texts without blanks before
 #: a full-width stop, comma, bracket or the like after a kana, an ideograph or a Hangul syllable.  The sign opens the next piece.
 BOUNDARY = re.compile(
@@ -90,37 +92,67 @@ def counter_of(name: str, path: str | None = None):
     return lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+class Known(dict):
+    """text -> token count; two generations bound the memory while frequent texts stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, int] = {}
+
+    def missing(self, texts: set[str]) -> list[str]:
+        """Those that are not known; the others are, after this."""
+        left = texts.difference(self)
+        if left and self.old:
+            again = left & self.old.keys()
+            self.update({t: self.old[t] for t in again})
+            left -= again
+        return list(left)
+
+    def tidy(self) -> None:
+        if len(self) > KNOWN_PARTS:
+            self.old = {t: n for t, n in self.items() if len(t) <= LONG_WORD}
+            self.clear()
+
+
 class PartCounts:
     """Token counts of texts by their parts; a part that recurs is encoded once."""
 
     def __init__(self, count, whole: bool):
         self.count, self.whole = count, whole
         #: of parts that open a text or piece, and of those that follow a blank
-        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.opening, self.following = Known(), Known()
 
     def of(self, texts: list[bytes]) -> list[int]:
         """The counts of a batch of texts."""
         if self.whole:
             return self.count([t.decode("utf-8", "replace") for t in texts])
         cut = [[chunks(p.decode("utf-8", "replace")) for p in pieces(t)] for t in texts]
-        if sum(map(len, self.known)) > KNOWN_PARTS:
-            for known in self.known:
-                known.clear()
-        first = {parts[0] for text in cut for parts in text}.difference(self.known[0])
-        later = set().union(*(parts[1:] for text in cut for parts in text)).difference(self.known[1])
-        first_, later_ = list(first), list(later)
-        counted = self.count([*first_, *(f" {p}" for p in later_)])
-        self.known[0].update(zip(first_, counted))
-        self.known[1].update(zip(later_, counted[len(first_) :]))
-        opens, follows = (known.__getitem__ for known in self.known)
-        totals = [sum(opens(parts[0]) + sum(map(follows, parts[1:])) for parts in text) for text in cut]
-        for known, new in zip(self.known, (first_, later_)):
-            for p in new:
-                if len(p) > LONG_WORD:
-                    del known[p]
+        first = self.opening.missing({*MARKS, *(parts[0] for text in cut for parts in text)})
+        later = self.following.missing(set().union(*(parts[1:] for text in cut for parts in text)))
+        # a mark at the end of a part is a token of its own: what is before it is encoded once with and without it
+        stems = {p[:-1] if p[-1:] in MARKS and p[-2:-1].isalnum() else p for p in later}
+        new = self.following.missing(stems)
+        counted = self.count([*first, *(f" {p}" for p in new)])
+        self.opening.update(zip(first, counted))
+        self.following.update(zip(new, counted[len(first) :]))
+        opens, follows = self.opening.__getitem__, self.following.__getitem__
+        self.following.update({p: follows(p[:-1]) + opens(p[-1]) for p in later if p not in self.following})
+        totals = [sum([opens(parts[0]) + sum(map(follows, parts[1:])) for parts in text]) for text in cut]
+        self.opening.tidy()
+        self.following.tidy()
         return totals
 
 
+_loaded: dict[tuple, PartCounts] = {}
+
+
+def load(tokenizer: str, path: str | None, whole: bool) -> PartCounts:
+    """One tokenizer, with what it knows, a worker."""
+    if (key := (tokenizer, path, whole)) not in _loaded:
+        _loaded[key] = PartCounts(counter_of(tokenizer, path), whole)
+    return _loaded[key]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` without ``text``, with n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens).
 
@@ -137,7 +169,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     whole = not may_be_cut(tokenizer, path)
 
     def encode(batches):
-        counts = PartCounts(counter_of(tokenizer, path), whole)
+        counts = load(tokenizer, path, whole)
         for batch in batches:
             texts = batch.column(body).to_pylist()
             totals, start, size = [], 0, 0

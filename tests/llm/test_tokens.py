@@ -96,3 +96,11 @@ def test_tokenizers_that_mark_a_start_stay_whole(tmp_path):
         path = tmp_path / "changed.json"
         path.write_text(json.dumps(spec | change))
         assert not token_count.may_be_cut("changed.json", str(path))
+
+
+def test_what_is_known_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_count, "KNOWN_PARTS", 20)
+    texts = [f"say word{i % 50} again, {'long' * 100}{i % 3} end." for i in range(200)]
+    counts = token_count.PartCounts(COUNTERS[0], False)
+    assert [n for t in texts for n in counts.of([t.encode()])] == COUNTERS[0](texts)
+    assert len(counts.following) <= 40 and max(map(len, counts.following.old)) <= 256
