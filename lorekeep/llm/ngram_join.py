@@ -29,7 +29,7 @@ HEAVY_FROM = 4
 #: A posting list is dealt out in parts of about this many sets, and lists that are searched together in cells of about twice as many rows.
 POSTING_ROWS = 1024
 #: Pairs that a task keeps to sum them up before it emits them.
-FOUND_ROWS = 1 << 20
+FOUND_ROWS = 1 << 19
 MAX_MATCHES = 4
 #: Bytes of parity bits that travel with postings at most; the full ones travel once for each pair that is left.
 POSTING_BITS = 128
@@ -199,6 +199,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], cell: bool, percent: int):
     """Index pairs of one posting list's rows that may be similar: of two components, of fitting sizes, with parity bits that agree enough."""
     order = np.argsort(rows["n"], kind="stable")
+    maps = ParityMaps(bits)
     n = rows["n"][order]
     ends = np.searchsorted(n, n * 100 // percent, side="right")  # sizes up to n / t follow in order
     for start in range(0, len(order), 64):
@@ -213,25 +214,36 @@ def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], cell: bool, pe
         x, y = x[keep], y[keep]
         total = rows["n"][x] + rows["n"][y]
         allowed = total - 2 * -(-percent * total // (100 + percent))
-        fits = np.fromiter((least_difference(bits[i], bits[j]) <= d for i, j, d in zip(x.tolist(), y.tolist(), allowed.tolist())), bool, len(x)) if len(x) < 64 else _agree(bits, x, y, allowed)
+        fits = np.fromiter((least_difference(bits[i], bits[j]) <= d for i, j, d in zip(x.tolist(), y.tolist(), allowed.tolist())), bool, len(x)) if len(x) < 64 else maps.agree(x, y, allowed)
         yield x[fits], y[fits]
 
 
-def _agree(bits: list[bytes], x: np.ndarray, y: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """``least_difference`` of many pairs at once, by widths."""
-    out = np.zeros(len(x), bool)
-    width = np.array([len(b) for b in bits])
-    low = np.minimum(width[x], width[y])
-    for w in np.unique(low).tolist():
-        used = np.flatnonzero(width >= w)
-        place = np.zeros(len(bits), np.int64)
-        place[used] = np.arange(len(used))
-        words = np.stack([folded(bits[i], w) for i in used.tolist()]).view(np.uint64)
-        at = np.flatnonzero(low == w)
-        for start in range(0, len(at), 1 << 14):
-            k = at[start : start + (1 << 14)]
-            out[k] = np.bitwise_count(words[place[x[k]]] ^ words[place[y[k]]]).sum(axis=1) <= allowed[k]
-    return out
+class ParityMaps:
+    """The parity bits of one posting list, as arrays of each width that is asked for."""
+
+    def __init__(self, bits: list[bytes]):
+        self.bits, self.width = bits, np.array([len(b) for b in bits])
+        self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _of(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        if w not in self.words:
+            used = np.flatnonzero(self.width >= w)
+            place = np.zeros(len(self.bits), np.int32)
+            place[used] = np.arange(len(used))
+            self.words[w] = place, np.stack([folded(self.bits[i], w) for i in used.tolist()]).view(np.uint64)
+        return self.words[w]
+
+    def agree(self, x: np.ndarray, y: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Whether ``least_difference`` is within what is allowed, for many pairs at once, by widths."""
+        out = np.zeros(len(x), bool)
+        low = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(low).tolist():
+            place, words = self._of(w)
+            at = np.flatnonzero(low == w)
+            for start in range(0, len(at), 1 << 14):
+                k = at[start : start + (1 << 14)]
+                out[k] = np.bitwise_count(words[place[x[k]]] ^ words[place[y[k]]]).sum(axis=1) <= allowed[k]
+        return out
 
 
 def _summed(found: list[np.ndarray]) -> np.ndarray:
@@ -306,7 +318,7 @@ def candidates(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
                 found.append(pairs)
                 size += len(pairs)
                 if size > FOUND_ROWS:
-                    found[:] = [_summed(found)]
+                    found[:] = [_nearest(_summed(found)) if nearest else _summed(found)]
                     size = len(found[0])
                     if 2 * size > FOUND_ROWS:  # pairs that hardly repeat: what is known of them goes out
                         yield from emit()
