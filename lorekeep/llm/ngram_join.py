@@ -66,8 +66,8 @@ def word_hashes(text: bytes) -> np.ndarray:
         return (sums[ends] - sums[starts]) * _POWERS[1][starts]
 
 
-def shingle_set(text: bytes, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams (ASCII letters lower-cased); fewer words count as one n-gram."""
+def shingle_set(text: bytes, n: int, below: np.uint64 | None = None) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams (ASCII letters lower-cased); fewer words count as one n-gram.  Only those ``below`` a value, if given."""
     h = word_hashes(text)
     if not len(h):
         return h
@@ -77,7 +77,7 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
         out = np.full(count, width, np.uint64)
         for i in range(width):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : count + i])
-    return np.unique(out)
+    return np.unique(out if below is None else out[out < below])
 
 
 def min_overlap(size, percent: int):
@@ -85,21 +85,24 @@ def min_overlap(size, percent: int):
     return (size * percent + 99) // 100
 
 
-def _eligible(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Tokens that come first in the order and whose frequencies are counted: a hash range that holds several prefixes."""
+def eligible_below(percent: int) -> np.uint64:
+    """Tokens below this value come first in the order, and their frequencies are counted: a hash range that holds several prefixes."""
     part = min(1.0, 2.5 * (100 - percent) / 100)
-    return hashes < np.uint64(min(int(part * 2**64), 2**64 - 1))
+    return np.uint64(min(int(part * 2**64), 2**64 - 1))
 
 
 def choose_prefix(hashes: np.ndarray, percent: int, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix tokens of a set, their estimated frequencies and the number of matches asked for."""
+    """The prefix tokens of a (sorted) set, their estimated frequencies and the number of matches asked for."""
     n = len(hashes)
-    freq = np.ones(n, np.int64)
+    first = n - min_overlap(n, percent)  # + l tokens
+    eligible = int(np.searchsorted(hashes, eligible_below(percent)))
+    if eligible >= min(n, first + MAX_MATCHES):
+        hashes = hashes[:eligible]  # they hold any prefix
+    freq = np.ones(len(hashes), np.int64)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)
         freq = np.where(heavy[at] == hashes, counts[at], 1)
-    order = np.lexsort((hashes, freq, ~_eligible(hashes, percent)))
-    first = n - min_overlap(n, percent)  # + l tokens
+    order = np.lexsort((hashes, freq, np.arange(len(hashes)) >= eligible))
     cost = np.cumsum(freq[order[: min(n, first + MAX_MATCHES)]] - 1)  # postings met on the way
     best, matches = None, 1
     for l in range(1, min(MAX_MATCHES, n - first) + 1):
@@ -145,9 +148,9 @@ def heavy_tokens(rows: DataFrame, n: int, percent: int) -> tuple[np.ndarray, np.
     """The most frequent eligible tokens of all documents with their exact counts, sorted by token."""
 
     def count(batches):
-        for _, sets in _sets(batches, n):
-            mine = [s[_eligible(s, percent)] for s in sets]
-            if mine:
+        below = eligible_below(percent)
+        for batch in batches:
+            if mine := [shingle_set(t, n, below) for t in batch.column("t").to_pylist()]:
                 h, c = np.unique(np.concatenate(mine), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
