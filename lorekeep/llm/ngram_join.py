@@ -28,8 +28,8 @@ HEAVY_TOKENS = 1 << 18
 HEAVY_FROM = 4
 #: A posting list is dealt out in parts of about this many sets, and lists that are searched together in cells of about twice as many rows.
 POSTING_ROWS = 1024
-#: Pairs that a task keeps to sum them up before it emits them.
-FOUND_ROWS = 1 << 19
+#: Pairs that a task keeps to sum them up before it emits them; pairs it looks at together, and rows.
+FOUND_ROWS, PAIRS, HELD_ROWS = 1 << 19, 1 << 16, 1 << 13
 MAX_MATCHES = 4
 #: Bytes of parity bits that travel with postings at most; the full ones travel once for each pair that is left.
 POSTING_BITS = 128
@@ -199,41 +199,27 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], cell: bool, percent: int):
-    """Index pairs of one posting list's rows that may be similar: of two components, of fitting sizes, with parity bits that agree enough."""
-    order = np.argsort(rows["n"], kind="stable")
-    maps = ParityMaps(bits)
-    n = rows["n"][order]
-    ends = np.searchsorted(n, n * 100 // percent, side="right")  # sizes up to n / t follow in order
-    for start in range(0, len(order), 64):
-        at = np.arange(start, min(start + 64, len(order)))
-        follow = np.maximum(0, ends[at] - at - 1)
-        x = np.repeat(at, follow)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(follow) - follow, follow)
-        x, y = order[x], order[y]
-        keep = rows["root"][x] != rows["root"][y]
-        if cell:
-            keep &= rows["part"][x] != rows["part"][y]
-        x, y = x[keep], y[keep]
-        total = rows["n"][x] + rows["n"][y]
-        allowed = total - 2 * -(-percent * total // (100 + percent))
-        fits = np.fromiter((least_difference(bits[i], bits[j]) <= d for i, j, d in zip(x.tolist(), y.tolist(), allowed.tolist())), bool, len(x)) if len(x) < 64 else maps.agree(x, y, allowed)
-        yield x[fits], y[fits]
-
-
 class ParityMaps:
-    """The parity bits of one posting list, as arrays of each width that is asked for."""
+    """The parity bits of many sets, as arrays of each width that is asked for."""
 
     def __init__(self, bits: list[bytes]):
-        self.bits, self.width = bits, np.array([len(b) for b in bits])
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.groups = {int(w): (at := np.flatnonzero(self.width == w), np.frombuffer(b"".join([bits[i] for i in at.tolist()]), np.uint8).reshape(len(at), int(w))) for w in np.unique(self.width)}
         self.words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def _of(self, w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each set that is wide enough has its bits, and all bits folded to ``w`` bytes."""
         if w not in self.words:
-            used = np.flatnonzero(self.width >= w)
-            place = np.zeros(len(self.bits), np.int32)
-            place[used] = np.arange(len(used))
-            self.words[w] = place, np.stack([folded(self.bits[i], w) for i in used.tolist()]).view(np.uint64)
+            place, parts, n = np.zeros(len(self.width), np.int32), [], 0
+            for width, (at, bits) in self.groups.items():
+                if width >= w:
+                    while bits.shape[1] > w:
+                        half = bits.shape[1] // 2
+                        bits = bits[:, :half] ^ bits[:, half:]
+                    place[at] = np.arange(n, n + len(at))
+                    parts.append(np.ascontiguousarray(bits))
+                    n += len(at)
+            self.words[w] = place, np.concatenate(parts).view(np.uint64)
         return self.words[w]
 
     def agree(self, x: np.ndarray, y: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -249,6 +235,33 @@ class ParityMaps:
         return out
 
 
+def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], percent: int):
+    """Index pairs of rows of one posting list (``list``) each that may be similar: of two components, of fitting sizes, with parity bits that agree enough.
+
+    Where ``cross`` is set, the rows come from two parts, and pairs of one part are met elsewhere.
+    """
+    order = np.lexsort((rows["n"], rows["list"]))
+    n, base = rows["n"][order], rows["list"][order] << 32
+    ends = np.searchsorted(base + n, base + n * 100 // percent, side="right")  # sizes up to n / t follow in order, in the same list
+    follow = ends - np.arange(len(order)) - 1
+    total = np.cumsum(follow)
+    maps, start = ParityMaps(bits), 0
+    while start < len(order):
+        stop = max(start + 1, int(np.searchsorted(total, total[start] - follow[start] + PAIRS, side="right")))
+        met = follow[start:stop]
+        x = np.repeat(np.arange(start, stop), met)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(met) - met, met)
+        x, y = order[x], order[y]
+        start = stop
+        keep = (rows["root"][x] != rows["root"][y]) & (~rows["cross"][x] | (rows["part"][x] != rows["part"][y]))
+        x, y = x[keep], y[keep]
+        if len(x):
+            both = rows["n"][x] + rows["n"][y]
+            allowed = both - 2 * -(-percent * both // (100 + percent))
+            fits = maps.agree(x, y, allowed)
+            yield x[fits], y[fits]
+
+
 def _summed(found: list[np.ndarray]) -> np.ndarray:
     """Rows (a, b, na, nb, l, ia, ib, c) with one row for each pair: counts added, positions at their largest."""
     rows = np.concatenate(found)
@@ -288,58 +301,75 @@ def candidates(lists: DataFrame, percent: int, nearest: bool = False) -> DataFra
     bucket = F.pmod(F.xxhash64("tok"), "buckets").cast("int")
     dealt = lists.withColumns({"part": part, "bucket": bucket}).select("head", "tok", "node", "root", "n", "l", "i", "small", "part", "parts", "bucket", F.explode(cells).alias("cell"))
     dealt = dealt.repartition("head", "cell", "bucket").sortWithinPartitions("head", "cell", "bucket", "tok")
-    names = ("node", "root", "n", "l", "i", "part")
-
-    def pairs_of(batches: list[pa.RecordBatch]):
-        """The pairs of one list within a cell."""
-        if sum(map(len, batches)) < 2:
+    keys = ("head", "cell", "bucket", "tok")
+    names = ("node", "root", "n", "l", "i", "part", "parts", "cell")
+
+    def lists_in(t: pa.Table) -> np.ndarray:
+        """The number, from 0, of the list that each row belongs to."""
+        new = np.zeros(len(t), bool)
+        for c in keys:
+            v = t.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
+
+    def pairs_of(t: pa.Table, number: np.ndarray):
+        """The pairs of whole lists within their cells."""
+        rows = {c: t.column(c).to_numpy().astype(np.int64) for c in names} | {"list": number}
+        rows["cross"] = rows["cell"] // rows["parts"] != rows["cell"] % rows["parts"]
+        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+        mixed = np.minimum.reduceat(rows["root"], starts) != np.maximum.reduceat(rows["root"], starts)
+        at = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[starts, len(number)])))  # of lists with two components
+        if not len(at):
             return
-        t = pa.Table.from_batches(batches)
-        rows = {c: t.column(c).to_numpy().astype(np.int64) for c in names}
-        parts, cell = t.column("parts")[0].as_py(), t.column("cell")[0].as_py()
-        for x, y in _similar_rows(rows, t.column("small").to_pylist(), cell // parts != cell % parts, percent):
+        rows = {c: v[at] for c, v in rows.items()}
+        for x, y in _similar_rows(rows, t.column("small").take(pa.array(at)).to_pylist(), percent):
             if len(x):
                 swap = rows["node"][x] > rows["node"][y]
                 a, b = np.where(swap, y, x), np.where(swap, x, y)
                 yield np.stack([rows["node"][a], rows["node"][b], rows["n"][a], rows["n"][b], np.minimum(rows["l"][a], rows["l"][b]), rows["i"][a], rows["i"][b], np.ones(len(a), np.int64)], axis=1)
 
     def search(batches):
-        held: list[pa.RecordBatch] = []  # the list that is being read
-        found: list[np.ndarray] = []  # of the cell so far, not more than FOUND_ROWS and a list's next pairs
-        list_key = cell_key = None
+        held: list[pa.RecordBatch] = []  # rows not looked at yet; the last list may go on in the next batch
+        found: list[np.ndarray] = []  # pairs that are not emitted yet, not many more than FOUND_ROWS
 
-        def emit():
+        def folded_pairs() -> np.ndarray:
             rows = _summed(found) if found else np.zeros((0, 8), np.int64)
-            rows = _nearest(rows) if nearest and len(rows) else rows
+            return _nearest(rows) if nearest and len(rows) else rows
+
+        def emit():
+            rows = folded_pairs()
             found.clear()
             for start in range(0, len(rows), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[start : start + (1 << 16)].T], names=_FOUND)
 
-        def search_held():
+        def search_held(last: bool):
+            t = pa.Table.from_batches(held)
+            number = lists_in(t)
+            done = len(t) if last else int(np.searchsorted(number, number[-1]))
+            held[:] = t.slice(done).combine_chunks().to_batches() if done < len(t) else []
+            if not done:
+                return
             size = sum(map(len, found))
-            for pairs in pairs_of(held):
+            for pairs in pairs_of(t.slice(0, done), number[:done]):
                 found.append(pairs)
                 size += len(pairs)
                 if size > FOUND_ROWS:
-                    found[:] = [_nearest(_summed(found)) if nearest else _summed(found)]
+                    found[:] = [folded_pairs()]
                     size = len(found[0])
                     if 2 * size > FOUND_ROWS:  # pairs that hardly repeat: what is known of them goes out
                         yield from emit()
                         size = 0
-            held.clear()
 
+        waiting = 0
         for batch in batches:
-            head, cell, bucket, tok = (batch.column(c).to_numpy() for c in ("head", "cell", "bucket", "tok"))
-            cuts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (cell[1:] != cell[:-1]) | (bucket[1:] != bucket[:-1]) | (tok[1:] != tok[:-1])]) if len(head) else []
-            for start, stop in zip(cuts, [*cuts[1:], len(head)]):
-                key = (head[start], cell[start], bucket[start], tok[start])
-                if key != list_key:
-                    yield from search_held()
-                    if key[:3] != cell_key:
-                        yield from emit()
-                    list_key, cell_key = key, key[:3]
-                held.append(batch.slice(int(start), int(stop - start)))
-        yield from search_held()
+            if len(batch):
+                held.append(batch)
+                waiting += len(batch)
+                if waiting >= HELD_ROWS:
+                    yield from search_held(False)
+                    waiting = 0
+        if held:
+            yield from search_held(True)
         yield from emit()
 
     return dealt.mapInArrow(search, ", ".join(f"{c} long" for c in _FOUND))

@@ -64,3 +64,13 @@ def test_parts_merge_to_the_whole(spark):
     got = {r.g: r.s for r in fp.merge_all(df, ["g"], "s").collect()}
     for g in range(3):
         assert got[g] == sorted({h for k, t in rows if k == g for h in sketch(t)})[: fp.K]
+
+
+def test_very_long_texts_and_one_huge_group(spark, docs_of):
+    long = " ".join(f"w{i * i % 100_003}" for i in range(300_000))
+    rows = [(7, "one row of many copies, six words", "s")] * 3000 + [(8, long, "s"), (9, "x" * 1_000_000, "s"), *((100 + i, "one text of many ids, and no more", "s") for i in range(1500))]
+    got = fp.edited_pairs(docs_of(rows)).select("doc_id", "n_chars", "fingerprint").collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[8].fingerprint == hexed(sketch(long)) and by[9].n_chars == 1_000_000
+    assert len({r.fingerprint for r in got if r.doc_id == 7}) == 1 and len({r.fingerprint for r in got if r.doc_id >= 100}) == 1

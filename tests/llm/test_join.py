@@ -108,3 +108,18 @@ def test_word_hashes_are_of_words():
     assert nj.word_hashes("é É".encode())[0] != nj.word_hashes("é É".encode())[1]
     long = b"x " * 200_000
     assert len(set(nj.word_hashes(long).tolist())) == 1
+
+
+def test_very_long_texts_and_one_huge_group(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(nj, "POSTING_ROWS", 64)
+    monkeypatch.setattr(nj, "FOUND_ROWS", 500)
+    long = [f"w{i * i % 100_003}" for i in range(200_000)]
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base), "s") for i in range(1500)]  # equal texts
+    rows += [(2000 + i, " ".join([*base[:30], f"n{i}", *base[30:]]), "s") for i in range(700)]  # near copies, each with a word of its own
+    rows += [(5000, " ".join(long), "s"), (4999, " ".join([*long, "more"]), "s"), (5001, "y" * 1_000_000, "s")]
+    got = {r.doc_id: r for r in nj.join_components(docs_of(rows), 3, 90).collect()}
+    assert len(got) == len(rows)
+    assert {r.component_id for i, r in got.items() if i < 4000} == {0}
+    assert got[5000].component_id == 4999 and got[5001].component_id == 5001 and got[5001].n_shingles == 1
+    assert got[5000].n_shingles == len({tuple(long[i : i + 3]) for i in range(len(long) - 2)})

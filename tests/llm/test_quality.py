@@ -61,3 +61,28 @@ def test_flat_trees_walk_like_nested_ones():
 
     assert np.allclose(model.score(x[:50]), [walk(r) for r in x[:50]])
     assert ((model.score(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_repeated_ids_reach_the_driver_once(spark, docs_of):
+    rows = list(rows_of(300))
+    docs = docs_of([(i, t, "s") for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    once = quality.train(docs, labels)
+    again = quality.train(docs.unionByName(docs).unionByName(docs), labels.unionByName(labels))
+    assert (once.value == again.value).all() and (once.threshold == again.threshold).all()
+
+
+def test_the_whole_query_equals_plain_python(spark):
+    """Statistics, fit and scores of the smallest tables, without Spark."""
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in docs}
+    x = {i: quality.statistics(t) for i, t in docs}
+    known = sorted(i for i in x if i in labels and not held[i])
+    model = quality.fit(np.array([x[i] for i in known]), np.array([float(labels[i]) for i in known]))
+    scores = dict(zip(x, model.score(np.array(list(x.values())))))
+    got = quality.op4_quality(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.held_out, r.score, r.predicted) == (held[r.doc_id], scores[r.doc_id], int(scores[r.doc_id] >= 0.5))
