@@ -51,13 +51,8 @@ def char_ngrams(text: str | Column, n: int = 3) -> Column:
     """Distinct character n-grams of the normalized text; none if it is shorter than n."""
     if n < 1:
         raise ValueError("n must be at least 1")
-
-    def of(c: Column) -> Column:
-        grams = F.transform(F.slice(c, 1, F.greatest(F.size(c) - (n - 1), F.lit(0))), lambda x, i: F.concat(x, *(F.get(c, i + j) for j in range(1, n))))
-        return F.array_distinct(grams)
-
-    # characters as an array: a position in a UTF-8 string is found by counting from its start
-    return let(F.regexp_extract_all(normalize(text), F.lit("(?s)."), 0), of)
+    # one pass: at each character, what a look ahead sees
+    return F.array_distinct(F.regexp_extract_all(normalize(text), F.lit(f"(?s)(?=(.{{{n}}}))."), 1))
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
@@ -87,9 +82,18 @@ def fold_table() -> tuple[str, str]:
     return marked, plain
 
 
+#: Tokens of a folded text.
+TOKEN = r"[\p{L}\p{N}]+"
+
+
+def folded(text: str | Column) -> Column:
+    """Small letters without diacritics."""
+    return F.translate(F.lower(col(text)), *fold_table())
+
+
 def search_tokens(text: str | Column) -> Column:
     """Tokens of the full-text index: case-folded runs of letters and digits without diacritics."""
-    return F.regexp_extract_all(F.translate(F.lower(col(text)), *fold_table()), F.lit(r"[\p{L}\p{N}]+"), 0)
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), 0)
 
 
 # -- tags -------------------------------------------------------------------------------------------------------------

@@ -90,17 +90,24 @@ def phrase_count(tokens: Column, phrase: list[str]) -> Column:
 def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """``chunks`` that hold any of the phrases, with score (smaller is better).
 
-    Statistics are of all chunks given, so filters belong after it.  Tokens are counted in place; the statistics are
-    one row.
+    Statistics are of all chunks given, so filters belong after it; they are one row.  Tokens are counted without
+    being taken apart but where a column holds all of a phrase's terms.
     """
     cols = list(index.WEIGHTS)
 
-    def count(t: Column) -> Column:
-        by_phrase = [sum((F.lit(index.WEIGHTS[c]) * phrase_count(t[c], p) for c in cols[1:]), F.lit(index.WEIGHTS[cols[0]]) * phrase_count(t[cols[0]], p)) for p in phrases]
-        return F.struct(sum((F.size(t[c]) for c in cols[1:]), F.size(t[cols[0]])).alias("n_tokens"), *(f.alias(f"f_{i}") for i, f in enumerate(by_phrase)))
+    def weight(f: Column, c: str, p: list[str]) -> Column:
+        holds = F.lit(True)
+        for t in p:
+            holds = holds & F.contains(f[c], F.lit(t))
+        tokens = F.regexp_extract_all(f[c], F.lit(text.TOKEN), 0)
+        return F.when(holds, F.lit(index.WEIGHTS[c]) * text.let(tokens, lambda ts: phrase_count(ts, p))).otherwise(0.0)
 
-    tokens = F.struct(*(text.search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols))
-    counted = text.computed_once(chunks, "__k", text.let(tokens, count)).select(*chunks.columns, "__k.*")
+    def count(f: Column) -> Column:
+        by_phrase = [sum((weight(f, c, p) for c in cols[1:]), weight(f, cols[0], p)) for p in phrases]
+        return F.struct(sum((F.regexp_count(f[c], F.lit(text.TOKEN)) for c in cols[1:]), F.regexp_count(f[cols[0]], F.lit(text.TOKEN))).alias("n_tokens"), *(x.alias(f"f_{i}") for i, x in enumerate(by_phrase)))
+
+    folded = F.struct(*(text.folded(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in cols))
+    counted = text.computed_once(chunks, "__k", text.let(folded, count)).select(*chunks.columns, "__k.*")
     stats = counted.agg(F.count("*").alias("N"), (F.sum("n_tokens") / F.count("*")).alias("avgdl"), *(F.count_if(F.col(f"f_{i}") > 0).alias(f"n_{i}") for i in range(len(phrases))))
     hit = F.lit(False)
     for i in range(len(phrases)):
@@ -195,15 +202,16 @@ def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.15, n: int
 
 
 def fuzzy_join(queries: DataFrame, docs: DataFrame, k: int = 3, least: float = 0.15, n: int = 3) -> DataFrame:
-    """The k nearest texts of each of a bounded set of queries (item_id, q): equi-joined by n-grams, counted, ranked.
+    """The k nearest texts of each of a bounded set of queries (item_id, q), by n-grams.
 
-    Common n-grams meet most texts, so texts are first reduced to their distinct n-grams that any query has.
+    Texts meet the queries' n-grams in their own row: those are one row, as large as the queries are, and no n-gram of a
+    text is shuffled.
     """
-    q = queries.select("item_id", text.char_ngrams("q", n).alias("g")).withColumn("nq", F.size("g"))
-    wanted = q.select(F.explode("g").alias("x"), "item_id", "nq")
-    d = docs.select("doc_id", text.char_ngrams("text", n).alias("g")).withColumn("nd", F.size("g")).select("doc_id", "nd", F.explode("g").alias("x"))
-    both = d.join(wanted, "x").groupBy("item_id", "doc_id", "nq", "nd").agg(F.count("*").alias("c"))
-    scored = both.withColumn("score", F.col("c") / (F.col("nq") + F.col("nd") - F.col("c"))).filter(F.col("score") >= least)
+    q = queries.select("item_id", text.char_ngrams("q", n).alias("g"))
+    asked = q.agg(F.collect_list(F.struct("item_id", "g")).alias("asked"))  # a bounded set
+    d = text.computed_once(docs.select("doc_id", "text"), "g", text.char_ngrams("text", n)).select("doc_id", "g")
+    met = d.crossJoin(F.broadcast(asked)).select("doc_id", F.explode(F.transform("asked", lambda a: F.struct(a["item_id"].alias("item_id"), text.jaccard(a["g"], F.col("g")).alias("score")))).alias("m"))
+    scored = met.select("doc_id", "m.item_id", "m.score").filter(F.col("score") >= least)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k)
 
 
