@@ -72,6 +72,12 @@ def slugs(files: DataFrame) -> DataFrame:
     return first_wins(rows, ["workspace", "slug"], "path")
 
 
+def topics_by_recency(slugs_: DataFrame, n: int | None = None) -> DataFrame:
+    """Topics, last touched first, those without a date last; the first ``n`` of them if given."""
+    rows = slugs_.orderBy(F.desc_nulls_last("last_touched"), "workspace", "slug")
+    return rows if n is None else rows.limit(n)
+
+
 def first_wins(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

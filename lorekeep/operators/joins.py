@@ -118,29 +118,32 @@ def greedy_keep(rows: DataFrame, threshold: float = 0.85, group: str = "path", o
 def themes(candidates: DataFrame, threshold: float = 0.3, id: str = "path", text_col: str = "text", order: str = "ord", within: str = "workspace") -> DataFrame:
     """within, seed, label, members: files of a workspace grouped around the first free one whose keywords are similar.
 
-    Of equal labels the last stays.  Similar pairs are found by join; the fold walks the pairs of a workspace's
-    candidates, which are the files recalled at least twice, and not their texts.
+    Of equal labels the last stays.  Similar pairs are found by join; the fold walks the pairs of a workspace, and
+    neither texts nor keywords: files without a similar one are their own themes, and labels are made afterwards of
+    each member's three first keywords.
     """
     base = candidates.select(F.struct(F.col(order), F.col(id)).alias("id"), F.col(within).alias("g"), F.col(text_col).alias("t"))
     pairs = similar_pairs(base, threshold, 1.0, "id", "t", 5, "g").filter(F.col("similarity") > threshold)
-    nodes = candidates.select(F.col(within).alias("g"), F.col(order).alias("o"), F.col(id).alias("p"), F.array_sort(text.word_set(text_col, 5)).alias("kw"))
-    edges = pairs.select(F.col(f"id_a.{order}").alias("o"), F.col(f"id_b.{order}").alias("b"))
-    linked = nodes.join(edges.groupBy("o").agg(F.sort_array(F.collect_list("b")).alias("later")), "o", "left")
+    nodes = candidates.select(F.col(within).alias("g"), F.col(order).alias("o"), F.col(id).alias("p"), F.slice(F.array_sort(text.word_set(text_col, 5)), 1, 3).alias("kw"))
+    edges = nodes.select("g", "o").join(pairs.select(F.col(f"id_a.{order}").alias("o"), F.col(f"id_b.{order}").alias("b")), "o")
+    kinds = dict(candidates.dtypes)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("o")
-        kw, name, done, out = dict(zip(rows["o"], rows["kw"])), dict(zip(rows["o"], rows["p"])), set(), {}
-        for o, later in zip(rows["o"], rows["later"]):
-            if o in done:
-                continue
-            members = [o, *(b for b in (later if later is not None else ()) if b not in done)]
-            done.update(members)
-            label = "-".join(sorted(set().union(*(kw[m] for m in members)))[:3]) or "misc"
-            out[label] = (name[o], [name[m] for m in members])
-        return pd.DataFrame([(rows["g"].iloc[0], s, label, m) for label, (s, m) in out.items()], columns=["g", "seed", "label", "members"])
-
-    kind = dict(candidates.dtypes)[within]
-    return linked.groupBy("g").applyInPandas(fold, f"g {kind}, seed string, label string, members array<string>").withColumnRenamed("g", within)
+        seed_of: dict = {}
+        for o, later in rows.sort_values(["o", "b"]).groupby("o", sort=True)["b"]:
+            if o not in seed_of:
+                seed_of[o] = o
+                for b in later:
+                    seed_of.setdefault(b, o)
+        return pd.DataFrame({"g": rows["g"].iloc[0], "o": list(seed_of), "seed": list(seed_of.values())})
+
+    seeds = edges.groupBy("g").applyInPandas(fold, f"g {kinds[within]}, o {kinds[order]}, seed {kinds[order]}")
+    placed = nodes.join(seeds, ["g", "o"], "left").withColumn("seed", F.coalesce("seed", "o"))
+    in_order = F.array_sort(F.collect_list(F.struct((F.col("o") != F.col("seed")).alias("later"), "o", "p")))
+    grouped = placed.groupBy("g", "seed").agg(F.transform(in_order, lambda m: m["p"]).alias("members"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kw")))), 1, 3).alias("kw"))
+    label = F.when(F.size("kw") > 0, F.array_join("kw", "-")).otherwise("misc")
+    last = grouped.groupBy("g", label.alias("label")).agg(F.max_by(F.struct("members"), "seed").alias("m"))
+    return last.select(F.col("g").alias(within), F.col("m.members")[0].alias("seed"), "label", F.col("m.members").alias("members"))
 
 
 def duplicates(new: DataFrame, chunks: DataFrame, mode: str = "entry") -> DataFrame:

@@ -108,3 +108,38 @@ def dream_totals(phases: DataFrame) -> DataFrame:
     """Sums over workspaces of what each phase did; skipped and failed ones are only counted."""
     done = F.col("status") == "ok"
     return phases.groupBy("phase").agg(F.count_if(done).alias("workspaces"), F.sum(F.when(done, F.col("n")).otherwise(0)).alias("n"), F.count_if(~done).alias("skipped"))
+
+
+#: Fixed value: from here on a rendered file is written by hand and stays as it is.
+MANUAL = "## Cross-links (manual)"
+
+
+def manual_block(t: str | Column) -> Column:
+    """The part of a rendered file that is written by hand, empty without one."""
+    at = F.instr(text.col(t), F.lit(MANUAL))
+    return F.when(at > 0, F.substring(text.col(t), at, F.length(text.col(t)))).otherwise("")
+
+
+def registry(files: DataFrame) -> DataFrame:
+    """One row: text of the register of workspaces, a line for each with its files, topics and last day."""
+    rows = files.groupBy("workspace").agg(F.count("*").alias("n"), F.count_distinct(paths.slug("path")).alias("topics"), F.max("mtime").alias("mtime"))
+    day = F.date_format(F.timestamp_seconds("mtime"), "yyyy-MM-dd")
+    line = F.concat(F.lit("| "), "workspace", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), F.col("topics").cast("string"), F.lit(" | "), day, F.lit(" |"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("workspace", line.alias("line")))), lambda x: x["line"]), "\n")
+    return rows.agg(F.concat(F.lit("# Workspaces\n\n| workspace | files | topics | last touched |\n|---|---|---|---|\n"), body, F.lit("\n\n")).alias("text"))
+
+
+def to_write(rendered: DataFrame, stored: DataFrame, default_manual: str = f"{MANUAL}\n") -> DataFrame:
+    """path, text of rendered files (path, text) that differ from what is stored but for the line last_touched.
+
+    The part written by hand is kept from the stored file.
+    """
+    touched = lambda c: F.regexp_replace(c, r"(?m)^last_touched:.*$", "last_touched:")
+    both = rendered.join(stored.select("path", F.col("text").alias("was")), "path", "left")
+    manual = F.coalesce(F.nullif(manual_block("was"), F.lit("")), F.lit(default_manual))
+    return both.withColumn("text", F.concat("text", manual)).filter(F.col("was").isNull() | (touched(F.col("text")) != touched(F.col("was")))).select("path", "text")
+
+
+def conflict_previews(files: DataFrame, lines: int = 30) -> DataFrame:
+    """path, preview: the first lines of the files with conflict markers."""
+    return files.filter(text.has_conflict_markers("text")).select("path", F.array_join(F.slice(F.split("text", "\n"), 1, lines), "\n").alias("preview"))

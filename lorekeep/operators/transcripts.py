@@ -110,3 +110,15 @@ def recent_text(messages_: DataFrame, most: int, keys: tuple[str, ...] = ("file"
 def is_subagent(event: Column) -> Column:
     """A hook event that comes from a helper session and not from the user's."""
     return event["is_subagent"].eqNullSafe(True) | F.coalesce(event["parent_session_id"], F.lit("")).rlike(r"\S") | F.coalesce(event["agent_type"], F.lit("")).rlike(r"(?i)sub") | F.coalesce(event["transcript_path"], F.lit("")).contains("/subagents/")
+
+
+def session_sources(logs: DataFrame) -> DataFrame:
+    """``logs`` (sid, day, path) with prev_path: the same session's log of the day before, if it went over midnight."""
+    before = logs.select("sid", F.date_add("day", 1).alias("day"), F.col("path").alias("prev_path"))
+    return logs.join(before, ["sid", "day"], "left")
+
+
+def session_turns(messages_: DataFrame, logs: DataFrame) -> DataFrame:
+    """sid, day, from_day and the other columns of the messages (sid, day, ...) of each log's day and of the day before."""
+    days = session_sources(logs).select("sid", "day", F.explode(F.when(F.col("prev_path").isNull(), F.array("day")).otherwise(F.array(F.date_sub("day", 1), F.col("day")))).alias("from_day"))
+    return days.join(messages_.withColumnRenamed("day", "from_day"), ["sid", "from_day"])

@@ -83,3 +83,20 @@ def dream(activity: DataFrame, files: DataFrame, now: float) -> DataFrame:
     done = judged.groupBy("workspace").agg(F.count("*").alias("candidates"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("promote", "maintain", "prune")))
     every = files.select("workspace").distinct()
     return every.join(done, "workspace", "left").fillna(0).withColumn("status", F.when(F.col("candidates") > 0, "ok").otherwise("no_candidates"))
+
+
+def append_blocks(logs: DataFrame, blocks: DataFrame, order: str = "ord") -> DataFrame:
+    """path, text, redactions of logs (path, text) after blocks (path, ord, block) are appended, in order, each on lines of its own.
+
+    Logs that are not there yet begin with their first block.  What is written is redacted as a whole.
+    """
+    block = F.concat(F.when(F.col("block").startswith("\n"), "").otherwise("\n"), "block", F.when(F.col("block").endswith("\n"), "").otherwise("\n"))
+    added = blocks.withColumn("block", block).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "block"))), lambda b: b["block"]), "").alias("added"))
+    both = added.join(logs.select("path", F.col("text").alias("was")), "path", "left")
+    return both.select("path", privacy.sanitize(F.concat(F.coalesce("was", F.lit("")), "added")).alias("s")).select("path", F.col("s.text").alias("text"), F.col("s.n").alias("redactions"))
+
+
+def hook_output(decision: str | Column, reason: str | Column, context: str | Column | None = None) -> Column:
+    """The JSON answer to a hook: decision and reason, and the additional context if there is one."""
+    fields = [text.col(decision).alias("decision"), text.col(reason).alias("reason")]
+    return F.to_json(F.struct(*fields, *([] if context is None else [text.col(context).alias("additionalContext")])))

@@ -13,19 +13,34 @@ _HEADER = r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 def files(spark: SparkSession, root: str, pattern: str = "*.md", below: str = "") -> DataFrame:
     """path, workspace, kind, is_archive, mtime, size, text of the files below ``root``; gzip is read as what it holds.
 
-    Listings leave out folders whose names start with a dot, so those are named by ``below``.  Unreadable archives
-    give no row, so that one file never fails a scan.
+    Listings leave out folders whose names start with a dot, so those are named by ``below``.
     """
     root = root.rstrip("/")
-    raw = spark.read.option("ignoreCorruptFiles", "true").text(f"{root}/{below}", wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    path = F.regexp_replace("_metadata.file_path", r"^file:/*", "/")
-    rows = raw.select(F.substring(path, F.lit(len(root) + 2), F.length(path)).alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"), F.col("_metadata.file_size").alias("size"), F.coalesce("value", F.lit("")).alias("text"))
+    raw = _whole_texts(spark, root, pattern, below)
+    return _described(raw, root)
+
+
+def _whole_texts(spark: SparkSession, root: str, pattern: str, below: str, corrupt: str = "false") -> DataFrame:
+    return spark.read.option("ignoreCorruptFiles", corrupt).text(f"{root}/{below}", wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+
+
+def _relative(path: Column, root: str) -> Column:
+    plain = F.regexp_replace(path, r"^file:/*", "/")
+    return F.substring(plain, F.lit(len(root) + 2), F.length(plain))
+
+
+def _described(raw: DataFrame, root: str) -> DataFrame:
+    rows = raw.select(_relative(F.col("_metadata.file_path"), root).alias("path"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("mtime"), F.col("_metadata.file_size").alias("size"), F.coalesce("value", F.lit("")).alias("text"))
     return rows.select("path", paths.workspace("path").alias("workspace"), paths.kind("path").alias("kind"), paths.is_archive("path").alias("is_archive"), "mtime", "size", "text")
 
 
 def archives(spark: SparkSession, root: str) -> DataFrame:
-    """The archived files of a vault."""
-    return files(spark, root, "*.gz", ".archive")
+    """The archived files of a vault.  One that cannot be read has an empty text, so that no file fails a scan."""
+    root = root.rstrip("/")
+    read = _described(_whole_texts(spark, root, "*.gz", ".archive", "true"), root).select("path", "text")
+    there = file_listing(spark, f"{root}/.archive", "*.gz").withColumn("path", _relative(F.col("path"), root))
+    rows = there.join(read, "path", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return rows.select("path", paths.workspace("path").alias("workspace"), paths.kind("path").alias("kind"), paths.is_archive("path").alias("is_archive"), "mtime", "size", "text")
 
 
 def sources(files_: DataFrame) -> DataFrame:
