@@ -37,6 +37,14 @@ SELECT id_a, id_b, floor(similarity * 1e6 + 0.5)::BIGINT AS similarity_micro FRO
     )
 
 
+def _first_free(nodes: str, edges: str) -> str:
+    """SQL of ``seeds`` (g, s): the ids that no earlier seed of their group is linked to, found one after the other."""
+    return f"""
+steps AS (SELECT g, [min(o)] AS seeds FROM {nodes} GROUP BY g UNION ALL
+  SELECT g, list_append(seeds, nxt) FROM (SELECT t.g, t.seeds, (SELECT min(n.o) FROM {nodes} n WHERE n.g = t.g AND n.o > t.seeds[-1] AND NOT EXISTS (SELECT 1 FROM {edges} e WHERE e.g = t.g AND e.b = n.o AND list_contains(t.seeds, e.a))) AS nxt FROM steps t) WHERE nxt IS NOT NULL),
+seeds AS (SELECT g, unnest(arg_max(seeds, len(seeds))) AS s FROM steps GROUP BY g)"""
+
+
 @query("token_jaccard_pairs", _pairs(0.85, 1.0))
 def token_jaccard_pairs(spark, sf_dir):
     p = joins.similar_pairs(vault.files(spark, sf_dir), 0.85, 1.0, "doc_id", within="workspace")
@@ -68,10 +76,17 @@ def contradiction_pairs(spark, sf_dir):
     return found.select(F.col("path_a").alias("doc_a"), "line_a", F.col("path_b").alias("doc_b"), "line_b", "n_shared")
 
 
-@query("theme_clusters")
+@query("theme_clusters", "WITH RECURSIVE " + vault.FILES.lstrip() + r""",
+s AS MATERIALIZED (SELECT doc_id AS o, workspace AS g, path, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{5,}')) AS ws FROM files),
+w AS (SELECT o, g, len(ws) AS n, unnest(ws) AS w FROM s),
+e AS MATERIALIZED (SELECT a.g, a.o AS a, b.o AS b FROM w a JOIN w b ON a.g = b.g AND a.w = b.w AND a.o < b.o GROUP BY ALL HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) > 0.3),""" + _first_free("s", "e") + r""",
+m AS (SELECT s.g, s.o, s.path, s.ws, coalesce(min(x.s), s.o) AS seed FROM s LEFT JOIN (SELECT e.g, e.b, d.s FROM e JOIN seeds d ON e.g = d.g AND e.a = d.s) x ON x.g = s.g AND x.b = s.o GROUP BY s.g, s.o, s.path, s.ws),
+c AS (SELECT g, seed, count(*)::INTEGER AS n_members, list_sort(list_distinct(flatten(list(ws))))[1:3] AS kw FROM m GROUP BY g, seed),
+l AS (SELECT *, CASE WHEN len(kw) > 0 THEN array_to_string(kw, '-') ELSE 'misc' END AS label FROM c),
+z AS (SELECT *, row_number() OVER (PARTITION BY g, label ORDER BY seed DESC) AS r FROM l)
+SELECT z.g AS workspace, s.path AS seed, label, n_members FROM z JOIN s ON s.g = z.g AND s.o = z.seed WHERE r = 1""")
 def theme_clusters(spark, sf_dir):
-    seen = vault.events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).filter("n >= 2")
-    files = vault.files(spark, sf_dir).join(seen, F.col("doc_id") == F.col("user_id"), "left_semi")
+    files = vault.files(spark, sf_dir)
     return joins.themes(files.select("workspace", "path", "text", F.col("doc_id").alias("ord")), within="workspace").select("workspace", "seed", "label", F.size("members").alias("n_members"))
 
 
@@ -87,7 +102,12 @@ def prune_expired_superseded(spark, sf_dir):
     return e.select("doc_id", "line", reason.alias("reason")).filter("reason is not null")
 
 
-@query("prune_near_dup")
+@query("prune_near_dup", "WITH RECURSIVE " + vault.ENTRIES.lstrip() + r""",
+l AS MATERIALIZED (SELECT doc_id AS g, line AS o, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{4,}')) AS ws FROM entries),
+w AS (SELECT g, o, len(ws) AS n, unnest(ws) AS w FROM l),
+e AS MATERIALIZED (SELECT a.g, a.o AS a, b.o AS b FROM w a JOIN w b ON a.g = b.g AND a.w = b.w AND a.o < b.o GROUP BY ALL HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.85),
+d AS MATERIALIZED (SELECT g, a AS o FROM e UNION SELECT g, b FROM e),""" + _first_free("d", "e") + """
+SELECT d.g AS doc_id, d.o AS line, 'duplicate-newer-dropped' AS reason FROM d ANTI JOIN seeds ON seeds.g = d.g AND seeds.s = d.o""")
 def prune_near_dup(spark, sf_dir):
     e = vault.entries(spark, sf_dir).select("doc_id", "line", "text")
     return maintenance.prune(e, vault.TODAY, group="doc_id").filter("reason is not null").select("doc_id", "line", "reason")

@@ -154,11 +154,16 @@ def journal_cadence(spark, sf_dir):
     return state.journal_cadence(vault.events(spark, sf_dir), "user_id", ["at", "event_id"]).select("event_id", F.col("turn_count").cast("int").alias("turn_count"), "fires")
 
 
-@query("review_cadence")
+@query("review_cadence", "WITH RECURSIVE " + vault.EVENTS.lstrip() + """,
+o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS n FROM ev),
+w AS (SELECT event_id, user_id, n, 1 AS c, false AS fires FROM o WHERE n = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.n, CASE WHEN w.fires THEN 1 ELSE w.c + 1 END, CASE WHEN w.fires THEN 1 ELSE w.c + 1 END >= 15 AND o.n // 2 >= 10 FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+SELECT event_id, fires FROM w""")
 def review_cadence(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = vault.events(spark, sf_dir).withColumn("logged", F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id")))
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    e = vault.events(spark, sf_dir).withColumn("logged", F.floor(turn / 2).cast("int"))
     return state.review_cadence(e.select("event_id", "user_id", "at", "logged"), "user_id", "at", "logged").select("event_id", "fires")
 
 

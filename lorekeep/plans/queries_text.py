@@ -229,6 +229,23 @@ def trigram_fuzzy_topk(spark, sf_dir):
     return recall.fuzzy(d, FUZZY).select("doc_id", scores.micro("score").alias("score_micro"))
 
 
+_GRAMS = "CASE WHEN length(t) >= 3 THEN list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) ELSE []::VARCHAR[] END"
+
+
+@query("fuzzy_join_topk", rf"""
+WITH q AS (SELECT item_id, {_GRAMS} AS g FROM (SELECT item_id, {_NORM.format("coalesce(text, '')")} AS t FROM benchmark)),
+d AS (SELECT doc_id, {_GRAMS} AS g FROM (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS t FROM documents)),
+s AS (SELECT item_id, doc_id, len(list_intersect(d.g, q.g)) AS c, len(d.g) AS nd, len(q.g) AS nq FROM d, q),
+r AS (SELECT item_id, doc_id, coalesce(c / nullif(nd + nq - c, 0), 0) AS score FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score >= 0.15)
+SELECT item_id, doc_id, rank::INTEGER AS rank, floor(score * 1e6 + 0.5)::BIGINT AS score_micro FROM n WHERE rank <= 3""")
+def fuzzy_join_topk(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    q = vault.table(spark, sf_dir, "benchmark").select("item_id", t.alias("q"))
+    d = vault.table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
+    return recall.fuzzy_join(q, d).select("item_id", "doc_id", "rank", scores.micro("score").alias("score_micro"))
+
+
 @query("char_ngram_counts", rf"""
 SELECT doc_id, (CASE WHEN length(t) >= 3 THEN len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) ELSE 0 END)::INTEGER AS n_grams FROM (SELECT doc_id, {_NORM.format("coalesce(text, '')")} AS t FROM documents)""")
 def char_ngram_counts(spark, sf_dir):

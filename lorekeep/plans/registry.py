@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import queries_joins, queries_state, queries_text
+from . import queries_files, queries_joins, queries_state, queries_text
 
 
 def _modules():
-    return (queries_text, queries_joins, queries_state)
+    return (queries_text, queries_joins, queries_state, queries_files)
 
 
 def queries() -> dict:
