@@ -52,20 +52,46 @@ def claims(docs: DataFrame, path: str = "path", text_col: str = "text") -> DataF
     return docs.select(F.col(path).alias("path"), F.posexplode(text.lines(text_col)).alias("line", "text")).filter(F.col("text").rlike(CLAIM)).withColumn("line", F.col("line") + 1)
 
 
+#: Rows that one word of a join is dealt out in.
+LIST_ROWS = 1024
+
+
+def meetings(words: DataFrame, keys: list[str], df: str = "df") -> DataFrame:
+    """Pairs of rows (structs a, b with a.id < b.id) of equal keys; ``df`` is how many rows a key has.
+
+    A frequent key is dealt out in parts of about LIST_ROWS rows, and its parts meet in pairs, so that no key is one
+    task's work.
+    """
+    parts = F.greatest(F.lit(1), F.ceil(F.col(df) / LIST_ROWS)).cast("int")
+    dealt = words.withColumn("__n", parts).withColumn("__p", F.pmod(F.xxhash64("id"), "__n").cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda q: F.least(q, F.col("__p")) * F.col("__n") + F.greatest(q, F.col("__p")))
+    dealt = dealt.withColumn("__cell", F.explode(cells))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    same = (F.col("a.__cell") == F.col("b.__cell")) & (F.col("a.id") < F.col("b.id"))
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    across = F.floor(F.col("a.__cell") / F.col("a.__n")) != F.col("a.__cell") % F.col("a.__n")
+    return a.join(b, same & (across == (F.col("a.__p") != F.col("b.__p"))))
+
+
 def contradictions(claims_: DataFrame, least: int = 3, within: str | None = None) -> DataFrame:
     """Pairs of claims (of one ``within``, if given) with opposite polarity that share ``least`` or more keywords.
 
-    Claims without polar words are out at once.  The others meet by keyword: the words of a pair are counted, so only
-    pairs with a common keyword are ever made, each once.
+    Claims without polar words are out at once.  The others meet by keyword, rare ones first: of n keywords, one of the
+    first n - ``least`` + 1 is shared by any pair that shares ``least``, which is then verified.
     """
     rows = claims_.select((F.lit(0) if within is None else F.col(within)).alias("g"), "path", "line", "text", F.array_sort(keywords("text")).alias("kw"), polarity("text").alias("p")).filter(F.size("p.terms") > 0)
     rows = rows.withColumn("id", F.struct("path", "line"))
-    by_word = rows.select("g", "id", "p", F.explode("kw").alias("w"))
-    a, b = by_word.alias("a"), by_word.alias("b")
-    met = a.join(b, (F.col("a.w") == F.col("b.w")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.id") < F.col("b.id")) & opposite(F.col("a.p"), F.col("b.p")))
-    pairs = met.groupBy(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).agg(F.array_sort(F.collect_list("a.w")).alias("shared")).filter(F.size("shared") >= least)
-    side = lambda s: rows.select(F.col("id").alias(f"i{s}"), F.col("path").alias(f"path_{s}"), F.col("line").alias(f"line_{s}"), F.col("text").alias(f"text_{s}"), signature(F.col("p")).alias(f"polarity_{s}"))
-    return pairs.join(side("a"), "ia").join(side("b"), "ib").select("path_a", "line_a", "text_a", "path_b", "line_b", "text_b", F.slice("shared", 1, 8).alias("shared_entities"), F.size("shared").alias("n_shared"), "polarity_a", "polarity_b")
+    by_word = rows.select("g", "id", "p", F.size("kw").alias("n"), F.explode("kw").alias("w"))
+    df = by_word.groupBy("g", "w").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("g", "gg").withColumnRenamed("w", "ww")
+    ranked = by_word.join(df, F.col("g").eqNullSafe(F.col("gg")) & (F.col("w") == F.col("ww")), "left").drop("gg", "ww").withColumn("df", F.coalesce("df", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
+    first = ranked.withColumn("r", rank).filter((F.col("r") <= F.col("n") - least + 1) & (F.col("df") > 1)).drop("n", "r")
+    met = meetings(first, ["g", "w"]).filter(opposite(F.col("a.p"), F.col("b.p")))
+    pairs = met.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
+    side = lambda s: rows.select(F.col("id").alias(f"i{s}"), F.col("path").alias(f"path_{s}"), F.col("line").alias(f"line_{s}"), F.col("text").alias(f"text_{s}"), F.col("kw").alias(f"kw_{s}"), signature(F.col("p")).alias(f"polarity_{s}"))
+    both = pairs.join(side("a"), "ia").join(side("b"), "ib").withColumn("shared", F.array_sort(F.array_intersect("kw_a", "kw_b"))).filter(F.size("shared") >= least)
+    return both.select("path_a", "line_a", "text_a", "path_b", "line_b", "text_b", F.slice("shared", 1, 8).alias("shared_entities"), F.size("shared").alias("n_shared"), "polarity_a", "polarity_b")
 
 
 def similar_pairs(rows: DataFrame, low: float, high: float = 1.0, key: str = "id", text_col: str = "text", least: int = 4, within: str | None = None) -> DataFrame:
@@ -78,9 +104,8 @@ def similar_pairs(rows: DataFrame, low: float, high: float = 1.0, key: str = "id
     words = sets.select("id", "g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     df = words.groupBy("g", "w").agg(F.count("*").alias("df"))
     rank = Window.partitionBy("id").orderBy("df", "w")
-    first = words.join(df, ["g", "w"]).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1).filter("df > 1").select("id", "g", "n", "w", "r")
-    a, b = first.alias("a"), first.alias("b")
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.n") >= F.col("b.n") * low - 1e-9) & (F.col("b.n") >= F.col("a.n") * low - 1e-9))
+    first = words.join(df, ["g", "w"]).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1).filter("df > 1").select("id", "g", "n", "w", "r", "df")
+    met = meetings(first, ["g", "w"]).filter((F.col("a.n") >= F.col("b.n") * low - 1e-9) & (F.col("b.n") >= F.col("a.n") * low - 1e-9))
     # words before the last shared one that are not shared are in one set only
     shared = met.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"), F.max("a.r").alias("ra"), F.max("b.r").alias("rb"))
     most = F.least(F.col("na") - F.col("ra") + F.col("c"), F.col("nb") - F.col("rb") + F.col("c"))

@@ -355,13 +355,13 @@ _STOP = ", ".join(f"'{w}'" for w in joins.STOPWORDS)
 
 
 @query("opposite_claims", "WITH " + vault.FILES + rf""",
-k AS (SELECT doc_id, workspace AS g, lower('- [decision] ' || substr(text, 1, 400) || {_SAID}) AS t FROM files),
+k AS (SELECT doc_id, workspace AS g, lower('- [decision] ' || text || {_SAID}) AS t FROM files),
 s AS (SELECT doc_id, g, list_filter(list_distinct(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]{{4,}}')), lambda w: NOT list_contains([{_STOP}], w)) AS kw, regexp_matches(t, '(?:^|[^\p{{L}}\p{{N}}_''])(?:{"|".join(joins.NEGATIONS).replace("'", "''")})(?:$|[^\p{{L}}\p{{N}}_''])') AS neg,
   list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '(?:^|[^\\p{{L}}\\p{{N}}_])(?:{w})(?:$|[^\\p{{L}}\\p{{N}}_])') THEN '{w}' END" for w in _TERMS)}], lambda x: x IS NOT NULL) AS terms FROM k)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, len(list_intersect(a.kw, b.kw))::INTEGER AS n_shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id AND ((NOT a.neg AND NOT b.neg AND ({_OPPOSITE})) OR (a.neg <> b.neg AND list_has_any(a.terms, b.terms))) WHERE len(list_intersect(a.kw, b.kw)) >= 3""")
 def opposite_claims(spark, sf_dir):
     f = vault.files(spark, sf_dir)
-    said = F.concat(F.lit("- [decision] "), F.substring("text", 1, 400), F.expr(_SAID))
+    said = F.concat(F.lit("- [decision] "), "text", F.expr(_SAID))
     rows = f.select(F.col("workspace").alias("g"), F.col("doc_id").alias("path"), F.lit(1).alias("line"), said.alias("text"))
     return joins.contradictions(rows, within="g").select(F.col("path_a").alias("doc_a"), F.col("path_b").alias("doc_b"), "n_shared")
 
@@ -382,7 +382,7 @@ def edited_pairs(spark, sf_dir):
 
 
 @query("route_all", "WITH " + vault.FILES + rf""",
-items AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '- [secret-ref] x' WHEN 1 THEN '- [skill-ref:do-it] ' || substr(text, 1, 200) WHEN 2 THEN 'of it' WHEN 3 THEN '- [exp] ' || substr(text, 1, 300) ELSE '- [ref] zzz' || doc_id || ' qqqq ' || topic END AS text FROM files),
+items AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '- [secret-ref] x' WHEN 1 THEN '- [skill-ref:do-it] ' || text WHEN 2 THEN 'of it' WHEN 3 THEN '- [exp] ' || text ELSE '- [ref] zzz' || doc_id || ' qqqq ' || topic END AS text FROM files),
 ik AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{4,}}')), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in joins.ROUTING_STOPWORDS)}], w)) AS kw FROM items),
 tw AS (SELECT item_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{4,}}')), lambda w: NOT list_contains([{", ".join(f"'{w}'" for w in joins.ROUTING_STOPWORDS)}], w))) AS w FROM benchmark),
 c AS (SELECT id, item_id, count(*) AS n FROM (SELECT id, unnest(kw) AS w FROM ik) JOIN tw USING (w) GROUP BY ALL),
@@ -390,6 +390,6 @@ b AS (SELECT id, arg_max(item_id, (n, -item_id)) AS item_id, max(n) AS n FROM c
 SELECT i.id, CASE i.id % 5 WHEN 0 THEN 'secrets' WHEN 1 THEN 'do-it' ELSE CASE WHEN len(kw) = 0 THEN 'misc' WHEN coalesce(n, 0) >= 3 THEN 'topic-' || item_id ELSE {_slug(_longest("kw", 2))} END END AS slug, CASE i.id % 5 WHEN 3 THEN '## [exp]' WHEN 4 THEN '## [ref]' END AS section, coalesce(n, 0) AS overlap FROM items i JOIN ik USING (id) LEFT JOIN b USING (id)""")
 def route_all(spark, sf_dir):
     f = vault.files(spark, sf_dir)
-    body = F.expr("CASE doc_id % 5 WHEN 0 THEN '- [secret-ref] x' WHEN 1 THEN '- [skill-ref:do-it] ' || substr(text, 1, 200) WHEN 2 THEN 'of it' WHEN 3 THEN '- [exp] ' || substr(text, 1, 300) ELSE '- [ref] zzz' || doc_id || ' qqqq ' || topic END")
+    body = F.expr("CASE doc_id % 5 WHEN 0 THEN '- [secret-ref] x' WHEN 1 THEN '- [skill-ref:do-it] ' || text WHEN 2 THEN 'of it' WHEN 3 THEN '- [exp] ' || text ELSE '- [ref] zzz' || doc_id || ' qqqq ' || topic END")
     topics = vault.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("topic-"), F.col("item_id").cast("string")).alias("slug"), "text")
     return joins.route(f.select(F.col("doc_id").alias("id"), body.alias("text")), topics).select("id", "slug", "section", "overlap")
