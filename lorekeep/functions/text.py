@@ -41,9 +41,14 @@ def normalize(text: str | Column) -> Column:
     return squeeze(F.lower(col(text)))
 
 
+def line_feeds(text: str | Column) -> Column:
+    """A text whose lines all end by a line feed."""
+    return F.regexp_replace(col(text), _LINE_ENDS, "\n")
+
+
 def lines(text: str | Column) -> Column:
     """The lines of a text, as splitlines() gives them: no last empty one."""
-    plain = F.regexp_replace(col(text), _LINE_ENDS, "\n")
+    plain = line_feeds(text)
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n"))
 
 
@@ -57,8 +62,10 @@ def char_ngrams(text: str | Column, n: int = 3) -> Column:
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Of two arrays of distinct items; 0 when both are empty."""
-    sizes = F.struct(F.size(col(a)).alias("a"), F.size(col(b)).alias("b"), F.size(F.array_intersect(col(a), col(b))).alias("c"))
-    return let(sizes, lambda s: F.coalesce(s["c"] / F.nullif(s["a"] + s["b"] - s["c"], F.lit(0)), F.lit(0.0)))
+    # both are computed once, though each is looked at twice
+    sizes = lambda p: F.struct(F.size(p["a"]).alias("a"), F.size(p["b"]).alias("b"), F.size(F.array_intersect(p["a"], p["b"])).alias("c"))
+    ratio = lambda s: F.coalesce(s["c"] / F.nullif(s["a"] + s["b"] - s["c"], F.lit(0)), F.lit(0.0))
+    return let(F.struct(col(a).alias("a"), col(b).alias("b")), lambda p: let(sizes(p), ratio))
 
 
 def word_set(text: str | Column, least: int = 4, drop: list[str] | tuple[str, ...] = ()) -> Column:

@@ -43,12 +43,16 @@ def sections(text_: str | Column) -> Column:
         )
         return F.filter(cut, lambda s: s["content"] != "")
 
-    empty = F.array().cast("array<struct<heading:string,content:string>>")
-    return let(text.lines(text_), lambda lines: F.when(F.size(lines) > 0, of(lines)).otherwise(empty))
+    def cut(plain: Column) -> Column:
+        # most texts have no heading, and are one section as they are
+        whole = F.filter(F.array(F.struct(F.lit("").alias("heading"), text_strip(plain).alias("content"))), lambda s: s["content"] != "")
+        return F.when(plain.rlike(r"(?m)^#{1,3}\s"), let(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n"), of)).otherwise(whole)
+
+    return let(text.line_feeds(text_), cut)
 
 
 def text_strip(t: Column) -> Column:
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return F.btrim(t, F.lit(" \t\n\x0b\f\r"))
 
 
 def slices(content: Column, size: int = CHUNK) -> Column:

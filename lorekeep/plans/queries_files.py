@@ -96,6 +96,20 @@ def written_index(spark, sf_dir):
     return back.crossJoin(spark.read.parquet(f"{path}/postings").filter("col = 'content'").agg(F.sum("tf").alias("content_tokens")))  # one row each
 
 
+_HEADED = "'intro ' || lang || chr(10) || '# First ' || source || ' ##' || chr(10) || coalesce(text, '') || chr(10) || '### Third' || chr(10) || '  ' || chr(10) || '#### no heading' || chr(10) || '## Second' || chr(13) || chr(10) || 'end'"
+
+
+@query("chunk_headings", r"""WITH t AS (SELECT doc_id, lang, source, regexp_replace(coalesce(text, ''), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS body FROM documents),
+s AS (SELECT doc_id, unnest(list_filter([{'k': 0, 'h': '', 'c': 'intro ' || lang}, {'k': 1, 'h': 'First ' || source, 'c': body}, {'k': 2, 'h': 'Third', 'c': '#### no heading'}, {'k': 3, 'h': 'Second', 'c': 'end'}], lambda p: p.c <> '')) AS p FROM t),
+c AS (SELECT doc_id, p.k AS k, p.h AS heading, p.c AS c, unnest(range(0, (length(p.c) - 1) // 1500 + 1)) AS i FROM s)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1)::INTEGER AS ci, heading, length(substr(c, i * 1500 + 1, 1500))::INTEGER AS n_chars FROM c""")
+def chunk_headings(spark, sf_dir):
+    from ..operators import lines
+
+    d = vault.table(spark, sf_dir, "documents").select("doc_id", F.expr(_HEADED.replace("chr(10)", "'\\n'").replace("chr(13)", "'\\r'")).alias("text"))
+    return lines.chunks(d).select("doc_id", "ci", "heading", F.length("content").alias("n_chars"))
+
+
 @query("chunk_upsert", "WITH o AS (SELECT doc_id, 'old' AS state FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, 'new' AS state FROM documents WHERE doc_id % 2 = 0) SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n")
 def chunk_upsert(spark, sf_dir):
     d = vault.table(spark, sf_dir, "documents")
