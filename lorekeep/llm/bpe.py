@@ -69,7 +69,7 @@ def class_ranges(category: str, more: frozenset[str]) -> str:
 class BPE:
     """The encoder and decoder of a vocabulary file of the kind of word_bpe_49k.json."""
 
-    def __init__(self, path: str, cache: int = 300_000, chunk_cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 100_000, chunk_cache: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -139,8 +139,8 @@ class BPE:
     def _encoded_word(self, word: str) -> str:
         return " ".join(map(str, self.merge(word.encode("utf-8"))))
 
-    def _encoded_chunk(self, text: str) -> tuple[int, str, str]:
-        """The number of ids of a text, the decimal ids joined by one space, and the vocabulary strings joined so."""
+    def _encoded_chunk(self, text: str) -> str:
+        """The decimal ids of a text, joined by one space."""
         spans, at = [], 0
         if self.special_pattern and "<" in text:
             for m in self.special_pattern.finditer(text):
@@ -154,14 +154,12 @@ class BPE:
             elif part:
                 for step in self.steps:
                     part = step(part)
-                for word in self.split(part):
-                    out += self.words[word].split()
-        return len(out), " ".join(out), self.decode(map(int, out))
+                out += [ids for word in self.split(part) if (ids := self.words[word])]
+        return " ".join(out)
 
-    def encode_text(self, text: str) -> tuple[int, str, str]:
+    def encode_text(self, text: str) -> str:
         """As ``_encoded_chunk``, by parts that no merge reaches across and that mostly are known."""
-        found = [x for x in map(self.chunks.__getitem__, chunks(text)) if x[0]]
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+        return " ".join([ids for ids in map(self.chunks.__getitem__, chunks(text)) if ids])
 
     def split(self, text: str) -> list[str]:
         """The words of a normalized text."""
@@ -172,7 +170,7 @@ class BPE:
         return self.latin_pattern.findall(text)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_text(text)[1].split()]
+        return [int(i) for i in self.encode_text(text).split()]
 
     def decode(self, ids) -> str:
         """The vocabulary strings of ``ids``, concatenated as the library does without a decoder: with one space between."""
@@ -209,12 +207,15 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
 
     def run(batches):
         bpe = load(path)
+        strings = {str(i): s for i, s in bpe.strings.items()}
         digest = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for value in batch.column(body):
-                n, joined, decoded = bpe.encode_text(value.as_py())
-                row = (n, digest(joined), digest(decoded), [int(i) for i in joined.split()] if with_ids else None, decoded)
+                joined = bpe.encode_text(value.as_py())
+                ids = joined.split()
+                decoded = " ".join(map(strings.__getitem__, ids))
+                row = (len(ids), digest(joined), digest(decoded), [int(i) for i in ids] if with_ids else None, decoded)
                 for column, x in zip(out, row[: 5 if with_ids else 3]):
                     column.append(x)
             keep = [i for i, n in enumerate(batch.schema.names) if n != body]
