@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm import bpe, mixing, ngram_join, pii, quality
-from lorekeep.llm.common import discard, materialize, table
+from lorekeep.llm.common import discard, free_name, materialize, table
 
 #: SQL has no trees, surrogates or byte-pair merges: the pipeline is tested against its parts.
 ORACLE_SQL = None
@@ -29,7 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal data and secrets in their texts replaced by surrogates; null texts stay null."""
-    return pii.pseudonymize(docs, pii.configured_key(spark) or pii.SAMPLE_KEY, count="__entities").drop("__entities")
+    count = free_name(docs, "n_entities")
+    return pii.pseudonymize(docs, pii.configured_key(spark) or pii.SAMPLE_KEY, count=count).drop(count)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
