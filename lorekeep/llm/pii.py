@@ -469,6 +469,7 @@ def pseudonymize(docs: DataFrame, key: bytes | None = None, text: str = "text",
     rounds = {}
     if again.count() <= CLOSURE_ROWS:
         rounds = {(r.kind, r.entity): r.round for r in again.collect()}  # at most CLOSURE_ROWS
+        discard(again)
 
         def fixed(batch, row):
             return rounds
