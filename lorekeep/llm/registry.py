@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, chat, fingerprint, html_extract, infill, mixing, ngram_join, pii, quality, token_count
+from . import ann, bpe, chat, collocations, fingerprint, html_extract, infill, mixing, ngram_join, pii, quality, token_count
 
 
 def queries() -> dict:
@@ -20,12 +20,13 @@ def queries() -> dict:
         "op9_bpe": bpe.op9_bpe,
         "op10_chat": chat.op10_chat,
         "op11_infill": infill.op11_infill,
+        "op12_collocations": collocations.op12_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_ann": ann.SQL, "op8_ngram_join": ngram_join.SQL, "op10_chat": chat.SQL, "op11_infill": infill.SQL}
+    sql = {"op2_ann": ann.SQL, "op8_ngram_join": ngram_join.SQL, "op10_chat": chat.SQL, "op11_infill": infill.SQL, "op12_collocations": collocations.SQL}
     if corpus_pipeline.ORACLE_SQL is not None:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
