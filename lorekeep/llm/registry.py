@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, bpe, chat, collocations, fingerprint, html_extract, infill, mixing, ngram_join, pii, quality, token_count
+from . import ann, bpe, chat, collocations, fingerprint, html_extract, infill, mixing, ngram_join, pii, quality, suffix_dedup, token_count
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_chat": chat.op10_chat,
         "op11_infill": infill.op11_infill,
         "op12_collocations": collocations.op12_collocations,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
