@@ -24,11 +24,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import bound_batches, discard, free_name, materialize, mix64, table, text_or_empty
+from .common import bound_batches, discard, free_name, materialize, mix64, release, table, text_or_empty
 
 LENGTH = 400
 GRAM, UNIT = 8, 5
@@ -188,12 +189,17 @@ class Symbols:
 
     def __init__(self, data: bytes, level: int):
         if level == 0:
-            padded = data + bytes(64)
+            self.size, padded = len(data), data + bytes(64)
             self.eight = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
         else:
-            self.names = np.concatenate([np.frombuffer(data, np.uint64), np.zeros(8, np.uint64)])
+            self.size = int.from_bytes(data[:8], "little")
+            self.names = np.concatenate([*_unpack(data[8:], self.size, ["<u8"]), np.zeros(8, np.uint64)])
         self.level = level
 
+    @staticmethod
+    def stored(names: np.ndarray) -> bytes:
+        return len(names).to_bytes(8, "little") + _pack([names])
+
     def _at(self, position: np.ndarray) -> np.ndarray:
         source = self.names if self.level else self.eight
         return source[np.minimum(position, len(source) - 1)].astype(np.uint64)
@@ -226,14 +232,23 @@ def window_digests(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """Columns byte by byte (numbers have few of their high bytes), positions as differences, compressed."""
+    planes = []
+    for c in columns:
+        if c.dtype == np.uint32:
+            c = np.diff(c, prepend=np.uint32(0))
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def _unpack(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     out, start = [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(data, kind, n, start))
-        start += n * np.dtype(kind).itemsize
+    for kind in map(np.dtype, kinds):
+        plane = np.frombuffer(data, np.uint8, n * kind.itemsize, start).reshape(kind.itemsize, n)
+        column = np.ascontiguousarray(plane.T).view(kind).reshape(n)
+        out.append(np.cumsum(column, dtype=np.uint32) if kind == np.uint32 else column)
+        start += n * kind.itemsize
     return out
 
 
@@ -345,10 +360,9 @@ def _bounds(strings: DataFrame, level: int) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for data in batch.column("body"):
-                data = data.as_buffer().to_pybytes()
-                shape = Level(len(data) // (8 if level else 1), level)
-                index = np.linspace(0, shape.samples - 1, SAMPLES).astype(np.int64)
-                first = Symbols(data, level).first(shape.position(index))
+                symbols = Symbols(data.as_buffer().to_pybytes(), level)
+                shape = Level(symbols.size, level)
+                first = symbols.first(shape.position(np.linspace(0, shape.samples - 1, SAMPLES).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([shape.samples]), pa.array([first.tobytes()])], names=["n", "data"])
 
     rows = strings.select("body").mapInArrow(run, "n long, data binary").collect()
@@ -366,14 +380,14 @@ def _up(strings: DataFrame, level: int, levels: int, bounds: np.ndarray) -> Data
     def deal(batches):
         for batch in batches:
             for blk, n, starts, data in zip(batch.column("blk").to_pylist(), batch.column("size").to_pylist(), batch.column("starts"), batch.column("body")):
-                data = data.as_buffer().to_pybytes()
+                symbols = Symbols(data.as_buffer().to_pybytes(), level)
                 if level == levels - 1:
                     planned = plan(n, np.frombuffer(starts.as_buffer(), np.uint32), levels)
                     shape, index = planned[level][0], planned[levels][1]
                 else:
-                    shape = Level(len(data) // (8 if level else 1), level)
+                    shape = Level(symbols.size, level)
                     index = np.arange(shape.samples)
-                keys = Symbols(data, level).triple(shape.position(index))
+                keys = symbols.triple(shape.position(index))
                 yield _dealt(blk, bounds, keys[0], [index.astype(np.uint32), *keys])
 
     dealt = strings.select("blk", "size", "starts", "body").mapInArrow(deal, _DEALT)
@@ -404,7 +418,7 @@ def _names_string(strings: DataFrame, named: DataFrame) -> DataFrame:
         for data, n in rows:
             index, name = _unpack(data, n, ["<u4", "<u8"])
             names[index] = name
-        return pa.table({"blk": [own["blk"]], "size": [own["size"]], "starts": [own["starts"]], "body": [names.tobytes()]})
+        return pa.table({"blk": [own["blk"]], "size": [own["size"]], "starts": [own["starts"]], "body": [Symbols.stored(names)]})
 
     return _with_rows(strings, named, ["size", "starts"]).groupBy("blk").applyInArrow(build, "blk long, size long, starts binary, body binary")
 
@@ -489,18 +503,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     rows = docs.select(_text_key(body).alias("th"), body.alias("body")).filter(F.length("body") >= length)
     distinct = rows.groupBy("th").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(distinct.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    release(docs.sparkSession)
+    ids = materialize(texts.select("th", "tid", "copies", F.length("body").cast("long").alias("stop")), "text-ids")
     every = materialize(runs(texts, length), "runs")
     repeated = materialize(repeated_runs(every), "repeated-runs")
     discard(every)
     packed = materialize(blocks(texts, repeated.filter("sort"), length), "blocks")
+    discard(texts)
     found = repeated_windows(packed, length)
     places = materialize(_places(packed, found).unionByName(repeated.filter("full").select("tid", "lo", "hi")), "places")
     discard(packed, found, repeated)
     by_text = places.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
-    all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("body").cast("long").alias("stop")))
-    spans = texts.join(by_text, "tid", "left").select("th", F.when(F.col("copies") > 1, all_of).otherwise(_spans(F.col("found"), length)).alias("spans")).filter(F.size("spans") > 0)
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), "stop"))
+    spans = ids.join(by_text, "tid", "left").select("th", F.when(F.col("copies") > 1, all_of).otherwise(_spans(F.col("found"), length)).alias("spans")).filter(F.size("spans") > 0)
     out = materialize(spans, "spans")
-    discard(texts, places)
+    discard(ids, places)
     return out
 
 

@@ -86,7 +86,7 @@ def test_suffix_order_is_right():
         shape = planned[level][0]
         keys = sd.Symbols(strings[level], level).triple(shape.position(np.arange(shape.samples)))
         rank = (sd._dense(*keys) + 1).astype(np.uint64)
-        strings.append(rank.tobytes())
+        strings.append(sd.Symbols.stored(rank))
     for level in reversed(range(levels)):
         shape, asked = planned[level]
         symbols, kind = sd.Symbols(strings[level], level), shape.kind(asked)
