@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,14 +62,14 @@ def _drop_at_exit(spark: SparkSession) -> None:
             drop_tables(spark)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Cut the lineage by writing a Parquet table to the shared folder; survives the loss of executors.
 
     What is not deleted by ``discard`` goes when the application ends.
     """
     path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _drop_at_exit(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.materialized_at = path
     return back
@@ -144,3 +145,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns byte by byte (numbers have few of their high bytes), uint32 as differences, compressed."""
+    planes = []
+    for c in columns:
+        if c.dtype == np.uint32:
+            c = np.diff(c, prepend=np.uint32(0))
+        planes.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    """The ``n`` values of each of the packed columns."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    out, start = [], 0
+    for kind in map(np.dtype, kinds):
+        plane = np.frombuffer(data, np.uint8, n * kind.itemsize, start).reshape(kind.itemsize, n)
+        column = np.ascontiguousarray(plane.T).view(kind).reshape(n)
+        out.append(np.cumsum(column, dtype=np.uint32) if kind == np.uint32 else column)
+        start += n * kind.itemsize
+    return out

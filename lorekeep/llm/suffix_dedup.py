@@ -21,15 +21,16 @@ for the bounds of ranges reaches the driver, and every level is written to the s
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import bound_batches, discard, free_name, materialize, mix64, release, table, text_or_empty
+from .common import bound_batches, discard, free_name, materialize, mix64, pack, release, table, text_or_empty, unpack
 
 LENGTH = 400
 GRAM, UNIT = 8, 5
@@ -88,11 +89,16 @@ def runs(texts: DataFrame, length: int) -> DataFrame:
 
 def repeated_runs(every: DataFrame) -> DataFrame:
     """(tid, lo, hi, full, sort): runs whose core recurs; ``full`` if the whole recurs, ``sort`` if its windows must be compared."""
-    kinds = every.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "lo")).alias("first"))
-    cores = kinds.groupBy("core").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("all > 1").select("core", "kinds")
+    again = every.groupBy("core").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("core")
+    some = materialize(every.join(again, "core"), "recurring-runs", "zstd")
+    kinds = some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "lo")).alias("first"))
+    cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
     classes = kinds.join(cores, "core")
     full = F.col("n") > 1
-    return every.join(classes, ["core", "whole"]).select("tid", "lo", "hi", full.alias("full"), ((F.col("kinds") > 1) & (~full | (F.col("first") == F.struct("tid", "lo")))).alias("sort"))
+    flags = some.join(classes, ["core", "whole"]).select("tid", "lo", "hi", full.alias("full"), ((F.col("kinds") > 1) & (~full | (F.col("first") == F.struct("tid", "lo")))).alias("sort"))
+    out = materialize(flags.distinct(), "repeated-runs", "zstd")  # copies of a text have the same runs
+    discard(some)
+    return out
 
 
 def blocks(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -135,7 +141,8 @@ def blocks(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield close()
 
     by_text = wanted.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))  # runs of one text
-    out = texts.select("tid", "body").join(by_text, "tid").mapInArrow(run, "n long, starts binary, body binary, tids array<long>, at array<long>, lo array<long>")
+    distinct = texts.groupBy("tid").agg(F.first("body").alias("body"))
+    out = distinct.join(by_text, "tid").mapInArrow(run, "n long, starts binary, body binary, tids array<long>, at array<long>, lo array<long>")
     return out.withColumn("blk", F.monotonically_increasing_id())
 
 
@@ -193,12 +200,12 @@ class Symbols:
             self.eight = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
         else:
             self.size = int.from_bytes(data[:8], "little")
-            self.names = np.concatenate([*_unpack(data[8:], self.size, ["<u8"]), np.zeros(8, np.uint64)])
+            self.names = np.concatenate([*unpack(data[8:], self.size, ["<u8"]), np.zeros(8, np.uint64)])
         self.level = level
 
     @staticmethod
     def stored(names: np.ndarray) -> bytes:
-        return len(names).to_bytes(8, "little") + _pack([names])
+        return len(names).to_bytes(8, "little") + pack([names])
 
     def _at(self, position: np.ndarray) -> np.ndarray:
         source = self.names if self.level else self.eight
@@ -228,28 +235,7 @@ def window_digests(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-# --- packed columns ------------------------------------------------------------------------------------------------
-
-
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns byte by byte (numbers have few of their high bytes), positions as differences, compressed."""
-    planes = []
-    for c in columns:
-        if c.dtype == np.uint32:
-            c = np.diff(c, prepend=np.uint32(0))
-        planes.append(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpack(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(data)
-    out, start = [], 0
-    for kind in map(np.dtype, kinds):
-        plane = np.frombuffer(data, np.uint8, n * kind.itemsize, start).reshape(kind.itemsize, n)
-        column = np.ascontiguousarray(plane.T).view(kind).reshape(n)
-        out.append(np.cumsum(column, dtype=np.uint32) if kind == np.uint32 else column)
-        start += n * kind.itemsize
-    return out
+# --- ranges --------------------------------------------------------------------------------------------------------
 
 
 _DEALT = "part long, blk long, n long, data binary"
@@ -263,7 +249,7 @@ def _dealt(blk: int, bounds: np.ndarray, first: np.ndarray, columns: list[np.nda
     columns = [c[order] for c in columns]
     parts, begin = np.unique(part[order], return_index=True)
     ends = [*begin[1:].tolist(), len(part)]
-    rows = [(int(p), b - a, _pack([c[a:b] for c in columns])) for p, a, b in zip(parts, begin.tolist(), ends)]
+    rows = [(int(p), b - a, pack([c[a:b] for c in columns])) for p, a, b in zip(parts, begin.tolist(), ends)]
     return pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int64()), pa.array([blk] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())],
         names=["part", "blk", "n", "data"],
@@ -273,13 +259,13 @@ def _dealt(blk: int, bounds: np.ndarray, first: np.ndarray, columns: list[np.nda
 def _gathered(t: pa.Table, kinds: list[str]) -> tuple[list[np.ndarray], list[int]]:
     """The columns of all rows of a range one after another, and the rows' sizes."""
     sizes = t.column("n").to_pylist()
-    parts = [_unpack(d.as_buffer(), n, kinds) for d, n in zip(t.column("data"), sizes)]
+    parts = [unpack(d.as_buffer(), n, kinds) for d, n in zip(t.column("data"), sizes)]
     return [np.concatenate(c) for c in zip(*parts)], sizes
 
 
 def _returned(t: pa.Table, sizes: list[int], columns: list[np.ndarray]) -> pa.Table:
     ends = np.cumsum(sizes).tolist()
-    data = [_pack([c[e - n : e] for c in columns]) for n, e in zip(sizes, ends)]
+    data = [pack([c[e - n : e] for c in columns]) for n, e in zip(sizes, ends)]
     return pa.table({"blk": t.column("blk"), "n": t.column("n"), "data": pa.array(data, pa.binary())})
 
 
@@ -394,10 +380,10 @@ def _up(strings: DataFrame, level: int, levels: int, bounds: np.ndarray) -> Data
     return dealt.groupBy("part").applyInArrow(lambda t: _name(t, kinds), _BACK)
 
 
-def _with_rows(blocks: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+def _with_rows(packed: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Blocks and the packed rows that came back to them, under one schema, to be grouped by block."""
-    none = {c: F.lit(None).cast(blocks.schema[c].dataType) for c in columns}
-    return blocks.select("blk", *columns, F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("data")).unionByName(
+    none = {c: F.lit(None).cast(packed.schema[c].dataType) for c in columns}
+    return packed.select("blk", *columns, F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("data")).unionByName(
         rows.select("blk", "n", "data").withColumns(none)
     )
 
@@ -416,7 +402,7 @@ def _names_string(strings: DataFrame, named: DataFrame) -> DataFrame:
         own, rows = _split_rows(t)
         names = np.zeros(sum(n for _, n in rows), np.uint64)
         for data, n in rows:
-            index, name = _unpack(data, n, ["<u4", "<u8"])
+            index, name = unpack(data, n, ["<u4", "<u8"])
             names[index] = name
         return pa.table({"blk": [own["blk"]], "size": [own["size"]], "starts": [own["starts"]], "body": [Symbols.stored(names)]})
 
@@ -431,7 +417,7 @@ def _down(strings: DataFrame, ranks: DataFrame, level: int, levels: int, bounds:
         shape, asked = plan(own["size"], np.frombuffer(own["starts"], np.uint32), levels)[level]
         rank = np.zeros(shape.samples, np.uint64)
         for data, n in rows:
-            index, value = _unpack(data, n, ["<u4", "<u8"])
+            index, value = unpack(data, n, ["<u4", "<u8"])
             rank[index] = value
         symbols, kind = Symbols(own["body"], level), shape.kind(asked)
         ranked = lambda steps: rank[shape.index(asked + steps * shape.u)]
@@ -453,7 +439,7 @@ def repeated_windows(packed: DataFrame, length: int) -> DataFrame:
         bounds.append(_bounds(strings[-1], level))
         named = _up(strings[-1], level, levels, bounds[-1])
         if level < levels - 1:
-            strings.append(materialize(_names_string(strings[-1], named), f"names-{level + 1}"))
+            strings.append(materialize(_names_string(strings[-1], named), f"names-{level + 1}", "zstd"))
     ranks = materialize(named, f"ranks-{levels}")
     for level in reversed(range(levels)):
         lower = materialize(_down(strings[level], ranks, level, levels, bounds[level], length), f"ranks-{level}")
@@ -467,7 +453,7 @@ def _places(packed: DataFrame, found: DataFrame) -> DataFrame:
 
     def place(t: pa.Table) -> pa.Table:
         own, rows = _split_rows(t)
-        starts = np.concatenate([at[same > 0] for at, same in (_unpack(data, n, ["<u4", "u1"]) for data, n in rows)] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        starts = np.concatenate([at[same > 0] for at, same in (unpack(data, n, ["<u4", "u1"]) for data, n in rows)] or [np.zeros(0, np.uint32)]).astype(np.int64)
         starts.sort()
         at, tids, lo = (np.array(own[c], np.int64) for c in ("at", "tids", "lo"))
         i = np.searchsorted(at, starts, side="right") - 1
@@ -492,33 +478,42 @@ def _spans(runs: Column, length: int) -> Column:
     return F.aggregate(F.array_sort(runs), F.array().cast("array<struct<start:bigint,stop:bigint>>"), add)
 
 
-def _text_key(body: Column) -> Column:
-    return F.unhex(F.md5(body))
+def _text_id(body: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), body)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
-    """(th, spans): for each distinct text (th: its MD5) with a repeated string its maximal spans of bytes to be removed."""
+def text_ids(bodies: DataFrame) -> tuple[int, DataFrame]:
+    """A seed that gives each distinct text a hash of its own, and (tid, copies, stop): how often it occurs, and its length."""
+    for seed in itertools.count():
+        same = bodies.groupBy(_text_id(F.col("body"), seed).alias("tid")).agg(
+            F.count(F.lit(1)).alias("copies"), F.max(F.length("body")).cast("long").alias("stop"), F.min(F.md5("body")).alias("least"), F.max(F.md5("body")).alias("most")
+        )
+        ids = materialize(same.select("tid", "copies", "stop", (F.col("least") != F.col("most")).alias("clash")), "text-ids", "zstd")
+        if ids.filter("clash").isEmpty():
+            return seed, ids.drop("clash")
+        discard(ids)
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") -> tuple[int, DataFrame]:
+    """(tid, spans): for each distinct text with a repeated string its maximal spans of bytes to be removed; and the seed of tid."""
     bound_batches(docs.sparkSession)
-    body = text_or_empty(text).cast("binary")
-    rows = docs.select(_text_key(body).alias("th"), body.alias("body")).filter(F.length("body") >= length)
-    distinct = rows.groupBy("th").agg(F.first("body").alias("body"), F.count(F.lit(1)).alias("copies"))
-    texts = materialize(distinct.withColumn("tid", F.monotonically_increasing_id()), "texts")
-    release(docs.sparkSession)
-    ids = materialize(texts.select("th", "tid", "copies", F.length("body").cast("long").alias("stop")), "text-ids")
-    every = materialize(runs(texts, length), "runs")
-    repeated = materialize(repeated_runs(every), "repeated-runs")
+    bodies = docs.select(text_or_empty(text).cast("binary").alias("body")).filter(F.length("body") >= length)
+    seed, ids = text_ids(bodies)
+    texts = bodies.select(_text_id(F.col("body"), seed).alias("tid"), "body")
+    every = materialize(runs(texts, length), "runs", "zstd")
+    repeated = repeated_runs(every)
     discard(every)
-    packed = materialize(blocks(texts, repeated.filter("sort"), length), "blocks")
-    discard(texts)
+    packed = materialize(blocks(texts, repeated.filter("sort"), length), "blocks", "zstd")
+    release(docs.sparkSession)
     found = repeated_windows(packed, length)
-    places = materialize(_places(packed, found).unionByName(repeated.filter("full").select("tid", "lo", "hi")), "places")
+    places = materialize(_places(packed, found).unionByName(repeated.filter("full").select("tid", "lo", "hi")), "places", "zstd")
     discard(packed, found, repeated)
     by_text = places.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), "stop"))
-    spans = ids.join(by_text, "tid", "left").select("th", F.when(F.col("copies") > 1, all_of).otherwise(_spans(F.col("found"), length)).alias("spans")).filter(F.size("spans") > 0)
-    out = materialize(spans, "spans")
-    discard(ids, places)
-    return out
+    spans = ids.join(by_text, "tid", "left").select("tid", F.when(F.col("copies") > 1, all_of).otherwise(_spans(F.col("found"), length)).alias("spans")).filter(F.size("spans") > 0)
+    out = materialize(spans, "spans", "zstd")
+    discard(places)
+    return seed, out
 
 
 @F.udf(BinaryType(), useArrow=True)
@@ -541,13 +536,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
         raise ValueError("strings of 16 bytes or more can be looked for")
     docs = docs.drop(*(c for c in (kept, spans) if c.lower() != text.lower()))
     body = text_or_empty(text).cast("binary")
-    th, found = free_name(docs, "th"), free_name(docs, "found")
-    of = repeated_spans(docs, length, text).select(F.col("th").alias(th), F.col("spans").alias(found))
-    both = docs.withColumn(th, _text_key(body)).join(of, th, "left")
-    has = F.col(found).isNotNull()
+    tid, found = free_name(docs, "tid"), free_name(docs, "found")
+    seed, spans_of = repeated_spans(docs, length, text)
+    of = spans_of.select(F.col("tid").alias(tid), F.col("spans").alias(found))
+    both = docs.withColumn(tid, _text_id(body, seed)).join(of, tid, "left")
+    has = F.col(found).isNotNull() & (F.length(body) >= length)
     cut = _cut(F.when(has, body), F.col(found))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    return both.withColumns({kept: F.when(has, cut).otherwise(body), spans: F.coalesce(F.col(found), none)}).drop(th, found)
+    return both.withColumns({kept: F.when(has, cut).otherwise(body), spans: F.coalesce(F.col(found), none)}).drop(tid, found)
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
