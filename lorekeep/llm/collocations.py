@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bound_batches, discard, materialize, table, text_or_empty
+from .common import bound_batches, discard, materialize, pack, release, table, text_or_empty, unpack
 
 BLOCK_WORDS, SLICE_BYTES = 1 << 20, 1 << 22
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
@@ -59,7 +59,7 @@ class Block:
     def lists(self) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The words, how often each occurs, and the positions of the first, the second, and so on."""
         at = np.concatenate(self.parts)
-        order = np.argsort(at, kind="stable").astype(np.int32)
+        order = np.argsort(at, kind="stable").astype(np.uint32)
         ends = int((at < 0).sum())
         words = list(self.codes)[1:]
         return [w.decode() for w in words], np.bincount(at[at >= 0], minlength=len(words)), order[ends:]
@@ -77,7 +77,7 @@ def word_lists(rows: DataFrame) -> DataFrame:
         def close(lang):
             words, sizes, at = open_blocks.pop(lang).lists()
             return pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([at.tobytes()], pa.binary())],
+                [pa.array([lang]), pa.array([words], pa.list_(pa.string())), pa.array([sizes], pa.list_(pa.int64())), pa.array([pack([at])], pa.binary())],
                 names=["lang", "words", "sizes", "at"],
             )
 
@@ -128,63 +128,60 @@ def extend(phrases: Lists, words: Lists, length: int) -> tuple[np.ndarray, np.nd
 _NEXT = "blk long, lang string, pid array<long>, wid array<long>, sizes array<long>, at binary, word_ids array<long>, word_sizes array<long>, word_at binary"
 
 
-def _numbers(size: int, kept: list[dict] | None) -> tuple[np.ndarray, list[int]]:
-    """New numbers of lists of which some are kept, and the ids of these."""
-    number = np.full(size, -1, np.int64)
-    kept = kept or []
-    number[[k["j"] for k in kept]] = np.arange(len(kept))
-    return number, [k["id"] for k in kept]
+def _longs(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
 
 
-def _array(x: object, kind=np.int64) -> np.ndarray:
-    return np.asarray(x if x is not None else [], kind)
+def _list(column: pa.Array, i: int, size: int) -> np.ndarray:
+    return unpack(column[i].as_buffer(), size, ["<u4"])[0].astype(np.int64)
 
 
 def longer_lists(lists: DataFrame, kept: DataFrame, length: int) -> DataFrame:
     """Lists of phrases of ``length`` words from lists of one word less, of which ``kept`` (blk, kept) names the frequent ones."""
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                number, ids = _numbers(len(row["sizes"]), row["kept"])
-                at = np.frombuffer(row["at"], np.int32)
-                phrases = Lists(_array(row["sizes"]), at, number)
+            of = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                sizes, frequent = _longs(of["sizes"], i), of["kept"][i].values
+                ids = frequent.field("id").to_numpy(zero_copy_only=False)
+                number = np.full(len(sizes), -1)
+                number[frequent.field("j").to_numpy(zero_copy_only=False)] = np.arange(len(ids))
+                phrases = Lists(sizes, _list(of["at"], i, sizes.sum()), number)
                 if length == 2:
-                    words, word_ids = phrases, ids
-                    order = np.argsort(words.phrase, kind="stable")
-                    word_sizes, word_at = np.bincount(words.phrase, minlength=len(ids)), words.at[order]
+                    words, word_ids, word_sizes = phrases, ids, np.bincount(phrases.phrase, minlength=len(ids))
+                    word_at = pack([phrases.at[np.argsort(phrases.phrase, kind="stable")].astype(np.uint32)])
                 else:
-                    word_ids, word_sizes, word_at = row["word_ids"], _array(row["word_sizes"]), np.frombuffer(row["word_at"], np.int32)
-                    words = Lists(word_sizes, word_at)
+                    word_ids, word_sizes, word_at = _longs(of["word_ids"], i), _longs(of["word_sizes"], i), of["word_at"][i].as_py()
+                    words = Lists(word_sizes, _list(of["word_at"], i, word_sizes.sum()))
                 first, last, sizes, at = extend(phrases, words, length)
-                if not len(sizes):
-                    continue
-                longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["blk"]]), pa.array([row["lang"]]), pa.array([_array(ids)[first]], longs), pa.array([_array(word_ids)[last]], longs), pa.array([sizes], longs),
-                        pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([word_ids], longs), pa.array([word_sizes], longs), pa.array([word_at.astype(np.int32).tobytes()], pa.binary()),
-                    ],
-                    names=[c.split()[0] for c in _NEXT.split(", ")],
-                )
+                if len(sizes):
+                    made = [of["blk"][i].as_py(), of["lang"][i].as_py(), ids[first], word_ids[last], sizes, pack([at.astype(np.uint32)]), word_ids, word_sizes, word_at]
+                    kinds = [pa.int64(), pa.string(), longs, longs, longs, pa.binary(), longs, longs, pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], names=[c.split()[0] for c in _NEXT.split(", ")])
 
     return lists.join(kept, "blk").mapInArrow(run, _NEXT)
 
 
 def _exploded(lists: DataFrame, names: list[str]) -> DataFrame:
-    return lists.select("blk", "lang", F.posexplode(F.arrays_zip(*names, "sizes")).alias("j", "of")).select("blk", "lang", "j", *(f"of.{n}" for n in names), F.col("of.sizes").alias("size"))
+    one = F.posexplode(F.arrays_zip(*names, "sizes")).alias("j", "of")
+    own = ["lang"] if names == ["words"] else []  # the id of a phrase says its language
+    return lists.select("blk", *own, one).select("blk", "j", *own, *(f"of.{n}" for n in names), F.col("of.sizes").alias("size"))
 
 
 def _kept(lists: DataFrame, frequent: DataFrame, names: list[str]) -> DataFrame:
     """blk and kept: (j, id) of the block's lists that are frequent."""
-    on = ["lang", *names]
-    return _exploded(lists, names).join(frequent.select(*on, "id"), on).groupBy("blk").agg(F.collect_list(F.struct("j", "id")).alias("kept"))
+    rows = _exploded(lists, names)
+    on = [c for c in rows.columns if c not in ("blk", "j", "size")]
+    return rows.join(frequent.select(*on, "id"), on).groupBy("blk").agg(F.collect_list(F.struct("j", "id")).alias("kept"))
 
 
 def _frequent(lists: DataFrame, names: list[str], least: int) -> DataFrame:
     """Phrases with ``least`` occurrences or more, with an id each."""
-    sums = _exploded(lists, names).groupBy("lang", *names).agg(F.sum("size").alias("f")).filter(F.col("f") >= least)
-    return sums.withColumn("id", F.monotonically_increasing_id())
+    rows = _exploded(lists, names)
+    on = [c for c in rows.columns if c not in ("blk", "j", "size")]
+    return rows.groupBy(*on).agg(F.sum("size").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
 
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -196,18 +193,19 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).cast("binary").alias("body"))
-    lists = materialize(word_lists(rows), "word-lists")
+    lists = materialize(word_lists(rows), "word-lists", "zstd")
     totals = materialize(lists.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
     words = materialize(_frequent(lists, ["words"], least).withColumnRenamed("words", "phrase"), "frequent-1")
     last, found, names = words.withColumnRenamed("phrase", "words"), [words], ["words"]
     for length in range(2, longest + 1):
-        longer = materialize(longer_lists(lists, _kept(lists, last, names), length), f"lists-{length}")
+        longer = materialize(longer_lists(lists, _kept(lists, last, names), length), f"lists-{length}", "zstd")
         discard(lists)
         lists, names = longer, ["pid", "wid"]
         first = found[-1].select("lang", F.col("id").alias("pid"), F.col("phrase").alias("first"))
-        word = words.select("lang", F.col("id").alias("wid"), F.col("phrase").alias("word"))
-        counted = _frequent(lists, names, least).join(first, ["lang", "pid"]).join(word, ["lang", "wid"])
+        word = words.select(F.col("id").alias("wid"), F.col("phrase").alias("word"))
+        counted = _frequent(lists, names, least).join(first, "pid").join(word, "wid")
         last = materialize(counted.select("lang", *names, "id", "f", F.concat_ws(" ", "first", "word").alias("phrase")), f"frequent-{length}")
+        release(docs.sparkSession)
         found.append(last)
     discard(lists)
     every = [p.select("lang", "phrase", F.lit(k + 1).alias("k"), "f") for k, p in enumerate(found)]
