@@ -20,7 +20,7 @@ from .common import LONG_WORD, bound_batches, chunks, free_name, table, text_or_
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 16
 #: Parts whose counts a worker keeps at most, in each of two generations.
 KNOWN_PARTS = 300_000
-#: Marks that no tokenizer of words joins to the letter or digit before them, if a blank or nothing follows.
+#: Marks that no tokenizer of words joins to the ASCII letter or digit before them, if a blank or nothing follows (others may end in a combining mark once they are normalised).
 MARKS = frozenset(",.;:!?")
 #: Where a long text is cut: before a blank or line feed after an ASCII letter or digit, and in texts without blanks before
 #: a full-width stop, comma, bracket or the like after a kana, an ideograph or a Hangul syllable.  The sign opens the next piece.
@@ -130,7 +130,7 @@ class PartCounts:
         first = self.opening.missing({*MARKS, *(parts[0] for text in cut for parts in text)})
         later = self.following.missing(set().union(*(parts[1:] for text in cut for parts in text)))
         # a mark at the end of a part is a token of its own: what is before it is encoded once with and without it
-        stems = {p[:-1] if p[-1:] in MARKS and p[-2:-1].isalnum() else p for p in later}
+        stems = {p[:-1] if p[-1:] in MARKS and p[-2:-1].isascii() and p[-2:-1].isalnum() else p for p in later}
         new = self.following.missing(stems)
         counted = self.count([*first, *(f" {p}" for p in new)])
         self.opening.update(zip(first, counted))

@@ -104,3 +104,11 @@ def test_what_is_known_is_bounded(monkeypatch):
     counts = token_count.PartCounts(COUNTERS[0], False)
     assert [n for t in texts for n in counts.of([t.encode()])] == COUNTERS[0](texts)
     assert len(counts.following) <= 40 and max(map(len, counts.following.old)) <= 256
+
+
+@pytest.mark.parametrize("text", ["x İ.", "x İ,", "a İ! İİ? é. ß: İ.", "x i̇. ٣. x"])
+def test_marks_after_letters_that_end_in_a_mark(text):
+    from lorekeep.llm import token_count as tc
+
+    count = tc.counter_of("word_bpe_49k.json")
+    assert tc.PartCounts(count, False).of([text.encode()]) == count([text])
