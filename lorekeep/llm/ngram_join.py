@@ -38,32 +38,28 @@ FILTER_BITS = 1 << 23
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: A random odd or even number for each byte, capitals like small letters; powers of a random odd base, and their inverses.
-_BYTES = np.random.default_rng(11).integers(1, 2**64, 256, np.uint64)
-_BYTES[65:91] = _BYTES[97:123]
-_BASE = 0x5851F42D4C957F2D
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
-
-
-_POWERS = [_powers(_BASE, 1 << 17), _powers(pow(_BASE, -1, 2**64), 1 << 17)]
+#: Small letters for capital ones; the bytes of a word's last block, by how many there are.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, all at once: differences of a running polynomial sum, shifted back to the word's start."""
-    data = np.frombuffer(text, np.uint8)
-    n = len(data)
-    if n > len(_POWERS[0]):
-        _POWERS[:] = _powers(_BASE, 2 * n), _powers(pow(_BASE, -1, 2**64), 2 * n)
+    """A 64-bit hash of each word (capitals like small letters), all at once: of its length and the sum of mixed blocks of eight bytes, each mixed with its place."""
+    data = _LOWER[np.frombuffer(text, np.uint8)]
     edge = np.diff(_SPACE[data].view(np.int8), prepend=1, append=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    blocks = (ends - starts + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(blocks.sum()) - np.repeat(first, blocks)
+    at = np.repeat(starts, blocks) + 8 * place
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data),), "<u8", padded.data, 0, (1,))[at].astype(np.uint64) & _KEPT[np.minimum(np.repeat(ends, blocks) - at, 8)]
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[data] * _POWERS[0][:n], out=sums[1:])
-        return (sums[ends] - sums[starts]) * _POWERS[1][starts]
+        mixed = mix64(eight ^ mix64((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return mix64(np.add.reduceat(mixed, first) + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_set(text: bytes, n: int, below: np.uint64 | None = None) -> np.ndarray:

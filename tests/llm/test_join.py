@@ -123,3 +123,14 @@ def test_very_long_texts_and_one_huge_group(spark, docs_of, monkeypatch):
     assert {r.component_id for i, r in got.items() if i < 4000} == {0}
     assert got[5000].component_id == 4999 and got[5001].component_id == 5001 and got[5001].n_shingles == 1
     assert got[5000].n_shingles == len({tuple(long[i : i + 3]) for i in range(len(long) - 2)})
+
+
+def test_words_that_collide_as_polynomials_stay_apart(spark, docs_of):
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in nj.join_components(docs_of([(1, thue, "s"), (2, other, "s"), (3, thue.upper(), "s")]), 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    words = [thue, other, "a" * 8, "a" * 9, "a" * 7 + "\0", "a" * 7, "b" * 8 + "a" * 8, "a" * 8 + "b" * 8]
+    assert len(set(nj.word_hashes(" ".join(words).encode()).tolist())) == len(words)
