@@ -11,7 +11,7 @@ round; secrets and addresses leave their format after ``FORMAT_ROUNDS``, as some
 
 Detected are: secrets (beside a key word, or keys that show by their format), e-mail addresses, IBANs and card numbers
 with valid check digits, IPv4 and IPv6 addresses, telephone numbers, numbers of the form 123-45-6789, and names in Latin,
-Cyrillic or Greek letters after a title (and further mentions of the same whole name in that text).  Out of scope are
+Cyrillic or Greek letters after a title (and further mentions of the same whole name, or of its surname, in that text).  Out of scope are
 names without any title, dates of birth and postal addresses.
 """
 
@@ -55,12 +55,22 @@ _UP, _LOW = f"[{_letters_of('Lu')}]", f"[{_letters_of('Ll')}]"
 _GAP = r"[\s|!#$%&*]*+"
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Titles, also in capitals; the Russian ones also in small letters.
 _FEMALE = frozenset("Mrs Ms Miss Lady Dame Madame Mme Mademoiselle Herrin Frau Señora Sra Señorita Г-жа Госпожа Κυρία".split())
 _ANY = frozenset("Dr Prof Doctor Professor Доктор Профессор".split())
 _MALE = frozenset("Mr Sir Lord Monsieur Herr Señor Sr Г-н Господин Κύριος".split())
-_TITLE = "(?:" + "|".join(sorted(_FEMALE | _ANY | _MALE, key=len, reverse=True)) + ")"
+_FEMALE_SMALL, _MALE_SMALL = frozenset(t.lower() for t in _FEMALE), frozenset(t.lower() for t in _MALE)
+#: A title of each gender.
+_TITLE_OF = {"f": "Mrs", "m": "Mr", "n": "Dr"}
+_RUSSIAN = re.compile("[а-яё]")
+_TITLES = {form for t in _FEMALE | _ANY | _MALE for form in (t, t.upper(), *([t.lower()] if _RUSSIAN.search(t) else []))}
+_TITLE = "(?:" + "|".join(sorted(_TITLES, key=lambda t: (-len(t), t))) + ")"
 _WORD = rf"(?:(?:Mc|Mac|[OD]['’])?{_UP}{_LOW}+(?:[-'’]{_UP}{_LOW}+)*)"
-_NAME = rf"(?:{_UP}\.\s*)*{_WORD}(?:\s+{_WORD})?"
+_CAPS = rf"(?:[OD]['’])?{_UP}{{2,}}(?:[-'’]{_UP}+)*"
+#: Initials and up to four words, in capitals throughout or not; no title is a part of a name.
+_NAME = rf"(?!{_TITLE}\b)(?:{_UP}\.\s*)*(?:{_WORD}(?:\s+(?:{_UP}\.\s*)*(?!{_TITLE}\b){_WORD}){{0,3}}|{_CAPS}(?:\s+(?:{_UP}\.\s*)*(?!{_TITLE}\b){_CAPS}){{0,3}}\b)"
+#: What may announce a telephone number that is written with blanks alone.
+_CALL = r"(?i:\b(?:call|phone|telephone|tel|fax|mobile|cell|dial|text|ring))\b[.:#]?(?: (?:me|us|at|on|no|number)\b[.:]?){0,2} ?"
 #: Without quotes, a word is a secret if it has a digit or is as long as ``functions.privacy`` asks; stops after it are not of it.
 _UNQUOTED = r"(?=[^\"'\s,;]*\d)[^\"'\s,;]{5,}[^\"'\s,;.:!?)\]}|#$%&*]|[A-Za-z0-9_\-.+/=]{11,}[A-Za-z0-9_\-+/=]"
 #: Keys that show by their own format, in ``functions.privacy``; all but a bot's token begin with one of a few letters.
@@ -79,9 +89,9 @@ PATTERNS = {
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": rf"(?<![\d.])(?P<ip>{_OCTET}(?:\.{_OCTET}){{3}})(?![\d]|\.\d)",
     "card": r"(?<!\d)(?P<card>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19})(?!\d)",
-    "phone": rf"(?P<phone>\+\d{{1,3}}{_GAP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_GAP}[-.]?{_GAP}\d{{2,4}}){{2,4}}|(?<![\d.])\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}|(?<![\d.\-])(?:\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|0\d{{2,4}}[ -]\d{{3,4}}[ -]\d{{3,4}}))(?!\d)",
+    "phone": rf"(?P<phone>\+\d{{1,3}}{_GAP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_GAP}[-.]?{_GAP}\d{{2,4}}){{2,4}}|(?<![\d.])\(\d{{3}}\){_GAP}\d{{3}}-\d{{4}}|(?<![\d.\-])(?:\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|0\d{{2,4}}[ -]\d{{3,4}}[ -]\d{{3,4}})|{_CALL}(?P<blanks>\d{{3}} \d{{3}} \d{{4}}))(?!\d)",
     "ssn": r"(?<![\d\-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d\-])",
-    "person": rf"\b(?P<title>{_TITLE})\.?\s+(?P<person>{_NAME})",
+    "person": rf"\b(?P<title>(?:{_TITLE}\.?\s+){{0,3}}{_TITLE})\.?\s+(?P<person>{_NAME})",
 }
 #: What stands in every key of ``_KEYS``, and the end of a bot's.
 _KEY_MARKS = "AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- npm_ pypi- sk- xoxa- xoxb- xoxp- xoxr- xoxs- hooks.slack AIza _live_ _test_ SG. eyJ".split()
@@ -208,8 +218,11 @@ def canonical(kind: str, text: str, title: str = "") -> str:
     if kind == "ip6":
         return ipaddress.IPv6Address(text).compressed
     if kind == "person":
-        gender = "f" if title in _FEMALE else "n" if title in _ANY else "m"
-        return f"{gender}:{' '.join(re.sub(r'[.]', '. ', text).split())}"
+        # of several titles one that tells the gender counts
+        said = {t.strip(".").lower() for t in title.split()}
+        gender = "f" if said & _FEMALE_SMALL else "m" if said & _MALE_SMALL else "n"
+        words = re.sub(r"[.]", ". ", text).split()
+        return f"{gender}:{' '.join(re.sub(r'[^-’' + chr(39) + r']+', lambda m: m[0].capitalize(), w) if len(w) > 1 and w.isupper() and not w.endswith('.') else w for w in words)}"
     return text
 
 
@@ -333,7 +346,8 @@ def shaped(kind: str, original: str, entity: str, new: str) -> str:
         letters = iter(new)
         return "".join(c if c == " " else next(letters) for c in original)
     if kind == "person":
-        return new.partition(":")[2]
+        name = new.partition(":")[2]
+        return name.upper() if len(original) > 2 and original.isupper() else name
     return new
 
 
@@ -343,17 +357,24 @@ def _detector(names: tuple[str, ...]) -> re.Pattern:
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical entity) of every entity, in order and disjoint; later bare mentions of a titled name count too."""
+    """(start, end, kind, canonical entity) of every entity, in order and disjoint; bare mentions of a titled name, and of its surname, count too."""
     searched = tuple(n for n, hint in HINTS.items() if hint(text))
     if not searched:
         return []
     found = []
     for m in _detector(searched).finditer(text):
         group = m.lastgroup
-        kind = "secret" if group in ("unquoted", "key") else group
+        kind = {"unquoted": "secret", "key": "secret", "blanks": "phone"}.get(group, group)
         if genuine(kind, m[group]):
             found.append((m.start(group), m.end(group), kind, canonical(kind, m[group], m["title"] if kind == "person" else "")))
-    names = {text[a:b]: e for a, b, kind, e in found if kind == "person"}
+    titled = {text[a:b]: e for a, b, kind, e in found if kind == "person"}
+    names = {}
+    for name, e in titled.items():
+        given, _, last = name.rpartition(" ")
+        if given and len(last) > 2:
+            # a surname has a map of its own, so that the bare one gets the whole name's
+            names.setdefault(last, canonical("person", last, _TITLE_OF[e[0]]))
+    names |= titled
     if names:
         bare = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b")
         taken = [(a, b) for a, b, _, _ in found]

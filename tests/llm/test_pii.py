@@ -269,3 +269,32 @@ def test_the_whole_query_equals_brute_force(spark, tmp_path):
     rounds = brute_rounds(parts)
     assert rounds  # some are drawn again
     assert got == sorted((str(i), *(pii.replace(t, rounds, KEY) if t else ("", 0))) for i, t in rows)
+
+
+@pytest.mark.parametrize(
+    ("text", "gone", "stays"),
+    [
+        ("Frau Dr. Merkel", "Merkel", "Frau Dr. "),
+        ("Prof. Dr. Hans Meier ist da", "Hans Meier", " ist da"),
+        ("Dr. Martin Luther King spoke", "Martin Luther King", " spoke"),
+        ("Ms. Ada L. Byron", "Ada L Byron", "Ms. "),
+        ("MR JOHN SMITH and SMITH", "JOHN SMITH", "MR "),
+        ("DR O'NEILL", "NEILL", "DR "),
+        ("г-н Иванов", "Иванов", "г-н "),
+        ("call 555 123 4567 now", "555 4567", "call "),
+        ("Phone: 555 123 4567", "555 4567", "Phone: "),
+        ("Mr. Sir John Doe", "John Doe", "Mr. Sir "),
+    ],
+)
+def test_stacked_titles_long_names_and_capitals_go(text, gone, stays):
+    new, n = pii.replace(text, {}, KEY)
+    assert n and stays in new and not any(re.search(rf"\b{w}\b", new) for w in gone.split())
+    assert not text.isupper() or new.isupper()
+
+
+def test_bare_surnames_corefer():
+    for text in ("Mr. John Smith came. Smith said so.", "Mr Jonathan Blackwood, then Blackwood left", "MR JOHN SMITH. SMITH went"):
+        new, n = pii.replace(text, {}, KEY)
+        surname = re.match(r"M[rR]\.? \w+ (\w+)", new)[1]
+        assert n == 2 and len(re.findall(surname, new)) == 2 and not re.search("(?i)smith|blackwood", new)
+    assert pii.replace("numbers 555 123 4567, Smith", {}, KEY) == ("numbers 555 123 4567, Smith", 0)
