@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import zlib
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gate, paths, text
@@ -29,24 +33,70 @@ def build_chunks(files: DataFrame) -> DataFrame:
 
 
 def build_postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, col, tf, positions: one row for each term of a chunk's column."""
+    """term, chunk_id, col, n_tokens (of the whole chunk), tf, positions: one row for each term of a chunk's column."""
     cols = list(WEIGHTS)
     tokens = F.array(*(F.struct(F.lit(c).alias("col"), text.search_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in cols))
-    rows = chunks.select("chunk_id", F.explode(tokens).alias("t")).select("chunk_id", "t.col", F.posexplode("t.tokens").alias("pos", "term"))
+    cut = text.computed_once(chunks.select("chunk_id", *cols), "t", tokens)
+    size = F.aggregate("t", F.lit(0), lambda n, c: n + F.size(c["tokens"]))
+    rows = cut.select("chunk_id", size.alias("n_tokens"), F.explode("t").alias("t")).select("chunk_id", "n_tokens", "t.col", F.posexplode("t.tokens").alias("pos", "term"))
     # a chunk's tokens are together already: the groups are small and made on the map side
-    return rows.groupBy("term", "chunk_id", "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return rows.groupBy("term", "chunk_id", "col", "n_tokens").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", sum((F.size(text.search_tokens(F.coalesce(F.col(c), F.lit("")))) for c in WEIGHTS), F.lit(0)).alias("n_tokens"))
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks by workspace, postings by a hash range of the term and sorted by it, so that a query reads few row groups."""
+def bucket(term: str | Column, buckets: int | Column) -> int | Column:
+    """The bucket of the postings a term lies in: the same number here and in a plan."""
+    if isinstance(term, str):
+        return zlib.crc32(term.encode()) % buckets
+    return (F.crc32(term.cast("binary")) % buckets).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str, buckets: int = 64, deals: int = 8) -> None:
+    """Chunks by workspace, lengths, statistics, and postings by the bucket of the term, sorted by it.
+
+    A query reads the buckets of its terms only, and in them the row groups that hold a term.  The postings of a bucket are
+    written by ``deals`` tasks, as a frequent term may fill its bucket.
+    """
     chunks.write.mode("overwrite").partitionBy("workspace").parquet(f"{path}/chunks")
-    part = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    build_postings(chunks).withColumn("part", part).repartition(buckets, "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    deal = F.pmod(F.xxhash64("chunk_id"), F.lit(deals))
+    placed = build_postings(chunks).withColumn("part", bucket(F.col("term"), F.lit(buckets)))
+    placed.repartition(buckets * deals, "part", deal).sortWithinPartitions("part", "term", "chunk_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     chunk_lengths(chunks).write.mode("overwrite").parquet(f"{path}/lengths")
+    lengths = chunks.sparkSession.read.parquet(f"{path}/lengths")
+    lengths.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
+
+
+_POSTINGS = "term string, chunk_id long, col string, n_tokens int, tf long, positions array<int>, part int"
+
+
+@dataclass(frozen=True)
+class StoredIndex:
+    """An index that ``write_index`` has written, with the statistics of its chunks."""
+
+    path: str
+    postings: DataFrame
+    chunks: int
+    tokens: int
+    buckets: int
+
+    @property
+    def mean_length(self) -> float:
+        return self.tokens / max(1, self.chunks)
+
+    def postings_of(self, terms: Iterable[str]) -> DataFrame:
+        """The postings of some terms; the plan reads their buckets only."""
+        terms = sorted(set(terms))
+        parts = sorted({bucket(t, self.buckets) for t in terms})
+        return self.postings.filter(F.col("part").isin(*parts) & F.col("term").isin(*terms)).drop("part")
+
+
+def open_index(spark: SparkSession, path: str) -> StoredIndex:
+    """Reads the one row of statistics; postings are read by the queries."""
+    row = spark.read.parquet(f"{path}/statistics").first()
+    return StoredIndex(path, spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), row["chunks"], row["tokens"], row["buckets"])
 
 
 def refresh(old: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:

@@ -40,12 +40,13 @@ class Profile:
     boundary: int | None
 
 
-def profile(query: str, days: int = 0) -> Profile:
-    """What a query is about: identifiers first, then prose words that say something."""
+def profile(query: str, days: int = 0, stop: frozenset[str] | None = None) -> Profile:
+    """What a query is about: identifiers first, then prose words that say something (are not in ``stop``)."""
+    stop = tags.stopwords() if stop is None else stop
     idents, prose = tags.harvest(query or "")
     words = [w.lower() for w in tags.PROSE_WORD.findall(prose)]
     keywords: dict[str, str] = {}
-    for w in [*idents, *(w for w in words if w not in tags.stopwords() and len(w) >= 3 and not w.isdigit())]:
+    for w in [*idents, *(w for w in words if w not in stop and len(w) >= 3 and not w.isdigit())]:
         keywords.setdefault(w.lower(), w)
     found = tuple(keywords.values())
     kind = next((k for k, cue in TYPE_CUES if re.search(rf"\b({cue})\b", query or "", re.I)), "")
@@ -122,13 +123,35 @@ def bm25(chunks: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return rows.select(*chunks.columns, (-score).alias("score"))
 
 
+def _column_weight() -> Column:
+    return F.element_at(F.create_map(*(x for c, w in index.WEIGHTS.items() for x in (F.lit(c), F.lit(w)))), F.col("col"))
+
+
+def _idf(chunks: Column, holding: Column) -> Column:
+    idf = F.log((chunks - holding + 0.5) / (holding + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf)
+
+
+def _saturated(f: Column, n_tokens: Column, mean: Column) -> Column:
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * n_tokens / mean))
+
+
 def bm25_indexed(postings: DataFrame, lengths: DataFrame, phrases: list[list[str]]) -> DataFrame:
-    """chunk_id, score from a written index: only the postings of the query's terms are read."""
+    """chunk_id, score from postings: of the query's terms only, with statistics of the given lengths."""
     terms = sorted({t for p in phrases for t in p})
     hits = postings.filter(F.col("term").isin(*terms))
     stats = lengths.agg(F.count("*").alias("N"), (F.sum("n_tokens") / F.count("*")).alias("avgdl"))
-    weight = F.element_at(F.create_map(*(x for c, w in index.WEIGHTS.items() for x in (F.lit(c), F.lit(w)))), F.col("col"))
-    by_col = hits.groupBy("chunk_id", "col").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))  # at most the query's terms
+    return _scored(hits, phrases, F.col("N"), F.col("avgdl"), stats)
+
+
+def bm25_stored(stored: index.StoredIndex, phrases: list[list[str]]) -> DataFrame:
+    """chunk_id, score from a stored index: reads the buckets of the query's terms, and no text, length or other term."""
+    hits = stored.postings_of(t for p in phrases for t in p)
+    return _scored(hits, phrases, F.lit(stored.chunks), F.lit(stored.mean_length))
+
+
+def _scored(hits: DataFrame, phrases: list[list[str]], chunks: Column, mean: Column, stats: DataFrame | None = None) -> DataFrame:
+    by_col = hits.groupBy("chunk_id", "col", "n_tokens").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))  # at most the query's terms
     empty = F.array().cast("array<int>")
 
     def count(p: list[str]) -> Column:
@@ -145,17 +168,54 @@ def bm25_indexed(postings: DataFrame, lengths: DataFrame, phrases: list[list[str
 
         return F.size(F.filter(at, follows))
 
-    per_chunk = by_col.select("chunk_id", *((weight * count(p)).alias(f"f_{i}") for i, p in enumerate(phrases))).groupBy("chunk_id").agg(*(F.sum(f"f_{i}").alias(f"f_{i}") for i in range(len(phrases))))
-    df = per_chunk.agg(*(F.count_if(F.col(f"f_{i}") > 0).alias(f"n_{i}") for i in range(len(phrases))))
-    rows = per_chunk.join(lengths, "chunk_id").crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(df))
+    weighted = by_col.select("chunk_id", "n_tokens", *((_column_weight() * count(p)).alias(f"f_{i}") for i, p in enumerate(phrases)))
+    per_chunk = weighted.groupBy("chunk_id", "n_tokens").agg(*(F.sum(f"f_{i}").alias(f"f_{i}") for i in range(len(phrases))))
+    rows = per_chunk.crossJoin(F.broadcast(per_chunk.agg(*(F.count_if(F.col(f"f_{i}") > 0).alias(f"n_{i}") for i in range(len(phrases))))))  # one row
+    if stats is not None:
+        rows = rows.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        idf = F.log((F.col("N") - F.col(f"n_{i}") + 0.5) / (F.col(f"n_{i}") + 0.5))
-        f = F.col(f"f_{i}")
-        score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / F.col("avgdl"))))
+        score = score + _idf(chunks, F.col(f"n_{i}")) * _saturated(F.col(f"f_{i}"), F.col("n_tokens"), mean)
     return rows.select("chunk_id", (-score).alias("score")).filter("score < 0")
 
 
+def query_phrases(query: str | Column) -> Column:
+    """The phrases of each of a column of queries, as ``match_terms`` of its profile has them; null for a null query."""
+    stop = tags.stopwords()
+
+    @F.udf("array<array<string>>", useArrow=True)
+    def of(q):
+        return None if q is None else match_terms(profile(q, stop=stop))
+
+    return of(text.col(query))
+
+
+def bm25_batch(stored: index.StoredIndex, queries: DataFrame, k: int = 10, deals: int = 16) -> DataFrame:
+    """item_id, chunk_id, score, rank: the k best chunks of the index for each of a table of queries (item_id, phrases).
+
+    The queries' distinct terms meet the postings once, whatever many queries ask for them; what a phrase finds is dealt
+    in ``deals`` parts by chunk before it meets the queries, as a frequent phrase may be in every chunk and in every query.
+    Best lists are cut to k in each task before they are shuffled.  A null or empty list of phrases finds nothing; a
+    phrase that a query has twice counts twice, as in a single query.
+    """
+    asked = queries.select("item_id", F.explode("phrases").alias("phrase")).withColumn("key", F.array_join("phrase", " "))
+    distinct = asked.select("key", "phrase").distinct()
+    terms = distinct.select("key", F.size("phrase").alias("n"), F.posexplode("phrase").alias("j", "term")).withColumn("part", index.bucket(F.col("term"), F.lit(stored.buckets)))
+    hits = stored.postings.join(terms, ["part", "term"]).withColumn("weight", _column_weight())
+    by_chunk = ["key", "chunk_id", "n_tokens"]
+    words = hits.filter("n = 1").groupBy(*by_chunk).agg(F.sum(F.col("weight") * F.col("tf")).alias("f"))
+    starts = hits.filter("n > 1").select(*by_chunk, "n", "col", "weight", F.explode(F.transform("positions", lambda p: p - F.col("j"))).alias("start"))
+    whole = starts.groupBy(*by_chunk, "n", "col", "weight", "start").agg(F.count("*").alias("met")).filter("met = n")
+    found = words.unionByName(whole.groupBy(*by_chunk).agg(F.sum("weight").alias("f")))
+    counted = asked.groupBy("item_id", "key").agg(F.count("*").alias("times")).join(found.groupBy("key").agg(F.count("*").alias("holding")), "key")
+    wanted = counted.select("item_id", "key", (F.col("times") * _idf(F.lit(stored.chunks), F.col("holding"))).alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"))
+    dealt = found.withColumn("deal", F.pmod(F.xxhash64("chunk_id"), F.lit(deals)).cast("int"))
+    part = -F.col("idf") * _saturated(F.col("f"), F.col("n_tokens"), F.lit(stored.mean_length))
+    scored = dealt.join(wanted, ["key", "deal"]).groupBy("item_id", "chunk_id").agg(F.sum(part).alias("score"))
+    best = Window.partitionBy("item_id").orderBy("score", "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def filters(workspace: str = "", tag: str = "", keyword: str = "", topic: str = "", days: int = 0, now: float = 0.0, archived: bool = False) -> Column:
     """The row filters of a recall; empty values filter nothing."""
     path = F.lower("path")

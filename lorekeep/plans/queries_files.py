@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import gate, paths, text
 from ..operators import index, joins, maintenance, reports, tags, transcripts, writing
 from ..sources import vault as source
+from ..session import delete_at_exit, shared_folder
 from . import vault
 from .queries_joins import _TERMS, _WORDS
 from .queries_text import _redacted
@@ -88,8 +89,8 @@ c AS (SELECT path, substr(body, i * 1500 + 1, 1500) AS content FROM (SELECT *, u
 SELECT count(*) AS chunks, count(DISTINCT path) AS paths, sum(len(regexp_extract_all(translate(lower(content), '%s', '%s'), '[\pL\pN]+')))::BIGINT AS content_tokens FROM c""" % text.fold_table())
 def written_index(spark, sf_dir):
     """Write the index to the session's shared folder, read it back and count: tokens by the postings' frequencies."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    path = f"{where.rstrip('/')}/written-index-{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/written-index-{spark.sparkContext.applicationId}"
+    delete_at_exit(spark, path)
     chunks = index.build_chunks(vault.files(spark, sf_dir).select("path", "workspace", "mtime", "text"))
     index.write_index(chunks, path, 8)
     back = spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("chunks"), F.count_distinct("path").alias("paths"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..functions import gate, privacy, scores, text
-from ..operators import index, joins, lines, recall
+from ..operators import index, joins, lines, recall, tags
+from ..session import delete_at_exit, shared_folder
 from . import vault
 
 QUERIES, SQL = {}, {}
@@ -82,11 +85,57 @@ def recall_recent_empty_query(spark, sf_dir):
 
 @query("recall_indexed_topk", RANKED + " SELECT chunk_id, score_micro FROM micro ORDER BY score_micro, chunk_id LIMIT 50")
 def recall_indexed_topk(spark, sf_dir):
-    # a text of over 1,000 chunks runs into the chunk_id of the next document, so the index has an id of its own
-    chunks = vault.chunks(spark, sf_dir).withColumn("chunk_id", F.shiftleft("doc_id", 24) + F.col("ci"))
-    found = recall.bm25_indexed(index.build_postings(chunks), index.chunk_lengths(chunks), PHRASES)
-    shown = F.shiftright("chunk_id", 24) * 1000 + F.col("chunk_id").bitwiseAND(F.lit((1 << 24) - 1))
-    return found.select(shown.alias("chunk_id"), scores.micro("score").alias("score_micro")).orderBy("score_micro", "chunk_id").limit(50)
+    """From an index stored below the shared folder: only the buckets of the query's terms are read."""
+    found = recall.bm25_stored(stored_index(spark, sf_dir), PHRASES)
+    return found.select(_shown().alias("chunk_id"), scores.micro("score").alias("score_micro")).orderBy("score_micro", "chunk_id").limit(50)
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, sf_dir: str) -> index.StoredIndex:
+    """The index of the chunks, written once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/index-{key[0]}-{zlib.crc32(sf_dir.encode()):08x}"
+        delete_at_exit(spark, path)
+        # a text of over 1,000 chunks runs into the chunk_id of the next document, so the index has an id of its own
+        index.write_index(vault.chunks(spark, sf_dir).withColumn("chunk_id", F.shiftleft("doc_id", 24) + F.col("ci")), path, 32, 2)
+        _stored[key] = path
+    return index.open_index(spark, _stored[key])
+
+
+def _shown():
+    """The chunk_id of ``vault.chunks``."""
+    return F.shiftright("chunk_id", 24) * 1000 + F.col("chunk_id").bitwiseAND(F.lit((1 << 24) - 1))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(tags.stopwords())) + "]"
+
+
+@query(
+    "recall_batch_topk",
+    "WITH "
+    + vault.CHUNKS
+    + f""",
+toks AS (SELECT chunk_id, {', '.join(f"{_tokens(c)} AS t_{c}" for c, _ in _WEIGHTS)} FROM chunks),
+lengths AS (SELECT *, {' + '.join(f'len(t_{c})' for c, _ in _WEIGHTS)} AS n_tokens FROM toks),
+stats AS (SELECT count(*) AS N, sum(n_tokens) / count(*) AS avgdl FROM lengths),
+postings AS (SELECT chunk_id, n_tokens, term, sum(w) AS f FROM ({' UNION ALL '.join(f"SELECT chunk_id, n_tokens, unnest(t_{c}) AS term, {w} AS w FROM lengths" for c, w in _WEIGHTS)}) GROUP BY ALL),
+holding AS (SELECT term, count(*) AS held FROM postings GROUP BY term),
+prose AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '[0-9]+') AND NOT list_contains({_STOP}, w)) AS w FROM benchmark),
+asked AS (SELECT item_id, translate(unnest(list_filter(w, lambda x, i: list_position(w, x) = i)[1:12]), '{_MARKED}', '{_PLAIN}') AS term FROM prose),
+scored AS (SELECT item_id, chunk_id, -sum(CASE WHEN ln((N - held + 0.5) / (held + 0.5)) <= 0 THEN 1e-6 ELSE ln((N - held + 0.5) / (held + 0.5)) END * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n_tokens / avgdl)))) AS score
+  FROM asked JOIN holding USING (term) JOIN postings USING (term), stats GROUP BY item_id, chunk_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, chunk_id) AS rank FROM scored)
+SELECT item_id, rank::INTEGER AS rank, floor(score * 1e6 + 0.5)::BIGINT AS score_micro FROM ranked WHERE rank <= 10""",
+)
+def recall_batch_topk(spark, sf_dir):
+    """All items of the benchmark as queries, ten chunks each, in one plan; equal scores make the chunks themselves a matter of order, so ranks and scores are shown."""
+    plain = F.lower(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))
+    queries = vault.table(spark, sf_dir, "benchmark").select("item_id", recall.query_phrases(plain).alias("phrases"))
+    found = recall.bm25_batch(stored_index(spark, sf_dir), queries, 10)
+    return found.select("item_id", "rank", scores.micro("score").alias("score_micro"))
 
 
 @query("query_answer_type", "SELECT item_id, CASE " + " ".join("WHEN regexp_matches(text, '(?i)\\b(" + cue.replace("'", "''") + f")\\b') THEN '{kind}'" for kind, cue in recall.TYPE_CUES) + " ELSE '' END AS answer_type FROM benchmark")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
@@ -27,6 +29,50 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    return (given or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints").rstrip("/")
+
+
+_leaving: set[str] = set()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    if path in _leaving:
+        return
+    _leaving.add(path)
+
+    @atexit.register
+    def drop() -> None:
+        if spark.sparkContext._jsc is not None:
+            delete(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts the lineage, and survives the loss of executors.  It goes when the application ends, or by ``forget``."""
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    delete_at_exit(spark, home)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df.written_at)
+
+
 def local_session(cpus: int | str = "*", app: str = "lorekeep", partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]")
