@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gate, paths, text
+from ..session import forget, written
 from . import index
 
 #: Opposite words, words of negation, words that are no topic.
@@ -119,50 +121,54 @@ def lint_pairs(rows: DataFrame, key: str = "id", text_col: str = "text", within:
     return similar_pairs(rows, 0.4, 0.85, key, text_col, within=within).filter(1.0 - F.col("similarity") >= 0.15)
 
 
+def first_free(edges: DataFrame) -> DataFrame:
+    """(g, o): the nodes that are not free when all nodes of a group g are gone through in order.
+
+    ``edges`` has (g, a, b) with a before b, both of one type that orders.  A node is free unless an earlier free node is its
+    neighbour.  Done in rounds over edges whose ends are both open: nodes without an earlier open neighbour are free,
+    which settles all their later neighbours.  No group is ever in one task; what a round settles is written.  The rounds
+    are as many as the longest chain of nodes that wait for each other: few for clusters of like texts, half its
+    length for a chain in which each is like the next only.  No edges give no nodes.
+    """
+    live = written(edges.select("g", "a", "b").distinct(), "edges")
+    settled = []
+    while not live.isEmpty():
+        waiting = live.select("g", F.col("b").alias("a")).distinct()
+        gone = written(live.join(waiting, ["g", "a"], "left_anti").select("g", F.col("b").alias("o")).distinct(), "settled")
+        settled.append(gone)
+        left = live.join(gone.withColumnRenamed("o", "a"), ["g", "a"], "left_anti").join(gone.withColumnRenamed("o", "b"), ["g", "b"], "left_anti")
+        after = written(left.select("g", "a", "b"), "edges")
+        forget(live)
+        live = after
+    return reduce(DataFrame.unionByName, settled) if settled else live.select("g", F.col("b").alias("o"))
+
+
 def greedy_keep(rows: DataFrame, threshold: float = 0.85, group: str = "path", order: str = "line", text_col: str = "text") -> DataFrame:
     """``rows`` with kept: false where an earlier kept entry of the same group is as similar as the threshold.
 
-    Only entries that have a similar one in their group are folded, over their similar pairs alone.
+    Only entries that have a similar one in their group are looked at, over their similar pairs alone, by ``first_free``.
     """
     rows = rows.withColumn("__id", F.struct(group, order))
     pairs = similar_pairs(rows, threshold, 1.0, "__id", text_col, within=group)
     edges = pairs.select(F.col(f"id_a.{group}").alias("g"), F.col(f"id_a.{order}").alias("a"), F.col(f"id_b.{order}").alias("b"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        dropped: set = set()
-        for b, earlier in part.sort_values(["b", "a"]).groupby("b", sort=True)["a"]:
-            if any(a not in dropped for a in earlier):
-                dropped.add(b)
-        return pd.DataFrame({"g": part["g"].iloc[0], "b": sorted(dropped)})
-
-    kinds = dict(rows.dtypes)
-    gone = edges.groupBy("g").applyInPandas(fold, f"g {kinds[group]}, b {kinds[order]}").withColumn("gone", F.lit(True))
+    gone = first_free(edges).select("g", F.col("o").alias("b"), F.lit(True).alias("gone"))
     return rows.join(gone, (F.col(group) == F.col("g")) & (F.col(order) == F.col("b")), "left").withColumn("kept", F.col("gone").isNull()).drop("g", "b", "gone", "__id")
 
 
 def themes(candidates: DataFrame, threshold: float = 0.3, id: str = "path", text_col: str = "text", order: str = "ord", within: str = "workspace") -> DataFrame:
     """within, seed, label, members: files of a workspace grouped around the first free one whose keywords are similar.
 
-    Of equal labels the last stays.  Similar pairs are found by join; the fold walks the pairs of a workspace, and
-    neither texts nor keywords: files without a similar one are their own themes, and labels are made afterwards of
-    each member's three first keywords.
+    Of equal labels the last stays.  Similar pairs are found by join; seeds are what ``first_free`` leaves, every other
+    file goes to the first seed it is similar to, files without a similar one are their own themes, and labels are made
+    afterwards of each member's three first keywords.
     """
     base = candidates.select(F.struct(F.col(order), F.col(id)).alias("id"), F.col(within).alias("g"), F.col(text_col).alias("t"))
     pairs = similar_pairs(base, threshold, 1.0, "id", "t", 5, "g").filter(F.col("similarity") > threshold)
     nodes = candidates.select(F.col(within).alias("g"), F.col(order).alias("o"), F.col(id).alias("p"), F.slice(F.array_sort(text.word_set(text_col, 5)), 1, 3).alias("kw"))
-    edges = nodes.select("g", "o").join(pairs.select(F.col(f"id_a.{order}").alias("o"), F.col(f"id_b.{order}").alias("b")), "o")
-    kinds = dict(candidates.dtypes)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        seed_of: dict = {}
-        for o, later in rows.sort_values(["o", "b"]).groupby("o", sort=True)["b"]:
-            if o not in seed_of:
-                seed_of[o] = o
-                for b in later:
-                    seed_of.setdefault(b, o)
-        return pd.DataFrame({"g": rows["g"].iloc[0], "o": list(seed_of), "seed": list(seed_of.values())})
-
-    seeds = edges.groupBy("g").applyInPandas(fold, f"g {kinds[within]}, o {kinds[order]}, seed {kinds[order]}")
+    edges = written(nodes.select("g", F.col("o").alias("a")).join(pairs.select(F.col(f"id_a.{order}").alias("a"), F.col(f"id_b.{order}").alias("b")), "a").select("g", "a", "b"), "pairs")
+    taken = first_free(edges)
+    # a taken file's earlier neighbours that are not taken are seeds
+    seeds = edges.join(taken.withColumnRenamed("o", "a"), ["g", "a"], "left_anti").groupBy("g", F.col("b").alias("o")).agg(F.min("a").alias("seed"))
     placed = nodes.join(seeds, ["g", "o"], "left").withColumn("seed", F.coalesce("seed", "o"))
     in_order = F.array_sort(F.collect_list(F.struct((F.col("o") != F.col("seed")).alias("later"), "o", "p")))
     grouped = placed.groupBy("g", "seed").agg(F.transform(in_order, lambda m: m["p"]).alias("members"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kw")))), 1, 3).alias("kw"))
