@@ -87,17 +87,31 @@ def runs(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("tid", "body").mapInArrow(run, "tid long, lo long, hi long, core long, whole long")
 
 
+def join_by_frequency(rows: DataFrame, known: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``known``, whose column ``n`` says how many of the ``total`` rows have a key.
+
+    Keys of a thousandth of the rows or more, which are a thousand at most, are broadcast, so that no task gets all rows of
+    a frequent key; the others meet by shuffle.
+    """
+    frequent = F.col(n) * 1000 >= total
+    heavy = known.filter(frequent)
+    rare = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(known.filter(~frequent), on)
+    return rows.join(F.broadcast(heavy), on).unionByName(rare)
+
+
 def repeated_runs(every: DataFrame) -> DataFrame:
     """(tid, lo, hi, full, sort): runs whose core recurs; ``full`` if the whole recurs, ``sort`` if its windows must be compared."""
-    again = every.groupBy("core").agg(F.count(F.lit(1)).alias("all")).filter("all > 1").select("core")
-    some = materialize(every.join(again, "core"), "recurring-runs", "zstd")
-    kinds = some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "lo")).alias("first"))
+    total = every.count()
+    again = materialize(every.groupBy("core").agg(F.count(F.lit(1)).alias("all")).filter("all > 1"), "cores", "zstd")
+    some = materialize(join_by_frequency(every, again, ["core"], "all", total).drop("all"), "recurring-runs", "zstd")
+    kinds = materialize(some.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "lo")).alias("first")), "kinds", "zstd")
     cores = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"))
-    classes = kinds.join(cores, "core")
+    classes = materialize(join_by_frequency(kinds, cores, ["core"], "kinds", total), "classes", "zstd")
     full = F.col("n") > 1
-    flags = some.join(classes, ["core", "whole"]).select("tid", "lo", "hi", full.alias("full"), ((F.col("kinds") > 1) & (~full | (F.col("first") == F.struct("tid", "lo")))).alias("sort"))
+    joined = join_by_frequency(some, classes, ["core", "whole"], "n", total)
+    flags = joined.select("tid", "lo", "hi", full.alias("full"), ((F.col("kinds") > 1) & (~full | (F.col("first") == F.struct("tid", "lo")))).alias("sort"))
     out = materialize(flags.distinct(), "repeated-runs", "zstd")  # copies of a text have the same runs
-    discard(some)
+    discard(again, some, kinds, classes)
     return out
 
 
