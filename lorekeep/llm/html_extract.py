@@ -48,11 +48,19 @@ BOILERPLATE_WORDS = COMMENT_WORDS | frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright footer masthead menu modal nav navbar navigation newsletter notice "
     "notification overlay pagination popup promo promoted promotion related share sharing sidebar sidenav signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+#: Of these, words that the class of a text block may have for its subject, and those that the class of a whole container may have.
+SUBJECT_WORDS = frozenset(
+    "banner copyright footer masthead menu nav navbar navigation notice notification overlay promo promotion related share sharing sidebar sidenav social sponsor toolbar topbar widget".split()
+)
+CONTAINER_SUBJECTS = frozenset("related share sharing social sponsor".split())
+#: Characters from which on a paragraph that is mostly no link makes a container of such a class a part of the article.
+PROSE_CHARS = 80
 CONTENT_WORDS = frozenset("article content entry main post story text body".split())
 #: Words beside a word of boilerplate that only say where or how it stands; and those that make of it a state of something else, as in has-sidebar.
 PLACE_WORDS = frozenset("area bar block bottom box button buttons container form group header inner item left links list page primary right secondary section site thread title top wrap wrapper".split())
 STATE_WORDS = frozenset("allowed closed disabled enabled free has hide is layout no not off on open ready show supports with without".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
 SECTIONING = frozenset("nav aside footer header form dialog menu search".split())
 WORDS = re.compile(r"[a-z]+")
 #: Kinds of elements: text, never text, boilerplate by element or role, by a class that says nothing else, by a word of a class, reader comments, header.
@@ -77,14 +85,21 @@ def kind_of_label(label: str) -> int:
     return found
 
 
+@lru_cache(1 << 16)
+def told_by(label: str) -> frozenset[str]:
+    """The words of boilerplate in a class and id."""
+    return BOILERPLATE_WORDS.intersection(WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label).lower()))
+
+
 class Node:
-    __slots__ = ("tag", "label", "role", "kind", "parent", "children", "hash", "shape", "size", "link", "holds")
+    __slots__ = ("tag", "label", "role", "kind", "parent", "children", "hash", "shape", "size", "link", "holds", "prose")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.label = self.role = ""
         self.hash = self.shape = self.size = self.link = 0
         self.holds = False  # an article or main part
+        self.prose = False  # a paragraph of PROSE_CHARS, mostly no link
         hidden = False
         if "=" in attributes or "hidden" in attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
@@ -104,6 +119,12 @@ class Node:
             if tag == "header" and self.kind == PLAIN:
                 self.kind = HEADER
 
+    def is_subject(self) -> bool:
+        """Whether its class may name what a text of an article is about: that of a text block, or of a container of prose."""
+        if self.tag in TEXT_BLOCKS:
+            return 2 * self.link < self.size and told_by(self.label) <= SUBJECT_WORDS
+        return self.prose and told_by(self.label) <= CONTAINER_SUBJECTS
+
     def is_main(self) -> bool:
         return self.tag in ("article", "main") or self.role == "main"
 
@@ -173,7 +194,7 @@ def in_order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Set the hashes, text sizes and ``holds`` of all elements; returns them, parents first.  What never is text counts for nothing."""
+    """Set the hashes, text sizes, ``holds`` and ``prose`` of all elements; returns them, parents first.  What never is text counts for nothing."""
     order = in_order(root)
     for node in reversed(order):
         if node.kind == NEVER:
@@ -187,12 +208,14 @@ def measure(root: Node) -> list[Node]:
                     content.append(f"#{c.hash:x}")
                     if c.tag in BLOCKS and shape[-1] != (mark := f"#{c.shape:x}"):
                         shape.append(mark)
+                    node.prose = node.prose or c.prose
                 if c.holds or c.is_main() and c.kind != COMMENTS and c.size:
                     node.holds = True
             elif text := " ".join(c.split()):
                 size += len(text)
                 content.append(text)
         node.size, node.link = size, size if node.tag == "a" else link
+        node.prose = node.prose or node.tag in PARAGRAPHS and size >= PROSE_CHARS and 2 * node.link < size
         shape[0] += "@" if 2 * node.link >= size > 0 else ""
         node.hash = xxhash.xxh3_64_intdigest("\x00".join(content).encode("utf-8", "replace")) >> 1
         node.shape = xxhash.xxh3_64_intdigest("\x00".join(shape).encode("utf-8", "replace"), 1) >> 1
@@ -203,7 +226,7 @@ def dropped(node: Node, in_article: bool, whole: int, by_class: bool = True) ->
     """Whether an element of a main text of ``whole`` characters is boilerplate by its kind.
 
     A class that says nothing but boilerplate drops an element, one that says more only an element without an article
-    and with less than half of the text.
+    and with less than half of the text.  In an article, neither drops what may have the class for its subject.
     """
     kind = node.kind
     if kind == PLAIN or kind == NEVER:
@@ -212,22 +235,25 @@ def dropped(node: Node, in_article: bool, whole: int, by_class: bool = True) ->
         return not in_article and not node.holds
     if kind == ELEMENT:
         return node.tag != "form" or not (node.holds or 2 * node.size >= whole)
-    if not by_class:
+    if not by_class or in_article and kind != COMMENTS and node.is_subject():
         return False
     return kind != WORD or 2 * node.size < whole and not node.holds
 
 
 def main_parts(root: Node) -> list[Node]:
-    """The elements that hold the main text: outermost articles, else main elements, else containers marked as content that hold half of the text; may be none."""
+    """The elements that hold the main text: outermost articles and main elements, else containers marked as content that hold half of the text; may be none.
+
+    What stands beside an article in a main element belongs to the text as well.
+    """
 
     def collect(strict: bool) -> list[list[Node]]:
-        found: list[list[Node]] = [[], [], []]
-        stack = [(root, 3)]
+        found: list[list[Node]] = [[], []]
+        stack = [(root, 2)]
         while stack:
             node, above = stack.pop()
-            if node.kind == NEVER or node.kind == COMMENTS or strict and node is not root and dropped(node, above < 3, 1 << 62):
+            if node.kind == NEVER or node.kind == COMMENTS or strict and node is not root and dropped(node, above < 2, 1 << 62):
                 continue
-            level = 0 if node.tag == "article" else 1 if node.is_main() else 2 if node.tag in ("div", "section", "td") and any(t in CONTENT_WORDS for t in WORDS.findall(node.label.lower())) else 3
+            level = 0 if node.is_main() else 1 if node.tag in ("div", "section", "td") and any(t in CONTENT_WORDS for t in WORDS.findall(node.label.lower())) else 2
             if level < above and node.size:
                 found[level].append(node)
             if level:
@@ -235,12 +261,9 @@ def main_parts(root: Node) -> list[Node]:
         return found
 
     found = collect(True)
-    if not found[0] and not found[1] and root.holds:
+    if not found[0] and root.holds:
         found = collect(False)  # all articles stand in what looks like boilerplate
-    for nodes in found[:2]:
-        if nodes:
-            return nodes
-    return found[2] if 2 * sum(n.size for n in found[2]) >= root.size > 0 else []
+    return found[0] or (found[1] if 2 * sum(n.size for n in found[1]) >= root.size > 0 else [])
 
 
 def bulk(root: Node) -> Node:

@@ -97,6 +97,34 @@ def test_long_and_deep_pages_take_linear_time(page):
     assert time.monotonic() - start < 20  # about a second; the square of the length would take hours
 
 
+LONG = "a sentence about the sponsor of the race, who pays for the prizes and the winners' journey home"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<main><p>intro</p><article><p>A1</p></article><p>outro</p></main>", "intro\n\nA1\n\noutro"),
+        ("<main><h1>Headline</h1><article><p>A1</p></article><nav>n</nav><aside>s</aside></main><footer>f</footer>", "Headline\n\nA1"),
+        ("<main><article><p>A1</p></article><article><p>A2</p></article></main>", "A1\n\nA2"),
+        ("<article><p>x</p><p class='social'>social studies</p><p class='share'>market share rose</p></article>", "x\n\nsocial studies\n\nmarket share rose"),
+        (f"<article><p>x x x x {LONG} {LONG}</p><div class='sponsor'><p>{LONG}</p></div></article>", f"x x x x {LONG} {LONG}\n\n{LONG}"),
+        ("<article><p>x</p><p class='share'><a>mail</a> <a>print</a></p><div class='share'><p>Share this page</p></div></article>", "x"),
+        (f"<article><p>x {LONG}</p><div class='related'><p><a>{LONG}</a></p></div><div class='notice'><p>{LONG}</p></div></article>", f"x {LONG}"),
+        (f"<article><p>x</p><p class='advert'>buy</p><p class='share-comments'>c</p><div class='ad sponsor'><p>{LONG}</p></div></article>", "x"),
+    ],
+)
+def test_text_beside_articles_and_of_a_subject_stays(page, text):
+    assert hx.main_text(page) == text
+
+
+@pytest.mark.parametrize("label", ["share", "sponsor", "related social"])
+def test_deep_containers_of_a_subject_take_linear_time(label):
+    start = time.monotonic()
+    text = f"<p>{LONG}</p>"
+    assert hx.main_text("<article>" + f"<div class='{label}'>" * 50_000 + text).startswith("a sentence")
+    assert time.monotonic() - start < 20
+
+
 def counted_templates(rows):
     """Templates of each host by plain counting."""
     pages = [(url.split("/")[2], hx.Page(html)) for _, url, html in rows]
