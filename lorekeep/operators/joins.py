@@ -237,19 +237,63 @@ def resolve(links: DataFrame, slugs: DataFrame, files: DataFrame, current_ws: st
 # -- routing ----------------------------------------------------------------------------------------------------------
 
 
-def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str = "misc", key: str = "id") -> DataFrame:
+def most_shared(entries: DataFrame, topics: DataFrame, least: int = 3, below: bool = False) -> DataFrame:
+    """id, overlap, slug: for each entry (id, kw) the topic (ord, slug, kw) that shares most of its keywords, if ``least`` or more; of equals the first by ord.
+
+    With ``below``, entries that share fewer with every topic have their largest overlap and no slug.  Entries and topics meet
+    by words that both have, ordered by the number of meetings they cost: of m such words, one of the first m - ``least`` + 1
+    of either side is shared by any pair that shares ``least``, which is then verified on whole sets.  A frequent word is dealt
+    out on both sides, LIST_ROWS rows a part, so that no word is one task's work.  ``id`` and (ord, slug) are unique; sets are
+    arrays of distinct words, null or empty ones share nothing.
+    """
+    if least < 1:
+        raise ValueError("least must be at least 1")
+    e = written(entries.select("id", "kw").filter(F.size("kw") > 0), "entry-sets")
+    t = written(topics.select(F.struct("ord", "slug").alias("t"), "kw").filter(F.size("kw") > 0), "topic-sets")
+    in_entries, in_topics = e.select("id", F.explode("kw").alias("w")), t.select("t", F.explode("kw").alias("w"))
+    df = written(in_entries.groupBy("w").agg(F.count("*").alias("ne")).join(in_topics.groupBy("w").agg(F.count("*").alias("nt")), "w"), "words")
+
+    def ranked(words: DataFrame, id: str) -> DataFrame:
+        by_cost = Window.partitionBy(id).orderBy(F.col("ne") * F.col("nt"), "w")
+        return words.join(df, "w").withColumns({"r": F.row_number().over(by_cost), "m": F.count("*").over(Window.partitionBy(id))})
+
+    left, right = written(ranked(in_entries, "id"), "entry-words"), written(ranked(in_topics, "t"), "topic-words")
+    parts = lambda n: F.ceil(F.col(n) / LIST_ROWS).cast("int")
+
+    def cells(words: DataFrame, id: str, n: str, other: str, shared: int) -> DataFrame:
+        first = words.filter(F.col("r") <= F.col("m") - shared + 1).withColumn(f"p_{n}", F.pmod(F.xxhash64(id), parts(n)).cast("int"))
+        return first.select(id, "w", f"p_{n}", F.explode(F.sequence(F.lit(0), parts(other) - 1)).alias(f"p_{other}"))
+
+    def sharing(words: DataFrame, shared: int) -> DataFrame:
+        met = cells(words, "id", "ne", "nt", shared).join(cells(right, "t", "nt", "ne", shared), ["w", "p_ne", "p_nt"]).select("id", "t").distinct()
+        both = met.join(e, "id").join(t.withColumnRenamed("kw", "topic_kw"), "t").withColumn("c", F.size(F.array_intersect("kw", "topic_kw"))).filter(F.col("c") >= shared)
+        best = both.groupBy("id").agg(F.max(F.struct("c", (-F.col("t.ord")).alias("o"), F.col("t.slug").alias("slug"))).alias("m"))
+        return best.select("id", F.col("m.c").alias("overlap"), F.col("m.slug").alias("slug"))
+
+    found = sharing(left, least)
+    if not below:
+        return found
+    found = written(found, "routed")
+    for shared in range(least - 1, 1, -1):
+        open_ = left.join(found, "id", "left_anti")  # none of these shares more
+        found = written(found.unionByName(sharing(open_, shared).withColumn("slug", F.lit(None).cast("string"))), "routed")
+    rest = left.filter("r = 1").join(found, "id", "left_anti").select("id", F.lit(1).alias("overlap"), F.lit(None).cast("string").alias("slug"))
+    return found.unionByName(rest) if least > 1 else found
+
+
+def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str = "misc", key: str = "id", below: bool = False) -> DataFrame:
     """``entries`` (key, text) with slug, section, overlap.
 
     ``topics`` has ord (order of scanning), slug, text.  Side channels come first, then the topic file with most common
     keywords (the first of equals) if there are ``least``, else a new slug of the two longest keywords, junk excluded.
+    Overlaps under ``least`` are 0, or counted too with ``below``, which no routing needs.
     """
     first = F.split("text", "\n", 2)[0]
     tag = F.when(first.rlike(r"^\s*(?:[-*]|#{2,6})?\s*\[skill-ref:"), "skill-ref").otherwise(gate.tag_of(first))
     rows = entries.withColumns({"__tag": tag, "__kw": text.word_set("text", 4, ROUTING_STOPWORDS)})
-    words = rows.select(key, F.explode("__kw").alias("w"))
-    known = topics.filter(F.col("slug").rlike(text.SLUG)).select("ord", "slug", F.explode(text.word_set("text", 4, ROUTING_STOPWORDS)).alias("w"))
-    counts = words.join(known, "w").groupBy(key, "ord", "slug").agg(F.count("*").alias("c"))
-    best = counts.groupBy(key).agg(F.max(F.struct("c", (-F.col("ord")).alias("o"), "slug")).alias("m")).select(key, F.col("m.c").alias("overlap"), F.col("m.slug").alias("__best"))
+    known = topics.filter(F.col("slug").rlike(text.SLUG)).select("ord", "slug", text.word_set("text", 4, ROUTING_STOPWORDS).alias("kw"))
+    best = most_shared(rows.select(F.col(key).alias("id"), F.col("__kw").alias("kw")), known, least, below)
+    best = best.select(F.col("id").alias(key), "overlap", F.col("slug").alias("__best"))
     new = text.guard_slug(text.slugify(text.longest("__kw", 2)), default)
     named = F.regexp_extract("text", r"\[skill-ref:([a-z0-9-]+)\]", 1)
     skill = F.coalesce(F.nullif(named, F.lit("")), F.when(F.size("__kw") > 0, text.slugify(text.longest("__kw", 1))), F.lit(default))

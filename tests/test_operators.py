@@ -115,6 +115,30 @@ def test_route(spark):
     assert got == {1: ("caching", "## [exp]"), 2: ("secrets", None), 3: ("deploys", None), 4: ("misc", None), 5: ("misc", "## [ref]"), 6: ("entanglement-decision", "## [decision]")}
 
 
+def test_most_shared_equals_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = ["common", "usual", *(f"word{i}" for i in range(40))]
+    draw = lambda: sorted({w for w in rng.choices(words, [30, 20, *[1] * 40], k=rng.randint(0, 9))})
+    entries = [(i, draw()) for i in range(150)] + [(900, None), (901, []), (902, ["nowhere"])]
+    topics = [(i, f"t{i}", draw()) for i in range(60)] + [(60, "empty", []), (61, "none", None)]
+    e, t = spark.createDataFrame(entries, "id int, kw array<string>"), spark.createDataFrame(topics, "ord int, slug string, kw array<string>")
+    for rows in (1024, 7):  # frequent words in one part, and dealt out
+        monkeypatch.setattr(joins, "LIST_ROWS", rows)
+        for least in (1, 3):
+            expected = {}
+            for i, kw in entries:
+                c, _, slug = max((len(set(kw or ()) & set(tw or ())), -o, s) for o, s, tw in topics)
+                if c:
+                    expected[i] = (c, slug if c >= least else None)
+            got = [(r.id, (r.overlap, r.slug)) for r in joins.most_shared(e, t, least, below=True).collect()]
+            assert len(got) == len(expected) and dict(got) == expected
+            found = {r.id: (r.overlap, r.slug) for r in joins.most_shared(e, t, least).collect()}
+            assert found == {i: v for i, v in expected.items() if v[0] >= least}
+    assert joins.most_shared(e.limit(0), t, 3, below=True).collect() == [] == joins.most_shared(e, t.limit(0)).collect()
+
+
 def test_allocate(spark):
     rows = [("p", 1, False, 6000), ("p", 2, False, 100), ("p", 3, True, 3000), ("p", 4, True, 9000)]
     got = {r.ord: (r.take, r.status) for r in ranking.allocate(spark.createDataFrame(rows, "plan string, ord int, is_delta boolean, chars int"), 8000).collect()}
