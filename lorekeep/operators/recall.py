@@ -6,10 +6,16 @@ import math
 import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from ..functions import text
+from ..session import written
 from . import index, tags
 
 K1, B = 1.2, 0.75
@@ -261,18 +267,75 @@ def fuzzy(docs: DataFrame, query: str, k: int = 10, least: float = 0.15, n: int
     return rows.orderBy(F.desc("score"), order).limit(k)
 
 
+#: N-grams of queries that go to the texts in one pass; a query larger than that has a pass of its own.
+PASS_GRAMS = 2_000_000
+
+
+def _nearest_in(asked: list, d: DataFrame, item: DataType, doc: DataType, k: int, least: float) -> DataFrame:
+    """item_id, doc_id, score: of texts (doc_id, g) and one pass of queries, pairs of at least ``least``, at most the k best of a query from a batch and equals of the last."""
+    items = [r["item_id"] for r in asked]
+    sizes = np.array([len(r["g"]) for r in asked])
+    grams, places = np.unique(np.concatenate([np.array(r["g"], dtype=object) for r in asked]), return_inverse=True)
+    by_gram = np.argsort(places, kind="stable")
+    index_ = d.sparkSession.sparkContext.broadcast((items, sizes, list(grams), np.repeat(np.arange(len(items)), sizes)[by_gram], np.searchsorted(places[by_gram], np.arange(len(grams) + 1))))
+    schema = StructType([StructField("item_id", item), StructField("doc_id", doc), StructField("score", DoubleType())])
+
+    def run(batches):
+        items, sizes, grams, holders, starts = index_.value
+        known = pa.array(grams, pa.string())
+        for batch in batches:
+            lists = batch.column("g")
+            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            found = pc.index_in(lists.flatten(), value_set=known).fill_null(-1).to_numpy()
+            who, where, score = [], [], []
+            for row in range(len(lists)):
+                n = offsets[row + 1] - offsets[row]
+                here = found[offsets[row] : offsets[row + 1]]
+                here = here[here >= 0]
+                if len(here) < n * least - 1e-9:
+                    continue  # too few of its n-grams are anywhere in the queries
+                common = np.bincount(np.concatenate([holders[starts[g] : starts[g + 1]] for g in here]), minlength=len(items))
+                near = common / (sizes + n - common)
+                hit = np.flatnonzero(near >= least)
+                who.append(hit)
+                where.append(np.full(len(hit), row))
+                score.append(near[hit])
+            if who:
+                who, where, score = map(np.concatenate, (who, where, score))
+                order = np.lexsort((-score, who))
+                first = np.searchsorted(who[order], who[order])
+                floor = score[order][np.minimum(first + k - 1, len(order) - 1)]
+                last = who[order][np.minimum(first + k - 1, len(order) - 1)]
+                order = order[(last != who[order]) | (score[order] >= floor)]
+                yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in who[order]], to_arrow_type(item)), batch.column("doc_id").take(pa.array(where[order])), pa.array(score[order])], names=schema.names)
+
+    return d.mapInArrow(run, schema)
+
+
 def fuzzy_join(queries: DataFrame, docs: DataFrame, k: int = 3, least: float = 0.15, n: int = 3) -> DataFrame:
-    """The k nearest texts of each of a bounded set of queries (item_id, q), by n-grams.
+    """item_id, doc_id, score, rank: the k nearest texts of each query (item_id, q), by n-grams, of at least ``least``.
 
-    Texts meet the queries' n-grams in their own row: those are one row, as large as the queries are, and no n-gram of a
-    text is shuffled.
+    Queries go to the texts as inverted lists, in passes of about PASS_GRAMS n-grams, so what is broadcast is bounded
+    however many they are.  A text adds up the lists of its own n-grams: the work is what texts and queries share, not their product, no
+    set is compared with another and no n-gram of a text is shuffled.  Texts of a size that cannot be as near as ``least`` to any query
+    of the pass are not looked at, and pairs that k better ones of a batch push out stay in it.  Null and short texts have no
+    n-grams and are near to nothing; rows with equal ids are rows of their own among texts.
     """
-    q = queries.select("item_id", text.char_ngrams("q", n).alias("g"))
-    asked = q.agg(F.collect_list(F.struct("item_id", "g")).alias("asked"))  # a bounded set
-    d = text.computed_once(docs.select("doc_id", "text"), "g", text.char_ngrams("text", n)).select("doc_id", "g")
-    met = d.crossJoin(F.broadcast(asked)).select("doc_id", F.explode(F.transform("asked", lambda a: F.struct(a["item_id"].alias("item_id"), text.jaccard(a["g"], F.col("g")).alias("score")))).alias("m"))
-    scored = met.select("doc_id", "m.item_id", "m.score").filter(F.col("score") >= least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("rank") <= k)
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    q = written(queries.select("item_id", text.char_ngrams("q", n).alias("g")).filter(F.size("g") > 0), "queries")
+    passes = max(1, math.ceil((q.agg(F.sum(F.size("g"))).first()[0] or 0) / PASS_GRAMS))
+    d = text.computed_once(docs.select("doc_id", "text"), "g", text.char_ngrams("text", n)).select("doc_id", "g").filter(F.size("g") > 0)
+    item, doc = q.schema["item_id"].dataType, d.schema["doc_id"].dataType
+    best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    found = q.sparkSession.createDataFrame([], StructType([StructField("item_id", item), StructField("doc_id", doc), StructField("score", DoubleType())]))
+    for i in range(passes):
+        asked = q.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).collect()  # about PASS_GRAMS n-grams
+        if asked:
+            sizes = [len(r["g"]) for r in asked]
+            able = d.filter((F.size("g") >= min(sizes) * least - 1e-9) & (F.size("g") * least <= max(sizes) + 1e-9))
+            found = found.unionByName(_nearest_in(asked, able, item, doc, k, least))
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
 def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:

@@ -97,3 +97,21 @@ def test_first_free_is_the_greedy_fold(spark, seed):
     df = spark.createDataFrame([*edges, *list(edges)[:5]], "g string, a int, b int")
     assert {(r.g, r.o) for r in joins.first_free(df).collect()} == greedy(edges)
     assert joins.first_free(df.limit(0)).collect() == []
+
+
+def test_fuzzy_join_equals_all_pairs_in_any_passes(spark, monkeypatch):
+    rng = random.Random(6)
+    draw = lambda most: " ".join("".join(rng.choices("abc", k=3)) for _ in range(rng.randint(1, most)))
+    docs = [(i, draw(30)) for i in range(120)] + [(500, None), (501, ""), (502, "ab")]
+    queries = [(i, draw(12)) for i in range(25)] + [(60, None), (61, ""), (62, docs[3][1])]
+    grams = lambda t: {t[i : i + 3] for i in range(len(t or "") - 2)}
+    expected = set()
+    for item, q in queries:
+        scores_ = sorted((-len(a & b) / len(a | b), i) for i, t in docs if (a := grams(t)) and (b := grams(q)))
+        expected |= {(item, i, r, round(-s, 9)) for r, (s, i) in enumerate((x for x in scores_ if -x[0] >= 0.15), 1) if r <= 3}
+    q, d = spark.createDataFrame(queries, "item_id int, q string"), spark.createDataFrame(docs, "doc_id int, text string")
+    for grams_a_pass in (2_000_000, 300):
+        monkeypatch.setattr(recall, "PASS_GRAMS", grams_a_pass)
+        got = [(r.item_id, r.doc_id, r.rank, round(r.score, 9)) for r in recall.fuzzy_join(q, d).collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+    assert recall.fuzzy_join(q.limit(0), d).collect() == []
