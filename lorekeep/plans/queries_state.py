@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import maintenance, ranking, reports, transcripts
 from ..sources import gitlog
-from ..streaming import state
+from ..session import delete_at_exit, shared_folder
+from ..streaming import event_time, state
 from . import vault
 
 QUERIES, SQL = {}, {}
@@ -149,6 +152,35 @@ def debounce(spark, sf_dir):
     return state.debounce(e, "user_id", "at", 1440, ("event_id",)).select("event_id", "fired")
 
 
+def _streamed(spark, sf_dir, name, fold, columns):
+    """Events as a stream, folded in event time; run over the whole table, in a folder that goes when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    at = f"{sf_dir}/events.parquet"
+    # a stream of files takes a pattern, be the table one file or a folder
+    e = spark.readStream.schema(spark.read.parquet(at).schema).parquet(f"{sf_dir}/event[s].parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value")).cast("int").alias("logged"), (F.col("event_type") == "view").alias("paused"))
+    return event_time.run_available(event_time.folded(e, "user_id", "ts", fold, ("event_id",), delay="1 day"), folder).select("event_id", *columns)
+
+
+# what the watermark has not passed (the last day, by its milliseconds) is still open
+_CLOSED = vault.EVENTS.rstrip().removesuffix("FROM events)") + "FROM events WHERE epoch_us(ts) <= (SELECT epoch_ms(max(ts)) - 86400000 FROM events) * 1000)"
+
+
+@query("dedup_event_time", _FOLD.format(ev=_CLOSED.lstrip(), key="user_id", no="o.at_s - w.last <= 43200.0", out="accepted"))
+def dedup_event_time(spark, sf_dir):
+    return _streamed(spark, sf_dir, "dedup-event-time", event_time.dedup(43200.0), ["accepted"])
+
+
+@query("review_event_time", "WITH RECURSIVE " + _CLOSED.lstrip().replace("user_id, value", "user_id, floor(value) >= 10 AS enough, event_type = 'view' AS paused") + """,
+o AS (SELECT event_id, user_id, enough, paused, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS n FROM ev),
+w AS (SELECT event_id, user_id, n, 1 AS c, false AS fires, false AS notice, false AS told FROM o WHERE n = 1
+  UNION ALL SELECT event_id, user_id, n, c, due AND NOT paused, due AND paused AND NOT told, told OR (due AND paused) FROM (
+    SELECT o.event_id, o.user_id, o.n, o.paused, w.told, CASE WHEN w.fires THEN 1 ELSE w.c + 1 END AS c, CASE WHEN w.fires THEN 1 ELSE w.c + 1 END >= 15 AND o.enough AS due FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1))
+SELECT event_id, fires, notice FROM w""")
+def review_event_time(spark, sf_dir):
+    return _streamed(spark, sf_dir, "review-event-time", event_time.review("logged", "paused"), ["fires", "notice"])
+
+
 @query("journal_cadence", "WITH " + vault.EVENTS + ", n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS n FROM ev) SELECT event_id, ((n - 1) % 10 + 1)::INTEGER AS turn_count, n % 10 = 0 AS fires FROM n")
 def journal_cadence(spark, sf_dir):
     return state.journal_cadence(vault.events(spark, sf_dir), "user_id", ["at", "event_id"]).select("event_id", F.col("turn_count").cast("int").alias("turn_count"), "fires")

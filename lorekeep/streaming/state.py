@@ -109,31 +109,39 @@ def journal_cadence(events: DataFrame, key: str, order: list, every: int = JOURN
     return events.withColumns({"turn_count": F.pmod(n - 1, F.lit(every)) + 1, "fires": F.pmod(n, F.lit(every)) == 0})
 
 
+def review_step(every: int = REVIEW_EVERY, floor: int = REVIEW_FLOOR) -> Callable[[tuple, int | None, bool | None], tuple[tuple, tuple]]:
+    """From (turns, told) and an event's logged turns and pause to (turns, told) and (fires, notice)."""
+
+    def step(now: tuple, logged: int | None, paused: bool | None) -> tuple[tuple, tuple]:
+        turns, told = now[0] + 1, now[1]
+        due = turns >= every and logged is not None and logged >= floor
+        fires, notice = bool(due and not paused), bool(due and paused and not told)
+        return (0 if fires else turns, told or notice), (fires, notice)
+
+    return step
+
+
 def review_cadence(events: DataFrame, key: str, ts: str, logged: str, every: int = REVIEW_EVERY, floor: int = REVIEW_FLOOR, paused: str | None = None) -> DataFrame:
     """``events`` with fires and notice: at ``every`` turns a review fires if enough turns are logged, else it waits.
 
     ``notice`` marks the one event of a key at which a paused review is first due.
     """
     schema = events.schema.fieldNames()
+    step = review_step(every, floor)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, count, told = object(), 0, False
+        last, now = object(), (0, False)
         for batch in batches:
-            fires, notices = [], []
+            decisions = []
             stopped = batch[paused] if paused else [False] * len(batch)
             for k, n, off in zip(batch[key], batch[logged], stopped):
                 k = None if pd.isna(k) else k
                 if k != last:
-                    last, count, told = k, 0, False
-                count += 1
-                due = count >= every and n >= floor
-                fires.append(bool(due and not off))
-                notices.append(bool(due and off and not told))
-                if due and off:
-                    told = True
-                if fires[-1]:
-                    count = 0
-            yield batch[schema].assign(fires=fires, notice=notices)
+                    last, now = k, (0, False)
+                now, made = step(now, None if pd.isna(n) else n, None if pd.isna(off) else off)
+                decisions.append(made)
+            fires, notices = zip(*decisions) if decisions else ((), ())
+            yield batch[schema].assign(fires=list(fires), notice=list(notices))
 
     from pyspark.sql.types import BooleanType, StructField, StructType
 
