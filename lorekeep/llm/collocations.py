@@ -6,8 +6,10 @@ with the positions of the words beside it, and what meets is the list of the lon
 summed over all blocks, are a phrase's exact frequency; only lists of phrases that are frequent in the whole
 language are extended further, and only where the longer phrase's last words are frequent as well.
 
-Lists stay in the row of their block, so that no position is ever shuffled by its phrase: what is grouped are the
-(phrase, next word, length of list) of a block, summed before they are shuffled.  Blocks end between pieces.
+Lists stay in the row of their block, so that no position is ever shuffled by its phrase: what is sent are the
+(phrase, next word, length of list) of a block, sorted and packed in ranges of their hash.  A range sums them over all blocks and
+answers each block which of its candidates are frequent; the block then meets the lists again and keeps those.  Blocks
+end between pieces.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bound_batches, discard, materialize, pack, release, table, text_or_empty, unpack
+from .common import bound_batches, discard, materialize, mix64, pack, release, table, text_or_empty, unpack
 
-BLOCK_WORDS, SLICE_BYTES = 1 << 20, 1 << 22
+BLOCK_WORDS, SLICE_BYTES, RANGE_WORDS = 1 << 20, 1 << 22, 1 << 20
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Never a byte of UTF-8: stands where a piece ends.
 _END = 0xFF
@@ -97,12 +99,9 @@ def word_lists(rows: DataFrame) -> DataFrame:
 class Lists:
     """Lists of positions by number of their phrase, in the order of positions."""
 
-    def __init__(self, sizes: np.ndarray, at: np.ndarray, number: np.ndarray | None = None):
-        """``number`` gives each list its new number; lists with a negative one are left out."""
-        phrase = np.repeat(np.arange(len(sizes)) if number is None else number, sizes)
-        at = at[phrase >= 0]
+    def __init__(self, sizes: np.ndarray, at: np.ndarray):
         order = np.argsort(at, kind="stable")
-        self.at, self.phrase = at[order], phrase[phrase >= 0][order]
+        self.at, self.phrase = at[order], np.repeat(np.arange(len(sizes)), sizes)[order]
 
     def meet(self, at: np.ndarray) -> np.ndarray:
         """The index here of each of the sorted positions ``at``, or -1."""
@@ -125,7 +124,9 @@ def extend(phrases: Lists, words: Lists, length: int) -> tuple[np.ndarray, np.nd
     return distinct // many, distinct % many, sizes, phrases.at[met][order]
 
 
-_NEXT = "blk long, lang string, pid array<long>, wid array<long>, sizes array<long>, at binary, word_ids array<long>, word_sizes array<long>, word_at binary"
+_LISTS = "blk long, lang string, ids array<long>, sizes array<long>, at binary, word_ids array<long>, word_sizes array<long>, word_at binary"
+_LONGS = pa.list_(pa.int64())
+_KINDS = [pa.int64(), pa.string(), _LONGS, _LONGS, pa.binary(), _LONGS, _LONGS, pa.binary()]
 
 
 def _longs(column: pa.Array, i: int) -> np.ndarray:
@@ -136,80 +137,165 @@ def _list(column: pa.Array, i: int, size: int) -> np.ndarray:
     return unpack(column[i].as_buffer(), size, ["<u4"])[0].astype(np.int64)
 
 
-def longer_lists(lists: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """Lists of phrases of ``length`` words from lists of one word less, of which ``kept`` (blk, kept) names the frequent ones."""
-    longs = pa.list_(pa.int64())
+def _regrouped(sizes: np.ndarray, at: np.ndarray, kept: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in ascending order, sizes and positions of the lists ``kept``."""
+    number = np.full(len(sizes), -1)
+    number[kept[np.argsort(ids)]] = np.arange(len(ids))
+    phrase = np.repeat(number, sizes)
+    at, phrase = at[phrase >= 0], phrase[phrase >= 0]
+    return np.sort(ids), np.bincount(phrase, minlength=len(ids)), at[np.argsort(phrase, kind="stable")]
+
+
+def _rows(rows: list[list], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=names)
+
+
+def frequent_words(lists: DataFrame, kept: DataFrame) -> DataFrame:
+    """The lists of words that ``kept`` (blk, kept) names as frequent."""
 
     def run(batches):
         for batch in batches:
             of = dict(zip(batch.schema.names, batch.columns))
             for i in range(batch.num_rows):
                 sizes, frequent = _longs(of["sizes"], i), of["kept"][i].values
-                ids = frequent.field("id").to_numpy(zero_copy_only=False)
-                number = np.full(len(sizes), -1)
-                number[frequent.field("j").to_numpy(zero_copy_only=False)] = np.arange(len(ids))
-                phrases = Lists(sizes, _list(of["at"], i, sizes.sum()), number)
-                if length == 2:
-                    words, word_ids, word_sizes = phrases, ids, np.bincount(phrases.phrase, minlength=len(ids))
-                    word_at = pack([phrases.at[np.argsort(phrases.phrase, kind="stable")].astype(np.uint32)])
-                else:
-                    word_ids, word_sizes, word_at = _longs(of["word_ids"], i), _longs(of["word_sizes"], i), of["word_at"][i].as_py()
-                    words = Lists(word_sizes, _list(of["word_at"], i, word_sizes.sum()))
-                first, last, sizes, at = extend(phrases, words, length)
-                if len(sizes):
-                    made = [of["blk"][i].as_py(), of["lang"][i].as_py(), ids[first], word_ids[last], sizes, pack([at.astype(np.uint32)]), word_ids, word_sizes, word_at]
-                    kinds = [pa.int64(), pa.string(), longs, longs, longs, pa.binary(), longs, longs, pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(made, kinds)], names=[c.split()[0] for c in _NEXT.split(", ")])
-
-    return lists.join(kept, "blk").mapInArrow(run, _NEXT)
-
-
-def _exploded(lists: DataFrame, names: list[str]) -> DataFrame:
-    one = F.posexplode(F.arrays_zip(*names, "sizes")).alias("j", "of")
-    own = ["lang"] if names == ["words"] else []  # the id of a phrase says its language
-    return lists.select("blk", *own, one).select("blk", "j", *own, *(f"of.{n}" for n in names), F.col("of.sizes").alias("size"))
-
-
-def _kept(lists: DataFrame, frequent: DataFrame, names: list[str]) -> DataFrame:
-    """blk and kept: (j, id) of the block's lists that are frequent."""
-    rows = _exploded(lists, names)
-    on = [c for c in rows.columns if c not in ("blk", "j", "size")]
-    return rows.join(frequent.select(*on, "id"), on).groupBy("blk").agg(F.collect_list(F.struct("j", "id")).alias("kept"))
-
-
-def _frequent(lists: DataFrame, names: list[str], least: int) -> DataFrame:
-    """Phrases with ``least`` occurrences or more, with an id each."""
-    rows = _exploded(lists, names)
-    on = [c for c in rows.columns if c not in ("blk", "j", "size")]
-    return rows.groupBy(*on).agg(F.sum("size").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
-
-
-def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+                j, ids = (frequent.field(n).to_numpy(zero_copy_only=False) for n in ("j", "id"))
+                ids, few, at = _regrouped(sizes, _list(of["at"], i, sizes.sum()), j, ids)
+                yield _rows([[of["blk"][i].as_py(), of["lang"][i].as_py(), ids, few, pack([at.astype(np.uint32)]), None, None, None]], _KINDS, _LISTS)
+
+    return lists.join(kept, "blk").mapInArrow(run, _LISTS)
+
+
+def _extended(of: dict[str, pa.Array], i: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of ``length`` words in a block, by the ids of their first words and their last word; sizes and lists."""
+    ids, sizes = _longs(of["ids"], i), _longs(of["sizes"], i)
+    phrases = Lists(sizes, _list(of["at"], i, sizes.sum()))
+    if length == 2:
+        words, word_ids = phrases, ids
+    else:
+        word_ids, word_sizes = _longs(of["word_ids"], i), _longs(of["word_sizes"], i)
+        words = Lists(word_sizes, _list(of["word_at"], i, word_sizes.sum()))
+    first, last, found, at = extend(phrases, words, length)
+    return ids[first], word_ids[last], found, at
+
+
+def _dealt(pid: np.ndarray, wid: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates in the order of their ranges, and where each range begins."""
+    deal = (mix64(mix64(pid.astype(np.uint64)) + wid.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+    return np.argsort(deal, kind="stable"), np.searchsorted(np.sort(deal), np.arange(ranges + 1))
+
+
+_CANDIDATES = "rng long, blk long, n long, packed binary"
+_ANSWERS = "blk long, rng long, pid array<long>, wid array<long>, f array<long>, j array<long>, id array<long>"
+
+
+def candidates(lists: DataFrame, length: int, ranges: int) -> DataFrame:
+    """A row a block and range: candidates (first words, last word, size of list) packed, in their order in the block."""
+
+    def run(batches):
+        for batch in batches:
+            of = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                pid, wid, sizes, _ = _extended(of, i, length)
+                order, starts = _dealt(pid, wid, ranges)
+                rows = []
+                for r in np.flatnonzero(np.diff(starts)):
+                    mine = order[starts[r] : starts[r + 1]]
+                    rows.append([int(r), of["blk"][i].as_py(), len(mine), pack([np.diff(pid[mine], prepend=0), wid[mine], sizes[mine]])])
+                if rows:
+                    yield _rows(rows, [pa.int64()] * 3 + [pa.binary()], _CANDIDATES)
+
+    return lists.mapInArrow(run, _CANDIDATES)
+
+
+def counted(dealt: DataFrame, least: int) -> DataFrame:
+    """Of each range the candidates with ``least`` occurrences or more in all blocks: pid, wid, f and id in a row with blk -1,
+    and a row a block with the places (j) and ids of its own."""
+
+    def run(key, table):
+        n = table.column("n").to_numpy()
+        parts = [unpack(x.as_buffer(), m, ["<i8"] * 3) for x, m in zip(table.column("packed"), n)]
+        pid = np.concatenate([np.cumsum(p[0]) for p in parts])
+        wid, sizes = (np.concatenate([p[c] for p in parts]) for c in (1, 2))
+        (firsts, first), (lasts, last) = np.unique(pid, return_inverse=True), np.unique(wid, return_inverse=True)
+        pairs, which = np.unique(first * len(lasts) + last, return_inverse=True)
+        total = np.zeros(len(pairs), np.int64)
+        np.add.at(total, which, sizes)
+        good = np.flatnonzero(total >= least)
+        rng, longs = key[0].as_py(), _LONGS
+        ids = np.full(len(pairs), -1)
+        ids[good] = (rng << 32) + np.arange(len(good))
+        rows = [[-1, rng, firsts[pairs[good] // len(lasts)], lasts[pairs[good] % len(lasts)], total[good], None, ids[good]]] if len(good) else []
+        for blk, of in zip(table.column("blk").to_pylist(), np.split(ids[which], np.cumsum(n)[:-1])):
+            j = np.flatnonzero(of >= 0)
+            if len(j):
+                rows.append([blk, rng, None, None, None, j, of[j]])
+        kinds = [pa.int64()] * 2 + [longs] * 5
+        return pa.Table.from_batches([_rows(rows, kinds, _ANSWERS)])
+
+    return dealt.groupBy("rng").applyInArrow(run, _ANSWERS)
+
+
+def longer_lists(lists: DataFrame, answers: DataFrame, length: int, ranges: int) -> DataFrame:
+    """Lists of the frequent phrases of ``length`` words, from lists of one word less and the answers of ``counted``."""
+
+    def run(batches):
+        for batch in batches:
+            of = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                pid, wid, sizes, at = _extended(of, i, length)
+                order, starts = _dealt(pid, wid, ranges)
+                told = of["told"][i].values
+                places = [order[starts[r] + j.values.to_numpy(zero_copy_only=False)] for r, j in zip(told.field("rng").to_pylist(), told.field("j"))]
+                ids, few, at = _regrouped(sizes, at, np.concatenate(places), told.field("id").flatten().to_numpy(zero_copy_only=False))
+                own = [of[c][i].as_py() for c in (("ids", "sizes", "at") if length == 2 else ("word_ids", "word_sizes", "word_at"))]
+                yield _rows([[of["blk"][i].as_py(), of["lang"][i].as_py(), ids, few, pack([at.astype(np.uint32)]), *own]], _KINDS, _LISTS)
+
+    told = answers.filter("blk >= 0").groupBy("blk").agg(F.collect_list(F.struct("rng", "j", "id")).alias("told"))  # those of one block
+    return lists.join(told, "blk").mapInArrow(run, _LISTS)
+
+
+def _words_of(lists: DataFrame) -> DataFrame:
+    of = lists.select("blk", "lang", F.posexplode(F.arrays_zip("words", "sizes")).alias("j", "of"))
+    return of.select("blk", "j", "lang", F.col("of.words").alias("phrase"), F.col("of.sizes").alias("size"))
+
+
+def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS, text: str = "text", lang: str = "lang", range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of all phrases of 1 to ``longest`` words with ``least`` occurrences or more, and (lang, n) of all words.
 
     Letters A to Z are lower-cased, pieces are split at ``.,;:!?`` and line ends, words at blanks and tabs; phrases lie
     within pieces, and overlapping occurrences count each.  A null language is ``und``, a null text is empty.  Rows
     that repeat count each; empty tables give empty ones; other columns are ignored.
+
+    Candidates are counted in ranges of their hash, one for each ``range_words`` words of the corpus: blocks send
+    a range its candidates packed, and it answers which of them are frequent.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text).cast("binary").alias("body"))
-    lists = materialize(word_lists(rows), "word-lists", "zstd")
-    totals = materialize(lists.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
-    words = materialize(_frequent(lists, ["words"], least).withColumnRenamed("words", "phrase"), "frequent-1")
-    last, found, names = words.withColumnRenamed("phrase", "words"), [words], ["words"]
+    every = materialize(word_lists(rows), "word-lists", "zstd")
+    totals = materialize(every.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
+    ranges = -(-(totals.agg(F.sum("n")).first()[0] or 1) // range_words)
+    found = _words_of(every)
+    words = materialize(found.groupBy("lang", "phrase").agg(F.sum("size").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent-1")
+    kept = found.join(words.select("lang", "phrase", "id"), ["lang", "phrase"]).groupBy("blk").agg(F.collect_list(F.struct("j", "id")).alias("kept"))
+    lists = materialize(frequent_words(every, kept), "lists-1", "zstd")
+    discard(every)
+    phrases = [words]
     for length in range(2, longest + 1):
-        longer = materialize(longer_lists(lists, _kept(lists, last, names), length), f"lists-{length}", "zstd")
-        discard(lists)
-        lists, names = longer, ["pid", "wid"]
-        first = found[-1].select("lang", F.col("id").alias("pid"), F.col("phrase").alias("first"))
-        word = words.select(F.col("id").alias("wid"), F.col("phrase").alias("word"))
-        counted = _frequent(lists, names, least).join(first, "pid").join(word, "wid")
-        last = materialize(counted.select("lang", *names, "id", "f", F.concat_ws(" ", "first", "word").alias("phrase")), f"frequent-{length}")
-        release(docs.sparkSession)
-        found.append(last)
-    discard(lists)
-    every = [p.select("lang", "phrase", F.lit(k + 1).alias("k"), "f") for k, p in enumerate(found)]
-    return reduce(DataFrame.unionByName, every), totals
+        answers = materialize(counted(candidates(lists, length, ranges), least), f"answers-{length}", "zstd")
+        release(spark)
+        of = answers.filter("blk < 0").select(F.explode(F.arrays_zip("pid", "wid", "f", "id")).alias("of")).select("of.*")
+        first = phrases[-1].select("lang", F.col("id").alias("pid"), F.col("phrase").alias("first"))
+        last = words.select(F.col("id").alias("wid"), F.col("phrase").alias("last"))
+        named = of.join(first, "pid").join(last, "wid")
+        phrases.append(materialize(named.select("lang", "id", "f", F.concat_ws(" ", "first", "last").alias("phrase")), f"frequent-{length}"))
+        if length < longest:
+            longer = materialize(longer_lists(lists, answers, length, ranges), f"lists-{length}", "zstd")
+            discard(lists, answers)
+            lists = longer
+    discard(lists, answers) if longest > 1 else discard(lists)
+    return reduce(DataFrame.unionByName, [p.select("lang", "phrase", F.lit(k + 1).alias("k"), "f") for k, p in enumerate(phrases)]), totals
 
 
 def _words(phrase: Column) -> Column:

@@ -71,3 +71,17 @@ def test_products_beyond_64_bits(spark):
     rows = [("en", "aa bb " * 40_000 + ". " + "cc dd " * 3_000)]
     got = [tuple(r) for r in co.collocations(spark.createDataFrame(rows, "lang string, text string"), longest=3).collect()]
     assert sorted(got) == by_hand(rows, 100, 3)
+
+
+def test_many_small_ranges_count_the_same(spark):
+    rows = some_texts(3, 200)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(6)
+    f = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall("[^ \t]+", piece)
+            f.update(("und" if lang is None else lang, " ".join(w[i : i + k])) for k in range(1, 4) for i in range(len(w) - k + 1))
+    wanted = sorted((lang, p, p.count(" ") + 1, n) for (lang, p), n in f.items() if n >= 6)
+    for range_words in (1, 50, 10**9):
+        got, _ = co.frequent_phrases(docs, 6, 3, range_words=range_words)
+        assert sorted(map(tuple, got.collect())) == wanted
