@@ -281,12 +281,12 @@ def most_shared(entries: DataFrame, topics: DataFrame, least: int = 3, below: bo
     return found.unionByName(rest) if least > 1 else found
 
 
-def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str = "misc", key: str = "id", below: bool = False) -> DataFrame:
+def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str = "misc", key: str = "id", below: bool = False, guard: bool = True) -> DataFrame:
     """``entries`` (key, text) with slug, section, overlap.
 
     ``topics`` has ord (order of scanning), slug, text.  Side channels come first, then the topic file with most common
-    keywords (the first of equals) if there are ``least``, else a new slug of the two longest keywords, junk excluded.
-    Overlaps under ``least`` are 0, or counted too with ``below``, which no routing needs.
+    keywords (the first of equals) if there are ``least``, else a new slug of the two longest keywords; with ``guard``, one that
+    looks like a secret or a placeholder is ``default`` instead.  Overlaps under ``least`` are 0, or counted too with ``below``, which no routing needs.
     """
     first = F.split("text", "\n", 2)[0]
     tag = F.when(first.rlike(r"^\s*(?:[-*]|#{2,6})?\s*\[skill-ref:"), "skill-ref").otherwise(gate.tag_of(first))
@@ -294,7 +294,8 @@ def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str =
     known = topics.filter(F.col("slug").rlike(text.SLUG)).select("ord", "slug", text.word_set("text", 4, ROUTING_STOPWORDS).alias("kw"))
     best = most_shared(rows.select(F.col(key).alias("id"), F.col("__kw").alias("kw")), known, least, below)
     best = best.select(F.col("id").alias(key), "overlap", F.col("slug").alias("__best"))
-    new = text.guard_slug(text.slugify(text.longest("__kw", 2)), default)
+    new = text.slugify(text.longest("__kw", 2))
+    new = text.guard_slug(new, default) if guard else new
     named = F.regexp_extract("text", r"\[skill-ref:([a-z0-9-]+)\]", 1)
     skill = F.coalesce(F.nullif(named, F.lit("")), F.when(F.size("__kw") > 0, text.slugify(text.longest("__kw", 1))), F.lit(default))
     slug = (
