@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from ..functions import gate, paths, text
 from ..session import forget, written
-from . import index
+from . import blocks, index
 
 #: Opposite words, words of negation, words that are no topic.
 POLARITY = [("enabled", "disabled"), ("enable", "disable"), ("true", "false"), ("added", "removed"), ("add", "remove"), ("allowed", "forbidden"), ("allow", "forbid"), ("recommended", "deprecated"), ("supported", "unsupported"), ("required", "optional"), ("on", "off"), ("works", "broken"), ("fixed", "broken"), ("pass", "fail"), ("passing", "failing")]
@@ -31,7 +34,8 @@ def polarity(t: str | Column) -> Column:
     """struct(terms, neg): the polar words of a text, and whether it has any negation."""
     low = F.lower(text.col(t))
     terms = list(dict.fromkeys(w for pair in POLARITY for w in pair))
-    found = F.filter(F.array(*(F.when(text.has_word(low, w), F.lit(w)) for w in terms)), lambda x: x.isNotNull())
+    # one pass finds all of them: their ends are looked at, not taken, so that neighbours are found too
+    found = F.array_intersect(F.array(*map(F.lit, terms)), F.regexp_extract_all(low, F.lit(f"(?<![{text.LETTERS}])(?:{'|'.join(terms)})(?![{text.LETTERS}])"), 0))
     neg = low.rlike(rf"(?:^|[^{text.LETTERS}'])(?:{'|'.join(NEGATIONS)})(?:$|[^{text.LETTERS}'])")
     return F.struct(found.alias("terms"), neg.alias("neg"))
 
@@ -56,64 +60,107 @@ def claims(docs: DataFrame, path: str = "path", text_col: str = "text") -> DataF
 
 #: Rows that one word of a join is dealt out in.
 LIST_ROWS = 1024
+#: Words of a block of claims, and of prefixes; most frequent words that are put last in a prefix; words that a pair shares in its prefixes.
+CLAIM_WORDS, PREFIX_WORDS, FREQUENT, SHARED = 500_000, 4_000_000, 65_536, 4
 
 
-def meetings(words: DataFrame, keys: list[str], df: str = "df") -> DataFrame:
-    """Pairs of rows (structs a, b with a.id < b.id) of equal keys; ``df`` is how many rows a key has.
+def _pairs_schema(id: DataType, *more: str) -> StructType:
+    return StructType([StructField("id_a", id), StructField("id_b", id), *(StructField(n, IntegerType()) for n in more)])
 
-    A frequent key is dealt out in parts of about LIST_ROWS rows, and its parts meet in pairs, so that no key is one
-    task's work.
+
+def opposed_pairs(claims_: DataFrame, least: int = 3, within: str | None = None) -> DataFrame:
+    """id_a < id_b (structs of path, line), n_shared of the claims (of one ``within``, if given) with opposite polarity that share ``least`` or more keywords.
+
+    Claims that have no opposite in their group are out at once; the others meet in blocks, plain ones with negated ones, and plain
+    ones with halves of opposite words among themselves.  All pairs that oppose each other and share enough are returned, which is
+    the square of the claims where half of them say a word and the others deny it.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col(df) / LIST_ROWS)).cast("int")
-    dealt = words.withColumn("__n", parts).withColumn("__p", F.pmod(F.xxhash64("id"), "__n").cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda q: F.least(q, F.col("__p")) * F.col("__n") + F.greatest(q, F.col("__p")))
-    dealt = dealt.withColumn("__cell", F.explode(cells))
-    a, b = dealt.alias("a"), dealt.alias("b")
-    same = (F.col("a.__cell") == F.col("b.__cell")) & (F.col("a.id") < F.col("b.id"))
-    for k in keys:
-        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    across = F.floor(F.col("a.__cell") / F.col("a.__n")) != F.col("a.__cell") % F.col("a.__n")
-    return a.join(b, same & (across == (F.col("a.__p") != F.col("b.__p"))))
+    terms = list(dict.fromkeys(w for pair in POLARITY for w in pair))
+    bit = {w: 1 << i for i, w in enumerate(terms)}
+    partner = {w: sum(bit[y] for y in {p[1 - p.index(w)] for p in POLARITY if w in p}) for w in terms}
+    any_of = lambda values: F.aggregate("p.terms", F.lit(0), lambda m, w: m.bitwiseOR(F.element_at(F.create_map(*(F.lit(x) for item in values.items() for x in item)), w)))
+    rows = claims_.select(F.struct("path", "line").alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), "text")
+    rows = text.computed_once(rows, "p", polarity("text")).filter(F.size("p.terms") > 0)
+    rows = written(rows.select("id", "g", keywords("text").alias("kw"), F.col("p.neg").alias("neg"), any_of(bit).alias("says"), any_of(partner).alias("denies")).filter(F.size("kw") >= least), "claims")
+    of = lambda neg, name: F.bit_or(F.when(F.col("neg") == neg, F.col("says")).otherwise(0)).alias(name)
+    said = rows.groupBy(F.xxhash64("g").alias("k")).agg(of(False, "plain"), of(True, "negated"))
+    known = rows.withColumn("k", F.xxhash64("g")).join(said, "k").drop("k").withColumn("size", F.size("kw"))
+    meets = lambda c, other: F.col(c).bitwiseAND(F.col(other)) != 0
+    schema = _pairs_schema(rows.schema["id"].dataType, "n_shared")
+
+    def opposing(ours: str):
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            ma, mb = a.column(ours).to_numpy(), b.column("says").to_numpy()
+            found = [(np.empty(0, int), np.empty(0, int), np.empty(0, int))]
+            for i, j, c in blocks.shared(*blocks.numbered(a, b, "kw"), lambda x, y: least):
+                hit = (c >= least) & ((ma[i] & mb[j]) != 0)
+                found.append((i[hit], j[hit], c[hit]))
+            i, j, c = map(np.concatenate, zip(*found))
+            return pa.table([a.column("id").take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(c, pa.int32())], names=schema.names)
+
+        return run
+
+    columns = ["id", "g", "kw", "size", "says", "denies"]
+    plain, negated = known.filter(~F.col("neg")), known.filter("neg")
+    across = blocks.meet(plain.filter(meets("says", "negated")).select(columns), negated.filter(meets("says", "plain")).select(columns), CLAIM_WORDS, opposing("says"), schema)
+    halves = blocks.meet(plain.filter(meets("denies", "plain")).select(columns), None, CLAIM_WORDS, opposing("denies"), schema)
+    return blocks.once(across.unionByName(halves))
 
 
 def contradictions(claims_: DataFrame, least: int = 3, within: str | None = None) -> DataFrame:
-    """Pairs of claims (of one ``within``, if given) with opposite polarity that share ``least`` or more keywords.
-
-    Claims without polar words are out at once.  The others meet by keyword, rare ones first: of n keywords, one of the
-    first n - ``least`` + 1 is shared by any pair that shares ``least``, which is then verified.
-    """
-    rows = claims_.select((F.lit(0) if within is None else F.col(within)).alias("g"), "path", "line", "text", F.array_sort(keywords("text")).alias("kw"), polarity("text").alias("p")).filter(F.size("p.terms") > 0)
-    rows = rows.withColumn("id", F.struct("path", "line"))
-    by_word = rows.select("g", "id", "p", F.size("kw").alias("n"), F.explode("kw").alias("w"))
-    df = by_word.groupBy("g", "w").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("g", "gg").withColumnRenamed("w", "ww")
-    ranked = by_word.join(df, F.col("g").eqNullSafe(F.col("gg")) & (F.col("w") == F.col("ww")), "left").drop("gg", "ww").withColumn("df", F.coalesce("df", F.lit(1)))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "w"))
-    first = ranked.withColumn("r", rank).filter((F.col("r") <= F.col("n") - least + 1) & (F.col("df") > 1)).drop("n", "r")
-    met = meetings(first, ["g", "w"]).filter(opposite(F.col("a.p"), F.col("b.p")))
-    pairs = met.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
-    side = lambda s: rows.select(F.col("id").alias(f"i{s}"), F.col("path").alias(f"path_{s}"), F.col("line").alias(f"line_{s}"), F.col("text").alias(f"text_{s}"), F.col("kw").alias(f"kw_{s}"), signature(F.col("p")).alias(f"polarity_{s}"))
-    both = pairs.join(side("a"), "ia").join(side("b"), "ib").withColumn("shared", F.array_sort(F.array_intersect("kw_a", "kw_b"))).filter(F.size("shared") >= least)
-    return both.select("path_a", "line_a", "text_a", "path_b", "line_b", "text_b", F.slice("shared", 1, 8).alias("shared_entities"), F.size("shared").alias("n_shared"), "polarity_a", "polarity_b")
+    """Both claims, shared keywords (eight at most, and their number) and polarities of the ``opposed_pairs``."""
+    pairs = opposed_pairs(claims_, least, within).select(F.col("id_a").alias("ia"), F.col("id_b").alias("ib"), "n_shared").distinct()
+    side = lambda s: claims_.select(F.struct("path", "line").alias(f"i{s}"), F.col("path").alias(f"path_{s}"), F.col("line").alias(f"line_{s}"), F.col("text").alias(f"text_{s}"), keywords("text").alias(f"kw_{s}"), signature(polarity("text")).alias(f"polarity_{s}"))
+    both = pairs.join(side("a"), "ia").join(side("b"), "ib")
+    return both.select("path_a", "line_a", "text_a", "path_b", "line_b", "text_b", F.slice(F.array_sort(F.array_intersect("kw_a", "kw_b")), 1, 8).alias("shared_entities"), "n_shared", "polarity_a", "polarity_b")
 
 
 def similar_pairs(rows: DataFrame, low: float, high: float = 1.0, key: str = "id", text_col: str = "text", least: int = 4, within: str | None = None) -> DataFrame:
     """id_a < id_b, similarity of the pairs (of one ``within``, if given) with low <= Jaccard of word sets <= high.
 
-    Candidates come from prefixes: of n words, rarest first, one of the first n - ceil(low n) + 1 is shared by any
-    similar set.  They are verified on the whole sets, whose sizes must agree as well.
+    Of n words, frequent ones last, the first n - ceil(low n) + SHARED share SHARED words (or all that a pair must share) in any similar
+    pair.  Only they, as hashes, meet in blocks, and pairs that share so many are verified on their whole sets, as they are written.
     """
-    sets = rows.select(F.col(key).alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), text.word_set(text_col, least).alias("ws")).filter(F.size("ws") > 0)
-    words = sets.select("id", "g", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    df = words.groupBy("g", "w").agg(F.count("*").alias("df"))
-    rank = Window.partitionBy("id").orderBy("df", "w")
-    first = words.join(df, ["g", "w"]).withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * low - 1e-9) + 1).filter("df > 1").select("id", "g", "n", "w", "r", "df")
-    met = meetings(first, ["g", "w"]).filter((F.col("a.n") >= F.col("b.n") * low - 1e-9) & (F.col("b.n") >= F.col("a.n") * low - 1e-9))
-    # words before the last shared one that are not shared are in one set only
-    shared = met.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb"), F.max("a.r").alias("ra"), F.max("b.r").alias("rb"))
-    most = F.least(F.col("na") - F.col("ra") + F.col("c"), F.col("nb") - F.col("rb") + F.col("c"))
-    pairs = shared.filter(most * (1 + low) >= (F.col("na") + F.col("nb")) * low - 1e-6).select("id_a", "id_b")
+    sets = written(rows.select(F.col(key).alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), F.array_sort(text.word_set(text_col, least)).alias("ws")).filter(F.size("ws") > 0), "sets")
+    hashed = sets.select("id", "g", F.transform("ws", lambda w: F.hash(w)).alias("h"))
+    top = hashed.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    known = np.array(sorted((r["h"], r["count"]) for r in top), dtype=np.int64).reshape(-1, 2)
+    held = StructType([*hashed.schema.fields[:2], *(StructField(n, IntegerType()) for n in ("size", "n", "m")), hashed.schema["h"]])
+
+    def prefixes(batches):
+        for batch in batches:
+            lists = batch.column("h")
+            words, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            count = np.zeros(len(words), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known[:, 0], words), len(known) - 1)
+                count = np.where(known[at, 0] == words, known[at, 1], 0)
+            starts = np.concatenate(([0], np.cumsum(n)))
+            order = np.lexsort((words, count, np.repeat(np.arange(len(n)), n)))
+            m = np.ceil(n * low - 1e-9).astype(np.int64)
+            size = np.minimum(n, n - m + SHARED)
+            first = np.arange(len(words)) - np.repeat(starts[:-1], n) < np.repeat(size, n)
+            h = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(words[order][first]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("g"), *(pa.array(x, pa.int32()) for x in (size, n, m)), h], names=held.names)
+
+    schema = _pairs_schema(sets.schema["id"].dataType)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.sort_by("n"), b.sort_by("n")
+        (na, ma, ra), (nb, mb, rb) = ((n, t.column("m").to_numpy(), n - t.column("size").to_numpy()) for t in (a, b) for n in [t.column("n").to_numpy()])
+        found = [(np.empty(0, int), np.empty(0, int))]
+        for i, j, c in blocks.shared(*blocks.numbered(a, b, "h"), lambda x, y: min(SHARED, max(ma[x:y].min(), mb.min()))):
+            hit = (c >= np.minimum(SHARED, np.maximum(ma[i], mb[j]))) & (na[i] >= nb[j] * low - 1e-9) & (nb[j] >= na[i] * low - 1e-9)
+            # shared words that are not in both prefixes are the last ones, at most what one of the prefixes leaves out
+            hit &= (c + np.maximum(ra[i], rb[j])) * (1 + low) >= (na[i] + nb[j]) * low - 1e-6
+            found.append((i[hit], j[hit]))
+        i, j = map(np.concatenate, zip(*found))
+        return pa.table([a.column("id").take(pa.array(i)), b.column("id").take(pa.array(j))], names=schema.names)
+
+    met = blocks.meet(written(hashed.mapInArrow(prefixes, held), "prefixes"), None, PREFIX_WORDS, run, schema)
+    pairs = written(blocks.once(met), "near")
     full = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("ws").alias("wa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("ws").alias("wb")), "id_b")
-    return full.select("id_a", "id_b", text.jaccard("wa", "wb").alias("similarity")).filter((F.col("similarity") >= low) & (F.col("similarity") <= high))
+    return text.computed_once(full, "similarity", text.jaccard("wa", "wb")).filter((F.col("similarity") >= low) & (F.col("similarity") <= high)).select("id_a", "id_b", "similarity")
 
 
 def lint_pairs(rows: DataFrame, key: str = "id", text_col: str = "text", within: str | None = None) -> DataFrame:

@@ -72,8 +72,8 @@ p AS (SELECT a.doc_id AS doc_a, a.line AS line_a, b.doc_id AS doc_b, b.line AS l
 SELECT doc_a, line_a, doc_b, line_b, n_shared::INTEGER AS n_shared FROM p WHERE n_shared >= 3""")
 def contradiction_pairs(spark, sf_dir):
     rows = vault.entries(spark, sf_dir).filter(F.col("text").rlike(joins.CLAIM)).select("workspace", F.col("doc_id").alias("path"), "line", "text")
-    found = joins.contradictions(rows, within="workspace")
-    return found.select(F.col("path_a").alias("doc_a"), "line_a", F.col("path_b").alias("doc_b"), "line_b", "n_shared")
+    found = joins.opposed_pairs(rows, within="workspace")
+    return found.select(F.col("id_a.path").alias("doc_a"), F.col("id_a.line").alias("line_a"), F.col("id_b.path").alias("doc_b"), F.col("id_b.line").alias("line_b"), "n_shared")
 
 
 @query("theme_clusters", "WITH RECURSIVE " + vault.FILES.lstrip() + r""",

@@ -219,3 +219,42 @@ def test_backups(spark):
     df = spark.createDataFrame([("a", 300000.0), ("b", 200000.0), ("c", 100.0)], "path string, mtime double")
     keep = lambda now: {r.path for r in maintenance.prune_backups(df, now).filter("keep").collect()}
     assert keep(300001.0) == {"a", "b"} and keep(900000.0) == {"a"}
+
+
+def test_opposite_claims_are_all_found_in_any_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words, said = [f"word{i}" for i in range(12)], ["is enabled", "is not enabled", "disabled", "works", "never broken", "on", "says nothing", "off"]
+    rows = [(f"g{i % 3}", i, 1, f"{' '.join(rng.sample(words, 4))} {rng.choice(said)}") for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, path int, line int, text string")
+    sides = df.select("g", "path", joins.keywords("text").alias("kw"), joins.polarity("text").alias("p"))
+    a, b = sides.alias("a"), sides.alias("b")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.path") < F.col("b.path")) & joins.opposite(F.col("a.p"), F.col("b.p")))
+    shared = met.select(F.col("a.path").alias("x"), F.col("b.path").alias("y"), F.size(F.array_intersect("a.kw", "b.kw")).alias("n")).filter("n >= 3")
+    expected = sorted(tuple(r) for r in shared.collect())
+    assert expected
+    for block in (500_000, 256):  # groups share a block, and are cut
+        monkeypatch.setattr(joins, "CLAIM_WORDS", block)
+        assert sorted((r.id_a.path, r.id_b.path, r.n_shared) for r in joins.opposed_pairs(df, within="g").collect()) == expected
+
+
+def test_similar_pairs_are_all_found_in_any_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, i % 4, " ".join(rng.sample(words, rng.randint(1, 12)))) for i in range(160)]
+    sets = {i: (g, set(t.split())) for i, g, t in rows}
+    df = spark.createDataFrame(rows, "id int, g int, text string")
+    for block, few in ((4_000_000, 65_536), (700, 5)):
+        monkeypatch.setattr(joins, "PREFIX_WORDS", block), monkeypatch.setattr(joins, "FREQUENT", few)
+        got = sorted((r.id_a, r.id_b) for r in joins.similar_pairs(df, 0.3, within="g").collect())
+        assert got == [(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) >= 0.3]
+
+
+def test_meetings_of_frequent_words_make_no_rows(spark):
+    """400 texts that share eight words: 79,800 pairs meet by each of them, none is similar, and none is written."""
+    df = spark.createDataFrame([(i, "that with this from into over under near " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(400)], "id int, text string")
+    assert joins.similar_pairs(df, 0.4).collect() == []
+    assert not hasattr(joins, "meetings")
