@@ -258,3 +258,11 @@ def test_meetings_of_frequent_words_make_no_rows(spark):
     df = spark.createDataFrame([(i, "that with this from into over under near " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(400)], "id int, text string")
     assert joins.similar_pairs(df, 0.4).collect() == []
     assert not hasattr(joins, "meetings")
+
+
+def test_tags_of_a_long_entry_take_linear_time():
+    import time
+
+    start = time.monotonic()
+    assert len(tags.extract(" ".join(f"word{chr(97 + i % 26)}{i}x" for i in range(20_000)))) == tags.SOFT_TOTAL
+    assert time.monotonic() - start < 15  # comparing all words with each other takes a minute
