@@ -6,6 +6,8 @@ import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +40,27 @@ def build_postings(chunks: DataFrame) -> DataFrame:
     tokens = F.array(*(F.struct(F.lit(c).alias("col"), text.search_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in cols))
     cut = text.computed_once(chunks.select("chunk_id", *cols), "t", tokens)
     size = F.aggregate("t", F.lit(0), lambda n, c: n + F.size(c["tokens"]))
-    rows = cut.select("chunk_id", size.alias("n_tokens"), F.explode("t").alias("t")).select("chunk_id", "n_tokens", "t.col", F.posexplode("t.tokens").alias("pos", "term"))
-    # a chunk's tokens are together already: the groups are small and made on the map side
-    return rows.groupBy("term", "chunk_id", "col", "n_tokens").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    rows = cut.select("chunk_id", size.alias("n_tokens"), F.explode("t").alias("t")).select("chunk_id", "n_tokens", "t.col", "t.tokens").filter(F.size("tokens") > 0)
+    kind = rows.schema["chunk_id"].dataType
+
+    def grouped(batches):
+        """A chunk's tokens are together already, so that no shuffle is needed to group them."""
+        for batch in batches:
+            lists = batch.column("tokens")
+            n = np.diff(lists.offsets.to_numpy())
+            terms = lists.flatten().dictionary_encode()
+            row, code = np.repeat(np.arange(len(n)), n), terms.indices.to_numpy()
+            pos = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((code, row))  # stable: positions stay in order
+            row, code = row[order], code[order]
+            starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])))) if len(code) else np.empty(0, int)
+            ends = np.append(starts, len(code))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order], pa.int32()))
+            of = pa.array(row[starts])
+            columns = [terms.dictionary.take(pa.array(code[starts])), *(batch.column(c).take(of) for c in ("chunk_id", "col", "n_tokens")), pa.array(np.diff(ends), pa.int64()), positions]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "chunk_id", "col", "n_tokens", "tf", "positions"])
+
+    return rows.mapInArrow(grouped, f"term string, chunk_id {kind.simpleString()}, col string, n_tokens int, tf long, positions array<int>")
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -54,16 +74,16 @@ def bucket(term: str | Column, buckets: int | Column) -> int | Column:
     return (F.crc32(term.cast("binary")) % buckets).cast("int")
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64, deals: int = 8) -> None:
+def write_index(chunks: DataFrame, path: str, buckets: int = 64, deals: int | None = None) -> None:
     """Chunks by workspace, lengths, statistics, and postings by the bucket of the term, sorted by it.
 
-    A query reads the buckets of its terms only, and in them the row groups that hold a term.  The postings of a bucket are
-    written by ``deals`` tasks, as a frequent term may fill its bucket.
+    A query reads the buckets of its terms only, and in them the row groups that hold a term.  Nothing is shuffled: each task of
+    ``chunks`` sorts its own postings and writes a file in every bucket, so that a frequent term is spread over the tasks;
+    ``deals``, the tasks of a bucket when postings were shuffled, decides nothing any more.
     """
     chunks.write.mode("overwrite").partitionBy("workspace").parquet(f"{path}/chunks")
-    deal = F.pmod(F.xxhash64("chunk_id"), F.lit(deals))
     placed = build_postings(chunks).withColumn("part", bucket(F.col("term"), F.lit(buckets)))
-    placed.repartition(buckets * deals, "part", deal).sortWithinPartitions("part", "term", "chunk_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    placed.sortWithinPartitions("part", "term", "chunk_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     chunk_lengths(chunks).write.mode("overwrite").parquet(f"{path}/lengths")
     lengths = chunks.sparkSession.read.parquet(f"{path}/lengths")
     lengths.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"), F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")

@@ -100,7 +100,7 @@ def stored_index(spark, sf_dir: str) -> index.StoredIndex:
         path = f"{shared_folder(spark)}/index-{key[0]}-{zlib.crc32(sf_dir.encode()):08x}"
         delete_at_exit(spark, path)
         # a text of over 1,000 chunks runs into the chunk_id of the next document, so the index has an id of its own
-        index.write_index(vault.chunks(spark, sf_dir).withColumn("chunk_id", F.shiftleft("doc_id", 24) + F.col("ci")), path, 32, 2)
+        index.write_index(vault.chunks(spark, sf_dir).withColumn("chunk_id", F.shiftleft("doc_id", 24) + F.col("ci")), path, 32)
         _stored[key] = path
     return index.open_index(spark, _stored[key])
 

@@ -115,3 +115,11 @@ def test_fuzzy_join_equals_all_pairs_in_any_passes(spark, monkeypatch):
         got = [(r.item_id, r.doc_id, r.rank, round(r.score, 9)) for r in recall.fuzzy_join(q, d).collect()]
         assert len(got) == len(set(got)) and set(got) == expected
     assert recall.fuzzy_join(q.limit(0), d).collect() == []
+
+
+def test_postings_are_made_without_a_shuffle(spark):
+    rows = [(7, "ref", "h", "k", "b a b"), (8, "", None, "", "")]
+    made = index.build_postings(spark.createDataFrame(rows, "chunk_id long, tag string, heading string, keywords string, content string"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.col): (r.chunk_id, r.n_tokens, r.tf, r.positions) for r in made.collect()}
+    assert got == {("ref", "tag"): (7, 6, 1, [0]), ("h", "heading"): (7, 6, 1, [0]), ("k", "keywords"): (7, 6, 1, [0]), ("b", "content"): (7, 6, 2, [0, 2]), ("a", "content"): (7, 6, 1, [1])}
