@@ -48,8 +48,8 @@ def line_feeds(text: str | Column) -> Column:
 
 def lines(text: str | Column) -> Column:
     """The lines of a text, as splitlines() gives them: no last empty one."""
-    plain = line_feeds(text)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n"))
+    cut = lambda plain: F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(plain, r"\n\z", ""), "\n"))
+    return let(line_feeds(text), cut)
 
 
 def char_ngrams(text: str | Column, n: int = 3) -> Column:

@@ -26,7 +26,8 @@ def _islands(lines: Column, starts) -> Column:
 
 def _bounds(at: Column, n: Column) -> Column:
     """[(start, end)] of islands that begin at the positions ``at`` and reach to the next one or to line n."""
-    return F.transform(at, lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(at, i + 1) - 1, n).alias("b")))
+    # bound once: each island looks at the next one
+    return let(at, lambda at: F.transform(at, lambda a, i: F.struct(a.alias("a"), F.coalesce(F.get(at, i + 1) - 1, n).alias("b"))))
 
 
 def sections(text_: str | Column) -> Column:
@@ -124,18 +125,18 @@ def typed_entry_count(text_: str | Column) -> Column:
 
 
 def _runs(lines: Column, key) -> Column:
-    """array<struct<a, n>>: start and length of the runs of neighbouring lines with equal keys."""
+    """array<struct<a, n, k>>: start, length and key of the runs of neighbouring lines with equal keys."""
     keys = F.transform(lines, key)
 
     def of(k: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.size(k)), lambda i: (i == 1) | ~F.element_at(k, i).eqNullSafe(F.element_at(k, F.greatest(i - 1, F.lit(1)))))
-        return F.transform(_bounds(at, F.size(k)), lambda s: F.struct(s["a"].alias("a"), (s["b"] - s["a"] + 1).alias("n")))
+        return F.transform(_bounds(at, F.size(k)), lambda s: F.struct(s["a"].alias("a"), (s["b"] - s["a"] + 1).alias("n"), F.element_at(k, s["a"]).alias("k")))
 
     return let(keys, of)
 
 
 def _rebuilt(text_: Column, parts: Column) -> Column:
-    return F.concat(F.array_join(F.flatten(parts), "\n"), F.when(text_.rlike(r"\n\z"), "\n").otherwise(""))
+    return F.concat(F.array_join(F.flatten(parts), "\n"), F.when(F.endswith(text_, F.lit("\n")), "\n").otherwise(""))
 
 
 def collapse_repeats(text_: str | Column, least: int = 3) -> Column:
@@ -164,12 +165,13 @@ def group_by_prefix(text_: str | Column, most: int = 5) -> Column:
     if most < 2:
         raise ValueError("a group has at least 2 lines")
     t = text.col(text_)
-    key = lambda l: F.nullif(F.trim(F.regexp_extract(l, _PREFIX, 1)), F.lit(""))
+    # inside a lambda nullif would match the line twice
+    key = lambda l: let(F.trim(F.regexp_extract(l, _PREFIX, 1)), lambda k: F.when(k != "", k))
 
     def of(lines: Column) -> Column:
         def shown(r: Column) -> Column:
             part = F.slice(lines, r["a"], r["n"])
-            k = key(F.element_at(lines, r["a"]))
+            k = r["k"]
             values = F.transform(F.slice(part, 1, most), lambda l: F.trim(F.regexp_extract(l, _PREFIX, 2)))
             more = F.when(r["n"] > most, F.concat(F.lit(", +"), (r["n"] - most).cast("string"), F.lit(" more"))).otherwise("")
             line = F.concat(k, F.lit(": ["), r["n"].cast("string"), F.lit(" items: "), F.array_join(values, ", "), more, F.lit("]"))

@@ -266,3 +266,15 @@ def test_tags_of_a_long_entry_take_linear_time():
     start = time.monotonic()
     assert len(tags.extract(" ".join(f"word{chr(97 + i % 26)}{i}x" for i in range(20_000)))) == tags.SOFT_TOTAL
     assert time.monotonic() - start < 15  # comparing all words with each other takes a minute
+
+
+def test_runs_of_a_long_text_take_linear_time(spark):
+    import time
+
+    from lorekeep.operators import lines
+
+    text = "\n".join(f"key{chr(97 + i // 7 % 26)}: v{i}" for i in range(42_000))
+    start = time.monotonic()
+    got = spark.createDataFrame([(text,)], "t string").select(lines.group_by_prefix("t").alias("g")).first().g
+    assert got.count("\n") == 5_999 and got.startswith("keya: [7 items: v0, v1, v2, v3, v4, +2 more]\nkeyb: [7 items: v7,")
+    assert time.monotonic() - start < 15  # every run looked for all runs before
