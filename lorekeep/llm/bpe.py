@@ -1,8 +1,8 @@
 """BPE encoding and decoding.
 
 Encoding merges a word by a priority queue of merge ranks over a doubly linked list of symbols: the queue holds
-(rank, position) of adjacent pairs, an entry whose symbols have changed since is stale and skipped, and a merge
-queues the two pairs it makes.  Decoding concatenates the vocabulary strings of the ids.  Words repeat, so a
+rank and position of adjacent pairs in one number, an entry whose symbols have changed since is stale and skipped, and a
+merge queues the two pairs it makes.  Decoding concatenates the vocabulary strings of the ids.  Words repeat, so a
 worker keeps the ids of the words it has met, within a bound.  Classes, case and composition of characters follow the
 installed library, whatever its version of Unicode.
 """
@@ -39,6 +39,10 @@ def byte_letters() -> list[str]:
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From here on characters may compose, be reordered or have case rules of their own.
 _BEYOND_LATIN = re.compile("[\u0300-\U0010ffff]")
+#: Texts of these signs alone hold no special string, are changed by the normalizers ``_USUAL`` in case and white space only, and are split by ``_WORDS`` thus.
+_PLAIN_TEXT, _PLAIN_WORDS = re.compile(r"""[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?#$%&()*/"\n -]*"""), re.compile(r"""[a-zß-öø-ÿ]+|[.,;:!?#$%&()*/"-]+""")
+_USUAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 @lru_cache(1)
@@ -69,15 +73,16 @@ def class_ranges(category: str, more: frozenset[str]) -> str:
 class BPE:
     """The encoder and decoder of a vocabulary file of the kind of word_bpe_49k.json."""
 
-    def __init__(self, path: str, cache: int = 100_000, chunk_cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000, chunk_cache: int = 200_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
-        # the pair of symbol ids -> (rank, id of what they make)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        # a pair of symbol ids is one number, first * base + second: pair -> rank, and by rank the pair and the id of what it makes
+        self.base = max(self.vocab.values()) + 1
+        self.pairs = [self.vocab[a] * self.base + self.vocab[b] for a, b in model["merges"]]
+        self.made = [self.vocab[a + b] for a, b in model["merges"]]
+        self.merges: dict[int, int] = {pair: rank for rank, pair in enumerate(self.pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = byte_letters()
@@ -86,6 +91,7 @@ class BPE:
         self.steps = [self._step(n) for n in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"]
+        self.plain = pattern == _WORDS and (spec["normalizer"] or {}).get("normalizers") == _USUAL
         self.latin_pattern = regex.compile(pattern)  # the same for characters up to U+00FF, and faster
         letters, digits, _ = newer_characters()
         for name, inside in ((r"\p{L}", class_ranges("L", letters)), (r"\p{N}", class_ranges("N", digits)), (r"\s", SPACES)):
@@ -117,23 +123,26 @@ class BPE:
         symbols = [i for b in word[:-1] if (i := self.first[b]) is not None]
         if (end := self.last[word[-1]]) is not None:
             symbols.append(end)
-        n, merges = len(symbols), self.merges
+        n, base, rank_of, pairs = len(symbols), self.base, self.merges.get, self.pairs
+        queue = [rank * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (rank := rank_of(a * base + b)) is not None]
+        if not queue:
+            return symbols
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = [(found[0], i, symbols[i], symbols[i + 1], found[1]) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
         heapify(queue)
         while queue:
-            _, i, a, b, made = heappop(queue)
+            rank, i = divmod(heappop(queue), n)
             j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
+            if j < 0 or symbols[i] * base + symbols[j] != pairs[rank]:
                 continue  # stale: one of the two has been merged away
-            symbols[i], symbols[j] = made, -1
+            symbols[i] = made = self.made[rank]
+            symbols[j] = -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if found := merges.get((made, symbols[k])):
-                    heappush(queue, (found[0], i, made, symbols[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((symbols[h], made))):
-                heappush(queue, (found[0], h, symbols[h], made, found[1]))
+                if (rank := rank_of(made * base + symbols[k])) is not None:
+                    heappush(queue, rank * n + i)
+            if (h := before[i]) >= 0 and (rank := rank_of(symbols[h] * base + made)) is not None:
+                heappush(queue, rank * n + h)
         return [s for s in symbols if s >= 0]
 
     def _encoded_word(self, word: str) -> str:
@@ -141,6 +150,8 @@ class BPE:
 
     def _encoded_chunk(self, text: str) -> str:
         """The decimal ids of a text, joined by one space."""
+        if self.plain and _PLAIN_TEXT.fullmatch(text):
+            return " ".join([ids for word in _PLAIN_WORDS.findall(text.lower()) if (ids := self.words[word])])
         spans, at = [], 0
         if self.special_pattern and "<" in text:
             for m in self.special_pattern.finditer(text):

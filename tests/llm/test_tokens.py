@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -112,3 +113,18 @@ def test_marks_after_letters_that_end_in_a_mark(text):
 
     count = tc.counter_of("word_bpe_49k.json")
     assert tc.PartCounts(count, False).of([text.encode()]) == count([text])
+
+
+def test_plain_texts_and_many_words_are_merged_once():
+    encoder, rng, merged = bpe.BPE(PATH), random.Random(5), []
+    for signs in ("abcAB.,!?\n  :;-\"#", "éÉßÿÀÖØ×÷ùÞþª² aB.\n", "".join(map(chr, range(256))), "it's <|x"):
+        for _ in range(2000):
+            text = "".join(rng.choices(signs, k=rng.randrange(30)))
+            assert encoder.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    encoder.words.make = lambda word: merged.append(word) or "1"
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"q{i}".translate(letters) for i in range(k, k + 1000)) for k in range(100_000, 350_000, 1000)]
+    for _ in range(2):
+        for text in texts:
+            encoder.encode_text(text)
+    assert len(merged) == 250_000  # more words than one generation of chunks holds
