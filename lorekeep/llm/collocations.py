@@ -1,23 +1,25 @@
 """Phrase collocations by vertical positional inverted lists.
 
 Texts are packed into blocks of one language; a word's list in a block is the sorted positions at which it occurs.
-Frequent phrases are extended by a word at a time: the positions of a phrase, moved on by its length, are merge-joined
-with the positions of the words beside it, and what meets is the list of the longer phrase.  The lengths of its lists,
-summed over all blocks, are a phrase's exact frequency; only lists of phrases that are frequent in the whole
-language are extended further, and only where the longer phrase's last words are frequent as well.
+Frequent phrases are extended by a word at a time: the positions of a phrase are merge-joined with the positions, moved back
+by one, of the phrases of the same length beside it, and what meets is the list of the longer phrase, whose last word is
+the second phrase's.  The lengths of its lists, summed over all blocks, are a phrase's exact frequency; only lists of phrases that
+are frequent in the whole language are extended further.
 
 Lists stay in the row of their block, so that no position is ever shuffled by its phrase: what is sent are the
-(phrase, next word, length of list) of a block, sorted and packed in ranges of their hash.  A range sums them over all blocks and
-answers each block which of its candidates are frequent; the block then meets the lists again and keeps those.  Blocks
-end between pieces.
+(phrase, next word, length of list) of a block, sorted and packed in ranges of their hash, and so are the words at first.  A range
+sums them over all blocks and answers each block which of its candidates are frequent; the block then meets the lists again
+and keeps those.  Blocks end between pieces.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -111,22 +113,24 @@ class Lists:
         return np.where(self.at[i] == at, i, -1)
 
 
-def extend(phrases: Lists, words: Lists, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of ``length`` words in one block: numbers of their first words' phrase and of their last word, sizes and lists."""
-    after = words.meet(phrases.at + (length - 1))
+def extend(phrases: Lists, lasts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of a word more in one block: numbers of their first words' phrase, ids of their last word, sizes and lists.
+
+    ``lasts`` are the ids of the phrases' last words, by number.  The phrase without its first word must be frequent too.
+    """
+    after = phrases.meet(phrases.at + 1)
     met = after >= 0
-    if length > 2:  # the phrase without its first word must be frequent too
-        met &= phrases.meet(phrases.at + 1) >= 0
-    many = int(words.phrase.max()) + 1 if len(words.phrase) else 1
-    key = phrases.phrase[met].astype(np.int64) * many + words.phrase[after[met]]
+    words, word = np.unique(lasts, return_inverse=True)
+    many = max(1, len(words))
+    key = phrases.phrase[met].astype(np.int64) * many + word[phrases.phrase[after[met]]]
     order = np.argsort(key, kind="stable")
     distinct, sizes = np.unique(key, return_counts=True)
-    return distinct // many, distinct % many, sizes, phrases.at[met][order]
+    return distinct // many, words[distinct % many], sizes, phrases.at[met][order]
 
 
-_LISTS = "blk long, lang string, ids array<long>, sizes array<long>, at binary, word_ids array<long>, word_sizes array<long>, word_at binary"
+_LISTS = "blk long, ids array<long>, lasts array<long>, sizes array<long>, at binary"
 _LONGS = pa.list_(pa.int64())
-_KINDS = [pa.int64(), pa.string(), _LONGS, _LONGS, pa.binary(), _LONGS, _LONGS, pa.binary()]
+_KINDS = [pa.int64(), _LONGS, _LONGS, _LONGS, pa.binary()]
 
 
 def _longs(column: pa.Array, i: int) -> np.ndarray:
@@ -137,13 +141,13 @@ def _list(column: pa.Array, i: int, size: int) -> np.ndarray:
     return unpack(column[i].as_buffer(), size, ["<u4"])[0].astype(np.int64)
 
 
-def _regrouped(sizes: np.ndarray, at: np.ndarray, kept: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in ascending order, sizes and positions of the lists ``kept``."""
-    number = np.full(len(sizes), -1)
-    number[kept[np.argsort(ids)]] = np.arange(len(ids))
+def _regrouped(sizes: np.ndarray, at: np.ndarray, kept: np.ndarray, ids: np.ndarray, lasts: np.ndarray) -> list:
+    """Ids in ascending order, last words, sizes and packed positions of the lists ``kept``."""
+    number, order = np.full(len(sizes), -1), np.argsort(ids)
+    number[kept[order]] = np.arange(len(ids))
     phrase = np.repeat(number, sizes)
     at, phrase = at[phrase >= 0], phrase[phrase >= 0]
-    return np.sort(ids), np.bincount(phrase, minlength=len(ids)), at[np.argsort(phrase, kind="stable")]
+    return [ids[order], lasts[order], np.bincount(phrase, minlength=len(ids)), pack([at[np.argsort(phrase, kind="stable")].astype(np.uint32)])]
 
 
 def _rows(rows: list[list], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
@@ -151,52 +155,119 @@ def _rows(rows: list[list], kinds: list[pa.DataType], schema: str) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=names)
 
 
-def frequent_words(lists: DataFrame, kept: DataFrame) -> DataFrame:
-    """The lists of words that ``kept`` (blk, kept) names as frequent."""
+def _extended(of: dict[str, pa.Array], i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates of a word more in a block, by the ids of their first words and their last word; sizes and lists."""
+    ids, sizes = _longs(of["ids"], i), _longs(of["sizes"], i)
+    first, last, found, at = extend(Lists(sizes, _list(of["at"], i, sizes.sum())), _longs(of["lasts"], i))
+    return ids[first], last, found, at
+
+
+def _in_ranges(deal: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates in the order of their ranges, and where each range begins."""
+    return np.argsort(deal, kind="stable"), np.searchsorted(np.sort(deal), np.arange(ranges + 1))
+
+
+def _dealt(pid: np.ndarray, wid: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    return _in_ranges((mix64(mix64(pid.astype(np.uint64)) + wid.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64), ranges)
+
+
+def _dealt_words(words: list[str], ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    return _in_ranges(np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % ranges, ranges)
+
+
+_WORDS = "rng long, blk long, lang string, n long, words binary, sizes binary"
+_WORD_ANSWERS = "blk long, rng long, lang string, words array<string>, f array<long>, j array<long>, id array<long>"
+
+
+def word_candidates(every: DataFrame, ranges: int) -> DataFrame:
+    """A row a block and range: words (joined by a blank, which none holds) and sizes of their lists packed, in their order in the block."""
 
     def run(batches):
         for batch in batches:
             of = dict(zip(batch.schema.names, batch.columns))
             for i in range(batch.num_rows):
-                sizes, frequent = _longs(of["sizes"], i), of["kept"][i].values
-                j, ids = (frequent.field(n).to_numpy(zero_copy_only=False) for n in ("j", "id"))
-                ids, few, at = _regrouped(sizes, _list(of["at"], i, sizes.sum()), j, ids)
-                yield _rows([[of["blk"][i].as_py(), of["lang"][i].as_py(), ids, few, pack([at.astype(np.uint32)]), None, None, None]], _KINDS, _LISTS)
+                words, sizes = of["words"][i].as_py(), _longs(of["sizes"], i)
+                order, starts = _dealt_words(words, ranges)
+                rows = []
+                for r in np.flatnonzero(np.diff(starts)):
+                    mine = order[starts[r] : starts[r + 1]]
+                    packed = zstandard.ZstdCompressor(level=1).compress(" ".join([words[j] for j in mine.tolist()]).encode())
+                    rows.append([int(r), of["blk"][i].as_py(), of["lang"][i].as_py(), len(mine), packed, pack([sizes[mine]])])
+                if rows:
+                    yield _rows(rows, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()], _WORDS)
 
-    return lists.join(kept, "blk").mapInArrow(run, _LISTS)
+    return every.mapInArrow(run, _WORDS)
 
 
-def _extended(of: dict[str, pa.Array], i: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of ``length`` words in a block, by the ids of their first words and their last word; sizes and lists."""
-    ids, sizes = _longs(of["ids"], i), _longs(of["sizes"], i)
-    phrases = Lists(sizes, _list(of["at"], i, sizes.sum()))
-    if length == 2:
-        words, word_ids = phrases, ids
-    else:
-        word_ids, word_sizes = _longs(of["word_ids"], i), _longs(of["word_sizes"], i)
-        words = Lists(word_sizes, _list(of["word_at"], i, word_sizes.sum()))
-    first, last, found, at = extend(phrases, words, length)
-    return ids[first], word_ids[last], found, at
+def counted_words(dealt: DataFrame, least: int) -> DataFrame:
+    """Of each range the words with ``least`` occurrences or more in all blocks of a language: words, f and id in a row with
+    blk -1 a language, and a row a block with the places (j) and ids of its own."""
 
+    def run(key, table):
+        rng, rows, given = key[0].as_py(), [], 0
+        langs = table.column("lang").to_pylist()
+        for lang in sorted(set(langs)):
+            mine = table.take(pa.array([i for i, x in enumerate(langs) if x == lang]))
+            n = mine.column("n").to_pylist()
+            words = [w for x in mine.column("words") for w in zstandard.ZstdDecompressor().decompress(x.as_buffer()).decode().split(" ")]
+            sizes = np.concatenate([unpack(x.as_buffer(), m, ["<i8"])[0] for x, m in zip(mine.column("sizes"), n)])
+            coded = pa.array(words).dictionary_encode()
+            which = coded.indices.to_numpy()
+            total = np.zeros(len(coded.dictionary), np.int64)
+            np.add.at(total, which, sizes)
+            good = np.flatnonzero(total >= least)
+            ids = np.full(len(total), -1)
+            ids[good] = (rng << 32) + given + np.arange(len(good))
+            given += len(good)
+            if len(good):
+                rows.append([-1, rng, lang, coded.dictionary.take(pa.array(good)).to_pylist(), total[good], None, ids[good]])
+            for blk, of in zip(mine.column("blk").to_pylist(), np.split(ids[which], np.cumsum(n)[:-1])):
+                j = np.flatnonzero(of >= 0)
+                if len(j):
+                    rows.append([blk, rng, None, None, None, j, of[j]])
+        return pa.Table.from_batches([_rows(rows, [pa.int64()] * 2 + [pa.string(), pa.list_(pa.string())] + [_LONGS] * 3, _WORD_ANSWERS)])
+
+    return dealt.groupBy("rng").applyInArrow(run, _WORD_ANSWERS)
+
+
+def _told(lists: DataFrame, answers: DataFrame) -> DataFrame:
+    """Lists with the answers to their block.  Both sides are dealt by block whatever their sizes: answers grow with the corpus."""
+    told = answers.filter("blk >= 0").groupBy("blk").agg(F.collect_list(F.struct("rng", "j", "id")).alias("told"))  # those of one block
+    return lists.join(told.hint("merge"), "blk")
+
+
+def _places(told: pa.StructArray, order: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which candidates of a block are frequent, and their ids."""
+    places = [order[starts[r] + j.values.to_numpy(zero_copy_only=False)] for r, j in zip(told.field("rng").to_pylist(), told.field("j"))]
+    return np.concatenate(places), told.field("id").flatten().to_numpy(zero_copy_only=False)
 
-def _dealt(pid: np.ndarray, wid: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates in the order of their ranges, and where each range begins."""
-    deal = (mix64(mix64(pid.astype(np.uint64)) + wid.astype(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-    return np.argsort(deal, kind="stable"), np.searchsorted(np.sort(deal), np.arange(ranges + 1))
+
+def frequent_words(every: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
+    """The lists of frequent words, from all lists and the answers of ``counted_words``."""
+
+    def run(batches):
+        for batch in batches:
+            of = dict(zip(batch.schema.names, batch.columns))
+            for i in range(batch.num_rows):
+                sizes = _longs(of["sizes"], i)
+                kept, ids = _places(of["told"][i].values, *_dealt_words(of["words"][i].as_py(), ranges))
+                yield _rows([[of["blk"][i].as_py(), *_regrouped(sizes, _list(of["at"], i, sizes.sum()), kept, ids, ids)]], _KINDS, _LISTS)
+
+    return _told(every.drop("lang"), answers).mapInArrow(run, _LISTS)
 
 
 _CANDIDATES = "rng long, blk long, n long, packed binary"
 _ANSWERS = "blk long, rng long, pid array<long>, wid array<long>, f array<long>, j array<long>, id array<long>"
 
 
-def candidates(lists: DataFrame, length: int, ranges: int) -> DataFrame:
+def candidates(lists: DataFrame, ranges: int) -> DataFrame:
     """A row a block and range: candidates (first words, last word, size of list) packed, in their order in the block."""
 
     def run(batches):
         for batch in batches:
             of = dict(zip(batch.schema.names, batch.columns))
             for i in range(batch.num_rows):
-                pid, wid, sizes, _ = _extended(of, i, length)
+                pid, wid, sizes, _ = _extended(of, i)
                 order, starts = _dealt(pid, wid, ranges)
                 rows = []
                 for r in np.flatnonzero(np.diff(starts)):
@@ -236,28 +307,18 @@ def counted(dealt: DataFrame, least: int) -> DataFrame:
     return dealt.groupBy("rng").applyInArrow(run, _ANSWERS)
 
 
-def longer_lists(lists: DataFrame, answers: DataFrame, length: int, ranges: int) -> DataFrame:
-    """Lists of the frequent phrases of ``length`` words, from lists of one word less and the answers of ``counted``."""
+def longer_lists(lists: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
+    """Lists of the frequent phrases of a word more, from lists and the answers of ``counted``."""
 
     def run(batches):
         for batch in batches:
             of = dict(zip(batch.schema.names, batch.columns))
             for i in range(batch.num_rows):
-                pid, wid, sizes, at = _extended(of, i, length)
-                order, starts = _dealt(pid, wid, ranges)
-                told = of["told"][i].values
-                places = [order[starts[r] + j.values.to_numpy(zero_copy_only=False)] for r, j in zip(told.field("rng").to_pylist(), told.field("j"))]
-                ids, few, at = _regrouped(sizes, at, np.concatenate(places), told.field("id").flatten().to_numpy(zero_copy_only=False))
-                own = [of[c][i].as_py() for c in (("ids", "sizes", "at") if length == 2 else ("word_ids", "word_sizes", "word_at"))]
-                yield _rows([[of["blk"][i].as_py(), of["lang"][i].as_py(), ids, few, pack([at.astype(np.uint32)]), *own]], _KINDS, _LISTS)
-
-    told = answers.filter("blk >= 0").groupBy("blk").agg(F.collect_list(F.struct("rng", "j", "id")).alias("told"))  # those of one block
-    return lists.join(told, "blk").mapInArrow(run, _LISTS)
-
+                pid, wid, sizes, at = _extended(of, i)
+                kept, ids = _places(of["told"][i].values, *_dealt(pid, wid, ranges))
+                yield _rows([[of["blk"][i].as_py(), *_regrouped(sizes, at, kept, ids, wid[kept])]], _KINDS, _LISTS)
 
-def _words_of(lists: DataFrame) -> DataFrame:
-    of = lists.select("blk", "lang", F.posexplode(F.arrays_zip("words", "sizes")).alias("j", "of"))
-    return of.select("blk", "j", "lang", F.col("of.words").alias("phrase"), F.col("of.sizes").alias("size"))
+    return _told(lists, answers).mapInArrow(run, _LISTS)
 
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX_WORDS, text: str = "text", lang: str = "lang", range_words: int = RANGE_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -276,14 +337,15 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX
     every = materialize(word_lists(rows), "word-lists", "zstd")
     totals = materialize(every.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")), "totals")
     ranges = -(-(totals.agg(F.sum("n")).first()[0] or 1) // range_words)
-    found = _words_of(every)
-    words = materialize(found.groupBy("lang", "phrase").agg(F.sum("size").alias("f")).filter(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent-1")
-    kept = found.join(words.select("lang", "phrase", "id"), ["lang", "phrase"]).groupBy("blk").agg(F.collect_list(F.struct("j", "id")).alias("kept"))
-    lists = materialize(frequent_words(every, kept), "lists-1", "zstd")
-    discard(every)
+    answers = materialize(counted_words(word_candidates(every, ranges), least), "answers-1", "zstd")
+    release(spark)
+    of = answers.filter("blk < 0").select("lang", F.explode(F.arrays_zip("words", "f", "id")).alias("of"))
+    words = materialize(of.select("lang", F.col("of.words").alias("phrase"), F.col("of.f").alias("f"), F.col("of.id").alias("id")), "frequent-1")
+    lists = materialize(frequent_words(every, answers, ranges), "lists-1", "zstd")
+    discard(every, answers)
     phrases = [words]
     for length in range(2, longest + 1):
-        answers = materialize(counted(candidates(lists, length, ranges), least), f"answers-{length}", "zstd")
+        answers = materialize(counted(candidates(lists, ranges), least), f"answers-{length}", "zstd")
         release(spark)
         of = answers.filter("blk < 0").select(F.explode(F.arrays_zip("pid", "wid", "f", "id")).alias("of")).select("of.*")
         first = phrases[-1].select("lang", F.col("id").alias("pid"), F.col("phrase").alias("first"))
@@ -291,7 +353,7 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = MAX
         named = of.join(first, "pid").join(last, "wid")
         phrases.append(materialize(named.select("lang", "id", "f", F.concat_ws(" ", "first", "last").alias("phrase")), f"frequent-{length}"))
         if length < longest:
-            longer = materialize(longer_lists(lists, answers, length, ranges), f"lists-{length}", "zstd")
+            longer = materialize(longer_lists(lists, answers, ranges), f"lists-{length}", "zstd")
             discard(lists, answers)
             lists = longer
     discard(lists, answers) if longest > 1 else discard(lists)

@@ -85,3 +85,18 @@ def test_many_small_ranges_count_the_same(spark):
     for range_words in (1, 50, 10**9):
         got, _ = co.frequent_phrases(docs, 6, 3, range_words=range_words)
         assert sorted(map(tuple, got.collect())) == wanted
+
+
+def test_words_and_lists_travel_packed(spark, monkeypatch):
+    plans, written = {}, co.materialize
+
+    def seen(df, name, *codec):
+        plans[name] = (df._jdf.queryExecution().optimizedPlan().toString(), df.columns)
+        return written(df, name, *codec)
+
+    monkeypatch.setattr(co, "materialize", seen)
+    docs = spark.createDataFrame(some_texts(4, 60), "lang string, text string")
+    co.frequent_phrases(docs, 4, 3)
+    # no word of a block is a row that is joined, and no list of words goes along with those of phrases
+    assert all("Join Inner, ((lang" not in plan for plan, _ in plans.values())
+    assert plans["lists-1"][1] == plans["lists-2"][1] == ["blk", "ids", "lasts", "sizes", "at"]
