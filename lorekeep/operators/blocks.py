@@ -47,7 +47,7 @@ def meet(left: DataFrame, right: DataFrame | None, block: int, run: Callable[[pa
 
     def cell(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
-            return pa.table([pa.array([], a.schema.field("id").type) if n.startswith("id_") else pa.array([], pa.int32()) for n in names] + [pa.array([], pa.bool_())], names=[*names, "same"])
+            return pa.table([pa.array([], a.schema.field("id").type if n.startswith("id_") else b.schema.field(n).type if n in b.schema.names else pa.int32()) for n in names] + [pa.array([], pa.bool_())], names=[*names, "same"])
         out = run(a, b)
         return out.append_column("same", pa.array(np.full(len(out), alone and key[1].as_py() == key[2].as_py())))
 

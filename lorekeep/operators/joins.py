@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
@@ -58,8 +58,8 @@ def claims(docs: DataFrame, path: str = "path", text_col: str = "text") -> DataF
     return docs.select(F.col(path).alias("path"), F.posexplode(text.lines(text_col)).alias("line", "text")).filter(F.col("text").rlike(CLAIM)).withColumn("line", F.col("line") + 1)
 
 
-#: Rows that one word of a join is dealt out in.
-LIST_ROWS = 1024
+#: Entries or topics of a block, at so many words each.
+LIST_ROWS, ROW_WORDS = 1024, 512
 #: Words of a block of claims, and of prefixes; most frequent words that are put last in a prefix; words that a pair shares in its prefixes.
 CLAIM_WORDS, PREFIX_WORDS, FREQUENT, SHARED = 500_000, 4_000_000, 65_536, 4
 
@@ -287,45 +287,33 @@ def resolve(links: DataFrame, slugs: DataFrame, files: DataFrame, current_ws: st
 def most_shared(entries: DataFrame, topics: DataFrame, least: int = 3, below: bool = False) -> DataFrame:
     """id, overlap, slug: for each entry (id, kw) the topic (ord, slug, kw) that shares most of its keywords, if ``least`` or more; of equals the first by ord.
 
-    With ``below``, entries that share fewer with every topic have their largest overlap and no slug.  Entries and topics meet
-    by words that both have, ordered by the number of meetings they cost: of m such words, one of the first m - ``least`` + 1
-    of either side is shared by any pair that shares ``least``, which is then verified on whole sets.  A frequent word is dealt
-    out on both sides, LIST_ROWS rows a part, so that no word is one task's work.  ``id`` and (ord, slug) are unique; sets are
-    arrays of distinct words, null or empty ones share nothing.
+    With ``below``, entries that share fewer with every topic have their largest overlap and no slug.  Blocks of entries meet
+    blocks of topics, and a task counts the words of its pairs and keeps each entry's best: neither words nor pairs are rows.
+    ``id`` and (ord, slug) are unique; sets are arrays of distinct words, null or empty ones share nothing.
     """
     if least < 1:
         raise ValueError("least must be at least 1")
-    e = written(entries.select("id", "kw").filter(F.size("kw") > 0), "entry-sets")
-    t = written(topics.select(F.struct("ord", "slug").alias("t"), "kw").filter(F.size("kw") > 0), "topic-sets")
-    in_entries, in_topics = e.select("id", F.explode("kw").alias("w")), t.select("t", F.explode("kw").alias("w"))
-    df = written(in_entries.groupBy("w").agg(F.count("*").alias("ne")).join(in_topics.groupBy("w").agg(F.count("*").alias("nt")), "w"), "words")
-
-    def ranked(words: DataFrame, id: str) -> DataFrame:
-        by_cost = Window.partitionBy(id).orderBy(F.col("ne") * F.col("nt"), "w")
-        return words.join(df, "w").withColumns({"r": F.row_number().over(by_cost), "m": F.count("*").over(Window.partitionBy(id))})
-
-    left, right = written(ranked(in_entries, "id"), "entry-words"), written(ranked(in_topics, "t"), "topic-words")
-    parts = lambda n: F.ceil(F.col(n) / LIST_ROWS).cast("int")
-
-    def cells(words: DataFrame, id: str, n: str, other: str, shared: int) -> DataFrame:
-        first = words.filter(F.col("r") <= F.col("m") - shared + 1).withColumn(f"p_{n}", F.pmod(F.xxhash64(id), parts(n)).cast("int"))
-        return first.select(id, "w", f"p_{n}", F.explode(F.sequence(F.lit(0), parts(other) - 1)).alias(f"p_{other}"))
-
-    def sharing(words: DataFrame, shared: int) -> DataFrame:
-        met = cells(words, "id", "ne", "nt", shared).join(cells(right, "t", "nt", "ne", shared), ["w", "p_ne", "p_nt"]).select("id", "t").distinct()
-        both = met.join(e, "id").join(t.withColumnRenamed("kw", "topic_kw"), "t").withColumn("c", F.size(F.array_intersect("kw", "topic_kw"))).filter(F.col("c") >= shared)
-        best = both.groupBy("id").agg(F.max(F.struct("c", (-F.col("t.ord")).alias("o"), F.col("t.slug").alias("slug"))).alias("m"))
-        return best.select("id", F.col("m.c").alias("overlap"), F.col("m.slug").alias("slug"))
-
-    found = sharing(left, least)
-    if not below:
-        return found
-    found = written(found, "routed")
-    for shared in range(least - 1, 1, -1):
-        open_ = left.join(found, "id", "left_anti")  # none of these shares more
-        found = written(found.unionByName(sharing(open_, shared).withColumn("slug", F.lit(None).cast("string"))), "routed")
-    rest = left.filter("r = 1").join(found, "id", "left_anti").select("id", F.lit(1).alias("overlap"), F.lit(None).cast("string").alias("slug"))
-    return found.unionByName(rest) if least > 1 else found
+    sized = lambda rows: rows.filter(F.size("kw") > 0).withColumns({"g": F.lit(0), "size": F.size("kw")})
+    e = written(sized(entries.select("id", "kw")), "entry-sets")
+    t = written(sized(topics.select(F.xxhash64("ord", "slug").alias("id"), "ord", "slug", "kw")), "topic-sets")
+    schema = StructType([StructField("id_a", e.schema["id"].dataType), StructField("c", IntegerType()), StructField("ord", t.schema["ord"].dataType), StructField("slug", t.schema["slug"].dataType)])
+    enough = 1 if below else least
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by([("ord", "ascending"), ("slug", "descending")])  # the first of equals is taken
+        found = [(np.empty(0, int), np.empty(0, int), np.empty(0, int))]
+        for i, j, c in blocks.shared(*blocks.numbered(a, b, "kw"), lambda x, y: enough):
+            hit = np.flatnonzero(c >= enough)
+            i, j, c = i[hit], j[hit], c[hit]
+            order = np.lexsort((j, -c, i))
+            first = order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
+            found.append((i[first], j[first], c[first]))
+        i, j, c = map(np.concatenate, zip(*found))
+        return pa.table([a.column("id").take(pa.array(i)), pa.array(c, pa.int32()), b.column("ord").take(pa.array(j)), b.column("slug").take(pa.array(j))], names=schema.names)
+
+    met = blocks.meet(e, t, LIST_ROWS * ROW_WORDS, best, schema)
+    top = met.groupBy(F.col("id_a").alias("id")).agg(F.max(F.struct("c", (-F.col("ord")).alias("o"), "slug")).alias("m"))
+    return top.select("id", F.col("m.c").alias("overlap"), F.when(F.col("m.c") >= least, F.col("m.slug")).alias("slug"))
 
 
 def route(entries: DataFrame, topics: DataFrame, least: int = 3, default: str = "misc", key: str = "id", below: bool = False, guard: bool = True) -> DataFrame:

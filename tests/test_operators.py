@@ -278,3 +278,13 @@ def test_runs_of_a_long_text_take_linear_time(spark):
     got = spark.createDataFrame([(text,)], "t string").select(lines.group_by_prefix("t").alias("g")).first().g
     assert got.count("\n") == 5_999 and got.startswith("keya: [7 items: v0, v1, v2, v3, v4, +2 more]\nkeyb: [7 items: v7,")
     assert time.monotonic() - start < 15  # every run looked for all runs before
+
+
+def test_routing_makes_no_row_of_a_word_or_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LIST_ROWS", 2)
+    e = spark.createDataFrame([(i, ["usual", "common", f"w{i}"]) for i in range(40)], "id int, kw array<string>")
+    t = spark.createDataFrame([(7, s, ["usual", "common", f"w{k}"]) for k, s in enumerate(["a", "c", "b"])], "ord int, slug string, kw array<string>")
+    best = joins.most_shared(e, t, 2)
+    assert {r.id: (r.overlap, r.slug) for r in best.collect()} == {i: (3, "acb"[i]) if i < 3 else (2, "c") for i in range(40)}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "explode(kw" not in plan and "kw" not in plan.split("FlatMapCoGroupsInArrow")[0]
