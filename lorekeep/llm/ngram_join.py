@@ -7,8 +7,10 @@ its own l: a longer prefix scans more postings but leaves fewer candidates, and
 of sets then needs min(l, l') shared prefix tokens before it is verified on the whole sets.
 
 Groups of near copies must not unfold into all pairs.  Round one links every set to one neighbour in the postings
-it shares (hot postings are salted), verifies those links and finds components.  Round two joins postings only
-across components, so what is already connected is never paired again, while no link between components is lost.
+it shares (hot postings are salted), verifies those links and finds components.  Round two searches postings only
+across components.  No pair leaves a task there: a first search keeps the rows of sets that may have a similar one in
+their cell, whole sets travel to these rows only, and a second search gives verified links that connect the sets of a
+cell, fewer than it has rows.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from .common import bound_batches, discard, free_name, materialize, mix64, relea
 HEAVY_TOKENS = 1 << 18
 #: Counts below this are taken as rare.
 HEAVY_FROM = 4
-#: A posting list is dealt out in parts of about this many sets, and lists that are searched together in cells of about twice as many rows.
-POSTING_ROWS = 1024
-#: Pairs that a task keeps to sum them up before it emits them; pairs it looks at together, and rows.
-FOUND_ROWS, PAIRS, HELD_ROWS = 1 << 19, 1 << 16, 1 << 13
+#: A posting list is dealt out in parts of about this many sets, and of about so many tokens, and lists that are searched together in cells of about twice as many rows.
+POSTING_ROWS, PART_TOKENS = 1024, 1 << 22
+#: Pairs found in lists that a task looks at together, and rows and their bytes.
+FOUND_ROWS, HELD_ROWS, HELD_BYTES = 1 << 20, 1 << 13, 1 << 26
+#: Shared tokens of a set that travel with each of its rows, those of other lists included; of sets with more, a row has those of its own lists.
+CARRIED = 256
 MAX_MATCHES = 4
 #: Bytes of parity bits that travel with postings at most; the full ones travel once for each pair that is left.
 POSTING_BITS = 128
@@ -111,12 +115,12 @@ def choose_prefix(hashes: np.ndarray, percent: int, heavy: np.ndarray, counts: n
     return hashes[chosen], freq[chosen], matches
 
 
-def parity_bits(hashes: np.ndarray) -> bytes:
-    """A bit for each of 2^k residues, k by the set's size: whether an odd number of hashes falls on it.
+def parity_bits(hashes: np.ndarray, spare: int = 0) -> bytes:
+    """A bit for each of 2^k residues, k by the set's size (and ``spare`` more): whether an odd number of hashes falls on it.
 
     Two such maps differ in at most as many bits as the sets have elements of their own, whatever their sizes.
     """
-    width = 1 << max(6, (len(hashes) - 1).bit_length())
+    width = 1 << max(6, (len(hashes) - 1).bit_length() + spare)
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -231,144 +235,157 @@ class ParityMaps:
         return out
 
 
-def _similar_rows(rows: dict[str, np.ndarray], bits: list[bytes], percent: int):
-    """Index pairs of rows of one posting list (``list``) each that may be similar: of two components, of fitting sizes, with parity bits that agree enough.
+def _pairs_in_cells(t: pa.Table, number: np.ndarray, bits: list[bytes], percent: int, wanted):
+    """Index pairs of rows of one cell (``number``) each that may be similar: they share tokens enough, have fitting sizes and parity bits that agree enough.
 
-    Where ``cross`` is set, the rows come from two parts, and pairs of one part are met elsewhere.
+    ``wanted`` says of rows whether a pair of them is still asked for.  Rows of a cell that comes from two parts
+    meet only those of the other one.
     """
-    order = np.lexsort((rows["n"], rows["list"]))
-    n, base = rows["n"][order], rows["list"][order] << 32
-    ends = np.searchsorted(base + n, base + n * 100 // percent, side="right")  # sizes up to n / t follow in order, in the same list
-    follow = ends - np.arange(len(order)) - 1
-    total = np.cumsum(follow)
-    maps, start = ParityMaps(bits), 0
+    rows = {c: t.column(c).to_numpy().astype(np.int64) for c in ("n", "l", "part", "parts", "cell")}
+    order = np.lexsort((rows["n"], number))
+    n, l, part, whole = rows["n"][order], rows["l"][order], rows["part"][order], t.column("whole").to_numpy()[order]
+    cross = (rows["cell"] // rows["parts"] != rows["cell"] % rows["parts"])[order]
+    base, here = number[order] << 32, np.arange(len(order))
+    width = np.searchsorted(base + n, base + n * 100 // percent, side="right") - here - 1  # sizes up to n / t follow in order, in the same cell
+    lists = t.column("tokens").combine_chunks().take(pa.array(order))
+    lists, shared = lists.flatten(), lists.value_lengths().to_numpy()
+    tok, place, row = lists.field("tok").to_numpy(), lists.field("i").to_numpy(), np.repeat(here, shared)
+    by_list = np.lexsort((row, tok, base[row]))
+    tok, place, row = tok[by_list], place[by_list], row[by_list]
+    new = np.r_[True, (tok[1:] != tok[:-1]) | (base[row[1:]] != base[row[:-1]])]
+    key = np.cumsum(new) * (len(order) + 1)
+    follow = np.searchsorted(key + row, key + row + width[row] + 1) - np.arange(len(row)) - 1
+    by_row = np.lexsort((place, row))  # the last token that a pair shares comes last
+    ends = np.cumsum(shared)
+    load = np.cumsum(np.bincount(row, follow, len(order)).astype(np.int64) + width)
+    maps, start = ParityMaps([bits[i] for i in order.tolist()]), 0
     while start < len(order):
-        stop = max(start + 1, int(np.searchsorted(total, total[start] - follow[start] + PAIRS, side="right")))
-        met = follow[start:stop]
-        x = np.repeat(np.arange(start, stop), met)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(met) - met, met)
-        x, y = order[x], order[y]
+        stop = max(start + 1, int(np.searchsorted(load, (load[start - 1] if start else 0) + FOUND_ROWS, side="right")))
+        entries = by_row[ends[start - 1] if start else 0 : ends[stop - 1]]
+        met = follow[entries]
+        at = np.repeat(entries, met)
+        to = at + 1 + np.arange(len(at)) - np.repeat(np.cumsum(met) - met, met)
+        x, y = row[at], row[to]
+        keep = (~cross[x] | (part[x] != part[y])) & wanted(order[x], order[y])
+        at, to, x, y = at[keep], to[keep], x[keep], y[keep]
+        first = np.cumsum(width[start:stop]) - width[start:stop]
+        pair = first[x - start] + y - x - 1
+        count = np.bincount(pair)
+        last = np.zeros(len(count), np.int64)
+        last[pair] = np.arange(len(pair))
+        found = np.flatnonzero(count)
+        c, last = count[found], last[found]
+        x, y, ix, iy = x[last], y[last], place[at[last]], place[to[last]]
         start = stop
-        keep = (rows["root"][x] != rows["root"][y]) & (~rows["cross"][x] | (rows["part"][x] != rows["part"][y]))
+        # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
+        most = np.minimum(n[x] - ix - 1 + c, n[y] - iy - 1 + c)
+        keep = ~(whole[x] & whole[y]) | (c >= np.minimum(l[x], l[y])) & (most * (100 + percent) >= (n[x] + n[y]) * percent)
         x, y = x[keep], y[keep]
         if len(x):
-            both = rows["n"][x] + rows["n"][y]
-            allowed = both - 2 * -(-percent * both // (100 + percent))
-            fits = maps.agree(x, y, allowed)
-            yield x[fits], y[fits]
+            both = n[x] + n[y]
+            fits = maps.agree(x, y, both - 2 * -(-percent * both // (100 + percent)))
+            yield order[x[fits]], order[y[fits]]
 
 
-def _summed(found: list[np.ndarray]) -> np.ndarray:
-    """Rows (a, b, na, nb, l, ia, ib, c) with one row for each pair: counts added, positions at their largest."""
-    rows = np.concatenate(found)
-    order = np.lexsort((rows[:, 1], rows[:, 0]))
-    rows = rows[order]
-    starts = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-    out = rows[starts]
-    out[:, 5] = np.maximum.reduceat(rows[:, 5], starts)
-    out[:, 6] = np.maximum.reduceat(rows[:, 6], starts)
-    out[:, 7] = np.add.reduceat(rows[:, 7], starts)
-    return out
+def _whole_cells(batches):
+    """Tables of whole cells of sorted batches, with the number of each row's cell."""
+    held: list[pa.RecordBatch] = []  # the last cell may go on in the next batch
 
+    def numbers(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        for c in ("head", "cell", "bucket"):
+            v = t.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.cumsum(new)
 
-def _nearest(rows: np.ndarray) -> np.ndarray:
-    """Of summed rows those that are the best, by shared tokens, of one of their two sets."""
-    kept = []
-    for side in (0, 1):
-        order = np.lexsort((-rows[:, 7], rows[:, side]))
-        kept.append(order[np.r_[True, np.diff(rows[order, side]) != 0]])
-    return rows[np.unique(np.concatenate(kept))]
+    waiting = size = 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            waiting, size = waiting + len(batch), size + batch.nbytes
+            if waiting >= HELD_ROWS or size >= HELD_BYTES:
+                t = pa.Table.from_batches(held)
+                number = numbers(t)
+                if done := int(np.searchsorted(number, number[-1])):
+                    yield t.slice(0, done), number[:done]
+                    held = t.slice(done).combine_chunks().to_batches()
+                waiting = size = 0
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, numbers(t)
+
+
+_CELL = "head long, cell int, bucket int, node long, root long, n int, l byte, part int, parts int, whole boolean, tokens array<struct<i:int,tok:bigint>>"
+_CELL_COLUMNS = [c.split(" ")[0] for c in _CELL.split(", ")]
+
+
+def dealt_in_cells(lists: DataFrame) -> DataFrame:
+    """The rows (_CELL) of posting lists (tok, head, node, root, n, l, i): a set's tokens in the lists of a head, in each cell that must see it.
+
+    Lists with the same first set (``head``) are searched together, as lists of one group of near copies mostly are:
+    their sets are dealt out in parts, and the lists in buckets where their sets are mostly others.  A cell is a part
+    by itself or a pair of parts of one bucket, so that no task holds a whole long list or all sets of a large group.
+    """
+    longest = lists.groupBy("head", "tok").agg(F.count("*").alias("c")).groupBy("head").agg(F.max("c").alias("c"))
+    sets = lists.groupBy("head", "node").agg(F.first("n").alias("n")).groupBy("head").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"))
+    dealt = longest.join(sets, "head").withColumn("parts", F.ceil(F.greatest(F.col("c") / POSTING_ROWS, F.least(F.col("tokens") / PART_TOKENS, "sets"))).cast("int"))
+    dealt = dealt.select("head", "parts", F.ceil(F.col("sets") / F.col("parts") / (2 * POSTING_ROWS)).cast("int").alias("buckets"))
+    tokens = F.sort_array(F.collect_list(F.struct("i", "tok"))).alias("tokens")
+    bucket = F.pmod(F.xxhash64("tok"), "buckets").cast("int").alias("bucket")
+    own = lists.join(dealt, "head").groupBy("head", bucket, "node").agg(*(F.first(c).alias(c) for c in ("root", "n", "l", "parts")), tokens)
+    every = lists.groupBy("node").agg(tokens).filter(F.size("tokens") <= CARRIED).withColumnRenamed("tokens", "every")
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
+    rows = own.join(every, "node", "left").withColumns({"part": part, "whole": F.col("every").isNotNull(), "tokens": F.coalesce("every", "tokens")})
+    return rows.withColumn("cell", F.explode(cells)).select(*_CELL_COLUMNS)
 
 
-_FOUND = ["a", "b", "na", "nb", "l", "ia", "ib", "c"]
+def _by_cell(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("head", "cell", "bucket").sortWithinPartitions("head", "cell", "bucket")
 
 
-def candidates(lists: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
-    """a < b, na, nb, l (matches asked for), ia, ib (last shared positions), c (shared tokens): sets of different components that meet in posting lists.
+def open_rows(dealt: DataFrame, percent: int) -> DataFrame:
+    """Of rows (_CELL, small) those, without ``small``, that may be similar to one of another component in their cell, by sizes, shared tokens and folded parity bits."""
 
-    Lists with the same first set are searched together, as lists of one group of near copies mostly are, and a pair
-    is emitted once for many of them: lists are dealt out in buckets by their tokens, and in parts by their sets.  A
-    cell is a part by itself or a pair of parts of one bucket, so that no task holds a whole long list or all lists of
-    a large group.  Pairs that sizes or parity bits rule out are never emitted; with ``nearest`` only the best pairs
-    of each set in each cell are.  A pair may come from several cells, with counts to be added up.
-    """
-    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.least(q, F.col("part")) * F.col("parts") + F.greatest(q, F.col("part")))
-    bucket = F.pmod(F.xxhash64("tok"), "buckets").cast("int")
-    dealt = lists.withColumns({"part": part, "bucket": bucket}).select("head", "tok", "node", "root", "n", "l", "i", "small", "part", "parts", "bucket", F.explode(cells).alias("cell"))
-    dealt = dealt.repartition("head", "cell", "bucket").sortWithinPartitions("head", "cell", "bucket", "tok")
-    keys = ("head", "cell", "bucket", "tok")
-    names = ("node", "root", "n", "l", "i", "part", "parts", "cell")
-
-    def lists_in(t: pa.Table) -> np.ndarray:
-        """The number, from 0, of the list that each row belongs to."""
-        new = np.zeros(len(t), bool)
-        for c in keys:
-            v = t.column(c).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        return np.cumsum(new)
+    def search(batches):
+        for t, number in _whole_cells(batches):
+            root, marked = t.column("root").to_numpy(), np.zeros(len(t), bool)
+            for x, y in _pairs_in_cells(t, number, t.column("small").to_pylist(), percent, lambda x, y: (root[x] != root[y]) & ~(marked[x] & marked[y])):
+                marked[x] = marked[y] = True
+            yield from t.filter(pa.array(marked)).select(_CELL_COLUMNS).to_batches()
 
-    def pairs_of(t: pa.Table, number: np.ndarray):
-        """The pairs of whole lists within their cells."""
-        rows = {c: t.column(c).to_numpy().astype(np.int64) for c in names} | {"list": number}
-        rows["cross"] = rows["cell"] // rows["parts"] != rows["cell"] % rows["parts"]
-        starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
-        mixed = np.minimum.reduceat(rows["root"], starts) != np.maximum.reduceat(rows["root"], starts)
-        at = np.flatnonzero(np.repeat(mixed, np.diff(np.r_[starts, len(number)])))  # of lists with two components
-        if not len(at):
-            return
-        rows = {c: v[at] for c, v in rows.items()}
-        for x, y in _similar_rows(rows, t.column("small").take(pa.array(at)).to_pylist(), percent):
-            if len(x):
-                swap = rows["node"][x] > rows["node"][y]
-                a, b = np.where(swap, y, x), np.where(swap, x, y)
-                yield np.stack([rows["node"][a], rows["node"][b], rows["n"][a], rows["n"][b], np.minimum(rows["l"][a], rows["l"][b]), rows["i"][a], rows["i"][b], np.ones(len(a), np.int64)], axis=1)
+    return _by_cell(dealt).mapInArrow(search, _CELL)
 
-    def search(batches):
-        held: list[pa.RecordBatch] = []  # rows not looked at yet; the last list may go on in the next batch
-        found: list[np.ndarray] = []  # pairs that are not emitted yet, not many more than FOUND_ROWS
-
-        def folded_pairs() -> np.ndarray:
-            rows = _summed(found) if found else np.zeros((0, 8), np.int64)
-            return _nearest(rows) if nearest and len(rows) else rows
-
-        def emit():
-            rows = folded_pairs()
-            found.clear()
-            for start in range(0, len(rows), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[start : start + (1 << 16)].T], names=_FOUND)
-
-        def search_held(last: bool):
-            t = pa.Table.from_batches(held)
-            number = lists_in(t)
-            done = len(t) if last else int(np.searchsorted(number, number[-1]))
-            held[:] = t.slice(done).combine_chunks().to_batches() if done < len(t) else []
-            if not done:
-                return
-            size = sum(map(len, found))
-            for pairs in pairs_of(t.slice(0, done), number[:done]):
-                found.append(pairs)
-                size += len(pairs)
-                if size > FOUND_ROWS:
-                    found[:] = [folded_pairs()]
-                    size = len(found[0])
-                    if 2 * size > FOUND_ROWS:  # pairs that hardly repeat: what is known of them goes out
-                        yield from emit()
-                        size = 0
-
-        waiting = 0
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-                waiting += len(batch)
-                if waiting >= HELD_ROWS:
-                    yield from search_held(False)
-                    waiting = 0
-        if held:
-            yield from search_held(True)
-        yield from emit()
 
-    return dealt.mapInArrow(search, ", ".join(f"{c} long" for c in _FOUND))
+def links_across(dealt: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs (a, b) of rows (_CELL, s) of one cell each, by whole sets ``s``: enough to connect what is linked there across components."""
+
+    def search(batches):
+        above: dict[int, int] = {}  # of roots that this task has connected
+
+        def top(r: int) -> int:
+            while (up := above.get(r, r)) != r:
+                above[r] = r = above.get(up, up)
+            return r
+
+        for t, number in _whole_cells(batches):
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in t.column("s").combine_chunks()]
+            roots, which = np.unique(t.column("root").to_numpy(), return_inverse=True)
+            now = np.array([top(r) for r in roots.tolist()], np.int64)[which]
+            nodes, links = t.column("node").to_pylist(), []
+            for x, y in _pairs_in_cells(t, number, [parity_bits(s, 3) for s in sets], percent, lambda x, y: now[x] != now[y]):
+                before = len(links)
+                for i, j in zip(x.tolist(), y.tolist()):
+                    a, b = top(int(now[i])), top(int(now[j]))
+                    if a != b and are_similar(sets[i], sets[j], percent):
+                        above[max(a, b)] = min(a, b)
+                        links.append((nodes[i], nodes[j]))
+                if len(links) > before:
+                    now = np.array([top(r) for r in roots.tolist()], np.int64)[which]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+    return _by_cell(dealt).mapInArrow(search, "a long, b long")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -387,10 +404,17 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) of classes whose sets are similar, by whole sets made anew from one document of each class."""
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "cls", "id"), "node"), "join-need")
-    bits = pairs.sparkSession.sparkContext.broadcast(_filter_of(need))
+def are_similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether 100 * overlap >= percent * union of two sorted sets."""
+    both = np.sort(np.concatenate([s, t]), kind="stable")  # two sorted runs: a merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= percent * (len(s) + len(t) - common)
+
+
+def whole_sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """node, s: the sets of the nodes, made anew from one document of each class; and a table that goes when they have been read."""
+    need = materialize(nodes.distinct().join(classes.select("node", "cls", "id"), "node"), "join-need")
+    bits = nodes.sparkSession.sparkContext.broadcast(_filter_of(need))
     positions = F.array(*(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)))
 
     def make(batches):
@@ -404,16 +428,16 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, perc
     made = rows.select("id", "t", positions.alias("at")).mapInArrow(make, "cls binary, s binary, id long")
     held = made.join(need, (made.cls == need.cls) & made.id.eqNullSafe(need.id)).select("node", "s")
     # rows that repeat id and text give a set more than once
-    sets = held.groupBy("node").agg(F.first("s").alias("s"))
+    return held.groupBy("node").agg(F.first("s").alias("s")), need
+
+
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) of classes whose whole sets are similar."""
+    sets, need = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows, classes, n)
 
     def compare(batches):
         for batch in batches:
-            keep = []
-            for s, t in zip(batch.column("x"), batch.column("y")):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([s, t]), kind="stable")  # two sorted runs: a merge
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            keep = [are_similar(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), percent) for s, t in zip(batch.column("x"), batch.column("y"))]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -504,31 +528,15 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # round two: posting lists that several components share, searched across components
     rooted = posted.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tok", "node", "root", "n", "l", "i")
-    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head"), F.count("*").alias("c")).filter("x <> y").select("tok", "head", "c")
-    parts = mixed.groupBy("head").agg(F.ceil(F.max("c") / POSTING_ROWS).cast("int").alias("parts"), F.sum("c").alias("rows"))
-    parts = parts.select("head", "parts", F.ceil(F.col("rows") / F.col("parts") / (2 * POSTING_ROWS)).cast("int").alias("buckets"))
-    lists = materialize(rooted.join(mixed.select("tok", "head").join(parts, "head"), "tok").join(numbered.select("node", "small"), "node"), "join-lists")
-    discard(posted, numbered)
-
-    # each set's nearest candidate first: most links of a group of near copies are not needed after that
-    near = candidates(lists, percent, nearest=True).groupBy("a", "b").agg(F.sum("c").alias("c"))
-    near = materialize(near, "join-met")
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")).unionByName(near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", "b")).distinct()
-    tried = materialize(promising(best, classes, percent), "join-nearest")
-    second = joined_roots(first, verified(tried, rows, classes, n, percent))
-
-    # then all that may be similar across the components there are now
-    again = lists.drop("root").join(second, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    apart = again.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("tok")
-    left = materialize(again.join(apart, "tok", "left_semi"), "join-left")
-    discard(near, lists)
-    shared = candidates(left, percent).groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    # a prefix token before the last shared one that is not shared is in only one of the sets, which bounds the overlap
-    most = F.least(F.col("na") - F.col("ia") - 1 + F.col("c"), F.col("nb") - F.col("ib") - 1 + F.col("c"))
-    likely = shared.filter("c >= l").filter(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
-    pairs = materialize(promising(likely.join(tried, ["a", "b"], "left_anti"), classes, percent), "join-pairs")
-    last = joined_roots(second, verified(pairs, rows, classes, n, percent))
-    discard(left, tried, pairs)
+    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head")).filter("x <> y").select("tok", "head")
+    lists = materialize(rooted.join(mixed, "tok"), "join-lists")
+    discard(posted)
+    left = materialize(open_rows(dealt_in_cells(lists).join(numbered.select("node", "small"), "node"), percent), "join-open")
+    discard(lists, numbered)
+    sets, need = whole_sets(left.select("node"), rows, classes, n)
+    links = materialize(links_across(left.join(sets, "node"), percent), "join-links")
+    discard(left, need)
+    last = joined_roots(first, links)
     final = classes.select("node", "cls", "id").join(last, "node", "left").withColumn("r", F.coalesce("root", "node")).select("cls", "id", "r")
     named = final.join(final.groupBy("r").agg(F.min("id").alias("component_id")), "r").select("cls", "component_id", F.col("r").alias("root"))
     out = full.join(named, "cls").select("id", "n_shingles", "component_id", *more, "root")

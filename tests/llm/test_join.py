@@ -134,3 +134,20 @@ def test_words_that_collide_as_polynomials_stay_apart(spark, docs_of):
     assert got == {1: 1, 2: 2, 3: 1}
     words = [thue, other, "a" * 8, "a" * 9, "a" * 7 + "\0", "a" * 7, "b" * 8 + "a" * 8, "a" * 8 + "b" * 8]
     assert len(set(nj.word_hashes(" ".join(words).encode()).tolist())) == len(words)
+
+
+def test_near_copies_below_the_threshold_are_no_pairs(spark, docs_of, monkeypatch):
+    """Sets that nearly link with all others of a group leave the searches as rows of their own, not as pairs."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:90], *(f"own{i}.{j}" for j in range(18)), *base[108:]]), "s") for i in range(120)]  # 174 of 218 shingles are common
+    made, write = {}, nj.materialize
+
+    def counted(df, name, codec=None):
+        table = write(df, name, codec)
+        made[name] = max(made.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(nj, "materialize", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join_components(docs_of(rows), 5, 80).collect())
+    assert got == brute(rows, 5, 80) and len({c for _, _, c in got}) == len(rows)
+    assert {k: v for k, v in made.items() if k.startswith("join-") and k not in ("join-posted", "join-lists", "join-left") and v > 2 * len(rows)} == {}
