@@ -22,7 +22,7 @@ TRAILER = r"^([A-Z][a-zA-Z]+):\s*(.+)$"
 
 #: How changes are printed: a mark and the hash, then raw entries and numbers, all ended by NUL so that any path can be read.
 CHANGES = ["-z", "--raw", "--numstat", "-M", "--no-abbrev"]
-HEADER = re.compile(r"\x1e([0-9a-f]{40,64})(?:\n(.*))?", re.S)
+HEADER = re.compile(r"\x1e([0-9a-f]{40,64})(?:\n(.*))?\Z", re.S)
 #: Commits of a partition.
 COMMITS = 2000
 
@@ -66,7 +66,7 @@ def changes_of(tokens: Iterable[str]) -> Iterator[tuple]:
             yield (commit, status, path, old, *numbers.get(path, (0, 0)))
 
     for token in tokens:
-        if head := HEADER.fullmatch(token):
+        if head := HEADER.match(token):
             yield from known()
             commit, files, numbers = head[1], [], {}
             token = head[2] or ""
