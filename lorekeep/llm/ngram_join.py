@@ -8,14 +8,16 @@ of sets then needs min(l, l') shared prefix tokens before it is verified on the
 
 Groups of near copies must not unfold into all pairs.  Round one links every set to one neighbour in the postings
 it shares (hot postings are salted), verifies those links and finds components.  Round two searches postings only
-across components.  No pair leaves a task there: a first search keeps the rows of sets that may have a similar one in
-their cell, whole sets travel to these rows only, and a second search gives verified links that connect the sets of a
-cell, fewer than it has rows.
+across components, and of a list only the sets that have one of another component among those of about their size.  No
+pair leaves a task there: a first search keeps the rows of sets that may have a similar one in their cell, by folded
+parity bits and then by whole ones, whole sets travel to these rows only, and a second search gives verified links that
+connect the sets of a cell, fewer than it has rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -344,13 +346,29 @@ def _by_cell(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("head", "cell", "bucket").sortWithinPartitions("head", "cell", "bucket")
 
 
-def open_rows(dealt: DataFrame, percent: int) -> DataFrame:
-    """Of rows (_CELL, small) those, without ``small``, that may be similar to one of another component in their cell, by sizes, shared tokens and folded parity bits."""
+def searched_lists(rooted: DataFrame, percent: int) -> DataFrame:
+    """The postings (tok, node, root, n, l, i) of a list that are to be searched, with ``head``, the list's first set.
+
+    Similar sets lie in the same band of sizes or in neighbouring ones, so a set is left out of a list that has none of
+    another component there: lists of sets that have little but a token in common grow faster than the corpus.
+    """
+    width = max(math.log(100 / percent), 0.01) * (1 + 1e-6)  # a little more, for what is lost in rounding
+    banded = rooted.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    bands = banded.groupBy("tok", "band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head"))
+    list_ = Window.partitionBy("tok")  # of bands, about a hundred at most
+    near = list_.orderBy("band").rangeBetween(-1, 1)
+    met = bands.select("tok", "band", F.min("x").over(near).alias("x"), F.max("y").over(near).alias("y"), F.min("head").over(list_).alias("head")).filter("x <> y")
+    searched = met.groupBy("tok").agg(F.first("head").alias("head"), F.collect_list("band").alias("bands"))
+    return banded.join(searched, "tok").filter(F.array_contains("bands", F.col("band"))).drop("band", "bands")
+
+
+def open_rows(dealt: DataFrame, percent: int, bits: str) -> DataFrame:
+    """Of rows (_CELL, ``bits``) those, without ``bits``, that may be similar to one of another component in their cell, by sizes, shared tokens and these parity bits."""
 
     def search(batches):
         for t, number in _whole_cells(batches):
             root, marked = t.column("root").to_numpy(), np.zeros(len(t), bool)
-            for x, y in _pairs_in_cells(t, number, t.column("small").to_pylist(), percent, lambda x, y: (root[x] != root[y]) & ~(marked[x] & marked[y])):
+            for x, y in _pairs_in_cells(t, number, t.column(bits).to_pylist(), percent, lambda x, y: (root[x] != root[y]) & ~(marked[x] & marked[y])):
                 marked[x] = marked[y] = True
             yield from t.filter(pa.array(marked)).select(_CELL_COLUMNS).to_batches()
 
@@ -412,8 +430,12 @@ def are_similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 
 def whole_sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """node, s: the sets of the nodes, made anew from one document of each class; and a table that goes when they have been read."""
-    need = materialize(nodes.distinct().join(classes.select("node", "cls", "id"), "node"), "join-need")
+    """node, key of the nodes, as a table that goes when the sets have been read, and key, s: their sets, made anew from one document of each class.
+
+    The key is the class and the document's id: sets meet what asks for them by it, and are not shuffled to their nodes first.
+    """
+    key = F.concat("cls", F.coalesce(F.unhex(F.lpad(F.hex("id"), 16, "0")), F.lit(b"")))
+    need = materialize(nodes.distinct().join(classes.select("node", "id", key.alias("key")), "node"), "join-need")
     bits = nodes.sparkSession.sparkContext.broadcast(_filter_of(need))
     positions = F.array(*(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(3)))
 
@@ -422,25 +444,29 @@ def whole_sets(nodes: DataFrame, rows: DataFrame, classes: DataFrame, n: int) ->
             at = batch.column("at").flatten().to_numpy().reshape(-1, 3)
             held = (bits.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
             part = batch.filter(pa.array(held.all(axis=1)))
-            sets = [shingle_set(t, n) for t in part.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), part.column("id")], names=["cls", "s", "id"])
+            sets = [shingle_set(t, n).tobytes() for t in part.column("t").to_pylist()]
+            ids = (b"" if i is None else i.to_bytes(8, "big", signed=True) for i in part.column("id").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(s).digest() + i for s, i in zip(sets, ids)], pa.binary()), pa.array(sets, pa.binary())], names=["key", "s"])
 
-    made = rows.select("id", "t", positions.alias("at")).mapInArrow(make, "cls binary, s binary, id long")
-    held = made.join(need, (made.cls == need.cls) & made.id.eqNullSafe(need.id)).select("node", "s")
+    made = rows.select("id", "t", positions.alias("at")).mapInArrow(make, "key binary, s binary")
     # rows that repeat id and text give a set more than once
-    return held.groupBy("node").agg(F.first("s").alias("s")), need
+    return need, made.groupBy("key").agg(F.first("s").alias("s"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) of classes whose whole sets are similar."""
-    sets, need = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows, classes, n)
+    need, sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows, classes, n)
 
     def compare(batches):
         for batch in batches:
             keep = [are_similar(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), percent) for s, t in zip(batch.column("x"), batch.column("y"))]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = pairs
+    for side in "ab":
+        both = both.join(need.select(F.col("node").alias(side), F.col("key").alias(f"key_{side}")), side)
+    for side, s in (("a", "x"), ("b", "y")):
+        both = both.join(sets.select(F.col("key").alias(f"key_{side}"), F.col("s").alias(s)), f"key_{side}")
     links = materialize(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "join-links")
     discard(need)
     return links
@@ -528,13 +554,13 @@ def link_components(rows: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # round two: posting lists that several components share, searched across components
     rooted = posted.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")).select("tok", "node", "root", "n", "l", "i")
-    mixed = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("head")).filter("x <> y").select("tok", "head")
-    lists = materialize(rooted.join(mixed, "tok"), "join-lists")
+    lists = materialize(searched_lists(rooted, percent), "join-lists")
     discard(posted)
-    left = materialize(open_rows(dealt_in_cells(lists).join(numbered.select("node", "small"), "node"), percent), "join-open")
+    open_ = open_rows(dealt_in_cells(lists).join(numbered.select("node", "small"), "node"), percent, "small")
+    left = materialize(open_rows(open_.join(classes.select("node", "bits"), "node"), percent, "bits"), "join-open")
     discard(lists, numbered)
-    sets, need = whole_sets(left.select("node"), rows, classes, n)
-    links = materialize(links_across(left.join(sets, "node"), percent), "join-links")
+    need, sets = whole_sets(left.select("node"), rows, classes, n)
+    links = materialize(links_across(left.join(need.select("node", "key"), "node").join(sets, "key"), percent), "join-links")
     discard(left, need)
     last = joined_roots(first, links)
     final = classes.select("node", "cls", "id").join(last, "node", "left").withColumn("r", F.coalesce("root", "node")).select("cls", "id", "r")

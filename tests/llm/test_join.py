@@ -151,3 +151,30 @@ def test_near_copies_below_the_threshold_are_no_pairs(spark, docs_of, monkeypatc
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join_components(docs_of(rows), 5, 80).collect())
     assert got == brute(rows, 5, 80) and len({c for _, _, c in got}) == len(rows)
     assert {k: v for k, v in made.items() if k.startswith("join-") and k not in ("join-posted", "join-lists", "join-left") and v > 2 * len(rows)} == {}
+
+
+def counted_tables(monkeypatch):
+    made, write = {}, nj.materialize
+
+    def counted(df, name, codec=None):
+        table = write(df, name, codec)
+        made.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(nj, "materialize", counted)
+    return made
+
+
+def test_lists_of_sets_of_other_sizes_are_not_searched(spark, docs_of, monkeypatch):
+    made = counted_tables(monkeypatch)
+    rows = [(i, " ".join(f"b{j}" for j in range(int(20 * 1.25**i))), "s") for i in range(14)]  # each set holds all before
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join_components(docs_of(rows), 3, 90).collect())
+    assert got == brute(rows, 3, 90) and made["join-posted"][0] > 100 and made["join-lists"] == [0]
+
+
+def test_large_sets_are_told_apart_by_whole_parity_bits(spark, docs_of, monkeypatch):
+    made = counted_tables(monkeypatch)
+    half = lambda x: [f"{x}{j}" for j in range(3000)]
+    rows = [(1, " ".join([*half("a"), *half("b")]), "s"), (2, " ".join([*half("a"), *half("c")]), "s"), (3, " ".join([*half("d"), *half("e")]), "s"), (4, " ".join([*half("d"), *half("e"), "f"]), "s")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join_components(docs_of(rows), 3, 90).collect())
+    assert got == brute(rows, 3, 90) and made["join-lists"][0] > 0 and made["join-open"] == [0]
