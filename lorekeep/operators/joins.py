@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, IntegerType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import gate, paths, text
 from ..session import forget, written
@@ -60,8 +61,8 @@ def claims(docs: DataFrame, path: str = "path", text_col: str = "text") -> DataF
 
 #: Entries or topics of a block, at so many words each.
 LIST_ROWS, ROW_WORDS = 1024, 512
-#: Words of a block of claims, and of prefixes; most frequent words that are put last in a prefix; words that a pair shares in its prefixes.
-CLAIM_WORDS, PREFIX_WORDS, FREQUENT, SHARED = 500_000, 4_000_000, 65_536, 4
+#: Words of a block of claims, and of sets; most frequent words of a task, which get bits of their own in maps as far as there are; times all sets that a pass sends.
+CLAIM_WORDS, PREFIX_WORDS, FREQUENT, SENT = 500_000, 4_000_000, 65_536, 2
 
 
 def _pairs_schema(id: DataType, *more: str) -> StructType:
@@ -89,14 +90,12 @@ def opposed_pairs(claims_: DataFrame, least: int = 3, within: str | None = None)
     schema = _pairs_schema(rows.schema["id"].dataType, "n_shared")
 
     def opposing(ours: str):
-        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        def run(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
             ma, mb = a.column(ours).to_numpy(), b.column("says").to_numpy()
-            found = [(np.empty(0, int), np.empty(0, int), np.empty(0, int))]
             for i, j, c in blocks.shared(*blocks.numbered(a, b, "kw"), lambda x, y: least):
                 hit = (c >= least) & ((ma[i] & mb[j]) != 0)
-                found.append((i[hit], j[hit], c[hit]))
-            i, j, c = map(np.concatenate, zip(*found))
-            return pa.table([a.column("id").take(pa.array(i)), b.column("id").take(pa.array(j)), pa.array(c, pa.int32())], names=schema.names)
+                if hit.any():
+                    yield pa.table([a.column("id").take(pa.array(i[hit])), b.column("id").take(pa.array(j[hit])), pa.array(c[hit], pa.int32())], names=schema.names)
 
         return run
 
@@ -118,49 +117,26 @@ def contradictions(claims_: DataFrame, least: int = 3, within: str | None = None
 def similar_pairs(rows: DataFrame, low: float, high: float = 1.0, key: str = "id", text_col: str = "text", least: int = 4, within: str | None = None) -> DataFrame:
     """id_a < id_b, similarity of the pairs (of one ``within``, if given) with low <= Jaccard of word sets <= high.
 
-    Of n words, frequent ones last, the first n - ceil(low n) + SHARED share SHARED words (or all that a pair must share) in any similar
-    pair.  Only they, as hashes, meet in blocks, and pairs that share so many are verified on their whole sets, as they are written.
+    Sets meet in blocks of about a size, as they are written, in passes of a bounded part of them; a task compares bit maps and
+    counts the shared words of what may be similar, so that only pairs with their similarity leave it.
     """
-    sets = written(rows.select(F.col(key).alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), F.array_sort(text.word_set(text_col, least)).alias("ws")).filter(F.size("ws") > 0), "sets")
-    hashed = sets.select("id", "g", F.transform("ws", lambda w: F.hash(w)).alias("h"))
-    top = hashed.select(F.explode("h").alias("h")).groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
-    known = np.array(sorted((r["h"], r["count"]) for r in top), dtype=np.int64).reshape(-1, 2)
-    held = StructType([*hashed.schema.fields[:2], *(StructField(n, IntegerType()) for n in ("size", "n", "m")), hashed.schema["h"]])
-
-    def prefixes(batches):
-        for batch in batches:
-            lists = batch.column("h")
-            words, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            count = np.zeros(len(words), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known[:, 0], words), len(known) - 1)
-                count = np.where(known[at, 0] == words, known[at, 1], 0)
-            starts = np.concatenate(([0], np.cumsum(n)))
-            order = np.lexsort((words, count, np.repeat(np.arange(len(n)), n)))
-            m = np.ceil(n * low - 1e-9).astype(np.int64)
-            size = np.minimum(n, n - m + SHARED)
-            first = np.arange(len(words)) - np.repeat(starts[:-1], n) < np.repeat(size, n)
-            h = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(words[order][first]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("g"), *(pa.array(x, pa.int32()) for x in (size, n, m)), h], names=held.names)
-
-    schema = _pairs_schema(sets.schema["id"].dataType)
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        a, b = a.sort_by("n"), b.sort_by("n")
-        (na, ma, ra), (nb, mb, rb) = ((n, t.column("m").to_numpy(), n - t.column("size").to_numpy()) for t in (a, b) for n in [t.column("n").to_numpy()])
-        found = [(np.empty(0, int), np.empty(0, int))]
-        for i, j, c in blocks.shared(*blocks.numbered(a, b, "h"), lambda x, y: min(SHARED, max(ma[x:y].min(), mb.min()))):
-            hit = (c >= np.minimum(SHARED, np.maximum(ma[i], mb[j]))) & (na[i] >= nb[j] * low - 1e-9) & (nb[j] >= na[i] * low - 1e-9)
-            # shared words that are not in both prefixes are the last ones, at most what one of the prefixes leaves out
-            hit &= (c + np.maximum(ra[i], rb[j])) * (1 + low) >= (na[i] + nb[j]) * low - 1e-6
-            found.append((i[hit], j[hit]))
-        i, j = map(np.concatenate, zip(*found))
-        return pa.table([a.column("id").take(pa.array(i)), b.column("id").take(pa.array(j))], names=schema.names)
-
-    met = blocks.meet(written(hashed.mapInArrow(prefixes, held), "prefixes"), None, PREFIX_WORDS, run, schema)
-    pairs = written(blocks.once(met), "near")
-    full = pairs.join(sets.select(F.col("id").alias("id_a"), F.col("ws").alias("wa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("ws").alias("wb")), "id_b")
-    return text.computed_once(full, "similarity", text.jaccard("wa", "wb")).filter((F.col("similarity") >= low) & (F.col("similarity") <= high)).select("id_a", "id_b", "similarity")
+    sets = rows.select(F.col(key).alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), text.word_set(text_col, least).alias("ws"))
+    sets = written(sets.withColumn("size", F.size("ws")).filter("size > 0"), "sets")
+    schema = _pairs_schema(sets.schema["id"].dataType).add("similarity", DoubleType())
+
+    def run(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
+        same = b is a
+        a = a.sort_by([("g", "ascending"), ("size", "ascending")])
+        b = a if same else b.sort_by([("g", "ascending"), ("size", "ascending")])
+        m, n = a.column("size").to_numpy(), b.column("size").to_numpy()
+        for i, j, c in blocks.alike(a, b, "ws", low, FREQUENT):
+            similarity = c / (m[i] + n[j] - c)
+            hit = (similarity >= low) & (similarity <= high)
+            if hit.any():
+                yield pa.table([a.column("id").take(pa.array(i[hit])), b.column("id").take(pa.array(j[hit])), pa.array(similarity[hit])], names=schema.names)
+
+    met = blocks.meet(sets, None, PREFIX_WORDS, run, schema, low, SENT).filter(F.col("id_a") != F.col("id_b"))
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity")
 
 
 def lint_pairs(rows: DataFrame, key: str = "id", text_col: str = "text", within: str | None = None) -> DataFrame:
@@ -299,19 +275,17 @@ def most_shared(entries: DataFrame, topics: DataFrame, least: int = 3, below: bo
     schema = StructType([StructField("id_a", e.schema["id"].dataType), StructField("c", IntegerType()), StructField("ord", t.schema["ord"].dataType), StructField("slug", t.schema["slug"].dataType)])
     enough = 1 if below else least
 
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+    def best(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
         b = b.sort_by([("ord", "ascending"), ("slug", "descending")])  # the first of equals is taken
-        found = [(np.empty(0, int), np.empty(0, int), np.empty(0, int))]
         for i, j, c in blocks.shared(*blocks.numbered(a, b, "kw"), lambda x, y: enough):
             hit = np.flatnonzero(c >= enough)
             i, j, c = i[hit], j[hit], c[hit]
             order = np.lexsort((j, -c, i))
             first = order[np.r_[True, np.diff(i[order]) != 0]] if len(order) else order
-            found.append((i[first], j[first], c[first]))
-        i, j, c = map(np.concatenate, zip(*found))
-        return pa.table([a.column("id").take(pa.array(i)), pa.array(c, pa.int32()), b.column("ord").take(pa.array(j)), b.column("slug").take(pa.array(j))], names=schema.names)
+            i, j, c = i[first], j[first], c[first]
+            yield pa.table([a.column("id").take(pa.array(i)), pa.array(c, pa.int32()), b.column("ord").take(pa.array(j)), b.column("slug").take(pa.array(j))], names=schema.names)
 
-    met = blocks.meet(e, t, LIST_ROWS * ROW_WORDS, best, schema)
+    met = blocks.meet(e, t, LIST_ROWS * ROW_WORDS, best, schema, streamed=False)
     top = met.groupBy(F.col("id_a").alias("id")).agg(F.max(F.struct("c", (-F.col("ord")).alias("o"), "slug")).alias("m"))
     return top.select("id", F.col("m.c").alias("overlap"), F.when(F.col("m.c") >= least, F.col("m.slug")).alias("slug"))
 

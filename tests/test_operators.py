@@ -260,6 +260,14 @@ def test_meetings_of_frequent_words_make_no_rows(spark):
     assert not hasattr(joins, "meetings")
 
 
+def test_pairs_are_verified_where_they_meet(spark):
+    """Candidates once left their task to be joined with both whole sets, a pair a row."""
+    df = spark.createDataFrame([(i, f"some words that are said {'again ' * (i % 2)} by text number{i % 3}") for i in range(9)], "id int, text string")
+    pairs = joins.similar_pairs(df, 0.4, 0.9)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert pairs.count() and "array_intersect" not in plan and "ws" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
 def test_tags_of_a_long_entry_take_linear_time():
     import time
 
