@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -119,7 +120,7 @@ def meet(left: DataFrame, right: DataFrame | None, block: int, run: Callable[[pa
     def cell(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))
         same = alone and key[1].as_py() == key[2].as_py()
-        a = rows if same else rows.filter(pa.compute.invert(rows.column("right")))
+        a = rows if same else rows.filter(pc.invert(rows.column("right")))
         b = rows if same else rows.filter(rows.column("right"))
         del rows
         if len(a) and len(b):
@@ -164,10 +165,11 @@ def once(pairs: DataFrame) -> DataFrame:
 
 
 def _numbers(a: pa.Table, b: pa.Table, words: str) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
-    """Offsets, group of each row and number of each word of both sides, and how many words there are."""
+    """Offsets, group of each row and number of each word of both sides, and how many words there are.  Sets are arrays, or words between blanks."""
     sides = [t.select(["g", words]).combine_chunks() for t in ((a,) if b is a else (a, b))]
     lists = [t.column(words).combine_chunks() for t in sides]
     lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+    lists = [pc.split_pattern(x, " ") if pa.types.is_string(x.type) else x for x in lists]
     groups = pa.chunked_array([c for t in sides for c in t.column("g").chunks]).combine_chunks().dictionary_encode("encode")
     values = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode("encode")
     which, word = groups.indices.to_numpy(), values.indices.to_numpy()
@@ -183,7 +185,13 @@ def _numbers(a: pa.Table, b: pa.Table, words: str) -> tuple[list[tuple[np.ndarra
 def numbered(a: pa.Table, b: pa.Table, words: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Offsets and numbers of the words of both sides: equal ones for equal words of equal ``g``."""
     sides, n = _numbers(a, b, words)
-    return [(starts, np.repeat(g, np.diff(starts)).astype(np.int64) * (n + 1) + word) for starts, g, word in sides]
+    return [(starts, _within(starts, g, word, n)) for starts, g, word in sides]
+
+
+def _within(starts: np.ndarray, g: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of words that differ between groups."""
+    small = (int(g.max(initial=0)) + 1) * (n + 1) < 1 << 31
+    return np.repeat(g, np.diff(starts)).astype(np.int32 if small else np.int64) * (n + 1) + word
 
 
 def shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], least: Callable[[int, int], int] = lambda a, b: 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,7 +199,8 @@ def shared(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndar
     (starts, words), (ends, others) = left, right
     rows, across = len(starts) - 1, len(ends) - 1
     order = np.argsort(others, kind="stable")
-    owner, sorted_ = np.repeat(np.arange(across), np.diff(ends))[order], others[order]
+    owner, sorted_ = np.repeat(np.arange(across, dtype=np.int32), np.diff(ends))[order], others[order]
+    del order
     each, back = np.unique(words, return_inverse=True)
     first = np.searchsorted(sorted_, each)
     first, n = first[back], (np.searchsorted(sorted_, each, "right") - first)[back]

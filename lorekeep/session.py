@@ -55,13 +55,13 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
             delete(spark, path)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and survives the loss of executors.  It goes when the application ends, or by ``forget``."""
     spark = df.sparkSession
     home = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
     delete_at_exit(spark, home)
     path = f"{home}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back

@@ -268,6 +268,34 @@ def test_pairs_are_verified_where_they_meet(spark):
     assert pairs.count() and "array_intersect" not in plan and "ws" not in plan.split("FlatMapGroupsInArrow")[0]
 
 
+def _sent(df, monkeypatch):
+    """Numbers of the rows that are sent to cells at a time."""
+    counts, dealt = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (counts.append(self.count()) if "home" in self.columns else None, dealt(self, *a))[1])
+    return counts
+
+
+def _texts(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    words = [f"word{i}" for i in range(400)]
+    base = [rng.sample(words, rng.choice([3, 8, 20, 60, 150])) for _ in range(n // 3)]
+    sets = [{*rng.sample(b, rng.randint(len(b) // 2, len(b))), *rng.sample(words, len(b) // 4)} for b in base for _ in range(3)]
+    return [(i, " ".join(rng.sample(sorted(s), len(s)))) for i, s in enumerate(sets)], sets
+
+
+def test_blocks_of_a_large_group_meet_in_passes(spark, monkeypatch):
+    rows, sets = _texts(7, 300)
+    df = spark.createDataFrame(rows, "id int, text string")
+    expected = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(300) for b in range(a + 1, 300)}
+    monkeypatch.setattr(joins, "PREFIX_WORDS", 1_000)  # of at least 19,200
+    sent = _sent(df, monkeypatch)
+    got = {(r.id_a, r.id_b): r.similarity for r in joins.lint_pairs(df).collect()}
+    assert got == {p: s for p, s in expected.items() if 0.4 <= s <= 0.85 and 1.0 - s >= 0.15} and len(got) > 100
+    assert len(sent) > 3 and max(sent) <= 2 * 300 < sum(sent)
+
+
 def test_tags_of_a_long_entry_take_linear_time():
     import time
 
