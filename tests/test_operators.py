@@ -296,6 +296,24 @@ def test_blocks_of_a_large_group_meet_in_passes(spark, monkeypatch):
     assert len(sent) > 3 and max(sent) <= 2 * 300 < sum(sent)
 
 
+def test_themes_of_a_large_group_are_those_of_all_pairs(spark, monkeypatch):
+    rows, sets = _texts(8, 240)
+    df = spark.createDataFrame([("w", f"p{i:03}", t, i) for i, t in rows], "workspace string, path string, text string, ord int")
+    seeds, of = [], {}
+    for i in range(240):
+        first = [s for s in seeds if len(sets[s] & sets[i]) / len(sets[s] | sets[i]) > 0.3]
+        of[i] = first[0] if first else i
+        seeds += [] if first else [i]
+    themes = {}
+    for seed in seeds:
+        members = [i for i in of if of[i] == seed]
+        themes["-".join(sorted({w for i in members for w in sorted(sets[i])[:3]})[:3])] = (f"p{seed:03}", len(members))
+    monkeypatch.setattr(joins, "PREFIX_WORDS", 3_000)
+    sent = _sent(df, monkeypatch)
+    assert {r.label: (r.seed, len(r.members)) for r in joins.themes(df).collect()} == themes and len(themes) > 20
+    assert sent and max(sent) <= 2 * 240
+
+
 def test_tags_of_a_long_entry_take_linear_time():
     import time
 
