@@ -62,7 +62,7 @@ def claims(docs: DataFrame, path: str = "path", text_col: str = "text") -> DataF
 #: Entries or topics of a block, at so many words each.
 LIST_ROWS, ROW_WORDS = 1024, 512
 #: Words of a block of claims, and of sets; most frequent words of a task, which get bits of their own in maps as far as there are; times all sets that a pass sends.
-CLAIM_WORDS, PREFIX_WORDS, FREQUENT, SENT = 500_000, 4_000_000, 65_536, 1
+CLAIM_WORDS, PREFIX_WORDS, FREQUENT, SENT = 8_000_000, 4_000_000, 65_536, 1
 
 
 def _pairs_schema(id: DataType, *more: str) -> StructType:
@@ -82,10 +82,11 @@ def opposed_pairs(claims_: DataFrame, least: int = 3, within: str | None = None)
     any_of = lambda values: F.aggregate("p.terms", F.lit(0), lambda m, w: m.bitwiseOR(F.element_at(F.create_map(*(F.lit(x) for item in values.items() for x in item)), w)))
     rows = claims_.select(F.struct("path", "line").alias("id"), (F.lit(0) if within is None else F.col(within)).alias("g"), "text")
     rows = text.computed_once(rows, "p", polarity("text")).filter(F.size("p.terms") > 0)
-    rows = written(rows.select("id", "g", keywords("text").alias("kw"), F.col("p.neg").alias("neg"), any_of(bit).alias("says"), any_of(partner).alias("denies")).filter(F.size("kw") >= least), "claims")
+    rows = rows.select("id", "g", keywords("text").alias("kw"), F.col("p.neg").alias("neg"), any_of(bit).alias("says"), any_of(partner).alias("denies")).withColumn("size", F.size("kw"))
+    rows = written(rows.filter(F.col("size") >= least).withColumn("kw", F.array_join("kw", " ")), "claims", "zstd")
     of = lambda neg, name: F.bit_or(F.when(F.col("neg") == neg, F.col("says")).otherwise(0)).alias(name)
     said = rows.groupBy(F.xxhash64("g").alias("k")).agg(of(False, "plain"), of(True, "negated"))
-    known = rows.withColumn("k", F.xxhash64("g")).join(said, "k").drop("k").withColumn("size", F.size("kw"))
+    known = rows.withColumn("k", F.xxhash64("g")).join(said, "k").drop("k")
     meets = lambda c, other: F.col(c).bitwiseAND(F.col(other)) != 0
     schema = _pairs_schema(rows.schema["id"].dataType, "n_shared")
 

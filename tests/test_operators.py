@@ -314,6 +314,16 @@ def test_themes_of_a_large_group_are_those_of_all_pairs(spark, monkeypatch):
     assert sent and max(sent) <= 2 * 240
 
 
+def test_claims_are_sent_once_for_each_block_of_many(spark, monkeypatch):
+    """8,000 claims of one group count 512,000 words, which once were two blocks."""
+    rows = [(i, 1, f"this feature number{i % 50} is {'not ' * (i % 2000 == 0)}enabled") for i in range(8_000)]
+    df = spark.createDataFrame(rows, "path int, line int, text string")
+    sent = _sent(df, monkeypatch)
+    pairs = joins.opposed_pairs(df, 2).collect()
+    assert len(pairs) == 4 * 7_996 and {r.n_shared for r in pairs} == {2, 3}
+    assert sent and max(sent) <= 8_000
+
+
 def test_tags_of_a_long_entry_take_linear_time():
     import time
 
